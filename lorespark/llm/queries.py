@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .id_store import read_digests, write_ids
+from .packing import pack_documents
 from .token_counts import token_counts
 from .tokenizing import tokenizer_path
 
 #: A document over this many tokens is marked.
 TOKEN_LIMIT = 1024
+#: Tokens of a packed sequence.
+SEQUENCE_TOKENS = 2048
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,8 +25,16 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op2_token_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_digests(spark, write_ids(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), SEQUENCE_TOKENS, end_id=0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_id_store, op5_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
