@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .id_store import read_digests, write_ids
 from .packing import pack_documents
+from .simhash import simhash_components
 from .token_counts import token_counts
 from .tokenizing import tokenizer_path
 
@@ -29,12 +30,16 @@ def op2_token_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, write_ids(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1))
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(read_table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), SEQUENCE_TOKENS, end_id=0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_id_store, op5_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_id_store, op4_simhash_near_dedup, op5_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
