@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import crc_mod3, read_table
 from .id_store import read_digests, write_ids
+from .language import learn_profiles, predict_languages
 from .packing import pack_documents
+from .pii import pii_digest
 from .simhash import simhash_components
 from .token_counts import token_counts
 from .tokenizing import tokenizer_path
@@ -38,8 +40,24 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), SEQUENCE_TOKENS, end_id=0)
 
 
+def held_out(doc_id: F.Column) -> F.Column:
+    """Rows that nothing is learned from: crc32 of the id as text, modulo 3, is 1."""
+    return F.coalesce(crc_mod3(doc_id) == 1, F.lit(False))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    profiles = learn_profiles(docs.where(crc_mod3(F.col("doc_id")) != 1), "text", "lang", F.col("doc_id"))
+    found = predict_languages(docs.select("doc_id", "text"), profiles)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_id_store, op4_simhash_near_dedup, op5_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_id_store, op4_simhash_near_dedup, op5_best_fit_packing, op7_language_id, op8_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
