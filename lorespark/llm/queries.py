@@ -14,6 +14,7 @@ from .packing import pack_documents
 from .pii import pii_digest
 from .simhash import simhash_components
 from .token_counts import token_counts
+from .toxicity import learn_toxicity, score_toxicity
 from .tokenizing import tokenizer_path
 
 #: A document over this many tokens is marked.
@@ -32,6 +33,14 @@ def op2_token_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, write_ids(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").where(crc_mod3(F.col("doc_id")) != 1).select("doc_id", "toxic")
+    model = learn_toxicity(docs.join(labels, "doc_id"), "text", "toxic", F.col("doc_id"))
+    found = score_toxicity(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
@@ -57,7 +66,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_id_store, op4_simhash_near_dedup, op5_best_fit_packing, op7_language_id, op8_pii)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_id_store, op3_toxicity, op4_simhash_near_dedup, op5_best_fit_packing, op7_language_id, op8_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
