@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod3, read_table
+from . import decontamination
+from .exact_topk import exact_topk, scaled_vectors
 from .id_store import read_digests, write_ids
 from .language import learn_profiles, predict_languages
 from .packing import pack_documents
@@ -65,9 +67,26 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk(scaled_vectors(read_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+OP6_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_id_store, op3_toxicity, op4_simhash_near_dedup, op5_best_fit_packing, op7_language_id, op8_pii)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_id_store, op3_toxicity, op4_simhash_near_dedup, op5_best_fit_packing, op6_exact_topk, op7_language_id, op8_pii, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_exact_topk": OP6_SQL, "op10_benchmark_decontamination": decontamination.oracle()}
