@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -12,10 +14,31 @@ import numpy as np
 _SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
 _ODD = re.compile(r"\s\s|[^\S \n]|\s\Z|\x02")
 LITERAL = "\x02"
-MEMO_ENTRIES = 400_000
+#: A word's letters (Latin-1: stable under NFC, one lower-case letter each), and what may follow them.
+_HEAD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,40})([!-/:-@\[-`{-~].*)?", re.DOTALL)
+MEMO_ENTRIES = 700_000
 MEMO_CHARS = 48
 
 
+class Memo(dict):
+    """What ``make`` returned, in two generations: the older goes when the younger is full."""
+
+    def __init__(self, make, entries: int):
+        super().__init__()
+        self.make, self.half, self.old = make, entries // 2, {}
+
+    def __missing__(self, key: str):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= MEMO_CHARS:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class SegmentEncoder:
     """Encodes whole texts exactly as the library does, from the library's ids of their segments.
 
@@ -43,6 +66,16 @@ class SegmentEncoder:
             self.kind = "word"
         else:
             self.kind = "whole"
+        # a word's letters may be looked up apart from what follows, if no added token starts with a letter
+        self.heads: Memo | None = None
+        if self.kind == "word" and [n["type"] for n in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and not any(t["content"][:1].isalpha() for t in spec["added_tokens"]):
+            from tokenizers.pre_tokenizers import ByteLevel
+
+            level = ByteLevel(add_prefix_space=False, use_regex=False)
+            self.heads = Memo(self._letters, memo_entries)
+            self.rests = Memo(lambda rest: self._library([rest])[0], memo_entries // 10)
+            self.words = Memo(self._word, memo_entries)
+            self.table = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if chr(c).isalpha()}
         self.entries = memo_entries
         self.memo: dict[str, bytes] = {}
         self.lengths: dict[str, int] = {}
@@ -66,6 +99,19 @@ class SegmentEncoder:
         return key[1:] if key[:1] == LITERAL else key if key[:1] == "\n" else " " + key
 
     def _encode(self, keys: list[str]) -> list[bytes]:
+        return self._library(keys)
+
+    def _word(self, key: str) -> bytes:
+        """A word's ids: those of its letters, then of what follows; other words go to the library whole."""
+        m = _HEAD.fullmatch(key)
+        if not m or (m[2] and len(m[2]) > 40):
+            return self._library([key])[0]
+        return self.heads[m[1].lower()] + self.rests[m[2]] if m[2] else self.heads[m[1].lower()]
+
+    def _letters(self, low: str) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(low.translate(self.table))]).tobytes()
+
+    def _library(self, keys: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch([self._literal(k) for k in keys], add_special_tokens=False)]
 
     def _count(self, keys: list[str]) -> list[int]:
@@ -73,6 +119,9 @@ class SegmentEncoder:
 
     def encode_many(self, texts: list[str], batch_bytes: int = 1 << 20) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; batches hold about ``batch_bytes``."""
+        if self.heads is not None and sys.byteorder == "little":
+            look = self.words.__getitem__
+            return [b"".join(map(look, self.segments(t))) for t in texts]
         return self._batches(texts, batch_bytes, self.memo, self._encode, b"".join)
 
     def count_many(self, texts: list[str], batch_bytes: int = 1 << 20) -> list[int]:
@@ -100,7 +149,7 @@ class SegmentEncoder:
                 (memo if len(w) <= MEMO_CHARS else extra)[w] = made
         look = memo.__getitem__
         got = [join([memo[w] if w in memo else extra[w] for w in p]) if extra else join(map(look, p)) for p in parts]
-        if len(memo) > self.entries:
+        if len(memo) > min(self.entries, 400_000):
             memo.clear()
         return got
 
