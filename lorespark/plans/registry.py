@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ("vector_queries", "text_queries", "graph_queries", "record_queries")
+
+
+def _collect(which: str) -> dict:
+    found: dict = {}
+    for name in MODULES:
+        found |= getattr(importlib.import_module(f"{__package__}.{name}"), which)
+    return found
+
 
 def queries() -> dict:
-    return {}
+    return _collect("Q")
 
 
 def oracle_sql() -> dict:
-    return {}
+    return _collect("S")
