@@ -16,6 +16,7 @@ from .packing import pack_documents
 from .pii import pii_digest
 from .simhash import simhash_components
 from .token_counts import token_counts
+from .suffix_dedup import cut_repeats
 from .toxicity import learn_toxicity, score_toxicity
 from .tokenizing import tokenizer_path
 
@@ -71,6 +72,10 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(scaled_vectors(read_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -85,7 +90,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_id_store, op3_toxicity, op4_simhash_near_dedup, op5_best_fit_packing, op6_exact_topk, op7_language_id, op8_pii, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_id_store, op3_toxicity, op4_simhash_near_dedup, op5_best_fit_packing, op6_exact_topk, op7_language_id, op8_pii, op9_suffix_dedup, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
