@@ -24,14 +24,14 @@ from .tokenizing import encoder
 
 SLOT = np.dtype([("fp", "<u4"), ("order", "<u4"), ("offset", "<u4"), ("length", "<u4")])
 SHARD_SCHEMA = "part int, seq int, first_key long, last_key long, n_docs long, n_ids long, null_keys int, payload binary, keys binary, pilots binary, slots binary"
-KEYS_PER_BUCKET = 4
+KEYS_PER_BUCKET = 3
 _U = np.uint64
 
 
-def mix(x: np.ndarray, seed: int) -> np.ndarray:
-    """64-bit finalizer of a counter-based generator (splitmix)."""
+def mix(x: np.ndarray, seed: int | np.ndarray) -> np.ndarray:
+    """64-bit finalizer of a counter-based generator (splitmix); seeds broadcast against ``x``."""
     with np.errstate(over="ignore"):
-        z = x.astype(_U) + _U((0x9E3779B97F4A7C15 * (2 * seed + 1)) & (2**64 - 1))
+        z = x.astype(_U) + np.asarray(2 * seed + 1).astype(_U) * _U(0x9E3779B97F4A7C15)
         z = (z ^ (z >> _U(30))) * _U(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> _U(27))) * _U(0x94D049BB133111EB)
         return z ^ (z >> _U(31))
@@ -60,12 +60,17 @@ def build_hash(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if size <= 1:
             break
         own = order[ends[b] - size : ends[b]]
-        for pilot in range(1 << 22):
-            at = (mix(hashed[own], 2 + pilot) % _U(n)).astype(np.int64)
-            if not used[at].any() and len(set(at.tolist())) == size:
+        first, width = 0, 32
+        while True:
+            # a run of pilots at once
+            if first >= 1 << 22:
+                raise ValueError("no pilot: two keys of a shard share a hash")
+            tried = (mix(hashed[own][None, :], 2 + np.arange(first, first + width)[:, None]) % _U(n)).astype(np.int64)
+            hit = next((i for i in np.flatnonzero(~used[tried].any(axis=1)) if len(set(tried[i].tolist())) == size), None)
+            if hit is not None:
                 break
-        else:
-            raise ValueError("no pilot: two keys of a shard share a hash")
+            first, width = first + width, min(4096, 4 * width)
+        at, pilot = tried[hit], first + int(hit)
         used[at] = True
         pilots[b], slots[own] = pilot, at
     single = np.flatnonzero(sizes == 1)
@@ -78,9 +83,8 @@ def build_hash(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def find_slots(hashed: np.ndarray, pilots: np.ndarray, n: int) -> np.ndarray:
     pilot = pilots[(mix(hashed, 1) % _U(len(pilots))).astype(np.int64)].astype(np.int64)
     out = -1 - pilot
-    for p in np.unique(pilot[pilot >= 0]):
-        sel = pilot == p
-        out[sel] = (mix(hashed[sel], 2 + int(p)) % _U(n)).astype(np.int64)
+    sel = pilot >= 0
+    out[sel] = (mix(hashed[sel], 2 + pilot[sel]) % _U(n)).astype(np.int64)
     return out
 
 
