@@ -20,7 +20,7 @@ def unresolved(artifacts: DataFrame) -> DataFrame:
     """(profile, url, ref) of references that name neither a paper id nor a role."""
     refs = artifacts.select("profile", "url", F.explode("derived_from").alias("ref"))
     known = artifacts.select("profile", F.explode(F.array_compact(F.array("paper_id", "role"))).alias("ref")).distinct()
-    return refs.join(known, ["profile", "ref"], "left_anti")
+    return refs.join(known, ["profile", "ref"], "left_anti").select("profile", "url", "ref")
 
 
 def effective_tiers(artifacts: DataFrame, profile_tiers: DataFrame, max_depth: int = 32) -> DataFrame:
