@@ -241,6 +241,7 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id",
             out += [(int(k), row["part"], row["seq"], np.frombuffer(shard.ids(s), "<u4").astype("i8").tolist()) for k, s, good in zip(own, slots, ok, strict=True) if good]
         return pd.DataFrame(out, columns=["k", "part", "seq", "ids"])
 
-    found = routed.groupBy("part", "seq").cogroup(shards.groupBy("part", "seq")).applyInPandas(probe, "k long, part int, seq int, ids array<long>")
+    bodies = spark.read.schema(SHARD_SCHEMA).parquet(path)
+    found = routed.groupBy("part", "seq").cogroup(bodies.groupBy("part", "seq")).applyInPandas(probe, "k long, part int, seq int, ids array<long>")
     first = found.groupBy("k").agg(F.min_by("ids", F.struct("part", "seq")).alias("ids"))
     return keys.join(first, keys[f"`{key}`"].cast("long") == first["k"], "left").drop("k")
