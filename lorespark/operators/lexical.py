@@ -34,8 +34,8 @@ def bm25(docs: DataFrame, query: str, id_: str = "doc_id", text: str = "text") -
     """
     own = docs.select(F.col(id_).alias("id"), tokens(text).alias("t"))
     stats = own.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    wanted = tokens(F.lit(query))
-    hit = own.select("id", F.size("t").alias("len"), F.filter("t", lambda w: F.array_contains(F.array_distinct(wanted), w)).alias("t"))
+    wanted = sorted(set(docs.sparkSession.range(1).select(tokens(F.lit(query)).alias("t")).first()["t"]))
+    hit = own.select("id", F.size("t").alias("len"), F.filter("t", lambda w: w.isin(*wanted) if wanted else F.lit(False)).alias("t"))
     tf = hit.select("id", "len", F.explode("t").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -62,11 +62,10 @@ def ranked(df: DataFrame, *order, out: str = "rank", top: int | None = None) ->
 
 def phrases(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """``phrase, papers``: 2- and 3-word phrases between stopwords, numbers and punctuation, once a document."""
-    stops = F.array(*[F.lit(w) for w in PHRASE_STOPWORDS])
     # a break is a token of its own; phrases with one are dropped below
     marked = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^a-z0-9\s-]+", " | ")
     words = F.filter(F.transform(F.split(F.trim(marked), r"\s+"), lambda w: F.regexp_replace(w, r"^-+|-+$", "")), lambda w: w != "")
-    bad = lambda w: (w == "|") | F.array_contains(stops, w) | w.rlike(r"^[0-9]+$") | (F.length(w) < 2)
+    bad = lambda w: (w == "|") | w.isin(*PHRASE_STOPWORDS) | w.rlike(r"^[0-9]+$") | (F.length(w) < 2)
     words = F.transform(words, lambda w: F.when(bad(w), F.lit("|")).otherwise(w))
     own = docs.select(F.col(id_).alias("id"), words.alias("w"))
 
