@@ -39,7 +39,7 @@ def op2_token_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").where(crc_mod3(F.col("doc_id")) != 1).select("doc_id", "toxic")
-    model = learn_toxicity(docs.join(labels, "doc_id"), "text", "toxic", F.col("doc_id"))
+    model = learn_toxicity(docs, labels)
     found = score_toxicity(docs, model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
 

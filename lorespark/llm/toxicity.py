@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 WORDS = re.compile(r"[^\W\d_]+")
 #: Rows of either label that are learned from, units the model knows, training windows and their width on each side.
 TRAIN_ROWS, MODEL_UNITS, WINDOWS, SIDE = 4000, 2000, 6000, 8
@@ -200,27 +202,32 @@ def _fit_scale(total: np.ndarray, most: np.ndarray, y: np.ndarray) -> tuple[floa
     return tuple(float(v) for v in w)
 
 
-def learn_toxicity(labelled: DataFrame, text: str, label: str, sample_key: F.Column, train_rows: int = TRAIN_ROWS) -> Crf:
-    """A tagger from rows with ``label`` 0 or 1.
+def learn_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = TRAIN_ROWS) -> Crf:
+    """A tagger from texts of ``docs`` with a row of ``labels`` that is 0 or 1.
 
-    Learns from about ``train_rows`` rows of either label (all, if fewer), drawn by a hash. The driver
-    gets at most MODEL_UNITS words, WINDOWS windows of 2 * SIDE + 1 words and two numbers a sampled row.
+    Learns from about ``train_rows`` rows of either label (all, if fewer), drawn by a hash of the key:
+    that many keys are broadcast to the texts, so texts are not shuffled, and the sample is written
+    once. The driver gets at most MODEL_UNITS units, WINDOWS windows of 2 * SIDE + 1 words and two
+    numbers a sampled row.
     """
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(text).alias(_TEXT), F.col(label).cast("int").alias("toxic"), F.pmod(F.xxhash64(sample_key), F.lit(1 << 20)).alias("h"))
+    rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("__key__"), F.col(label).cast("int").alias("toxic")).distinct()
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     part = {y: int((1 << 20) * min(1.0, train_rows / n)) for y, n in sizes.items()}
-    sample = rows.where(F.col("h") < F.when(F.col("toxic") == 1, part.get(1, 0)).otherwise(part.get(0, 0)))
+    h = F.pmod(F.xxhash64("__key__"), F.lit(1 << 20))
+    drawn = rows.where(h < F.when(F.col("toxic") == 1, part.get(1, 0)).otherwise(part.get(0, 0)))
+    sample = materialize(docs.select(F.col(key).alias("__id__"), F.col(text).alias(_TEXT)).join(F.broadcast(drawn), F.col("__id__") == F.col("__key__")).select(_TEXT, "toxic"), "toxic-sample")
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         rate = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
         return Crf({}, np.zeros((2, 2)), np.zeros(2), -2.0, (float(np.log(rate / (1 - rate))), 0.0, 0.0))
-    n1, n0 = sizes[1] * part[1] / (1 << 20), sizes[0] * part[0] / (1 << 20)
+    n1, n0 = sizes[1], sizes[0]
     words = _presence(sample).groupBy("w").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("n"))
     ratio = (F.col("a") / n1) / ((F.col("n") - F.col("a") + 0.5) / n0)
     strong = words.where(F.col("a") >= LEAST_ROWS).withColumn("q", ratio).where(F.col("q") >= LEAST_RATIO).withColumn("by", F.col("a") * F.log("q"))
     label_units = [r["w"] for r in strong.orderBy(F.desc("by"), "w").select("w").limit(MODEL_UNITS // 4).collect()]
     common = [r["w"] for r in words.orderBy(F.desc("n"), "w").select("w").limit(MODEL_UNITS - len(label_units)).collect()]
     vocabulary = list(dict.fromkeys([*label_units, *common]))
-    found = _windows(sample, frozenset(label_units), 0.02)
+    found = materialize(_windows(sample, frozenset(label_units), 0.02), "toxic-windows")
     by_hash = F.xxhash64("words")
     drawn = [r for hit in (True, False) for r in found.where(F.col("hit") == hit).orderBy(by_hash).select("words", "tags").limit(WINDOWS // 2).collect()]
     model = train_crf([(r["words"], r["tags"]) for r in drawn], vocabulary)

@@ -103,7 +103,7 @@ def test_toxicity_learns_and_tags(spark, empty):
             own[rnd.randrange(30)] = "vlotz"
         rows.append((i, " ".join(own), int(toxic)))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.learn_toxicity(df.where("doc_id % 2 = 0"), "text", "toxic", F.col("doc_id"))
+    model = toxicity.learn_toxicity(df, df.where("doc_id % 2 = 0"))
     extra = spark.createDataFrame([(1000, None, 0), (1001, "", 0), (1002, "you GRUMPHIX vlotz", 1), (1002, "you GRUMPHIX vlotz", 1)], df.schema)
     got = toxicity.score_toxicity(df.where("doc_id % 2 = 1").union(extra).withColumn("spans", F.lit("clash")), model).collect()
     assert all(0 <= r["score"] <= 1 for r in got) and len(got) == 204
@@ -111,7 +111,7 @@ def test_toxicity_learns_and_tags(spark, empty):
     hit = next(r for r in got if r["doc_id"] == 1002)
     assert hit["spans"] and hit["spans"][0]["start"] == 4
     assert toxicity.score_toxicity(empty, model).collect() == []
-    nothing = toxicity.learn_toxicity(df.where("false"), "text", "toxic", F.col("doc_id"))
+    nothing = toxicity.learn_toxicity(df, df.where("false"))
     assert len(toxicity.score_toxicity(df, nothing).collect()) == 400
 
 
