@@ -23,7 +23,7 @@ WORDS = re.compile(r"[^\W\d_]+")
 #: Rows of either label that are learned from, units the model knows, training windows and their width on each side.
 TRAIN_ROWS, MODEL_UNITS, WINDOWS, SIDE = 4000, 2000, 6000, 8
 #: Lengths of the beginnings of words that are units.
-BEGINNINGS = (3, 4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
 #: A unit is a label unit if this many rows of label 1 have it, and its rate there is this many times the other.
 LEAST_ROWS, LEAST_RATIO = 5, 12.0
 _TEXT = "__text__"
@@ -141,7 +141,7 @@ class Crf:
         return 1 / (1 + np.exp(-(a + b * np.log1p(total) + c * most)))
 
 
-def train_crf(windows: list[tuple[list[str], list[int]]], vocabulary: list[str], steps: int = 300, rate: float = 0.2, decay: float = 1e-3) -> Crf:
+def train_crf(windows: list[tuple[list[str], list[int]]], vocabulary: list[str], steps: int = 300, rate: float = 0.2, decay: float = 3e-4) -> Crf:
     """Maximum conditional likelihood by adaptive gradient steps; gradients from forward-backward."""
     ids = {u: i + 1 for i, u in enumerate(vocabulary)}
     width, most = max((len(w) for w, _ in windows), default=1), 2 + len(BEGINNINGS)
