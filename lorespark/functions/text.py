@@ -43,8 +43,8 @@ def strip_citations(c) -> Column:
 def decode_inverted_index(index) -> Column:
     """Text of a map word -> positions: by position, the alphabetically first word of a shared one, gaps closed."""
     pairs = F.flatten(F.transform(F.map_entries(col(index)), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    ordered = F.array_sort(pairs)
-    first = F.filter(ordered, lambda s, i: (i == 0) | (F.get(ordered, i - 1)["p"] != s["p"]))
+    # bound as a lambda's variable, so that the sorted array is made once and not for every element
+    first = F.transform(F.array(F.array_sort(pairs)), lambda o: F.filter(o, lambda s, i: (i == 0) | (F.get(o, i - 1)["p"] != s["p"])))[0]
     return F.array_join(F.transform(first, lambda s: s["w"]), " ")
 
 

@@ -42,7 +42,7 @@ def k_hop_neighbors(spark, sf):
     return G.neighbors(G.coauthor_edges(people(spark, sf)).where("paper_count >= 2"), 1, 2)
 
 
-COI = f"""{PARTS}, {CO}, {STAYS}, {INST}, au AS (SELECT work AS paper, person FROM parts WHERE work % 20 = 0), ca AS (SELECT DISTINCT paper, 1 + paper * 7 % (SELECT max(s_suppkey) FROM supplier) AS candidate FROM au),
+COI = f"""{PARTS}, {CO}, {STAYS}, {INST}, au AS (SELECT work AS paper, person FROM parts), ca AS (SELECT DISTINCT paper, 1 + paper * 7 % (SELECT max(s_suppkey) FROM supplier) AS candidate FROM au),
 pr AS (SELECT DISTINCT paper, candidate, least(person, candidate) AS src, greatest(person, candidate) AS dst FROM au JOIN ca USING (paper) WHERE person <> candidate),
 re AS (SELECT paper, candidate, 'c' AS t, last_year IS NULL OR last_year >= {YEAR} - 4 AS ok FROM pr JOIN co USING (src, dst) UNION ALL SELECT paper, candidate, 'i', TRUE FROM pr JOIN ie USING (src, dst)),
 ve AS (SELECT ca.paper, ca.candidate, coalesce(bool_or(ok), FALSE) AS has_coi, CAST(coalesce(count_if(t = 'c'), 0) AS BIGINT) AS coauthors, CAST(coalesce(count_if(t = 'i'), 0) AS BIGINT) AS institutions FROM ca LEFT JOIN re ON ca.paper = re.paper AND ca.candidate = re.candidate GROUP BY 1, 2)"""
@@ -50,7 +50,7 @@ ve AS (SELECT ca.paper, ca.candidate, coalesce(bool_or(ok), FALSE) AS has_coi, C
 
 def _verdicts(spark, sf):
     parts = people(spark, sf)
-    authors = parts.where("work % 20 = 0").select(F.col("work").alias("paper"), "person")
+    authors = parts.select(F.col("work").alias("paper"), "person")
     last = table(spark, sf, "supplier").agg(F.max("s_suppkey").alias("n")).first()["n"]
     cands = authors.select("paper", (1 + F.col("paper") * 7 % last).alias("candidate")).distinct()
     return G.conflicts(authors, cands, G.coauthor_edges(parts), G.institution_edges(stays(spark, sf)), YEAR)
@@ -79,13 +79,13 @@ def name_index(spark, sf):
     return G.resolve_names(table(spark, sf, "customer").select(F.concat(F.lit("name"), k % 400).alias("key"), F.when(k % 5 == 0, k % 400).otherwise(k).alias("rid")))
 
 
-@query("""WITH ix AS (SELECT 'a' || c_nationkey AS key, CASE WHEN count(*) = 1 THEN min(c_custkey) END AS rid FROM (SELECT DISTINCT c_nationkey % 40 AS c_nationkey, c_custkey FROM customer WHERE c_custkey <= 40) GROUP BY 1),
+@query("""WITH ix AS (SELECT 'a' || c_custkey AS key, c_custkey AS rid FROM customer),
 tr AS (SELECT c_custkey AS person, c_custkey AS ordinal, 'a' || (c_custkey % 60) AS advisor, CASE WHEN c_custkey % 3 <> 0 THEN CAST(1990 + c_custkey % 30 AS INTEGER) END AS year_end FROM customer),
 e AS (SELECT coalesce(CAST(rid AS VARCHAR), 'ext:' || advisor) AS src, CAST(person AS VARCHAR) AS dst, year_end FROM tr LEFT JOIN ix ON ix.key = advisor) SELECT src, dst, min(year_end) AS last_year FROM e WHERE src <> dst GROUP BY 1, 2""")
 def advised_edges(spark, sf):
     k = F.col("c_custkey")
     c = table(spark, sf, "customer")
-    index = G.resolve_names(c.where("c_custkey <= 40").select(F.concat(F.lit("a"), F.col("c_nationkey") % 40).alias("key"), k.cast("string").alias("rid")))
+    index = G.resolve_names(c.select(F.concat(F.lit("a"), k).alias("key"), k.cast("string").alias("rid")))
     training = c.select(k.cast("string").alias("person"), k.alias("ordinal"), F.concat(F.lit("a"), k % 60).alias("advisor_key"), F.when(k % 3 != 0, (1990 + k % 30).cast("int")).alias("year_end"))
     return G.advised_edges(training, index)
 

@@ -52,13 +52,13 @@ def interest_bands(spark, sf):
     return interests(spark, sf).select("profile", N.band("weight").alias("band")).groupBy("profile", "band").agg(F.count(F.lit(1)).alias("n"))
 
 
-TSC = f"{INTERESTS}, {EFFECTIVE}, wk AS (SELECT DISTINCT l_orderkey AS work, upper(p_brand) AS code FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 50 = 0)"
+TSC = f"{INTERESTS}, {EFFECTIVE}, wk AS (SELECT DISTINCT l_orderkey AS work, upper(p_brand) AS code FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 
 @query(f"WITH {TSC} SELECT profile, work, CASE WHEN coalesce(bool_or(method = 'declared' AND weight <= -1), FALSE) THEN NULL ELSE round(sum(CASE WHEN method = 'declared' THEN coalesce(weight, 0.0) ELSE 0.5 * coalesce(share, 0.0) END), 6) + 0.0 END AS topic_score FROM wk JOIN ef ON wk.code = upper(ef.code) GROUP BY 1, 2")
 def topic_score(spark, sf):
     li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
-    works = li.where("l_orderkey % 50 = 0").join(p, li["l_partkey"] == p["p_partkey"]).select(F.col("l_orderkey").alias("work"), F.col("p_brand").alias("topic"))
+    works = li.join(p, li["l_partkey"] == p["p_partkey"]).select(F.col("l_orderkey").alias("work"), F.col("p_brand").alias("topic"))
     own = N.effective(interests(spark, sf)).where("code is not null").select("profile", "code", "weight", "method", "share")
     return N.topic_score(works, own).withColumn("topic_score", F.round("topic_score", 6) + 0.0)
 
@@ -176,13 +176,12 @@ def export_selection(spark, sf):
     return P.select_export(papers(spark, sf))
 
 
-@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def orphan_summaries(spark, sf):
-    kept = table(spark, sf, "documents").where("doc_id % 3 <> 0")
-    return table(spark, sf, "labels").select("doc_id").join(kept, "doc_id", "left_anti")
+    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left_anti")
 
 
-@query("SELECT doc_id AS url, 'missing' AS kind FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'stale' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 5 <> 0) AND doc_id NOT IN (SELECT doc_id FROM documents)")
+@query("SELECT doc_id AS url, 'missing' AS kind FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'stale' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
 def manifest_drift(spark, sf):
     return D.drift(table(spark, sf, "labels").withColumnRenamed("doc_id", "url"), table(spark, sf, "documents").withColumnRenamed("doc_id", "url"), "url")
 
@@ -226,9 +225,10 @@ def centroid_set_merge(spark, sf):
 
 @query()
 def paper_matching(spark, sf):
-    k, d = F.col("doc_id"), table(spark, sf, "documents")
-    p = d.where("length(text) > 100").select(k.alias("ordinal"), k.alias("paper"), F.substring("text", 1, 60).alias("title"), (k % 25).cast("int").alias("year"))
-    w = d.where("length(text) > 100").select(k.alias("work_ordinal"), (k + 10**6).alias("work"), F.when(k % 2 == 0, F.substring("text", 1, 60)).otherwise(F.substring("text", 2, 60)).alias("work_title"), (k % 25).cast("int").alias("work_year"))
+    k, d = F.col("p_partkey"), table(spark, sf, "part")
+    title = F.concat_ws(" ", "p_name", "p_type", "p_brand")
+    p = d.select(k.alias("ordinal"), k.alias("paper"), title.alias("title"), F.col("p_size").alias("year"))
+    w = d.select(k.alias("work_ordinal"), (-k).alias("work"), F.when(k % 2 == 0, F.upper(title)).otherwise(F.concat(title, F.lit("s"))).alias("work_title"), F.col("p_size").alias("work_year"))
     return D.match_papers(p, w)
 
 
@@ -273,7 +273,7 @@ def validation_rules(spark, sf):
     return P.violations(own)
 
 
-@query("""WITH p AS (SELECT c_custkey AS id, 'rid' || c_custkey AS rid, c_custkey % 500 AS fam, c_custkey % 7 AS g, c_mktsegment AS aff FROM customer WHERE c_custkey % 10 <> 0),
+@query("""WITH p AS (SELECT c_custkey AS id, 'rid' || c_custkey AS rid, c_custkey % 500 AS fam, c_custkey % 7 AS g, c_mktsegment AS aff FROM customer),
 a AS (SELECT s_suppkey AS q, s_suppkey % 500 AS fam, s_suppkey % 5 AS g, 'BUILDING' AS aff FROM supplier WHERE s_suppkey % 4 <> 0),
 j AS (SELECT a.q, p.rid, p.aff = a.aff AS agree FROM a JOIN p ON a.fam = p.fam AND a.g = p.g),
 c AS (SELECT q, count(*) AS n, count(*) FILTER (agree) AS n_agree, count(*) FILTER (NOT agree) AS n_conf, min(rid) AS one, min(rid) FILTER (agree) AS one_agree FROM j GROUP BY 1)
@@ -281,7 +281,7 @@ SELECT a.q, CASE WHEN n IS NULL THEN 'mint' WHEN (n = 1 AND n_conf = 0) OR (n >
 def resolve_people(spark, sf):
     letters = F.array(*[F.lit(x) for x in ("Ada", "Bob", "Cyd", "Dan", "Eve", "Fay", "Gus")])
     c, s = F.col("c_custkey"), F.col("s_suppkey")
-    known = table(spark, sf, "customer").where(c % 10 != 0).select(F.concat(F.lit("rid"), c).alias("rid"), F.concat(F.element_at(letters, (c % 7 + 1).cast("int")), F.lit(" Fam"), c % 500).alias("name"), F.col("c_mktsegment").alias("affiliation"), F.lit("public").alias("tier"))
+    known = table(spark, sf, "customer").select(F.concat(F.lit("rid"), c).alias("rid"), F.concat(F.element_at(letters, (c % 7 + 1).cast("int")), F.lit(" Fam"), c % 500).alias("name"), F.col("c_mktsegment").alias("affiliation"), F.lit("public").alias("tier"))
     asked = table(spark, sf, "supplier").select(s.alias("q"), F.lit(None).cast("string").alias("rid"), F.when(s % 4 == 0, "Unknown Author").otherwise(F.concat(F.lit("FAM"), s % 500, F.lit(", "), F.element_at(letters, (s % 5 + 1).cast("int")))).alias("name"), F.lit("building ").alias("affiliation"))
     out = ID.resolve(asked, known)
     return out.select("q", "outcome", F.when(F.col("outcome") == "bind", F.col("resolved")).alias("bound"), F.when(F.col("outcome") == "refuse", 0).otherwise(F.col("candidates")).alias("candidates"))

@@ -90,13 +90,13 @@ def papers(spark: SparkSession, sf: str) -> DataFrame:
     """``(profile, paper, title, year, position, corresponding, cites, has_text, contaminated)``: documents by source."""
     k = F.col("doc_id")
     return table(spark, sf, "documents").select(
-        F.col("source").alias("profile"), k.alias("paper"), F.substring("text", 1, 60).alias("title"), F.when(k % 11 != 0, (2000 + k % 25).cast("int")).alias("year"),
+        F.col("source").alias("profile"), k.alias("paper"), F.col("text").alias("title"), F.when(k % 11 != 0, (2000 + k % 25).cast("int")).alias("year"),
         F.when(k % 4 == 0, "first").when(k % 4 == 1, "last").when(k % 4 == 2, "middle").alias("position"), (k % 6 == 0).alias("corresponding"), (k % 50).cast("int").alias("cites"),
         (k % 3 == 0).alias("has_text"), (k % 13 == 0).alias("contaminated"),
     )
 
 
-PAPERS = "pp AS (SELECT source AS profile, doc_id AS paper, substr(text, 1, 60) AS title, CASE WHEN doc_id % 11 <> 0 THEN CAST(2000 + doc_id % 25 AS INTEGER) END AS year, CASE doc_id % 4 WHEN 0 THEN 'first' WHEN 1 THEN 'last' WHEN 2 THEN 'middle' END AS position, doc_id % 6 = 0 AS corresponding, CAST(doc_id % 50 AS INTEGER) AS cites, doc_id % 3 = 0 AS has_text, doc_id % 13 = 0 AS contaminated FROM documents)"
+PAPERS = "pp AS (SELECT source AS profile, doc_id AS paper, text AS title, CASE WHEN doc_id % 11 <> 0 THEN CAST(2000 + doc_id % 25 AS INTEGER) END AS year, CASE doc_id % 4 WHEN 0 THEN 'first' WHEN 1 THEN 'last' WHEN 2 THEN 'middle' END AS position, doc_id % 6 = 0 AS corresponding, CAST(doc_id % 50 AS INTEGER) AS cites, doc_id % 3 = 0 AS has_text, doc_id % 13 = 0 AS contaminated FROM documents)"
 
 
 def artifacts(spark: SparkSession, sf: str) -> DataFrame:

@@ -109,9 +109,9 @@ def orcid_checksum(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", I.orcid_valid(orcid).alias("ok"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '[^a-z0-9 ]', '', 'g'), '\\s+', ' ', 'g')) AS title FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g'), '\\s+', ' ', 'g')) AS title FROM documents")
 def normalize_title(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", I.normalize_title(F.substring("text", 1, 80)).alias("title"))
+    return table(spark, sf, "documents").select("doc_id", I.normalize_title("text").alias("title"))
 
 
 @query("""WITH h AS (SELECT doc_id, text, substr(text, 1, 100) AS head FROM documents), s AS (SELECT *, length(head) - strpos(reverse(head), ' ') AS sp FROM h)
@@ -139,10 +139,10 @@ def minted_rids(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", I.minted_rid(F.concat(F.lit("k"), F.col("c_custkey")), F.concat(F.lit("Customer #"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))).alias("rid"))
 
 
-@query("""WITH w AS (SELECT doc_id, string_split(regexp_replace(substr(text, 1, 200), '\\s+', ' ', 'g'), ' ') AS w FROM documents)
+@query("""WITH w AS (SELECT doc_id, string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS w FROM documents)
 SELECT doc_id, array_to_string(w, ' ') AS abstract FROM w""")
 def decode_inverted_index(spark, sf):
-    words = F.split(F.regexp_replace(F.substring("text", 1, 200), r"\s+", " "), " ")
+    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
     own = table(spark, sf, "documents").select("doc_id", F.posexplode(words).alias("p", "w")).groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps"))
     index = own.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
     return index.select("doc_id", T.decode_inverted_index("m").alias("abstract"))
@@ -155,11 +155,11 @@ def parse_works(spark, sf):
     return P.parse_works(table(spark, sf, "events").select(raw.alias("json"))).select(F.col("openalex_id").cast("long").alias("event_id"), "openalex_id", "title", "year")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN ['nul'] WHEN doc_id % 4 = 1 THEN ['pdf_header'] ELSE CAST([] AS VARCHAR[]) END AS problems FROM documents WHERE length(text) > 500")
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 AND length(text) < 49 THEN ['nul', 'control_characters'] WHEN doc_id % 4 = 0 THEN ['nul'] WHEN doc_id % 4 = 1 THEN ['pdf_header'] ELSE CAST([] AS VARCHAR[]) END AS problems FROM documents")
 def text_problems(spark, sf):
-    own = table(spark, sf, "documents").where(F.length("text") > 500)
+    own = table(spark, sf, "documents")
     bad = F.when(F.col("doc_id") % 4 == 0, F.concat(F.col("text"), F.lit("\x00"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("%PDF-1.4 "), F.col("text"))).otherwise(F.col("text"))
-    return own.select("doc_id", T.artifact_problems(bad, 20).alias("problems"))
+    return own.select("doc_id", T.artifact_problems(bad).alias("problems"))
 
 
 @query("SELECT item_id, 'body ' || item_id AS clean, CASE WHEN item_id % 2 = 0 THEN ['10.1234/ab' || item_id, 'W' || item_id] ELSE ['W' || item_id] END AS refs FROM benchmark")

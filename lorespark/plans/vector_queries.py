@@ -123,12 +123,12 @@ def rank_works_diverse(spark, sf):
     return R.rank_works(works, query_vector(spark, sf), 10, diversify=True).select("work", "score", "pick")
 
 
-@query(f"WITH {CH}, {CENT}, lv AS (SELECT vec_id AS topic, CAST(embedding AS DOUBLE[]) AS t FROM embeddings WHERE vec_id % 100 = 3) SELECT profile, topic, round(list_cosine_similarity(vec, t), 6) AS cos FROM cent, lv WHERE list_cosine_similarity(vec, t) >= 0.2")
+@query(f"WITH {CH}, {CENT} SELECT profile, chunk_id AS topic, round(list_cosine_similarity(vec, v), 6) AS cos FROM cent JOIN ch USING (profile) WHERE source_type = 'seed_abstract' AND list_cosine_similarity(vec, v) >= 0.2")
 def overlapping_topics(spark, sf):
-    labels = table(spark, sf, "embeddings").where("vec_id % 100 = 3").select(F.col("vec_id").alias("topic"), V.doubles("embedding").alias("t"))
-    # one centroid a profile against the labels that the profiles carry
-    own = R.centroids(chunks(spark, sf)).join(labels).withColumn("c", V.cosine("vec", "t"))
-    return own.where("c >= 0.2").select("profile", "topic", F.round("c", 6).alias("cos"))
+    """A profile's own labels (its seed chunks here) near its centroid."""
+    own = chunks(spark, sf)
+    near = own.where("source_type = 'seed_abstract'").join(R.centroids(own), "profile").withColumn("c", V.cosine("vec", "v"))
+    return near.where("c >= 0.2").select("profile", F.col("chunk_id").alias("topic"), F.round("c", 6).alias("cos"))
 
 
 @query(f"WITH {CH}, {Q0} SELECT chunk_id, CASE WHEN list_cosine_similarity(v, q.q) > 0.99 THEN 'verified' WHEN list_cosine_similarity(v, q.q) > 0.9 THEN 'degraded' ELSE 'incompatible' END AS verdict FROM ch, q")
