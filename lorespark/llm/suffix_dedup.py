@@ -29,7 +29,7 @@ from .common import materialize, shuffle_partitions
 SPAN, K = 50, 24
 #: Context bytes of a crowded minimizer, windows that crowd it, text of a bucket, of a flush and of a segment.
 CONTEXT, CROWD, BUCKET_BYTES, FLUSH_BYTES, SEGMENT = 13, 256, 4 << 20, 16 << 20, 1 << 21
-MERGE_BYTES, SHARDS = 1 << 20, 4
+MERGE_BYTES, SHARDS = 1 << 20, 2
 BROADCAST_ROWS = 1_000_000
 NO_ID = (1 << 63) - 1
 _U = np.uint64
@@ -230,25 +230,43 @@ def settle_windows(blobs: DataFrame, span: int = SPAN) -> DataFrame:
 def shard_transform(strings: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of all suffixes of the strings by their first ``span`` bytes, and the byte before each (0: an end mark).
 
-    Bytes are raised by one, so that 0 marks ends; end marks come first, in the strings' order.
+    Bytes are raised by one, so that 0 marks ends; end marks come first, in the strings' order. Ranks of
+    eight bytes are doubled up to ``span``; nothing behind an end mark counts.
     """
-    text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.uint16)
+    raised = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8) + np.uint8(1)  # UTF-8 has no byte 255, so nothing wraps
     sizes = np.array([len(s) for s in strings])
     marks = np.cumsum(sizes + 1) - 1
-    text = text + 1
-    text[marks] = 0
-    raised = text.astype(np.uint8)  # UTF-8 has no byte 255, so nothing wraps
-    # what follows an end mark must not matter: suffixes are cut at their mark
-    left = np.repeat(marks, sizes + 1) - np.arange(len(raised))
-    padded = np.concatenate([raised, np.zeros(span, np.uint8)])
-    grams = np.lib.stride_tricks.sliding_window_view(padded, span)[: len(raised)].copy()
-    grams[np.arange(span)[None, :] >= left[:, None]] = 0
-    order = np.argsort(grams.view(f"S{span}").ravel(), kind="stable")
+    raised[marks] = 0
+    n = len(raised)
+    left = np.repeat(marks, sizes + 1) - np.arange(n)
+    width = min(8, span)
+    padded = np.concatenate([raised, np.zeros(width, np.uint8)]).astype(_U)
+    key = np.zeros(n, _U)
+    for j in range(width):
+        key = (key << _U(8)) | np.where(left >= j, padded[j : j + n], _U(0))
+    rank = _ranks(key)
+    while width < span:
+        step = min(width, span - width)
+        behind = np.zeros(n, np.int64)
+        far = np.flatnonzero(left >= step)
+        behind[far] = rank[far + step] + 1
+        # the first ``step`` bytes agree whenever the first ``width`` do, so the two ranks overlap or meet
+        rank = _ranks((rank.astype(_U) * _U(n + 1)) + behind.astype(_U))
+        width += step
+    order = np.argsort(rank * n + np.arange(n))
     before = np.concatenate([raised[-1:], raised[:-1]])
     before[0] = 0
     return order, before[order]
 
 
+def _ranks(key: np.ndarray) -> np.ndarray:
+    order = np.argsort(key)
+    sorted_ = key[order]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(np.r_[False, sorted_[1:] != sorted_[:-1]]) if len(key) else 0
+    return rank
+
+
 def merge_transforms(shards: list[tuple[np.ndarray, np.ndarray]], strings: list[int], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave of the shards' sorted suffixes, and groups of those with ``rounds`` bytes in common.
 
@@ -257,18 +275,15 @@ def merge_transforms(shards: list[tuple[np.ndarray, np.ndarray]], strings: list[
     r bytes; no suffix is compared. ``strings``: end marks of each shard, which lead in shard order and
     are each a group of their own.
     """
-    z = np.repeat(np.arange(len(shards)), [len(o) for o, _ in shards])
-    marks = np.repeat(np.arange(len(shards)), strings)
+    z = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(o) for o, _ in shards])
+    marks = np.repeat(np.arange(len(shards), dtype=np.uint8), strings)
     m = len(marks)
     group = np.zeros(len(z), np.int64)
-    bwt = np.concatenate([b for _, b in shards])
-    count = np.arange(len(z))
+    c = np.empty(len(z), np.uint8)
     for _ in range(rounds):
-        # place of each entry in its shard: its rank among the entries of that shard
-        by_shard = np.argsort(z.astype(np.uint8), kind="stable")
-        inner = np.empty(len(z), np.int64)
-        inner[by_shard] = count  # shards lie one after the other
-        c = bwt[inner]
+        # the places of a shard take its bytes in its own order
+        for k, (_, b) in enumerate(shards):
+            c[z == k] = b
         body = np.flatnonzero(c)
         order = body[np.argsort(c[body], kind="stable")]
         z_new = np.concatenate([marks, z[order]])
@@ -309,8 +324,41 @@ def repeated_grams(strings: list[bytes], docs: np.ndarray, span: int = SPAN, sha
     return s[goes], at[goes]
 
 
+def shared_context(strings: list[bytes], places: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """Part of each window whose grams can be shared: (from, to), empty if none can.
+
+    A gram holds its minimizer with CONTEXT bytes before it, or else with CONTEXT bytes behind it. Only
+    grams whose context another window has too can be shared; contexts are compared by hash.
+    """
+    sizes = np.array([len(x) for x in strings])
+    starts = np.cumsum(sizes) - sizes
+    b = np.frombuffer(b"".join(strings) + b"\0" * 64, np.uint8).astype(_U)
+    wide = K + CONTEXT
+
+    def keys(at: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = np.zeros(len(at), _U)
+            for j in range(wide):
+                h = (h ^ b[at + j]) * _U(0x9E3779B97F4A7C15)
+                h ^= h >> _U(32)
+        return h
+
+    def shared(ok: np.ndarray, offset: int) -> np.ndarray:
+        out = np.zeros(len(ok), bool)
+        ix = np.flatnonzero(ok)
+        _, inverse, n = np.unique(keys((starts + places + offset)[ix]), return_inverse=True, return_counts=True)
+        out[ix] = n[inverse] > 1
+        return out
+
+    left = shared((places >= CONTEXT) & (places + K <= sizes), -CONTEXT)
+    right = shared(places + wide <= sizes, 0)
+    frm = np.where(left, 0, np.minimum(np.maximum(places - CONTEXT + 1, 0), sizes))
+    to = np.where(right, sizes, np.minimum(places - CONTEXT + span, sizes))
+    return frm, np.where((left | right) & (to - frm >= span), to, frm)
+
+
 def merge_windows(windows: DataFrame, span: int = SPAN) -> DataFrame:
-    """``windows(key, doc, th, s, b)`` of one key each share bytes: grams that go, as ``doc, th, s, e``."""
+    """``windows(key, doc, th, s, p, b)``: grams that go among the windows of each key, as ``doc, th, s, e``."""
     windows = windows.repartition(shuffle_partitions(windows.sparkSession), "key").sortWithinPartitions("key", "doc", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,6 +367,9 @@ def merge_windows(windows: DataFrame, span: int = SPAN) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal rows, size
+            if rows:
+                frm, to = shared_context([r[5] for r in rows], np.array([r[4] for r in rows]), span)
+                rows = [(*r[:3], r[3] + f, r[5][f:t]) for r, f, t in zip(rows, frm.tolist(), to.tolist(), strict=True) if t > f]
             if rows:
                 docs = np.array([r[1] for r in rows])
                 s, at = repeated_grams([r[4] for r in rows], docs, span)
@@ -336,7 +387,7 @@ def merge_windows(windows: DataFrame, span: int = SPAN) -> DataFrame:
             nonlocal size
             if len(crowd) > 1 and crowd[0][1] != crowd[-1][1]:
                 rows.extend(crowd)
-                size += sum(len(r[4]) for r in crowd)
+                size += sum(len(r[5]) for r in crowd)
                 if size >= MERGE_BYTES:
                     yield from flush()
 
@@ -349,26 +400,32 @@ def merge_windows(windows: DataFrame, span: int = SPAN) -> DataFrame:
         yield from close()
         yield from flush()
 
-    return windows.select("key", "doc", "th", "s", "b").mapInArrow(run, "doc long, th long, s int, e int")
+    return windows.select("key", "doc", "th", "s", "p", "b").mapInArrow(run, "doc long, th long, s int, e int")
 
 
 def window_bytes(texts: DataFrame, asked: DataFrame, span: int = SPAN) -> DataFrame:
     """Bytes of the asked windows. A crowded minimizer's window becomes two: grams with the left context, and the others."""
     part = lambda s, e: F.expr(f"substring(b, {s} + 1, greatest(({e}) - ({s}), 0))")
     left_end, right_start = f"least(e, p - {CONTEXT} + {span})", f"greatest(s, p - {CONTEXT} + 1)"
-    plain = F.struct(F.col("h").alias("key"), F.col("s"), part("s", "e").alias("b"))
-    left = F.struct(F.xxhash64(F.lit("L"), "h", part(f"(p - {CONTEXT})", f"p + {K}")).alias("key"), F.col("s"), part("s", left_end).alias("b"))
-    right = F.struct(F.xxhash64(F.lit("R"), "h", part("p", f"p + {K + CONTEXT}")).alias("key"), F.expr(right_start).alias("s"), part(right_start, "e").alias("b"))
+    plain = F.struct(F.col("h").alias("key"), F.col("s"), F.expr("p - s").alias("p"), part("s", "e").alias("b"))
+    left = F.struct(F.xxhash64(F.lit("L"), "h", part(f"(p - {CONTEXT})", f"p + {K}")).alias("key"), F.col("s"), F.expr("p - s").alias("p"), part("s", left_end).alias("b"))
+    right = F.struct(F.xxhash64(F.lit("R"), "h", part("p", f"p + {K + CONTEXT}")).alias("key"), F.expr(right_start).alias("s"), F.expr(f"p - {right_start}").alias("p"), part(right_start, "e").alias("b"))
     each = F.when(F.col("crowded"), F.array(F.when(F.expr(f"p - {CONTEXT} >= s"), left), F.when(F.expr(f"e - {span} >= {right_start}"), right))).otherwise(F.array(plain))
     joined = texts.join(asked.hint("shuffle_hash"), ["doc", "th"])
-    return joined.select("doc", "th", F.explode(F.array_compact(each)).alias("x")).select("x.key", "doc", "th", "x.s", "x.b")
+    return joined.select("doc", "th", F.explode(F.array_compact(each)).alias("x")).select("x.key", "doc", "th", "x.s", "x.p", "x.b")
+
+
+def row_hash(df: DataFrame, key: str, body: F.Column) -> F.Column:
+    """What tells rows of one id apart: their text's hash; 0 for all where no id repeats (and is null at most once)."""
+    again = df.groupBy(F.col(f"`{key}`").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return F.lit(0).cast("long") if again.isEmpty() else F.xxhash64(body)
 
 
 def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
     """Runs ``doc, th, s, e`` that cover every removed byte of every text (they may overlap)."""
     doc = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID))
     body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    texts = df.select(doc.alias("doc"), F.xxhash64(body).alias("th"), body.alias("b"))
+    texts = df.select(doc.alias("doc"), row_hash(df, key, body).alias("th"), body.alias("b"))
     base = materialize(texts.select("doc", "th", F.sha2("b", 256).alias("sha"), F.octet_length("b").alias("n")).where(F.col("n") >= span), "texts")
     total = base.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     firsts = base.groupBy("sha").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
@@ -396,7 +453,7 @@ def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", span: in
     # a row's runs follow its length: united by maximum of end over start before they travel
     merged = runs.groupBy("doc", "th", "s").agg(F.max("e").alias("e")).groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("runs"))
     body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    src = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(body).alias("th"), body.alias("b"))
+    src = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("doc"), row_hash(df, key, body).alias("th"), body.alias("b"))
     joined = src.join(merged.hint("shuffle_hash"), ["doc", "th"], "left").select("doc_id", "b", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
