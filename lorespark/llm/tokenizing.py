@@ -16,7 +16,7 @@ _ODD = re.compile(r"\s\s|[^\S \n]|\s\Z|\x02")
 LITERAL = "\x02"
 #: A word's letters (Latin-1: stable under NFC, one lower-case letter each), and what may follow them.
 _HEAD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,40})([!-/:-@\[-`{-~].*)?", re.DOTALL)
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 400_000
 MEMO_CHARS = 48
 
 
@@ -72,7 +72,7 @@ class SegmentEncoder:
             from tokenizers.pre_tokenizers import ByteLevel
 
             level = ByteLevel(add_prefix_space=False, use_regex=False)
-            self.heads = Memo(self._letters, memo_entries)
+            self.heads = Memo(self._letters, memo_entries * 3 // 4)
             self.rests = Memo(lambda rest: self._library([rest])[0], memo_entries // 10)
             self.words = Memo(self._word, memo_entries)
             self.table = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if chr(c).isalpha()}
