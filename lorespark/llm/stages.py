@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from . import decontamination
 from .common import materialize, read_table
 from .language import UNKNOWN, learn_profiles, predict_languages
+from .near_copies import keyed_rows, node_components
 from .packing import pack_documents
 from .pii import redact
 from .queries import SEQUENCE_TOKENS, crc_mod3
-from .simhash import simhash_components
 from .tokenizing import tokenizer_path
 
 #: Largest number of ids of dropped documents that is broadcast; more are joined by shuffle.
@@ -32,17 +32,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return predict_languages(docs, profiles).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 
-def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, shingle: int = 5, radius: int = 3) -> DataFrame:
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, shingle: int = 5, similar: float = 0.8) -> DataFrame:
     """One document of each group of near copies stays, that of the smallest id.
 
-    Near: fingerprints of five-word shingles within three bits, directly or through others. Rows
-    with a null id stay. Of rows that repeat an id one stays, the first by its text's hash.
+    Near: sets of five-word shingles of Jaccard similarity ``similar`` or more, directly or through
+    others. Rows with a null id stay. Of rows that repeat an id one stays, the first by its text's hash.
     """
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if not repeated.isEmpty():
         docs = materialize(_first_of_each_id(docs), "unique")
-    found = simhash_components(docs, shingle=shingle, radius=radius)
-    return without_ids(docs, found.where("doc_id is not null and component_id <> doc_id"))
+    keyed = keyed_rows(docs, "text", shingle)
+    parts = node_components(keyed, "text", shingle, similar)
+    known = keyed.where("doc_id is not null").select("doc_id", F.col("__node__").alias("node")).join(parts, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    found = known.join(known.groupBy("component").agg(F.min("doc_id").alias("least")), "component")
+    return without_ids(docs, found.where("doc_id <> least"))
 
 
 def _first_of_each_id(docs: DataFrame) -> DataFrame:

@@ -51,3 +51,44 @@ def test_empty_tables(spark, tables, tmp_path):
     spark.read.parquet(f"{tables}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{tables}/benchmark.parquet").where("false").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def _shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+
+
+def _groups(rows):
+    """Brute force: component of each row by exact Jaccard similarity of 0.8 or more; and its pairs below 1."""
+    sets, label, near = [_shingles(t) for _, t in rows], list(range(len(rows))), 0
+    for i in range(len(rows)):
+        for j in range(i):
+            alike = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            if alike >= 0.8:
+                near += alike < 1
+                label = [label[j] if x == label[i] else x for x in label]
+    return label, near
+
+
+def test_near_copies_by_exact_jaccard(spark, tables):
+    rnd = random.Random(12)
+    words = lambda n: [f"w{rnd.randint(0, 3000)}" for _ in range(n)]
+    rows = []
+    for _ in range(40):
+        own = words(rnd.choice([30, 120, 400]))
+        rows.append(" ".join(own))
+        for _ in range(3):
+            changed = list(own)
+            for k in rnd.sample(range(len(own)), max(1, len(own) // rnd.choice([25, 40, 60, 90]))):
+                changed[k] = "zzz"
+            rows.append(" ".join(changed))
+    rnd.shuffle(rows)
+    rows = list(enumerate(rows))
+    label, near = _groups(rows)
+    assert near > 40
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = sorted(r["doc_id"] for r in stages.near_dedup_stage(spark, df, tables).select("doc_id").collect())
+    least = {}
+    for (i, _), c in zip(rows, label, strict=True):
+        least[c] = min(least.get(c, i), i)
+    assert got == sorted(least.values())
