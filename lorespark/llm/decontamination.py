@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed masks: tokens marked 1 are hashed, those marked 0 ignored.
+#: Fixed masks (tokens marked 1 are hashed, those marked 0 ignored), and the fewest and most tokens of the items
+#: that each is for. Every placing with 70 % of an item or 11 of 13 neighbours in place holds one: true of all
+#: patterns of each length up to 19 (the tests enumerate them), and longer ones can be cut into lengths from 10 to 19.
+SEEDS = (("111", 3, None), ("1101", 4, None), ("1011", 4, 9), ("11", 2, 2), ("1", 1, 1))
+#: Masks of the oracle's SQL, which finds no more than these hit.
 MASKS = ("1110110111", "1101011000110111")
 #: Largest number of distinct item hashes that is broadcast; more are joined by shuffle.
 BROADCAST_SEEDS = 1_000_000
@@ -22,9 +26,11 @@ def token_hashes(text: F.Column) -> F.Column:
     return F.transform(F.filter(F.coalesce(words, F.array().cast("array<string>")), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def seed_hashes(tokens: F.Column, masks: tuple[str, ...] = MASKS) -> F.Column:
-    """Struct (at, seed) of every place and mask that fits."""
-    return F.concat(*[_each_seed(tokens, mask, m) for m, mask in enumerate(masks)])
+def seed_hashes(tokens: F.Column, seeds: tuple[tuple[str, int, int | None], ...] = SEEDS) -> F.Column:
+    """Struct (at, seed) of every place and mask that fits, of the masks for items of this length."""
+    none = F.array().cast("array<struct<at:int,seed:bigint>>")
+    for_length = lambda least, most: (F.size(tokens) >= least) & (F.lit(True) if most is None else F.size(tokens) <= most)
+    return F.concat(*[F.when(for_length(least, most), _each_seed(tokens, mask, m)).otherwise(none) for m, (mask, least, most) in enumerate(seeds)])
 
 
 def _each_seed(tokens: F.Column, mask: str, m: int) -> F.Column:
@@ -41,29 +47,33 @@ def _checked_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def overlaps(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", window: int = 13, least_window: float = 0.8, least_item: float = 0.7, masks: tuple[str, ...] = MASKS) -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", window: int = 13, least_window: float = 0.8, least_item: float = 0.7, seeds: tuple[tuple[str, int, int | None], ...] = SEEDS) -> DataFrame:
     """Pairs of a training text and a test item that overlap, whatever else either holds.
 
     Returns ``doc_id, item_id, n_item`` (the item's tokens), ``n_match`` (most tokens in place at one
     placing), ``best_window`` (most tokens in place in ``window`` neighbours, or in the whole item if
     it is shorter) and ``n_places`` (placings that qualify). A placing qualifies with at least
     ``least_window`` of a window or ``least_item`` of the item in place. Every text is searched whole.
-    Null or empty texts and items with fewer tokens than the shortest mask overlap nothing. Repeated
-    rows and ids count once; other columns are not read; empty tables give an empty result.
+    Null or empty texts and items overlap nothing. Repeated rows and ids count once; other columns are
+    not read; empty tables give an empty result. The masks miss no placing that qualifies at these
+    thresholds or higher ones; those for short items cost nothing where there are none.
 
     The item side is broadcast only up to BROADCAST_SEEDS seeds, counted first; beyond that both
     sides are shuffled by seed. Hits are reduced by (text, item, placing) before any shuffle.
     """
     tests = items.select(F.col(f"`{item_key}`").alias("item_id"), token_hashes(F.col(f"`{text}`")).alias("item"))
-    item_seeds = tests.select("item_id", "item", F.explode(seed_hashes(F.col("item"), masks)).alias("s")).select("item_id", "item", F.col("s.at").alias("item_at"), F.col("s.seed").alias("seed")).distinct()
+    item_seeds = tests.select("item_id", "item", F.explode(seed_hashes(F.col("item"), seeds)).alias("s")).select("item_id", "item", F.col("s.at").alias("item_at"), F.col("s.seed").alias("seed")).distinct()
+    sizes = tests.select(F.size("item").alias("n")).distinct()
+    used = sizes.agg(*[F.max((F.col("n") >= least) & (F.lit(True) if most is None else F.col("n") <= most)) for _, least, most in seeds]).first()
+    masks = [(m, mask) for m, (mask, _, _) in enumerate(seeds) if used[m]] or [(0, seeds[0][0])]
     item_seeds = _checked_broadcast(item_seeds, item_seeds.count(), BROADCAST_SEEDS)
     tokens = docs.select(F.col(f"`{doc_key}`").alias("doc_id"), token_hashes(F.col(f"`{text}`")).alias("tokens"))
     # one array of plain longs a text: the masks' seeds one after the other
     firsts = [F.lit(0)]
-    for mask in masks[:-1]:
+    for _, mask in masks[:-1]:
         firsts.append(firsts[-1] + F.greatest(F.size("tokens") - len(mask) + 1, F.lit(0)))
-    seeds = F.concat(*[_plain_seeds(F.col("tokens"), mask, m) for m, mask in enumerate(masks)])
-    placed = tokens.select("doc_id", "tokens", F.posexplode(seeds).alias("pos", "seed"))
+    own_seeds = F.concat(*[_plain_seeds(F.col("tokens"), mask, m) for m, mask in masks])
+    placed = tokens.select("doc_id", "tokens", F.posexplode(own_seeds).alias("pos", "seed"))
     at = F.col("pos") - F.coalesce(*[F.when(F.col("pos") >= f, f) for f in reversed(firsts)])
     hits = placed.join(item_seeds, "seed").withColumn("diag", at - F.col("item_at"))
     skip = F.greatest(-F.col("diag"), F.lit(0))

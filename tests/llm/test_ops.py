@@ -1,6 +1,7 @@
 """Every dealt operator against brute force, with nulls, empty and long texts, ties, repeats, empty tables, extra columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -388,3 +389,39 @@ def test_decontamination(spark, empty):
     assert got == {(1, 0): (30, 30), (2, 1): (26, 30), (3, 2): (16, 30), (6, 4): (30, 30), (None, 3): (30, 30)}
     assert decontamination.overlaps(empty, bench).collect() == []
     assert decontamination.overlaps(df, bench.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("n", range(1, 20))
+def test_seeds_hit_every_placing(n):
+    """All ways to have 70 % of n tokens in place; a window's 11 of 13 are among those of 13."""
+    masks = [m for m, least, most in decontamination.SEEDS if least <= n and (most is None or n <= most)]
+    for on in itertools.combinations(range(n), -(-7 * n // 10)):
+        assert any(all(at + i in on for i, c in enumerate(m) if c == "1") for m in masks for at in range(n - len(m) + 1)), on
+
+
+def test_decontamination_misses_no_placing(spark):
+    rnd = random.Random(13)
+    vocab = [f"w{i}" for i in range(3000)]
+    items = [(n, [rnd.choice(vocab) for _ in range(n)]) for n in (1, 2, 3, 4, 5, 7, 9, 10, 12, 13, 15, 20, 25, 40, 60)]
+    rows = []
+    for n, item in items:
+        for every, at in [(4, 0), (4, 2), (6, 1), (6, 5), (10**9, 1)]:
+            own = ["zzz" if i % every == at % every and every < n else w for i, w in enumerate(item)]
+            rows.append([rnd.choice(vocab) for _ in range(5)] + own + [rnd.choice(vocab) for _ in range(5)])
+        for share in (0.2, 0.25, 0.3):
+            rows.append(["zzz" if rnd.random() < share else w for w in item])
+        rows.append(item[n // 3 :])
+
+    def laid(doc, item):
+        best, width = None, min(13, len(item))
+        for diag in range(-len(item), len(doc)):
+            same = [0 <= i + diag < len(doc) and doc[i + diag] == w for i, w in enumerate(item)]
+            window = max(sum(same[k : k + width]) for k in range(len(item) - width + 1))
+            if sum(same) >= -(-7 * len(item) // 10) or window >= -(-4 * width // 5):
+                best = max(best or (0, 0), (sum(same), window))
+        return best and best[0]
+
+    want = {(i, n): m for i, doc in enumerate(rows) for n, item in items if (m := laid(doc, item))}
+    df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(t)) for n, t in items], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]): r["n_match"] for r in decontamination.overlaps(df, bench).collect()} == want
