@@ -54,42 +54,47 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_ke
     placing), ``best_window`` (most tokens in place in ``window`` neighbours, or in the whole item if
     it is shorter) and ``n_places`` (placings that qualify). A placing qualifies with at least
     ``least_window`` of a window or ``least_item`` of the item in place. Every text is searched whole.
-    Null or empty texts and items overlap nothing. Repeated rows and ids count once; other columns are
+    Null or empty texts and items overlap nothing. Repeated rows count once; texts that share an id, null ids too, are each judged on their own; other columns are
     not read; empty tables give an empty result. The masks miss no placing that qualifies at these
     thresholds or higher ones; those for short items cost nothing where there are none.
 
     The item side is broadcast only up to BROADCAST_SEEDS seeds, counted first; beyond that both
     sides are shuffled by seed. Hits are reduced by (text, item, placing) before any shuffle.
     """
+    found = placings(docs, items, doc_key, item_key, text, window, least_window, least_item, seeds)
+    return found.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_match").alias("n_match"), F.max("best_window").alias("best_window"), F.count(F.lit(1)).alias("n_places"))
+
+
+def placings(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", window: int = 13, least_window: float = 0.8, least_item: float = 0.7, seeds: tuple[tuple[str, int, int | None], ...] = SEEDS) -> DataFrame:
+    """The placings of ``overlaps`` that qualify, once a text: ``doc_id, th`` (the text's xxhash64), ``item_id`` and counts."""
     tests = items.select(F.col(f"`{item_key}`").alias("item_id"), token_hashes(F.col(f"`{text}`")).alias("item"))
     item_seeds = tests.select("item_id", "item", F.explode(seed_hashes(F.col("item"), seeds)).alias("s")).select("item_id", "item", F.col("s.at").alias("item_at"), F.col("s.seed").alias("seed")).distinct()
     sizes = tests.select(F.size("item").alias("n")).distinct()
     used = sizes.agg(*[F.max((F.col("n") >= least) & (F.lit(True) if most is None else F.col("n") <= most)) for _, least, most in seeds]).first()
     masks = [(m, mask) for m, (mask, _, _) in enumerate(seeds) if used[m]] or [(0, seeds[0][0])]
     item_seeds = _checked_broadcast(item_seeds, item_seeds.count(), BROADCAST_SEEDS)
-    tokens = docs.select(F.col(f"`{doc_key}`").alias("doc_id"), token_hashes(F.col(f"`{text}`")).alias("tokens"))
+    tokens = docs.select(F.col(f"`{doc_key}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("th"), token_hashes(F.col(f"`{text}`")).alias("tokens"))
     # one array of plain longs a text: the masks' seeds one after the other
     firsts = [F.lit(0)]
     for _, mask in masks[:-1]:
         firsts.append(firsts[-1] + F.greatest(F.size("tokens") - len(mask) + 1, F.lit(0)))
     own_seeds = F.concat(*[_plain_seeds(F.col("tokens"), mask, m) for m, mask in masks])
-    placed = tokens.select("doc_id", "tokens", F.posexplode(own_seeds).alias("pos", "seed"))
+    placed = tokens.select("doc_id", "th", "tokens", F.posexplode(own_seeds).alias("pos", "seed"))
     at = F.col("pos") - F.coalesce(*[F.when(F.col("pos") >= f, f) for f in reversed(firsts)])
     hits = placed.join(item_seeds, "seed").withColumn("diag", at - F.col("item_at"))
     skip = F.greatest(-F.col("diag"), F.lit(0))
-    laid = hits.select("doc_id", "item_id", "item", "diag", F.slice("tokens", F.greatest("diag", F.lit(0)) + 1, F.size("item") - skip).alias("own"))
-    laid = laid.groupBy("doc_id", "item_id", "diag").agg(F.first("item").alias("item"), F.first("own").alias("own"))
+    laid = hits.select("doc_id", "th", "item_id", "item", "diag", F.slice("tokens", F.greatest("diag", F.lit(0)) + 1, F.size("item") - skip).alias("own"))
+    laid = laid.groupBy("doc_id", "th", "item_id", F.xxhash64("item").alias("ih"), "diag").agg(F.first("item").alias("item"), F.first("own").alias("own"))
     skip = F.greatest(-F.col("diag"), F.lit(0))
     same = F.transform("item", lambda t, i: F.coalesce((F.get("own", i - skip) == t) & (i >= skip), F.lit(False)).cast("int"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     laid = laid.withColumn("same", same)
     width = F.least(F.lit(window), F.size("same"))
     starts = F.sequence(F.lit(1), F.size("same") - width + 1)
-    scored = laid.select("doc_id", "item_id", F.size("item").alias("n_item"), total("same").alias("n_match"), width.alias("width"), F.array_max(F.transform(starts, lambda s: total(F.slice("same", s, width)))).alias("best_window"))
+    scored = laid.select("doc_id", "th", "item_id", F.size("item").alias("n_item"), total("same").alias("n_match"), width.alias("width"), F.array_max(F.transform(starts, lambda s: total(F.slice("same", s, width)))).alias("best_window"))
     # a whole-item match of few tokens says little: the window decides there
     good = (F.col("best_window") >= F.ceil(F.lit(least_window) * F.col("width"))) | (F.col("n_match") >= F.ceil(F.lit(least_item) * F.col("n_item")))
-    return scored.where(good).groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_match").alias("n_match"), F.max("best_window").alias("best_window"), F.count(F.lit(1)).alias("n_places"))
-
+    return scored.where(good)
 
 def _plain_seeds(tokens: F.Column, mask: str, m: int) -> F.Column:
     on = [i for i, c in enumerate(mask) if c == "1"]

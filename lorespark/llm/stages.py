@@ -57,8 +57,12 @@ def _first_of_each_id(docs: DataFrame) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    return without_ids(docs, decontamination.overlaps(docs, read_table(spark, sf_dir, "benchmark")))
+    """Documents without a benchmark passage; each text is judged on its own, whatever its id."""
+    found = decontamination.placings(docs, read_table(spark, sf_dir, "benchmark"))
+    dirty = materialize(found.select("th").distinct(), "drop")
+    if dirty.count() <= BROADCAST_IDS:
+        dirty = F.broadcast(dirty)
+    return docs.join(dirty, F.xxhash64(docs["text"]) == dirty["th"], "left_anti")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lorespark.llm import stages
+from lorespark.llm import decontamination, stages
 
 
 @pytest.fixture(scope="module")
@@ -92,3 +92,20 @@ def test_near_copies_by_exact_jaccard(spark, tables):
     for (i, _), c in zip(rows, label, strict=True):
         least[c] = min(least.get(c, i), i)
     assert got == sorted(least.values())
+
+
+def test_decontamination_judges_each_text(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    passage = spark.read.parquet(f"{tables}/benchmark.parquet").first()["text"]
+    made = [(None, passage), (7, passage), (7, f"other words {passage}"), (None, "clean text"), (None, None), (7, "clean too")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in made], docs.schema).repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in stages.decontamination_stage(spark, df, tables).collect()]
+    assert sorted(got, key=str) == sorted(made[3:], key=str)
+
+
+def test_overlaps_of_a_repeated_id(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(30)) for k in "ab")
+    df = spark.createDataFrame([(1, a), (1, " ".join(b.split()[:-5])), (1, b), (None, a), (None, b)], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, a), (5, b)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_match"], r["n_places"]) for r in decontamination.overlaps(df, bench).collect()}
+    assert got == {1: (30, 3), None: (30, 2)}
