@@ -6,8 +6,8 @@ minimizers. Runs of grams with one minimizer are windows:
 
 1. Texts that repeat whole are settled by their digest. Of the others, windows are hashed; equal
    windows are settled by hash: all but the smallest document's go. Each batch settles its own first,
-   so a passage that many documents share leaves one entry a batch.
-2. Different windows of one minimizer may share part of their grams. Their bytes, once each, are dealt to shards;
+   so a passage that many documents share leaves the smallest one's entries of a batch, each place of it.
+2. Different windows of one minimizer may share part of their grams. Their bytes are dealt to shards;
    the shards' transforms are merged by interleave refinement, one symbol a round; after ``span``
    rounds, places with a common prefix of ``span`` bytes lie together (repeated intervals).
    A minimizer with very many windows is dealt by its left and right context, each gram to one.
@@ -120,11 +120,12 @@ def _entries(found: dict[str, np.ndarray], docs: np.ndarray, hashes: np.ndarray)
 
 
 def _settle(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted equal windows: the smallest document's first entry, and which of the others go."""
+    """Of sorted equal windows: all entries of the smallest document, and the others, which go."""
     same = (e["h"][1:] == e["h"][:-1]) & (e["w"][1:] == e["w"][:-1]) & (e["v"][1:] == e["v"][:-1])
     first = np.flatnonzero(np.r_[True, ~same])
     least = np.repeat(e["doc"][first], np.diff(np.r_[first, len(e)]))
-    return first, e["doc"] > least
+    goes = e["doc"] > least
+    return np.flatnonzero(~goes), goes
 
 
 SETTLED = "doc long, th long, s int, e int, p int, h long, crowded boolean"
@@ -157,12 +158,12 @@ def hash_windows(docs: DataFrame, buckets: int, span: int = SPAN) -> DataFrame:
                 bucket = (high % _U(buckets)).astype(np.int64)
                 order = np.lexsort((e["s"], e["doc"], e["v"], e["w"], e["h"], bucket))
                 e, bucket = e[order], bucket[order]
-                first, goes = _settle(e)
+                stay, goes = _settle(e)
                 rows = []
                 if goes.any():
                     # a batch's own decisions travel beside some bucket
-                    rows.append((int(bucket[first[0]]), True, e[goes].tobytes()))
-                e, bucket = e[first], bucket[first]
+                    rows.append((int(bucket[stay[0]]), True, e[goes].tobytes()))
+                e, bucket = e[stay], bucket[stay]
                 # by document inside a bucket: columns of ids then compress
                 order = np.lexsort((e["s"], e["doc"], bucket))
                 e, bucket = e[order], bucket[order]
@@ -193,10 +194,10 @@ def settle_windows(blobs: DataFrame, span: int = SPAN) -> DataFrame:
     def bucket_rows(bucket: int, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         e = np.concatenate(parts)
         e = e[np.lexsort((e["s"], e["doc"], e["v"], e["w"], e["h"]))]
-        first, goes = _settle(e)
+        stay, goes = _settle(e)
         if goes.any():
             yield _rows(e[goes], span)
-        e = e[first]
+        e = e[stay]
         cuts = np.flatnonzero(np.r_[True, e["h"][1:] != e["h"][:-1]])
         sizes = np.repeat(np.diff(np.r_[cuts, len(e)]), np.diff(np.r_[cuts, len(e)]))
         many = sizes > 1

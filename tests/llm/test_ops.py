@@ -350,6 +350,23 @@ def test_repeats(spark, docs, empty):
     assert suffix_dedup.cut_repeats(empty).collect() == []
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_repeats_inside_a_document(spark, parts):
+    rnd = random.Random(14)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    lines = [text(120) for _ in range(6)]
+    rows = []
+    for i in range(30):
+        line, other = rnd.sample(lines, 2)
+        cut = line[rnd.randint(0, 30) : 120 - rnd.randint(0, 30)]
+        rows.append((i // 2 if i % 5 == 0 else i, text(30) + line + text(20) + line + text(9) + cut + text(5) + cut + other[:70]))
+    rows += [(None, lines[0] * 2 + text(60) + lines[0]), (None, text(10) + lines[0] + text(10) + lines[0]), (3, lines[1] + lines[1][:60] + text(7) + lines[1])]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.cut_repeats(df).collect())
+    assert got == brute_repeats(rows, 50)
+
+
 def test_crowded_windows(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CROWD", 3)
     rnd = random.Random(9)
