@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Fixed masks (tokens marked 1 are hashed, those marked 0 ignored), and the fewest and most tokens of the items
 #: that each is for. Every placing with 70 % of an item or 11 of 13 neighbours in place holds one: true of all
 #: patterns of each length up to 19 (the tests enumerate them), and longer ones can be cut into lengths from 10 to 19.
-SEEDS = (("111", 3, None), ("1101", 4, None), ("1011", 4, 9), ("11", 2, 2), ("1", 1, 1))
+SEEDS = (("11101", 10, None), ("100111", 10, None), ("11000011", 10, None), ("100001011", 10, None), ("111", 3, 9), ("1101", 4, 9), ("1011", 4, 9), ("11", 2, 2), ("1", 1, 1))
 #: Masks of the oracle's SQL, which finds no more than these hit.
 MASKS = ("1110110111", "1101011000110111")
 #: Largest number of distinct item hashes that is broadcast; more are joined by shuffle.
