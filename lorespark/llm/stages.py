@@ -14,18 +14,10 @@ from .pii import redact
 from .queries import SEQUENCE_TOKENS, crc_mod3
 from .tokenizing import tokenizer_path
 
-#: Largest number of ids of dropped documents that is broadcast; more are joined by shuffle.
+#: Largest number of keys of dropped rows that is broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` whose doc_id is not in ``ids(doc_id)``; null ids match null ids. ``ids`` is written and counted first."""
-    ids = materialize(ids.select(F.col("doc_id").alias("__drop__")).distinct(), "drop")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__drop__"]), "left_anti")
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: null texts and texts without a letter go; ``lang`` is not changed."""
     profiles = learn_profiles(docs.where(crc_mod3(F.col("doc_id")) != 1), "text", "lang", F.col("doc_id"))
@@ -33,27 +25,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, shingle: int = 5, similar: float = 0.8) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest id.
+    """One row of each group of near copies stays: that of the smallest id (null last), then by its text's hash.
 
     Near: sets of five-word shingles of Jaccard similarity ``similar`` or more, directly or through
-    others. Rows with a null id stay. Of rows that repeat an id one stays, the first by its text's hash.
+    others. Rows are judged by their texts alone: repeated and null ids are rows like any other.
     """
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if not repeated.isEmpty():
-        docs = materialize(_first_of_each_id(docs), "unique")
     keyed = keyed_rows(docs, "text", shingle)
     parts = node_components(keyed, "text", shingle, similar)
-    known = keyed.where("doc_id is not null").select("doc_id", F.col("__node__").alias("node")).join(parts, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
-    found = known.join(known.groupBy("component").agg(F.min("doc_id").alias("least")), "component")
-    return without_ids(docs, found.where("doc_id <> least"))
-
-
-def _first_of_each_id(docs: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64("lang", "source")))
-    known = docs.where("doc_id is not null").withColumn("__nth__", nth).where("__nth__ = 1").drop("__nth__")
-    return known.unionByName(docs.where("doc_id is null"))
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.xxhash64("text").alias("h"), "__row__")
+    rows = keyed.select("__row__", F.col("__node__").alias("node"), order.alias("order")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    kept = rows.groupBy("component").agg(F.min("order").alias("best"), F.count(F.lit(1)).alias("size")).where("size > 1").select("component", "best")
+    drop = materialize(rows.join(kept, "component").where(F.col("__row__") != F.col("best.__row__")).select("__row__"), "drop")
+    if drop.count() <= BROADCAST_IDS:
+        drop = F.broadcast(drop)
+    return keyed.join(drop, "__row__", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,3 +109,13 @@ def test_overlaps_of_a_repeated_id(spark):
     bench = spark.createDataFrame([(5, a), (5, b)], "item_id long, text string")
     got = {r["doc_id"]: (r["n_match"], r["n_places"]) for r in decontamination.overlaps(df, bench).collect()}
     assert got == {1: (30, 3), None: (30, 2)}
+
+
+def test_near_dedup_judges_each_row(spark, tables):
+    rnd = random.Random(15)
+    a, b, c, d = (" ".join(f"w{rnd.randint(0, 999)}" for _ in range(80)) for _ in range(4))
+    rows = [(1, a), (1, b), (1, b), (None, c), (None, c), (None, f"{c} end"), (None, d), (2, f"{d} end"), (3, a)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in stages.near_dedup_stage(spark, df, tables).collect()]
+    assert len(got) == 4 and {(1, a), (1, b), (2, f"{d} end")} < set(got)
+    assert [i for i, t in got if t.startswith(c)] == [None]
