@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset in local mode (tests)."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     if found := spark.sparkContext.getCheckpointDir():
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="lorespark-")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -38,6 +40,24 @@ def write_table(df: DataFrame, what: str, block_bytes: int | None = None) -> str
     return path
 
 
+class Scratch:
+    """Tables of one run, in a folder of their own that is deleted at the end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, new_path(spark, "scratch")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def table(self, df: DataFrame, what: str) -> DataFrame:
+        path = f"{self.path}/{what}"
+        df.write.option("compression", "zstd").parquet(path)
+        return read_written(self.spark, path, df)
+
+    def __exit__(self, *_) -> None:
+        drop_path(self.spark, self.path)
+
+
 def read_written(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(like.schema).parquet(path)
 

@@ -1,78 +1,90 @@
 """Repeated substrings across documents by merging shard Burrows-Wheeler transforms.
 
 A string of ``span`` bytes (a gram) that also starts in a document with a smaller id is removed. Each gram belongs
-to its minimizer (the place of the least hash of K bytes inside it), so equal grams have equal
-minimizers. Runs of grams with one minimizer are windows:
-
-1. Texts that repeat whole are settled by their digest. Of the others, windows are hashed; equal
-   windows are settled by hash: all but the smallest document's go. Each batch settles its own first,
-   so a passage that many documents share leaves the smallest one's entries of a batch, each place of it.
-2. Different windows of one minimizer may share part of their grams. Their bytes are dealt to shards;
-   the shards' transforms are merged by interleave refinement, one symbol a round; after ``span``
-   rounds, places with a common prefix of ``span`` bytes lie together (repeated intervals).
-   A minimizer with very many windows is dealt by its left and right context, each gram to one.
-3. Removed runs of each document are united.
+to its minimizer (the place of the least hash of K bytes inside it), so equal grams have equal minimizers. Runs of
+grams with one minimizer are windows. Minimizers only route text to the transforms; bytes decide:
+
+1. Texts that repeat whole are settled by their SHA-256, so that a group of copies is transformed once.
+2. Windows whose minimizer occurs in one document only cannot hold a repeated gram and are left aside. A batch that
+   sees a minimizer in two documents keeps its windows without asking, so a common one costs a batch one entry.
+3. Bytes of the other windows are read. Equal ones are settled by comparing bytes, in the batch first: all but the
+   smallest document's go. The others are dealt to tasks by minimizer; in a task, document shards get transforms, which are
+   merged by interleave refinement, one symbol a round; after ``span`` rounds, places with a common prefix of
+   ``span`` bytes lie together (repeated intervals), and all but the smallest document's go.
+4. A minimizer with many windows is dealt by 44 bytes of context. Where still more than KEY_ROWS different windows
+   share those, their grams are grouped themselves.
+5. Removed runs of each document are united.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import Scratch, materialize, shuffle_partitions
 
 SPAN, K = 50, 24
-#: Context bytes of a crowded minimizer, windows that crowd it, text of a bucket, of a flush and of a segment.
-CONTEXT, CROWD, BUCKET_BYTES, FLUSH_BYTES, SEGMENT = 13, 256, 4 << 20, 16 << 20, 1 << 21
-MERGE_BYTES, SHARDS = 1 << 20, 2
+#: Context bytes that two windows must share for their grams to be compared; offsets of a minimizer in a gram that are dealt together.
+CONTEXT, OFFSETS = 13, 7
 BROADCAST_ROWS = 1_000_000
 NO_ID = (1 << 63) - 1
 _U = np.uint64
-ENTRY = [("h", "<u4"), ("w", "<u4"), ("v", "<u2"), ("doc", "<i8"), ("th", "<i8"), ("s", "<u4"), ("p", "<u2"), ("run", "u1")]
+#: A window: minimizer's hash, document, text hash, start, grams (0: only tells that the minimizer is common), minimizer's place.
+SPOT = [("h", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("s", "<u4"), ("run", "u1"), ("p", "u1")]
+WINDOW = "key long, doc long, th long, s int, e int, p int, b binary"
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    m = 0x9E3779B97F4A7C15
-    inv = pow(m, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        out = [np.cumprod(np.concatenate([np.ones(1, _U), np.full(n, x, _U)]), dtype=_U) for x in (m, inv)]
-    return out[0], out[1]
+@dataclass(frozen=True)
+class Sizes:
+    """Bytes of text hashed at once, read at once, of a bucket of minimizers and of a merge; document shards of a
+    merge; windows of a minimizer that are dealt by context; windows of a key beyond which grams are grouped."""
+
+    segment: int = 1 << 18
+    flush: int = 4 << 20
+    bucket: int = 4 << 20
+    merge: int = 1 << 20
+    shards: int = 4
+    crowd: int = 1024
+    key_rows: int = 1 << 14
+
+
+SIZES = Sizes()
 
 
 class Windows:
     """Minimizer windows of texts, many texts at once."""
 
-    def __init__(self, span: int = SPAN, k: int = K):
-        self.span, self.k = span, k
-        self.pow, self.inv = _powers(SEGMENT + (1 << 16))
+    def __init__(self, span: int = SPAN, segment: int = SIZES.segment):
+        self.span, self.segment = span, max(segment, 2 * span)
 
     def of(self, texts: list[bytes]) -> dict[str, np.ndarray]:
-        """Arrays: text number, start, run (grams), minimizer's place after start, its hash, the window's hash."""
+        """Arrays: text number, start, run (grams), minimizer's place after start, its hash."""
         parts: list[tuple[int, int, bytes]] = []
         for i, t in enumerate(texts):
             if len(t) >= self.span:
-                for at in range(0, len(t) - self.span + 1, SEGMENT - self.span + 1):
-                    parts.append((i, at, t[at : at + SEGMENT]))
+                for at in range(0, len(t) - self.span + 1, self.segment - self.span + 1):
+                    parts.append((i, at, t[at : at + self.segment]))
         out: list[dict[str, np.ndarray]] = []
         at = 0
         while at < len(parts):
             size, end = 0, at
-            while end < len(parts) and (end == at or size + len(parts[end][2]) <= SEGMENT):
+            while end < len(parts) and (end == at or size + len(parts[end][2]) <= self.segment):
                 size += len(parts[end][2])
                 end += 1
             out.append(self._joined(parts[at:end]))
             at = end
         if not out:
-            return {n: np.zeros(0, t) for n, t in (("text", np.int64), ("s", np.int64), ("run", np.int64), ("p", np.int64), ("h", _U), ("w", _U))}
+            return {n: np.zeros(0, t) for n, t in (("text", np.int64), ("s", np.int64), ("run", np.int64), ("p", np.int64), ("h", _U))}
         return {n: np.concatenate([o[n] for o in out]) for n in out[0]}
 
     def _joined(self, parts: list[tuple[int, int, bytes]]) -> dict[str, np.ndarray]:
-        span, k = self.span, self.k
+        span = self.span
         b = np.frombuffer(b"".join(p[2] for p in parts) + b"\0" * span, np.uint8).astype(_U)
         n = len(b) - span
         sizes = np.array([len(p[2]) for p in parts])
@@ -85,144 +97,197 @@ class Windows:
             h ^= h >> _U(29)
             h *= _U(0xBF58476D1CE4E5B9)
             h ^= h >> _U(32)
-            key = (h & ~_U((1 << 22) - 1)) | np.arange(n, dtype=_U)
-            # least key of the span - k + 1 places of each gram, by doubling
-            width, m = span - k + 1, key
-            done = 1
-            while 2 * done <= width:
-                m = np.minimum(m[:-done], m[done:])
-                done *= 2
-            least = np.minimum(m[: n - width + 1], m[width - done :][: n - width + 1])
-            place = (least & _U((1 << 22) - 1)).astype(np.int64)
-            grams = np.concatenate([np.arange(e - s, e - span + 1) for s, e in zip(sizes, ends, strict=True)])
-            which = np.repeat(np.arange(len(parts)), sizes - span + 1)
-            p = place[grams]
-            first = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (which[1:] != which[:-1])])
-            run = np.diff(np.r_[first, len(p)])
-            start = grams[first]
-            sums = np.concatenate([np.zeros(1, _U), np.cumsum((b[:n] + _U(1)) * self.pow[:n], dtype=_U)])
-            w = (sums[start + run + span - 1] - sums[start]) * self.inv[start]
-            w ^= w >> _U(31)
-            w = (w + run.astype(_U)) * _U(0x94D049BB133111EB)
-            w ^= w >> _U(29)
-        part = which[first]
-        base = np.array([e - s for s, e in zip(sizes, ends, strict=True)])
+        key = (h & ~_U((1 << 22) - 1)) | np.arange(n, dtype=_U)
+        # least key of the span - K + 1 places of each gram, by doubling
+        width, m, done = span - K + 1, key, 1
+        while 2 * done <= width:
+            m = np.minimum(m[:-done], m[done:])
+            done *= 2
+        least = np.minimum(m[: n - width + 1], m[width - done :][: n - width + 1])
+        place = (least & _U((1 << 22) - 1)).astype(np.int64)
+        grams = np.concatenate([np.arange(e - s, e - span + 1) for s, e in zip(sizes, ends, strict=True)])
+        which = np.repeat(np.arange(len(parts)), sizes - span + 1)
+        p = place[grams]
+        first = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (which[1:] != which[:-1])])
+        start, part = grams[first], which[first]
+        base = ends - sizes
         offset, text = np.array([q[1] for q in parts]), np.array([q[0] for q in parts])
-        return {"text": text[part], "s": start - base[part] + offset[part], "run": run, "p": p[first] - start, "h": h[p[first]], "w": w}
-
+        return {"text": text[part], "s": start - base[part] + offset[part], "run": np.diff(np.r_[first, len(p)]), "p": p[first] - start, "h": h[p[first]]}
 
-def _entries(found: dict[str, np.ndarray], docs: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries and their full minimizer hashes (a bucket comes from the upper half)."""
-    out = np.zeros(len(found["h"]), ENTRY)
-    out["h"], out["w"], out["v"] = found["h"] & _U(0xFFFFFFFF), found["w"] & _U(0xFFFFFFFF), found["w"] >> _U(48)
-    out["doc"], out["th"], out["s"], out["p"], out["run"] = docs[found["text"]], hashes[found["text"]], found["s"], found["p"], found["run"]
-    return out, found["h"] >> _U(32)
 
+def _groups(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each run of equal ``h``, and for every place whether its run has more than one document."""
+    cuts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    several = np.minimum.reduceat(doc, cuts) != np.maximum.reduceat(doc, cuts)
+    return cuts, np.repeat(several, np.diff(np.r_[cuts, len(h)]))
 
-def _settle(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted equal windows: all entries of the smallest document, and the others, which go."""
-    same = (e["h"][1:] == e["h"][:-1]) & (e["w"][1:] == e["w"][:-1]) & (e["v"][1:] == e["v"][:-1])
-    first = np.flatnonzero(np.r_[True, ~same])
-    least = np.repeat(e["doc"][first], np.diff(np.r_[first, len(e)]))
-    goes = e["doc"] > least
-    return np.flatnonzero(~goes), goes
 
+def _packed(e: np.ndarray) -> bytes:
+    return b"".join(e[n].tobytes() for n, _ in SPOT)
 
-SETTLED = "doc long, th long, s int, e int, p int, h long, crowded boolean"
 
-
-def _rows(e: np.ndarray, span: int, h: np.ndarray | None = None, crowded: np.ndarray | None = None) -> pa.RecordBatch:
-    n = len(e)
-    cols = [pa.array(e["doc"]), pa.array(e["th"]), pa.array(e["s"].astype("i4")), pa.array((e["s"].astype("i8") + e["run"] + span - 1).astype("i4")), pa.array((e["s"].astype("i8") + e["p"]).astype("i4"))]
-    cols += [pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())] if h is None else [pa.array(h.astype("i8")), pa.array(crowded)]
-    return pa.RecordBatch.from_arrays(cols, names=["doc", "th", "s", "e", "p", "h", "crowded"])
+def _unpacked(blob: bytes) -> np.ndarray:
+    n = len(blob) // np.dtype(SPOT).itemsize
+    e, at = np.zeros(n, SPOT), 0
+    for name, kind in SPOT:
+        size = n * np.dtype(kind).itemsize
+        e[name] = np.frombuffer(blob[at : at + size], kind)
+        at += size
+    return e
 
 
-def hash_windows(docs: DataFrame, buckets: int, span: int = SPAN) -> DataFrame:
-    """``docs(doc, th, b)`` to blobs of entries by bucket; bucket -1 - i: entries that their batch settled already."""
+def spots(docs: DataFrame, buckets: int, span: int = SPAN, sizes: Sizes = SIZES) -> DataFrame:
+    """``docs(doc, th, b)`` to blobs of windows by bucket of minimizers; ``known``: the batch saw the minimizers in two documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Windows(span)
+        made = Windows(span, sizes.segment)
         for b in batches:
             ids, ths, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(2)
             at = 0
             while at < len(ids):
                 own, size = [], 0
-                while at + len(own) < len(ids) and (not own or size < FLUSH_BYTES):
+                while at + len(own) < len(ids) and (not own or size < sizes.flush):
                     own.append(texts[at + len(own)].as_py())
                     size += len(own[-1])
-                e, high = _entries(made.of(own), ids[at : at + len(own)], ths[at : at + len(own)])
+                found = made.of(own)
+                order = np.argsort(found["h"], kind="stable")
+                e = np.zeros(len(order), SPOT)
+                text = found["text"][order]
+                e["doc"], e["th"] = ids[at : at + len(own)][text], ths[at : at + len(own)][text]
+                for name in ("h", "s", "run", "p"):
+                    e[name] = found[name][order]
                 at += len(own)
                 if not len(e):
                     continue
-                bucket = (high % _U(buckets)).astype(np.int64)
-                order = np.lexsort((e["s"], e["doc"], e["v"], e["w"], e["h"], bucket))
-                e, bucket = e[order], bucket[order]
-                stay, goes = _settle(e)
+                cuts, several = _groups(e["h"], e["doc"])
+                bucket = ((e["h"] >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
                 rows = []
-                if goes.any():
-                    # a batch's own decisions travel beside some bucket
-                    rows.append((int(bucket[stay[0]]), True, e[goes].tobytes()))
-                e, bucket = e[stay], bucket[stay]
-                # by document inside a bucket: columns of ids then compress
-                order = np.lexsort((e["s"], e["doc"], bucket))
-                e, bucket = e[order], bucket[order]
-                cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                for s, t in zip(cuts, np.r_[cuts[1:], len(e)], strict=True):
-                    rows.append((int(bucket[s]), False, b"".join(e[n][s:t].tobytes() for n, _ in ENTRY)))
+                if several.any():
+                    known = e[several]
+                    rows.append((int(bucket[several][0]), True, _packed(known)))
+                    # one entry tells other batches that the minimizer is common
+                    teller = cuts[several[cuts]]
+                    e["run"][teller] = 0
+                    go = ~several
+                    go[teller] = True
+                    e, bucket = e[go], bucket[go]
+                cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                rows += [(int(bucket[s]), False, _packed(e[s:t])) for s, t in zip(cut, np.r_[cut[1:], len(e)], strict=True)]
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.binary())], names=["bucket", "settled", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.binary())], names=["bucket", "known", "blob"])
 
-    return docs.mapInArrow(run, "bucket long, settled boolean, blob binary")
+    return docs.mapInArrow(run, "bucket long, known boolean, blob binary")
 
 
-def _unpack(blob: bytes) -> np.ndarray:
-    width = np.dtype(ENTRY).itemsize
-    n = len(blob) // width
-    e, at = np.zeros(n, ENTRY), 0
-    for name, kind in ENTRY:
-        size = n * np.dtype(kind).itemsize
-        e[name] = np.frombuffer(blob[at : at + size], kind)
-        at += size
-    return e
-
-
-def settle_windows(blobs: DataFrame, span: int = SPAN) -> DataFrame:
-    """Decided runs (``h`` null), and windows whose minimizer has others that differ (``h`` set)."""
+def asked_windows(blobs: DataFrame) -> DataFrame:
+    """Windows whose minimizer occurs in two documents: ``doc, th, s, run, p, h``."""
     blobs = blobs.repartition(shuffle_partitions(blobs.sparkSession), "bucket").sortWithinPartitions("bucket")
 
-    def bucket_rows(bucket: int, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def rows(e: np.ndarray) -> pa.RecordBatch:
+        cols = [pa.array(e["doc"]), pa.array(e["th"]), pa.array(e["s"].astype("i4")), pa.array(e["run"].astype("i4")), pa.array(e["p"].astype("i4")), pa.array(np.ascontiguousarray(e["h"]).view("<i8"))]
+        return pa.RecordBatch.from_arrays(cols, names=["doc", "th", "s", "run", "p", "h"])
+
+    def one(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         e = np.concatenate(parts)
-        e = e[np.lexsort((e["s"], e["doc"], e["v"], e["w"], e["h"]))]
-        stay, goes = _settle(e)
-        if goes.any():
-            yield _rows(e[goes], span)
-        e = e[stay]
-        cuts = np.flatnonzero(np.r_[True, e["h"][1:] != e["h"][:-1]])
-        sizes = np.repeat(np.diff(np.r_[cuts, len(e)]), np.diff(np.r_[cuts, len(e)]))
-        many = sizes > 1
-        # windows of one document only cannot remove from it
-        least, most = np.minimum.reduceat(e["doc"], cuts), np.maximum.reduceat(e["doc"], cuts)
-        many &= np.repeat(least != most, np.diff(np.r_[cuts, len(e)]))
-        if many.any():
-            yield _rows(e[many], span, e["h"][many].astype(np.int64) | (bucket << 32), sizes[many] > CROWD)
+        e = e[np.argsort(e["h"], kind="stable")]
+        cuts, several = _groups(e["h"], e["doc"])
+        told = np.minimum.reduceat(e["run"], cuts) == 0
+        keep = (several | np.repeat(told, np.diff(np.r_[cuts, len(e)]))) & (e["run"] > 0)
+        if keep.any():
+            yield rows(e[keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
         for b in batches:
-            for bucket, settled, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if settled:
-                    yield _rows(np.frombuffer(blob.as_py(), ENTRY), span)
+            for bucket, known, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if known:
+                    yield rows(_unpacked(blob.as_py()))
                     continue
-                if bucket != now:
-                    if parts:
-                        yield from bucket_rows(now, parts)
-                    now, parts = bucket, []
-                parts.append(_unpack(blob.as_py()))
+                if bucket != now and parts:
+                    yield from one(parts)
+                    parts = []
+                now = bucket
+                parts.append(_unpacked(blob.as_py()))
         if parts:
-            yield from bucket_rows(now, parts)
+            yield from one(parts)
+
+    return blobs.mapInArrow(run, "doc long, th long, s int, run int, p int, h long")
+
+
+class Settled:
+    """Equal windows by their bytes: the places of the smallest document stay, those of others go."""
+
+    def __init__(self):
+        self.seen: dict[tuple[int, int, bytes], list] = {}
+        self.size = 0
+        self.gone: list[tuple[int, int, int, int]] = []
+
+    def add(self, key: int, doc: int, th: int, s: int, p: int, piece: bytes) -> None:
+        have = self.seen.get((key, p, piece))
+        if have is None:
+            self.seen[key, p, piece] = [doc, [(th, s)]]
+            self.size += len(piece)
+        elif doc == have[0]:
+            have[1].append((th, s))
+            self.size += 16
+        elif doc > have[0]:
+            self.gone.append((doc, th, s, s + len(piece)))
+        else:
+            self.gone += [(have[0], t, x, x + len(piece)) for t, x in have[1]]
+            have[:] = doc, [(th, s)]
+
+
+def _decided(gone: list[tuple[int, int, int, int]], names: tuple[str, ...] = ("doc", "th", "s", "e")) -> list[pa.Array]:
+    cols = list(zip(*gone, strict=True)) if gone else [()] * 4
+    return [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+
+
+def read_windows(texts: DataFrame, asked: DataFrame, span: int = SPAN, sizes: Sizes = SIZES) -> DataFrame:
+    """The asked windows' bytes (``key`` set), each batch's equal ones settled (``key`` null: the run s to e goes)."""
+    many = asked.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > sizes.crowd).select("h", F.lit(True).alias("crowded"))
+    if many.count() <= BROADCAST_ROWS:
+        many = F.broadcast(many)
+    each = asked.join(many, "h", "left").groupBy("doc", "th").agg(F.collect_list(F.struct("s", "run", "p", "h", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("w"))
+    joined = texts.join(each, ["doc", "th"]).select("doc", "th", "b", "w")
+
+    def emit(settled: Settled) -> Iterator[pa.RecordBatch]:
+        rows = [(key, doc, th, s, s + len(piece), p, piece) for (key, p, piece), (doc, places) in settled.seen.items() for th, s in places]
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+        kept = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)]
+        doc, th, s, e = _decided(settled.gone)
+        n = len(settled.gone)
+        gone = [pa.nulls(n, pa.int64()), doc, th, s, e, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+        for cols in (kept, gone):
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "doc", "th", "s", "e", "p", "b"])
 
-    return blobs.mapInArrow(run, SETTLED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        settled = Settled()
+        for b in batches:
+            docs, ths, lists = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3)
+            for i, (doc, th) in enumerate(zip(docs, ths, strict=True)):
+                text, w = b.column(2)[i].as_py(), lists[i].values
+                for s, grams, p, h, crowded in zip(*[w.field(k).to_pylist() for k in range(5)], strict=True):
+                    if not crowded:
+                        settled.add(h, doc, th, s, p, text[s : s + grams + span - 1])
+                        continue
+                    at = s + p
+                    for j in range((p - grams + 1) // OFFSETS, p // OFFSETS + 1):
+                        # grams with the minimizer at an offset of this class all hold the same context
+                        most, least = min(OFFSETS * (j + 1) - 1, p), max(OFFSETS * j, p - grams + 1)
+                        context = text[at - OFFSETS * j : at - OFFSETS * (j + 1) + 1 + span]
+                        key = (xxhash.xxh64_intdigest(context, j) ^ (h & ((1 << 64) - 1))) - (1 << 63)
+                        settled.add(key, doc, th, at - most, most, text[at - most : at - least + span])
+                    if settled.size >= sizes.flush:
+                        yield from emit(settled)
+                        settled = Settled()
+                if settled.size >= sizes.flush or len(settled.gone) >= 1 << 17:
+                    yield from emit(settled)
+                    settled = Settled()
+        yield from emit(settled)
+
+    return joined.mapInArrow(run, WINDOW)
 
 
 # --- Burrows-Wheeler transforms of shards, and their merge ---------------------------------------------
@@ -291,17 +356,15 @@ def merge_transforms(shards: list[tuple[np.ndarray, np.ndarray]], strings: list[
         cc, gg = c[order], group[order]
         new = np.r_[True, (cc[1:] != cc[:-1]) | (gg[1:] != gg[:-1])]
         group = np.concatenate([np.arange(m), m + np.cumsum(new) - 1]) if len(order) else np.arange(m)
-        if np.array_equal(z_new, z) and len(np.unique(group)) == len(group):
-            z = z_new
+        if group[-1] + 1 == len(group) and np.array_equal(z_new, z):
             break
         z = z_new
     return z, group
 
 
-def repeated_grams(strings: list[bytes], docs: np.ndarray, span: int = SPAN, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
+def repeated_grams(strings: list[bytes], docs: np.ndarray, span: int = SPAN, shards: int = SIZES.shards) -> tuple[np.ndarray, np.ndarray]:
     """(string, start) of every gram that also starts in a string of a smaller document."""
-    deal = np.arange(len(strings)) % max(1, min(shards, len(strings)))
-    own = [np.flatnonzero(deal == k) for k in range(deal.max(initial=0) + 1)]
+    own = [part for part in np.array_split(np.argsort(docs, kind="stable"), shards) if len(part)]  # documents in order
     made = [shard_transform([strings[i] for i in ix], span) for ix in own]
     z, group = merge_transforms(made, [len(ix) for ix in own], span)
     # each merged place's string and start
@@ -358,103 +421,117 @@ def shared_context(strings: list[bytes], places: np.ndarray, span: int = SPAN) -
     return frm, np.where((left | right) & (to - frm >= span), to, frm)
 
 
-def merge_windows(windows: DataFrame, span: int = SPAN) -> DataFrame:
-    """``windows(key, doc, th, s, p, b)``: grams that go among the windows of each key, as ``doc, th, s, e``."""
-    windows = windows.repartition(shuffle_partitions(windows.sparkSession), "key").sortWithinPartitions("key", "doc", "s")
+def merge_windows(windows: DataFrame, span: int = SPAN, sizes: Sizes = SIZES) -> DataFrame:
+    """Grams that go among the windows of each key, as runs ``doc, th, s, e``; a key has at most ``key_rows`` windows."""
+    windows = windows.select("key", "doc", "th", "s", "p", "b").repartition(shuffle_partitions(windows.sparkSession), "key").sortWithinPartitions("key")
+
+    def merged(strings: list[bytes], docs: list[int], places: list[list[tuple[int, int]]], p: list[int]) -> list[tuple[int, int, int, int]]:
+        frm, to = shared_context(strings, np.array(p), span)
+        ix = np.flatnonzero(to > frm)
+        if not len(ix):
+            return []
+        s, at = repeated_grams([strings[i][frm[i] : to[i]] for i in ix], np.array(docs)[ix], span, sizes.shards)
+        s, start = ix[s], at + frm[ix[s]]
+        order = np.lexsort((start, s))
+        s, start = s[order], start[order]
+        if not len(s):
+            return []
+        # neighbouring grams of a window are one run
+        cut = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (start[1:] != start[:-1] + 1)])
+        last = np.r_[cut[1:], len(s)] - 1
+        return [(docs[w], th, x + a, x + z + span) for w, a, z in zip(s[cut].tolist(), start[cut].tolist(), start[last].tolist(), strict=True) for th, x in places[w]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        size, crowd = 0, []
+        now, settled, size = None, Settled(), 0
+        strings: list[bytes] = []
+        docs: list[int] = []
+        places: list[list[tuple[int, int]]] = []
+        p: list[int] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal rows, size
-            if rows:
-                frm, to = shared_context([r[5] for r in rows], np.array([r[4] for r in rows]), span)
-                rows = [(*r[:3], r[3] + f, r[5][f:t]) for r, f, t in zip(rows, frm.tolist(), to.tolist(), strict=True) if t > f]
-            if rows:
-                docs = np.array([r[1] for r in rows])
-                s, at = repeated_grams([r[4] for r in rows], docs, span)
-                if len(s):
-                    start = np.array([r[3] for r in rows])[s] + at
-                    order = np.lexsort((start, s))
-                    s, start = s[order], start[order]
-                    # neighbouring grams of a window are one run
-                    cut = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (start[1:] != start[:-1] + 1)])
-                    last = np.r_[cut[1:], len(s)] - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(docs[s[cut]]), pa.array(np.array([r[2] for r in rows])[s[cut]]), pa.array(start[cut].astype("i4")), pa.array((start[last] + span).astype("i4"))], names=["doc", "th", "s", "e"])
-            rows, size = [], 0
-
-        def close() -> Iterator[pa.RecordBatch]:
+        def close() -> None:
             nonlocal size
-            if len(crowd) > 1 and crowd[0][1] != crowd[-1][1]:
-                rows.extend(crowd)
-                size += sum(len(r[5]) for r in crowd)
-                if size >= MERGE_BYTES:
-                    yield from flush()
+            mine = settled.seen
+            if len(mine) > 1 and len({v[0] for v in mine.values()}) > 1:
+                for (_, place, piece), (doc, where) in mine.items():
+                    strings.append(piece), docs.append(doc), places.append(where), p.append(place)
+                    size += len(piece)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            gone = settled.gone + (merged(strings, docs, places, p) if strings else [])
+            yield pa.RecordBatch.from_arrays(_decided(gone), names=["doc", "th", "s", "e"])
 
         for b in batches:
-            for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if crowd and crowd[0][0] != r[0]:
-                    yield from close()
-                    crowd = []
-                crowd.append(r)
-        yield from close()
+            for key, doc, th, s, place, piece in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if key != now:
+                    close()
+                    settled.seen = {}
+                    if size >= sizes.merge or len(settled.gone) >= 1 << 17:
+                        yield from flush()
+                        settled, size = Settled(), 0
+                        strings, docs, places, p = [], [], [], []
+                    now = key
+                settled.add(key, doc, th, s, place, piece)
+        close()
         yield from flush()
 
-    return windows.select("key", "doc", "th", "s", "p", "b").mapInArrow(run, "doc long, th long, s int, e int")
+    return windows.mapInArrow(run, "doc long, th long, s int, e int")
 
 
-def window_bytes(texts: DataFrame, asked: DataFrame, span: int = SPAN) -> DataFrame:
-    """Bytes of the asked windows. A crowded minimizer's window becomes two: grams with the left context, and the others."""
-    part = lambda s, e: F.expr(f"substring(b, {s} + 1, greatest(({e}) - ({s}), 0))")
-    left_end, right_start = f"least(e, p - {CONTEXT} + {span})", f"greatest(s, p - {CONTEXT} + 1)"
-    plain = F.struct(F.col("h").alias("key"), F.col("s"), F.expr("p - s").alias("p"), part("s", "e").alias("b"))
-    left = F.struct(F.xxhash64(F.lit("L"), "h", part(f"(p - {CONTEXT})", f"p + {K}")).alias("key"), F.col("s"), F.expr("p - s").alias("p"), part("s", left_end).alias("b"))
-    right = F.struct(F.xxhash64(F.lit("R"), "h", part("p", f"p + {K + CONTEXT}")).alias("key"), F.expr(right_start).alias("s"), F.expr(f"p - {right_start}").alias("p"), part(right_start, "e").alias("b"))
-    each = F.when(F.col("crowded"), F.array(F.when(F.expr(f"p - {CONTEXT} >= s"), left), F.when(F.expr(f"e - {span} >= {right_start}"), right))).otherwise(F.array(plain))
-    joined = texts.join(asked.hint("shuffle_hash"), ["doc", "th"])
-    return joined.select("doc", "th", F.explode(F.array_compact(each)).alias("x")).select("x.key", "doc", "th", "x.s", "x.p", "x.b")
+def group_grams(windows: DataFrame, span: int = SPAN) -> DataFrame:
+    """The same for keys of any size: each gram by its own bytes, grouped and joined by Spark."""
+    each = F.expr(f"transform(sequence(0, octet_length(b) - {span}), i -> struct(s + i AS s, substring(b, i + 1, {span}) AS g))")
+    grams = windows.select("doc", "th", F.explode(each).alias("x")).select("doc", "th", "x.s", "x.g")
+    least = grams.groupBy("g").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("g", "least")
+    return grams.join(least, "g").where("doc > least").select("doc", "th", "s", (F.col("s") + span).alias("e"))
 
 
-def row_hash(df: DataFrame, key: str, body: F.Column) -> F.Column:
-    """What tells rows of one id apart: their text's hash; 0 for all where no id repeats (and is null at most once)."""
+def row_hash(df: DataFrame, key: str, body: F.Column) -> tuple[F.Column, bool]:
+    """What tells rows of one id apart, and whether any id repeats: their text's hash, or 0 for all where none does."""
     again = df.groupBy(F.col(f"`{key}`").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return F.lit(0).cast("long") if again.isEmpty() else F.xxhash64(body)
-
-
-def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
-    """Runs ``doc, th, s, e`` that cover every removed byte of every text (they may overlap)."""
-    doc = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID))
-    body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    texts = df.select(doc.alias("doc"), row_hash(df, key, body).alias("th"), body.alias("b"))
-    base = materialize(texts.select("doc", "th", F.sha2("b", 256).alias("sha"), F.octet_length("b").alias("n")).where(F.col("n") >= span), "texts")
-    total = base.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    firsts = base.groupBy("sha").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    copies = materialize(base.join(firsts, "sha").where("doc > least").select("doc", "th", "n").distinct(), "copies")
-    gone = copies.select("doc", "th")
-    if copies.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    rest = texts.where(F.octet_length("b") >= span).join(gone, ["doc", "th"], "left_anti")
-    settled = materialize(settle_windows(hash_windows(rest, max(1, total // BUCKET_BYTES), span), span), "windows")
-    asked = settled.where("h is not null")
-    shared = merge_windows(window_bytes(texts, asked, span), span)
-    decided = settled.where("h is null").select("doc", "th", "s", "e")
-    whole = copies.select("doc", "th", F.lit(0).alias("s"), F.col("n").cast("int").alias("e"))
-    return materialize(decided.unionByName(shared).unionByName(whole), "runs")
-
-
-def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
+    return (F.lit(0).cast("long"), False) if again.isEmpty() else (F.xxhash64(body), True)
+
+
+def repeated_runs(texts: DataFrame, repeats: bool, span: int = SPAN, sizes: Sizes = SIZES) -> DataFrame:
+    """Runs ``doc, th, s, e`` that cover every removed byte of ``texts(doc, th, b)`` (they may overlap)."""
+    with Scratch(texts.sparkSession) as scratch:
+        base = scratch.table(texts.select("doc", "th", F.sha2("b", 256).alias("sha"), F.octet_length("b").alias("n")).where(F.col("n") >= span), "texts")
+        total = base.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+        firsts = base.groupBy("sha").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+        copies = scratch.table(base.join(firsts, "sha").where("doc > least").select("doc", "th", "n").distinct(), "copies")
+        gone = copies.select("doc", "th")
+        if copies.count() <= BROADCAST_ROWS:
+            gone = F.broadcast(gone)
+        rest = texts.where(F.octet_length("b") >= span).join(gone, ["doc", "th"], "left_anti")
+        if repeats:
+            rest = rest.dropDuplicates(["doc", "th"])
+        asked = scratch.table(asked_windows(spots(rest, max(1, total // sizes.bucket), span, sizes)), "asked")
+        windows = scratch.table(read_windows(rest, asked, span, sizes), "windows")
+        open_ = windows.where("key is not null")
+        large = scratch.table(open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > sizes.key_rows).select("key"), "large")
+        n = large.count()
+        large = F.broadcast(large) if n <= BROADCAST_ROWS else large
+        runs = windows.where("key is null").select("doc", "th", "s", "e")
+        runs = runs.unionByName(copies.select("doc", "th", F.lit(0).alias("s"), F.col("n").cast("int").alias("e")))
+        runs = runs.unionByName(merge_windows(open_.join(large, "key", "left_anti") if n else open_, span, sizes))
+        if n:
+            runs = runs.unionByName(group_grams(open_.join(large, "key", "left_semi"), span))
+        return materialize(runs, "runs")
+
+
+def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, sizes: Sizes = SIZES) -> DataFrame:
     """Per row ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and ``kept`` (the bytes that stay).
 
     Null and empty texts: nothing. Rows with a null id count as after all ids: they lose what any other
     row has, and nothing to each other. Rows that repeat an id lose nothing to each other. Strings are
     judged on the input. Other columns are not read; empty in, empty out.
     """
-    runs = repeated_runs(df, key, text, span)
+    doc_id = F.col(f"`{key}`").cast("long")
+    body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    th, repeats = row_hash(df, key, body)
+    src = df.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(NO_ID)).alias("doc"), th.alias("th"), body.alias("b"))
+    runs = repeated_runs(src.select("doc", "th", "b"), repeats, span, sizes)
     # a row's runs follow its length: united by maximum of end over start before they travel
     merged = runs.groupBy("doc", "th", "s").agg(F.max("e").alias("e")).groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("runs"))
-    body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    src = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("doc"), row_hash(df, key, body).alias("th"), body.alias("b"))
     joined = src.join(merged.hint("shuffle_hash"), ["doc", "th"], "left").select("doc_id", "b", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

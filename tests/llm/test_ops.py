@@ -367,13 +367,21 @@ def test_repeats_inside_a_document(spark, parts):
     assert got == brute_repeats(rows, 50)
 
 
-def test_crowded_windows(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "CROWD", 3)
+@pytest.mark.parametrize(
+    "sizes",
+    [
+        suffix_dedup.Sizes(segment=128, flush=600, bucket=200, merge=64, shards=3, crowd=3, key_rows=1 << 14),
+        suffix_dedup.Sizes(segment=1 << 18, flush=4000, bucket=900, merge=1 << 20, shards=2, crowd=1 << 10, key_rows=4),
+        suffix_dedup.Sizes(segment=200, flush=1 << 20, bucket=1 << 20, merge=1, shards=1, crowd=5, key_rows=2),
+    ],
+)
+def test_crowded_windows_at_small_sizes(spark, sizes):
     rnd = random.Random(9)
     line = "".join(rnd.choice("abcdefgh ") for _ in range(70))
     rows = [(i, "".join(rnd.choice("xyzéw ") for _ in range(rnd.randint(0, 60))) + line[rnd.randint(0, 12) :] + "".join(rnd.choice("xyzw ") for _ in range(40))) for i in range(40)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.cut_repeats(df).collect())
+    rows += [(7, rows[3][1]), (2, rows[2][1]), (None, rows[1][1] + "z"), (None, None), (50, "long " * 300 + rows[8][1]), (51, rows[8][1] + "long " * 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.cut_repeats(df, sizes=sizes).collect())
     assert got == brute_repeats(rows, 50)
 
 
