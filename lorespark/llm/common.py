@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a Parquet row group, which a writer holds in memory.
+ROW_GROUP = 16 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset in local mode (tests)."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
@@ -31,12 +35,9 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return read_written(df.sparkSession, write_table(df, what), df)
 
 
-def write_table(df: DataFrame, what: str, block_bytes: int | None = None) -> str:
+def write_table(df: DataFrame, what: str, block_bytes: int = ROW_GROUP) -> str:
     path = new_path(df.sparkSession, what)
-    writer = df.write.option("compression", "zstd")
-    if block_bytes:
-        writer = writer.option("parquet.block.size", str(block_bytes))
-    writer.parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", str(block_bytes)).parquet(path)
     return path
 
 
@@ -51,7 +52,7 @@ class Scratch:
 
     def table(self, df: DataFrame, what: str) -> DataFrame:
         path = f"{self.path}/{what}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP)).parquet(path)
         return read_written(self.spark, path, df)
 
     def __exit__(self, *_) -> None:

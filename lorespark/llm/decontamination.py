@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 #: that each is for. Every placing with 70 % of an item or 11 of 13 neighbours in place holds one: true of all
 #: patterns of each length up to 19 (the tests enumerate them), and longer ones can be cut into lengths from 10 to 19.
 SEEDS = (("11101", 10, None), ("100111", 10, None), ("11000011", 10, None), ("100001011", 10, None), ("111", 3, 9), ("1101", 4, 9), ("1011", 4, 9), ("11", 2, 2), ("1", 1, 1))
-#: Masks of the oracle's SQL, which finds no more than these hit.
-MASKS = ("1110110111", "1101011000110111")
 #: Largest number of distinct item hashes that is broadcast; more are joined by shuffle.
 BROADCAST_SEEDS = 1_000_000
 
@@ -67,25 +65,20 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_ke
 
 def placings(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", window: int = 13, least_window: float = 0.8, least_item: float = 0.7, seeds: tuple[tuple[str, int, int | None], ...] = SEEDS) -> DataFrame:
     """The placings of ``overlaps`` that qualify, once a text: ``doc_id, th`` (the text's xxhash64), ``item_id`` and counts."""
-    tests = items.select(F.col(f"`{item_key}`").alias("item_id"), token_hashes(F.col(f"`{text}`")).alias("item"))
-    item_seeds = tests.select("item_id", "item", F.explode(seed_hashes(F.col("item"), seeds)).alias("s")).select("item_id", "item", F.col("s.at").alias("item_at"), F.col("s.seed").alias("seed")).distinct()
+    tests = items.select(F.col(f"`{item_key}`").alias("item_id"), token_hashes(F.col(f"`{text}`")).alias("item")).withColumn("ih", F.xxhash64("item")).distinct()
+    item_seeds = tests.select("ih", F.size("item").alias("n_item"), F.explode(seed_hashes(F.col("item"), seeds)).alias("s")).select("ih", "n_item", F.col("s.at").alias("item_at"), F.col("s.seed").alias("seed")).distinct()
     sizes = tests.select(F.size("item").alias("n")).distinct()
     used = sizes.agg(*[F.max((F.col("n") >= least) & (F.lit(True) if most is None else F.col("n") <= most)) for _, least, most in seeds]).first()
     masks = [(m, mask) for m, (mask, _, _) in enumerate(seeds) if used[m]] or [(0, seeds[0][0])]
     item_seeds = _checked_broadcast(item_seeds, item_seeds.count(), BROADCAST_SEEDS)
     tokens = docs.select(F.col(f"`{doc_key}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("th"), token_hashes(F.col(f"`{text}`")).alias("tokens"))
-    # one array of plain longs a text: the masks' seeds one after the other
-    firsts = [F.lit(0)]
-    for _, mask in masks[:-1]:
-        firsts.append(firsts[-1] + F.greatest(F.size("tokens") - len(mask) + 1, F.lit(0)))
-    own_seeds = F.concat(*[_plain_seeds(F.col("tokens"), mask, m) for m, mask in masks])
-    placed = tokens.select("doc_id", "th", "tokens", F.posexplode(own_seeds).alias("pos", "seed"))
-    at = F.col("pos") - F.coalesce(*[F.when(F.col("pos") >= f, f) for f in reversed(firsts)])
-    hits = placed.join(item_seeds, "seed").withColumn("diag", at - F.col("item_at"))
-    skip = F.greatest(-F.col("diag"), F.lit(0))
-    laid = hits.select("doc_id", "th", "item_id", "item", "diag", F.slice("tokens", F.greatest("diag", F.lit(0)) + 1, F.size("item") - skip).alias("own"))
-    laid = laid.groupBy("doc_id", "th", "item_id", F.xxhash64("item").alias("ih"), "diag").agg(F.first("item").alias("item"), F.first("own").alias("own"))
+    # places are exploded before they are hashed, so that hashing and looking up run in generated code
+    placed = tokens.where(F.size("tokens") > 0).select("doc_id", "th", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)).alias("at"))
+    placed = placed.select("doc_id", "th", "tokens", "at", F.explode(F.array(*[_seed(F.col("tokens"), F.col("at"), mask, m) for m, mask in masks])).alias("seed"))
+    hits = placed.join(item_seeds, "seed").withColumn("diag", F.col("at") - F.col("item_at"))
     skip = F.greatest(-F.col("diag"), F.lit(0))
+    laid = hits.select("doc_id", "th", "ih", "diag", F.slice("tokens", F.greatest("diag", F.lit(0)) + 1, F.col("n_item") - skip).alias("own"))
+    laid = laid.groupBy("doc_id", "th", "ih", "diag").agg(F.first("own").alias("own")).join(tests, "ih")
     same = F.transform("item", lambda t, i: F.coalesce((F.get("own", i - skip) == t) & (i >= skip), F.lit(False)).cast("int"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     laid = laid.withColumn("same", same)
@@ -96,25 +89,23 @@ def placings(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_ke
     good = (F.col("best_window") >= F.ceil(F.lit(least_window) * F.col("width"))) | (F.col("n_match") >= F.ceil(F.lit(least_item) * F.col("n_item")))
     return scored.where(good)
 
-def _plain_seeds(tokens: F.Column, mask: str, m: int) -> F.Column:
+
+def _seed(tokens: F.Column, at: F.Column, mask: str, m: int) -> F.Column:
+    """Hash of the masked tokens from ``at`` on; null where the mask does not fit."""
     on = [i for i, c in enumerate(mask) if c == "1"]
-    return F.transform(_places(tokens, mask), lambda i: F.xxhash64(F.lit(m), *[F.get(tokens, i + o) for o in on]))
+    return F.when(at + len(mask) <= F.size(tokens), F.xxhash64(F.lit(m), *[F.get(tokens, at + o) for o in on]))
 
 
-def oracle(window: int = 13, least_window: float = 0.8, least_item: float = 0.7, masks: tuple[str, ...] = MASKS) -> str:
-    """The same rows in DuckDB SQL, comparing the tokens themselves in place of hashes."""
+def oracle(window: int = 13, least_window: float = 0.8, least_item: float = 0.7) -> str:
+    """The same rows in DuckDB SQL without seeds: equal tokens of every text and item are counted by placing."""
     cut = "list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"
-    seeds = " UNION ALL ".join(
-        f"SELECT id, t, p.i AS at, {m} AS m, concat_ws(' ', {', '.join(f't[p.i + {o + 1}]' for o, c in enumerate(mask) if c == '1')}) AS seed FROM {{0}}, LATERAL (SELECT unnest(range(0, len(t) - {len(mask)} + 1)) AS i) p"
-        for m, mask in enumerate(masks)
-    )
     return f"""
-WITH d AS (SELECT doc_id AS id, {cut} AS t FROM documents), b AS (SELECT item_id AS id, {cut} AS t FROM benchmark),
-ds AS ({seeds.format("d")}), bs AS ({seeds.format("b")}),
-laid AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.at - bs.at AS diag, ds.t AS own, bs.t AS item FROM ds JOIN bs ON ds.m = bs.m AND ds.seed = bs.seed),
-same AS (SELECT doc_id, item_id, diag, len(item) AS n_item, list_transform(range(1, len(item) + 1), lambda k: CASE WHEN k + diag >= 1 AND own[CAST(greatest(k + diag, 1) AS BIGINT)] = item[k] THEN 1 ELSE 0 END) AS s FROM laid),
-scored AS (SELECT doc_id, item_id, n_item, CAST(list_sum(s) AS BIGINT) AS n_match, least({window}, n_item) AS width,
-  CAST(list_max(list_transform(range(1, n_item - least({window}, n_item) + 2), lambda k: list_sum(list_slice(s, k, k + least({window}, n_item) - 1)))) AS BIGINT) AS best_window FROM same)
+WITH d AS (SELECT doc_id, {cut} AS t FROM documents), b AS (SELECT DISTINCT item_id, {cut} AS t FROM benchmark),
+dt AS (SELECT doc_id, unnest(t) AS w, unnest(range(len(t))) AS at FROM d), bt AS (SELECT item_id, len(t) AS n_item, unnest(t) AS w, unnest(range(len(t))) AS at FROM b),
+counted AS (SELECT doc_id, item_id, n_item, dt.at - bt.at AS diag, count(*) AS n_match, list(bt.at) AS places FROM dt JOIN bt USING (w)
+  GROUP BY doc_id, item_id, n_item, diag HAVING count(*) >= least(ceil({least_window} * least({window}, n_item)), ceil({least_item} * n_item))),
+scored AS (SELECT *, least({window}, n_item) AS width,
+  CAST(list_max(list_transform(range(0, n_item - least({window}, n_item) + 1), lambda k: len(list_filter(places, lambda x: x >= k AND x < k + least({window}, n_item))))) AS BIGINT) AS best_window FROM counted)
 SELECT doc_id, item_id, CAST(max(n_item) AS INTEGER) AS n_item, CAST(max(n_match) AS INTEGER) AS n_match, CAST(max(best_window) AS INTEGER) AS best_window, count(*) AS n_places
 FROM scored WHERE best_window >= ceil({least_window} * width) OR n_match >= ceil({least_item} * n_item) GROUP BY doc_id, item_id
 """

@@ -7,17 +7,27 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LETTERS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]+")
 #: Lengths of n-grams of a padded word, ranks of a profile, rows that a language's profile is learned from.
 NGRAMS, RANKS, TRAIN_ROWS = (1, 2, 3), 300, 3000
 UNKNOWN = "und"
+_FOUND = "__lorespark_language__"
 _MEMO_WORDS, _MEMO_GRAMS = 100_000, 200_000
 
 
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters of the lower-case text."""
+    found = _WORDS.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
 def grams(word: str) -> list[str]:
     padded = f"_{word}_"
     return [padded[i : i + n] for n in NGRAMS for i in range(len(padded) - n + 1)]
@@ -40,7 +50,7 @@ def learn_profiles(labelled: DataFrame, text: str, lang: str, sample_key: F.Colu
         for b in batches:
             words: dict[str, Counter] = {}
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words.setdefault(k, Counter()).update(LETTERS.findall(t.lower()))
+                words.setdefault(k, Counter()).update(letter_runs(t))
             for k, own in words.items():
                 total: Counter = Counter()
                 for w, n in own.items():
@@ -80,7 +90,7 @@ class Ranker:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score). Nothing to compare, no letter or null: unknown, 0. Ties: the first language by name."""
-        counts = Counter(LETTERS.findall(text.lower())) if text else None
+        counts = Counter(letter_runs(text)) if text else None
         if not counts or not self.langs:
             return UNKNOWN, 0.0
         if len(self.words) > _MEMO_WORDS or len(self.ids) > _MEMO_GRAMS:
@@ -112,15 +122,14 @@ def predict_languages(df: DataFrame, profiles: dict[str, dict[str, int]], text:
     Profiles (bounded: languages x ranks) travel with the function. Null texts and texts without a
     letter: ``und`` with score 0. Whole texts, every row; an empty table stays empty.
     """
-    keep = [c for c in df.columns if c not in ("lang_pred", "score")]
-    src = df.select(*[F.col(f"`{c}`") for c in keep])
-    schema = src.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
-    at = keep.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ranker = Ranker(profiles)
-        for b in batches:
-            found = [ranker.predict(t.as_py()) for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
-
-    return src.mapInArrow(run, schema)
+        for batch in texts:
+            yield pd.DataFrame([ranker.predict(t) for t in batch], columns=["lang_pred", "score"]).astype({"lang_pred": object, "score": float})
+
+    # a function of the text alone: other columns do not travel to Python and back
+    found = F.pandas_udf(run, "lang_pred string, score double")(F.col(f"`{text}`"))
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")]
+    made = df.select(*keep, found.alias(_FOUND))
+    return made.select(*keep, F.col(f"{_FOUND}.lang_pred").alias("lang_pred"), F.col(f"{_FOUND}.score").alias("score"))

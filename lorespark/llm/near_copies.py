@@ -1,8 +1,8 @@
 """Near copies by exact Jaccard similarity of shingle sets; fingerprints only find the candidates.
 
-A 64-bit SimHash puts pairs at similarity 0.8 about ten bits apart, and no grid of 64 bits can search so
-wide a radius. Candidates therefore come from several short fingerprints of each set: BANDS of ROWS
-min-wise values, of which a pair at similarity J shares one with probability 1 - (1 - J^ROWS)^BANDS
+The SimHash operator's grid join links fingerprints within three bits. It puts pairs at similarity 0.8 about
+ten bits apart, and no grid of 64 bits can search so wide a radius, so further candidates come from several
+short fingerprints of each set: BANDS of ROWS min-wise values, of which a pair at similarity J shares one with probability 1 - (1 - J^ROWS)^BANDS
 (all but 3 in a million at 0.8, fewer above). Every link is verified on the sets themselves.
 """
 
@@ -11,12 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import connected_components, materialize
+from .simhash import majority, near_links
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -27,8 +28,8 @@ _MULTIPLY, _ADD = np.random.default_rng(4).integers(0, 1 << 64, (2, BANDS * ROWS
 _MULTIPLY |= _U(1)
 
 
-def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct XXH64 of the word runs; a text of fewer words is one run, one without words has none."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of the word runs, repeats included; a text of fewer words is one run, one without words has none."""
     import xxhash
 
     h, join = xxhash.xxh64_intdigest, b" ".join
@@ -36,7 +37,12 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     if not words:
         return np.zeros(0, _U)
     runs = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words]
-    return np.unique(np.array([h(join(s), 42) for s in runs], _U))
+    return np.array([h(join(s), 42) for s in runs], _U)
+
+
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the word runs."""
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def band_keys(have: np.ndarray) -> np.ndarray:
@@ -56,23 +62,25 @@ def band_keys(have: np.ndarray) -> np.ndarray:
 
 
 def keyed_rows(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with ``__row__`` (its own number), ``__node__`` (its shingle set's hash) and ``__bands__``; written."""
-    import xxhash
+    """``docs`` with ``__row__`` (its own number), ``__node__`` (its shingle set's hash), ``__fp__`` and ``__bands__``; written."""
 
-    src = docs.withColumn("__row__", F.monotonically_increasing_id())
-    at = src.columns.index(text)
-    schema = T.StructType([*src.schema.fields, T.StructField("__node__", T.LongType()), T.StructField("__bands__", T.ArrayType(T.LongType()))])
+    def keys(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import xxhash
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            nodes, bands = [], []
-            for t in b.column(at):
-                have = shingle_set(t.as_py(), shingle)
+        for batch in texts:
+            nodes, fps, bands = [], [], []
+            for t in batch:
+                every = shingle_hashes(t, shingle)
+                have = np.unique(every)
                 nodes.append(xxhash.xxh64_intdigest(have.tobytes(), 42))
+                fps.append(majority(every) if len(every) else 0)
                 bands.append(band_keys(have))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(nodes, _U).view("<i8")), pa.array(bands, pa.list_(pa.int64()))], names=[*b.schema.names, "__node__", "__bands__"])
+            yield pd.DataFrame({"node": np.array(nodes, _U).view("<i8"), "fp": np.array(fps, _U).view("<i8"), "bands": pd.Series(bands, dtype=object)})
 
-    return materialize(src.mapInArrow(run, schema), "keyed")
+    made = F.pandas_udf(keys, "node long, fp long, bands array<long>")
+    src = docs.withColumn("__row__", F.monotonically_increasing_id()).withColumn("__keys__", made(F.col(f"`{text}`")))
+    plain = src.withColumns({"__node__": F.col("__keys__.node"), "__fp__": F.col("__keys__.fp"), "__bands__": F.col("__keys__.bands")}).drop("__keys__")
+    return materialize(plain, "keyed")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -86,11 +94,19 @@ def node_components(keyed: DataFrame, text: str = "text", shingle: int = SHINGLE
     band's bucket is first tried against its least node; then only pairs that are still in different
     components, so a cluster of many near copies is not compared pair by pair.
     """
-    nodes = keyed.groupBy("__node__").agg(F.min("__row__").alias("row"), F.first("__bands__").alias("bands"))
+    nodes = keyed.groupBy("__node__").agg(F.min("__row__").alias("row"), F.first("__fp__").alias("fp"), F.first("__bands__").alias("bands"))
+    prints = materialize(nodes.groupBy("fp").agg(F.min("__node__").alias("least"), F.count(F.lit(1)).alias("n")), "prints")
+    near = near_links(prints.select("fp"))
+    least = prints.select("fp", "least")
+    apart = near.join(least.toDF("u", "a"), "u").join(least.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    equal = nodes.select("fp", F.col("__node__").alias("v")).join(prints.where("n > 1").select("fp", F.col("least").alias("u")), "fp").where("u <> v").select("u", "v")
+    by_print = apart.union(equal).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     each = nodes.select(F.col("__node__").alias("node"), "row", F.posexplode("bands").alias("n", "c"))
     shared = each.groupBy("n", "c").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where("size > 1").drop("size")
     members = materialize(each.join(shared, ["n", "c"]), "buckets")
-    rows = members.select("row").distinct()
+    by_print = materialize(by_print.distinct(), "pairs")
+    linked = by_print.select(F.explode(F.array("u", "v")).alias("__node__")).distinct()
+    rows = members.select("row").union(nodes.join(linked, "__node__").select("row")).distinct()
     wanted = _small(rows.withColumnRenamed("row", "__row__"), rows.count())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +120,7 @@ def node_components(keyed: DataFrame, text: str = "text", shingle: int = SHINGLE
         common = F.size(F.array_intersect("a", "b"))
         return both.where(common / (F.size("a") + F.size("b") - common) >= similar).select("u", "v")
 
-    first = materialize(members.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
+    first = materialize(members.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).union(by_print).distinct(), "pairs")
     links = materialize(verified(first), "links")
     parts = connected_components(links)
     now = members.join(parts, "node", "left").select("n", "c", "node", F.coalesce("component", "node").alias("comp"))

@@ -33,8 +33,13 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     else:
         join = b" ".join
         hashed = [h(join(s), 42) for s in zip(*(words[i:] for i in range(shingle)), strict=False)]
+    return majority(np.array(hashed, "<u8"))
+
+
+def majority(hashed: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes, repeats included."""
     ones = np.zeros(64, np.int64)
-    raw = np.array(hashed, "<u8").view(np.uint8).reshape(-1, 8)
+    raw = hashed.view(np.uint8).reshape(-1, 8)
     for at in range(0, len(raw), 1 << 14):
         ones += np.unpackbits(raw[at : at + (1 << 14)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = (2 * ones > len(hashed)).astype(np.uint8)

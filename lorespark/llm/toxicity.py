@@ -24,14 +24,16 @@ WORDS = re.compile(r"[^\W\d_]+")
 TRAIN_ROWS, MODEL_UNITS, WINDOWS, SIDE = 4000, 2000, 6000, 8
 #: Lengths of the beginnings of words that are units.
 BEGINNINGS = (4, 5, 6, 7, 8)
+LONGEST = 40
 #: A unit is a label unit if this many rows of label 1 have it, and its rate there is this many times the other.
 LEAST_ROWS, LEAST_RATIO = 5, 12.0
 _TEXT = "__text__"
 
 
 def units(word: str) -> list[str]:
-    """The word itself (marked), and its beginnings."""
-    return ["=" + word, *(word[:k] for k in BEGINNINGS if len(word) >= k)]
+    """The word itself (marked; not of words over LONGEST letters), and its beginnings."""
+    own = ["=" + word] if len(word) <= LONGEST else []
+    return [*own, *(word[:k] for k in BEGINNINGS if len(word) >= k)]
 
 
 def _presence(sample: DataFrame) -> DataFrame:
@@ -57,7 +59,7 @@ def _windows(sample: DataFrame, label_units: frozenset[str], share: float) -> Da
         for b in batches:
             rows = []
             for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                words = [w[:40] for w in WORDS.findall((t.as_py() or "").lower())]
+                words = [w[: LONGEST + 1] for w in WORDS.findall((t.as_py() or "").lower())]
                 for at in range(SIDE, len(words) + SIDE, 2 * SIDE + 1):
                     own = words[at - SIDE : at + SIDE + 1]
                     marked = [not label_units.isdisjoint(units(w)) for w in own]

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lorespark.llm import decontamination, exact_topk, id_store, language, packing, pii, simhash, suffix_dedup, toxicity
+from lorespark.llm import decontamination, exact_topk, id_store, language, packing, pii, queries, simhash, suffix_dedup, toxicity
 from lorespark.llm.common import connected_components, crc_mod3
 from lorespark.llm.token_counts import token_counts
 from lorespark.llm.tokenizing import SegmentEncoder, tokenizer_path
@@ -271,6 +271,38 @@ def test_exact_topk(spark):
     assert one.collect() == []
 
 
+def out_of_place(text, profiles):
+    """Brute force: ranks by falling count; an n-gram's rank is the number of more frequent ones; the first language by name wins."""
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    counts = {}
+    for w in words:
+        for n in (1, 2, 3):
+            for i in range(len(w) + 3 - n):
+                g = f"_{w}_"[i : i + n]
+                counts[g] = counts.get(g, 0) + 1
+    if not counts:
+        return "und"
+    ranks = {g: r for g, n in counts.items() if (r := sum(m > n for m in counts.values())) < language.RANKS}
+    away = {k: sum(abs(p.get(g, language.RANKS) - r) for g, r in ranks.items()) for k, p in profiles.items()}
+    return min(sorted(away), key=away.get)
+
+
+def test_language_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    profiles = language.learn_profiles(docs.where(crc_mod3(F.col("doc_id")) != 1), "text", "lang", F.col("doc_id"))
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    rows = queries.op7_language_id(spark, sf).collect()
+    assert len(rows) == len(texts) and list(rows[0].asDict()) == ["doc_id", "held_out", "lang_pred", "score"]
+    for r in rows:
+        assert r["lang_pred"] == out_of_place(texts[r["doc_id"]] or "", profiles)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1
+
+
+def test_letters():
+    assert language.letter_runs("² ½ Ⅳ ٣") == [] and language.letter_runs("ab²c Éé") == ["ab", "c", "éé"]
+
+
 def test_language(spark, empty):
     rnd = random.Random(8)
     kinds = {"aa": ["papa", "tapa", "kapat", "taka"], "bb": ["mimo", "nimol", "limo", "ilom"]}
