@@ -80,6 +80,19 @@ def _fold(text: str) -> str:
     return re.sub(r"[^a-z0-9]+", "", unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().lower())
 
 
+_ASCII = r"^[\x00-\x7F]*$"
+
+
+def folded(c) -> Column:
+    """``fold`` of any text; only rows with other than ASCII letters go through Python."""
+    return F.when(col(c).rlike(_ASCII), fold_ascii(c)).otherwise(fold(F.when(~col(c).rlike(_ASCII), col(c))))
+
+
+def any_name_key(c) -> Column:
+    """``name_key`` of any name; only rows with other than ASCII letters go through Python."""
+    return F.when(col(c).rlike(_ASCII), name_key(c)).otherwise(name_key_udf(F.when(~col(c).rlike(_ASCII), col(c))))
+
+
 def normalize_title(c) -> Column:
     """Lower case, letters, digits and single spaces."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(col(c)), r"[^a-z0-9 ]", ""), r"\s+", " "))
@@ -92,7 +105,7 @@ def work_key(doi, openalex_id, paper_id, lowercase_doi: bool = False) -> Column:
 
 
 def institution_key(affiliation_id, name) -> Column:
-    return F.coalesce(F.concat(F.lit("ror:"), F.lower(blank_to_null(affiliation_id))), F.concat(F.lit("inst:"), F.nullif(fold_ascii(name), F.lit(""))))
+    return F.coalesce(F.concat(F.lit("ror:"), F.lower(blank_to_null(affiliation_id))), F.concat(F.lit("inst:"), F.nullif(folded(name), F.lit(""))))
 
 
 def name_key(c) -> Column:

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import ids as I
 
 # Folded tokens that are placeholders, not names.
-PLACEHOLDERS = ("al", "anon", "anonymous", "author", "authors", "corresponding", "dr", "et", "etal", "mr", "mrs", "ms", "na", "name", "none", "null", "prof", "test", "unknown")
+PLACEHOLDERS = ("al", "anon", "anonymous", "author", "authors", "corresponding", "dr", "et", "etal", "na", "none", "null", "staff", "tbd", "test", "the", "unknown", "unnamed", "various")
 
 
 def given_name(name) -> F.Column:
-    """First given token of an ASCII display name, folded; empty if there is none."""
+    """First given token of a display name, folded; empty if there is none."""
     c = F.col(name) if isinstance(name, str) else name
     raw = F.trim(c)
     rest = F.when(F.locate(",", raw) > 0, F.trim(F.regexp_replace(raw, r"^[^,]*,", ""))).when(F.size(F.split(raw, r"\s+")) > 1, raw).otherwise(F.lit(""))
-    return I.fold_ascii(F.element_at(F.split(rest, r"[\s.\-]+"), 1))
+    return I.folded(F.element_at(F.split(rest, r"[\s.\-]+"), 1))
 
 
 def strength(a, b) -> F.Column:
@@ -32,9 +32,9 @@ def resolve(asked: DataFrame, profiles: DataFrame) -> DataFrame:
     One equi-join on the folded name key in place of a scan of all profiles. Outcomes: exact, bind,
     defer (rid null, with the number of candidates), mint (a deterministic local id), refuse.
     """
-    key = I.name_key("name")
+    key = I.any_name_key("name")
     mine = asked.withColumn("key", key).withColumn("g", given_name("name"))
-    known = profiles.where(F.coalesce("tier", F.lit("public")) != "private").select(F.col("rid").alias("cand"), I.name_key("name").alias("key"), given_name("name").alias("cg"), F.lower(F.trim("affiliation")).alias("ca"))
+    known = profiles.where(F.coalesce("tier", F.lit("public")) != "private").select(F.col("rid").alias("cand"), I.any_name_key("name").alias("key"), given_name("name").alias("cg"), F.lower(F.trim("affiliation")).alias("ca"))
     a = F.lower(F.trim("affiliation"))
     pairs = mine.where("rid is null").join(known, "key").withColumn("s", strength(F.col("g"), F.col("cg"))).where("s is not null")
     both = (F.coalesce(a, F.lit("")) != "") & (F.coalesce(F.col("ca"), F.lit("")) != "")

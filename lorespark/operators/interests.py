@@ -33,18 +33,40 @@ def effective(interests: DataFrame) -> DataFrame:
     return interests.withColumn("concept", key).withColumn("position", F.min("ordinal").over(w)).withColumn("r", rank).where("r = 1").drop("r")
 
 
-def topic_score(works: DataFrame, interests: DataFrame) -> DataFrame:
-    """``works(work, topic)`` against ``interests(profile, code, weight, method, share)``.
+def topic_code(topic) -> F.Column:
+    """The topic's id: what follows the last slash of its IRI, in upper case."""
+    return F.upper(F.element_at(F.split(F.col(topic) if isinstance(topic, str) else topic, "/"), -1))
 
-    Declared weights add up; one of -1 or less makes the score null; other entries add half their share.
+
+def topic_score(works: DataFrame, interests: DataFrame, system: str | None = None) -> DataFrame:
+    """``works(work, topic)`` against effective ``interests(profile, system, code, weight, method, share)``.
+
+    Topics meet codes on the exact id, within the vocabulary ``system`` if one is given. Declared weights
+    add up; one of -1 or less makes the score null; an entry without a declared weight adds half its share.
     """
-    pairs = works.select("work", F.upper("topic").alias("code")).distinct().join(interests.withColumn("code", F.upper("code")), "code")
-    declared = F.col("method") == "declared"
-    part = F.when(declared, F.coalesce("weight", F.lit(0.0))).otherwise(0.5 * F.coalesce("share", F.lit(0.0)))
+    own = interests if system is None else interests.where(F.col("system") == system)
+    pairs = works.select("work", topic_code("topic").alias("code")).distinct().join(own, "code")
+    declared = (F.col("method") == "declared") & F.col("weight").isNotNull()
+    part = F.when(declared, F.col("weight")).otherwise(0.5 * F.coalesce("share", F.lit(0.0)))
     out = F.coalesce(F.bool_or(declared & (F.col("weight") <= -1)), F.lit(False))
     return pairs.groupBy("profile", "work").agg(F.when(~out, F.sum(part)).alias("topic_score"))
 
 
+def topic_matches(works: DataFrame, interests: DataFrame, system: str | None = None) -> DataFrame:
+    """``profile, work, topics``: labels of a work's topics that raise it, in the order of ``works(work, ordinal, topic)``."""
+    own = interests if system is None else interests.where(F.col("system") == system)
+    pairs = works.groupBy("work", topic_code("topic").alias("code")).agg(F.min("ordinal").alias("ordinal")).join(own, "code")
+    declared = (F.col("method") == "declared") & F.col("weight").isNotNull()
+    raises = F.when(declared, F.col("weight") > 0).otherwise(F.coalesce("share", F.lit(0.0)) != 0)
+    named = F.struct("ordinal", F.coalesce("label", "code").alias("label"))
+    return pairs.where(raises).groupBy("profile", "work").agg(F.transform(F.array_sort(F.collect_list(named)), lambda s: s["label"]).alias("topics"))
+
+
+def shared_topics(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``left(profile, code)`` and ``right(asked, code)``: sorted codes that both have, of pairs that share one."""
+    return left.distinct().join(right.distinct(), "code").groupBy("profile", "asked").agg(F.array_sort(F.collect_list("code")).alias("topics"))
+
+
 def project(interests: DataFrame) -> DataFrame:
     """Labels by sign of weight, in order; null and 0 in neither."""
     own = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("position", "label")))), lambda s: s["label"])

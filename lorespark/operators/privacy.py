@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tiers as T
+from ..session import settled
+
+# Prefixes of files that are always private, and the access-right terms of the tiers.
+PRIVATE_PREFIXES = (".cache/", ".keys/")
+ACCESS_RIGHTS = {tier: f"http://publications.europa.eu/resource/authority/access-right/{term}" for tier, term in (("public", "PUBLIC"), ("limited", "RESTRICTED"), ("private", "NON_PUBLIC"))}
 
 
 def derivations(artifacts: DataFrame) -> DataFrame:
@@ -23,33 +28,32 @@ def unresolved(artifacts: DataFrame) -> DataFrame:
     return refs.join(known, ["profile", "ref"], "left_anti").select("profile", "url", "ref")
 
 
-def effective_tiers(artifacts: DataFrame, profile_tiers: DataFrame, max_depth: int = 32) -> DataFrame:
+def effective_tiers(artifacts: DataFrame, profile_tiers: DataFrame) -> DataFrame:
     """Tier of each artifact: the most restrictive of profile, own and all sources' tiers, and whether a cycle is behind it.
 
-    Ordinals only rise, so passes stop when none rises; passes are as many as the longest chain.
-    A cycle fails closed: what derives from itself is private.
+    An artifact without a declared tier has its role's default. Ordinals only rise, so passes stop when none
+    rises; each pass is checkpointed, and no chain is too long. A cycle fails closed: what derives from itself is private.
     """
-    edges = derivations(artifacts).cache()
-    now = artifacts.join(profile_tiers, "profile", "left").select("profile", "url", F.greatest(F.coalesce(T.ordinal("profile_tier"), F.lit(0)), F.coalesce(T.ordinal("tier"), F.lit(0))).alias("n")).cache()
-    for _ in range(max_depth):
+    edges = settled(derivations(artifacts))
+    own = F.coalesce(T.ordinal("tier"), T.ordinal(T.role_tier("role")))
+    now = artifacts.join(profile_tiers, "profile", "left").select("profile", "url", F.greatest(F.coalesce(T.ordinal("profile_tier"), F.lit(0)), own).alias("n"))
+    rose = not edges.isEmpty()
+    while rose:
         from_sources = edges.join(now.select("profile", F.col("url").alias("source"), "n"), ["profile", "source"]).groupBy("profile", "url").agg(F.max("n").alias("up"))
-        new = now.join(from_sources, ["profile", "url"], "left").select("profile", "url", F.greatest("n", F.coalesce("up", F.lit(0))).alias("n"), (F.coalesce("up", F.lit(0)) > F.col("n")).alias("rose")).cache()
-        rose = new.where("rose").limit(1).count()
+        new = settled(now.join(from_sources, ["profile", "url"], "left").select("profile", "url", F.greatest("n", F.coalesce("up", F.lit(0))).alias("n"), (F.coalesce("up", F.lit(0)) > F.col("n")).alias("rose")))
+        rose = not new.where("rose").isEmpty()
         now = new.drop("rose")
-        if not rose:
-            break
     cyclic = _on_cycle(edges)
     out = now.join(cyclic.withColumn("cyclic", F.lit(True)), ["profile", "url"], "left")
     return out.select("profile", "url", F.when(F.col("cyclic"), F.lit("private")).otherwise(T.tier_name("n")).alias("tier"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
-def _on_cycle(edges: DataFrame, rounds: int = 32) -> DataFrame:
+def _on_cycle(edges: DataFrame) -> DataFrame:
     """Artifacts that a cycle feeds: what is left when artifacts without sources are taken away again and again."""
-    left = edges
-    n = left.count()
-    for _ in range(rounds):
+    left, n = edges, edges.count()
+    while n:
         has = left.select("profile", F.col("url").alias("source")).distinct()
-        left = left.join(has, ["profile", "source"], "left_semi").select("profile", "url", "source").cache()
+        left = settled(left.join(has, ["profile", "source"], "left_semi").select("profile", "url", "source"))
         m = left.count()
         if m == n:
             break
@@ -57,11 +61,77 @@ def _on_cycle(edges: DataFrame, rounds: int = 32) -> DataFrame:
     return left.select("profile", "url").distinct()
 
 
-def chunk_tiers(chunks: DataFrame, effective: DataFrame, profile_tiers: DataFrame) -> DataFrame:
-    """``chunks(profile, chunk_id, source_type, url)`` with ``tier``: profile, role default and artifact; unknown types are private."""
+def cyclic_profiles(effective: DataFrame) -> DataFrame:
+    """Profiles with a derivation cycle, which fail closed as a whole."""
+    return effective.where("cyclic").select("profile", F.lit(True).alias("broken")).distinct()
+
+
+def chunk_tiers(chunks: DataFrame, effective: DataFrame, profile_tiers: DataFrame, soul_tiers: DataFrame | None = None) -> DataFrame:
+    """``chunks(profile, chunk_id, source_type, url)`` with ``tier``: profile, role default, artifact and, of ``soul``, its section.
+
+    ``soul_tiers(profile, soul_tier)``: declared tiers of that section. Private: unknown types, files under
+    PRIVATE_PREFIXES, and all chunks of a profile with a derivation cycle.
+    """
     role = T.chunk_role("source_type")
     own = chunks.join(profile_tiers, "profile", "left").join(effective.select("profile", "url", F.col("tier").alias("artifact_tier")), ["profile", "url"], "left")
-    return own.withColumn("tier", F.when(role.isNull(), F.lit("private")).otherwise(T.most_restrictive("profile_tier", T.role_tier(role), "artifact_tier"))).drop("artifact_tier", "profile_tier")
+    own = own.join(cyclic_profiles(effective), "profile", "left")
+    own = own.join(soul_tiers, "profile", "left") if soul_tiers is not None else own.withColumn("soul_tier", F.lit(None).cast("string"))
+    hidden = role.isNull() | F.coalesce("broken", F.lit(False))
+    for prefix in PRIVATE_PREFIXES:
+        hidden = hidden | F.coalesce(F.startswith("url", F.lit(prefix)), F.lit(False))
+    section = F.when(F.col("source_type") == "soul", F.col("soul_tier"))
+    tier = F.when(hidden, F.lit("private")).otherwise(T.most_restrictive("profile_tier", T.role_tier(role), "artifact_tier", section))
+    return own.withColumn("tier", tier).drop("artifact_tier", "profile_tier", "soul_tier", "broken")
+
+
+def access_rights(artifacts: DataFrame, effective: DataFrame) -> DataFrame:
+    """``profile, url, access``: the access-right term of the effective tier; none of any artifact of a profile with a cycle."""
+    terms = F.create_map(*[F.lit(x) for kv in ACCESS_RIGHTS.items() for x in kv])
+    own = artifacts.select("profile", "url").join(effective, ["profile", "url"], "left").join(cyclic_profiles(effective), "profile", "left")
+    return own.select("profile", "url", F.when(F.col("broken").isNull(), F.try_element_at(terms, F.col("tier"))).alias("access"))
+
+
+def withheld_by_role(artifacts: DataFrame, effective: DataFrame, viewer: str = "public") -> DataFrame:
+    """``role, withheld``: artifacts whose effective tier the viewer may not see."""
+    own = artifacts.join(effective.select("profile", "url", F.col("tier").alias("effective")), ["profile", "url"])
+    return own.where(~T.allows(F.lit(viewer), "effective")).groupBy("role").agg(F.count(F.lit(1)).alias("withheld"))
+
+
+def size_index(artifacts: DataFrame, effective: DataFrame, sizes: DataFrame, viewer: str = "public") -> DataFrame:
+    """``url, reason, approx_tokens`` of artifacts with ``sizes(url, b)``: bytes over four where the viewer may read them."""
+    own = artifacts.join(sizes, "url").join(effective.select("profile", "url", F.col("tier").alias("effective")), ["profile", "url"])
+    seen = T.allows(F.lit(viewer), "effective")
+    return own.select("url", F.when(~seen, "not_permitted").when(F.col("b") == 0, "not_uploaded").alias("reason"), F.when(seen, F.floor(F.col("b") / 4)).alias("approx_tokens"))
+
+
+def project_sections(profiles: DataFrame, viewer: str, declared: str = "section_tiers", profile_tier: str = "profile_tier") -> DataFrame:
+    """Profiles without what the viewer may not see: fields of a section above the viewer become null, lists empty.
+
+    A section's tier is the most restrictive of the profile's and the one in the map ``declared``.
+    """
+    changed = {}
+    for section, fields in T.SECTIONS.items():
+        tier = T.most_restrictive(profile_tier, F.try_element_at(F.col(declared), F.lit(section)))
+        for name in fields:
+            if name in profiles.columns:
+                kind = profiles.schema[name].dataType
+                empty = F.array().cast(kind) if kind.typeName() == "array" else F.lit(None).cast(kind)
+                changed[name] = F.when(T.allows(F.lit(viewer), tier), F.col(name)).otherwise(empty)
+    return profiles.withColumns(changed) if changed else profiles
+
+
+def artifact_visible(refs: DataFrame, effective: DataFrame, profile_tiers: DataFrame, viewer: str) -> DataFrame:
+    """``refs(profile, url, role)`` with ``visible``; a file off the manifest has its profile's and role's defaults."""
+    own = refs.join(effective.select("profile", "url", F.col("tier").alias("effective")), ["profile", "url"], "left").join(profile_tiers, "profile", "left")
+    tier = F.coalesce("effective", T.most_restrictive("profile_tier", T.role_tier("role")))
+    return own.withColumn("visible", T.allows(F.lit(viewer), tier)).drop("effective", "profile_tier")
+
+
+def allowed_source_types(profile_tiers: DataFrame, viewer: str) -> DataFrame:
+    """``profile, types``: chunk source types whose defaults the viewer may see, in order; null means all."""
+    each = [F.when(T.allows(F.lit(viewer), T.most_restrictive("profile_tier", T.role_tier(F.lit(role)))), F.lit(kind)) for kind, role in sorted(T.CHUNK_ROLES.items())]
+    types = F.array_compact(F.array(*each))
+    return profile_tiers.select("profile", (F.lit(None).cast("array<string>") if viewer == "private" else types).alias("types"))
 
 
 def secure_view(df: DataFrame, viewer: str, tier: str = "tier") -> DataFrame:

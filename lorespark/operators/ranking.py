@@ -69,9 +69,16 @@ def calibration(cents: DataFrame, chunks: DataFrame, background: DataFrame, k: i
     return raw.groupBy("profile").agg(F.avg("raw").alias("mean"), F.stddev_pop("raw").alias("std"))
 
 
+#: Longest list that is diversified.
+MMR_ROWS = 10_000
+
+
 def mmr(df: DataFrame, k: int, lambda_: float = 0.5, score: str = "score", vec: str = "vec", order: str = "profile") -> DataFrame:
-    """Greedy diversification of one small candidate list (cut to at most 200 before)."""
-    top = df.orderBy(F.desc(score), order).limit(200)
+    """Greedy diversification of one candidate list; ``k`` rows or fewer stay in order of score.
+
+    The list is a ranking's head: its length is an argument of the caller's cut, and over MMR_ROWS is an error.
+    """
+    top = df.orderBy(F.desc(score), order).limit(MMR_ROWS + 1)
     schema = StructType([*df.schema.fields, StructField("pick", IntegerType())])
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -80,6 +87,10 @@ def mmr(df: DataFrame, k: int, lambda_: float = 0.5, score: str = "score", vec:
         m = np.array([v if v is not None else np.zeros(1) for v in pdf[vec]], dtype=object)
         dim = max((len(v) for v in m), default=1)
         x = np.array([np.resize(np.asarray(v, float), dim) if len(v) == dim else np.zeros(dim) for v in m])
+        if len(s) > MMR_ROWS:
+            raise ValueError(f"more than {MMR_ROWS} candidates: cut the list first")
+        if len(s) <= k:
+            return pdf.assign(pick=np.arange(1, len(s) + 1, dtype="int32"))
         n = np.linalg.norm(x, axis=1, keepdims=True)
         x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
         near, chosen, left = np.full(len(s), -np.inf), [], list(range(len(s)))
@@ -117,12 +128,13 @@ def match(cents: DataFrame, chunks: DataFrame, query: Column, calib: DataFrame |
     return mmr(scored, k, lambda_).drop("vec")
 
 
-def rank_works(works: DataFrame, vector: Column, k: int = 10, threshold: float | None = None, diversify: bool = False) -> DataFrame:
+def rank_works(works: DataFrame, vector: Column, k: int = 10, threshold: float | None = None, diversify: bool = False, pool: int = 200) -> DataFrame:
     """``works(work, v)`` by cosine to a profile's vector."""
     scored = works.withColumn("score", V.cosine("v", vector))
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
-    return mmr(scored, k, vec="v", order="work") if diversify else scored.orderBy(F.desc("score"), "work").limit(k)
+    # diversified among the best ``pool``
+    return mmr(scored.orderBy(F.desc("score"), "work").limit(max(pool, k)), k, vec="v", order="work") if diversify else scored.orderBy(F.desc("score"), "work").limit(k)
 
 
 def agreement(cos) -> Column:

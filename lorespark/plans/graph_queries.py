@@ -102,7 +102,8 @@ def tier_projection(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", T.redact_above("n_name", tier, F.lit("limited")).alias("limited_view"), T.redact_above("n_name", tier, F.lit("public")).alias("public_view"), T.most_restrictive(tier, region).alias("most"))
 
 
-EFF = f"""{ARTIFACTS}, {PTIERS}, ow AS (SELECT af.profile, url, paper_id, greatest(coalesce({ORD("profile_tier")}, 0), coalesce({ORD("tier")}, 0)) AS n, derived_from FROM af LEFT JOIN pt ON pt.profile = af.profile),
+ROLE_DEFAULT = "CASE role WHEN 'paper_fulltext' THEN 'private' WHEN 'cv' THEN 'private' WHEN 'trials' THEN 'limited' ELSE 'public' END"
+EFF = f"""{ARTIFACTS}, {PTIERS}, ow AS (SELECT af.profile, url, paper_id, role, greatest(coalesce({ORD("profile_tier")}, 0), {ORD(f"coalesce(tier, {ROLE_DEFAULT})")}) AS n, derived_from FROM af LEFT JOIN pt ON pt.profile = af.profile),
 RECURSIVE_PLACEHOLDER ed AS (SELECT a.profile, a.url, b.url AS source FROM (SELECT profile, url, unnest(derived_from) AS ref FROM af) a JOIN af b ON a.profile = b.profile AND (b.paper_id = a.ref OR b.role = a.ref)),
 rc AS (SELECT profile, url, url AS at FROM ow UNION SELECT rc.profile, rc.url, ed.source FROM rc JOIN ed ON ed.profile = rc.profile AND ed.url = rc.at),
 ef AS (SELECT rc.profile, rc.url, max(o.n) AS n FROM rc JOIN ow o ON o.profile = rc.profile AND o.url = rc.at GROUP BY 1, 2)""".replace("RECURSIVE_PLACEHOLDER ", "")
@@ -118,16 +119,17 @@ def unresolved_derivations(spark, sf):
     return P.unresolved(artifacts(spark, sf))
 
 
-CT = f"""{EFF}, ck AS (SELECT vec_id AS chunk_id, vec_id % 25 AS profile, 'f' || (vec_id % 250) AS url, CASE vec_id % 5 WHEN 0 THEN 'soul' WHEN 1 THEN 'cv' WHEN 2 THEN 'paper_summary' WHEN 3 THEN 'seed_abstract' ELSE 'odd' END AS source_type FROM embeddings),
-ct AS (SELECT chunk_id, CASE WHEN source_type = 'odd' THEN 2 ELSE greatest(coalesce({ORD("profile_tier")}, 0), CASE WHEN source_type IN ('cv', 'seed_abstract') THEN 2 ELSE 0 END, coalesce(ef.n, 0)) END AS n FROM ck LEFT JOIN pt ON pt.profile = ck.profile LEFT JOIN ef ON ef.profile = ck.profile AND ef.url = ck.url)"""
+CT = f"""{EFF}, ck AS (SELECT vec_id AS chunk_id, vec_id % 25 AS profile, CASE WHEN vec_id % 13 = 0 THEN '.cache/' ELSE '' END || 'f' || (vec_id % 250) AS url, CASE vec_id % 5 WHEN 0 THEN 'soul' WHEN 1 THEN 'cv' WHEN 2 THEN 'paper_summary' WHEN 3 THEN 'seed_abstract' ELSE 'odd' END AS source_type FROM embeddings),
+ct AS (SELECT chunk_id, CASE WHEN source_type = 'odd' OR ck.url LIKE '.cache/%' THEN 2 ELSE greatest(coalesce({ORD("profile_tier")}, 0), CASE WHEN source_type IN ('cv', 'seed_abstract') THEN 2 WHEN source_type = 'soul' AND ck.profile % 3 = 0 THEN 1 ELSE 0 END, coalesce(ef.n, 0)) END AS n FROM ck LEFT JOIN pt ON pt.profile = ck.profile LEFT JOIN ef ON ef.profile = ck.profile AND ef.url = ck.url)"""
 
 
 def _chunk_tiers(spark, sf):
     k = F.col("vec_id")
     kind = F.when(k % 5 == 0, "soul").when(k % 5 == 1, "cv").when(k % 5 == 2, "paper_summary").when(k % 5 == 3, "seed_abstract").otherwise("odd")
-    ck = table(spark, sf, "embeddings").select(k.alias("chunk_id"), (k % 25).alias("profile"), F.concat(F.lit("f"), k % 250).alias("url"), kind.alias("source_type"))
+    ck = table(spark, sf, "embeddings").select(k.alias("chunk_id"), (k % 25).alias("profile"), F.concat(F.when(k % 13 == 0, ".cache/").otherwise(""), F.lit("f"), k % 250).alias("url"), kind.alias("source_type"))
     eff = P.effective_tiers(artifacts(spark, sf), profile_tiers(spark, sf))
-    return P.chunk_tiers(ck, eff, profile_tiers(spark, sf))
+    tiers = profile_tiers(spark, sf)
+    return P.chunk_tiers(ck, eff, tiers, tiers.select("profile", F.when(F.col("profile") % 3 == 0, "limited").alias("soul_tier")))
 
 
 @query(f"WITH RECURSIVE {CT} SELECT chunk_id, {NAME('n')} AS tier FROM ct")
@@ -140,22 +142,49 @@ def visible_chunks(spark, sf):
     return P.secure_view(_chunk_tiers(spark, sf), "limited").select("chunk_id")
 
 
-@query(f"WITH {ARTIFACTS} SELECT role, count(*) AS withheld FROM af WHERE coalesce({ORD('tier')}, CASE role WHEN 'paper_fulltext' THEN 2 WHEN 'cv' THEN 2 WHEN 'trials' THEN 1 ELSE 0 END) > 0 GROUP BY 1")
+@query(f"WITH RECURSIVE {EFF} SELECT ow.role, count(*) AS withheld FROM ef JOIN ow USING (profile, url) WHERE ef.n > 0 GROUP BY 1")
 def withheld_by_role(spark, sf):
-    own = artifacts(spark, sf).where(T.ordinal(F.coalesce("tier", T.role_tier("role"))) > 0)
-    return own.groupBy("role").agg(F.count(F.lit(1)).alias("withheld"))
+    own = artifacts(spark, sf)
+    return P.withheld_by_role(own, P.effective_tiers(own, profile_tiers(spark, sf)))
 
 
-@query(f"WITH {ARTIFACTS}, s AS (SELECT af.url, coalesce({ORD('tier')}, 0) AS t, CAST(strlen(html) AS BIGINT) AS b FROM af JOIN pages ON 'f' || page_id = af.url) SELECT url, CASE WHEN t > 0 THEN 'not_permitted' WHEN b = 0 THEN 'not_uploaded' END AS reason, CASE WHEN t = 0 THEN b // 4 END AS approx_tokens FROM s")
+@query(f"WITH RECURSIVE {EFF}, s AS (SELECT ef.url, ef.n AS t, CAST(strlen(html) AS BIGINT) AS b FROM ef JOIN pages ON 'f' || page_id = ef.url) SELECT url, CASE WHEN t > 0 THEN 'not_permitted' WHEN b = 0 THEN 'not_uploaded' END AS reason, CASE WHEN t = 0 THEN b // 4 END AS approx_tokens FROM s")
 def size_index(spark, sf):
     body = table(spark, sf, "pages").select(F.concat(F.lit("f"), F.col("page_id")).alias("url"), F.octet_length("html").cast("long").alias("b"))
-    own = artifacts(spark, sf).join(body, "url").withColumn("t", F.coalesce(T.ordinal("tier"), F.lit(0)))
-    return own.select("url", F.when(F.col("t") > 0, "not_permitted").when(F.col("b") == 0, "not_uploaded").alias("reason"), F.when(F.col("t") == 0, F.floor(F.col("b") / 4)).alias("approx_tokens"))
+    own = artifacts(spark, sf)
+    return P.size_index(own, P.effective_tiers(own, profile_tiers(spark, sf)), body)
 
 
-@query(f"WITH {ARTIFACTS} SELECT url, 'https://schema.org/' || coalesce(tier, CASE role WHEN 'paper_fulltext' THEN 'private' WHEN 'cv' THEN 'private' WHEN 'trials' THEN 'limited' ELSE 'public' END) AS access FROM af")
+RIGHT = "http://publications.europa.eu/resource/authority/access-right/"
+
+
+@query(f"WITH RECURSIVE {EFF} SELECT url, '{RIGHT}' || CASE n WHEN 0 THEN 'PUBLIC' WHEN 1 THEN 'RESTRICTED' ELSE 'NON_PUBLIC' END AS access FROM ef")
 def access_rights(spark, sf):
-    return artifacts(spark, sf).select("url", F.concat(F.lit("https://schema.org/"), F.coalesce("tier", T.role_tier("role"))).alias("access"))
+    own = artifacts(spark, sf)
+    return P.access_rights(own, P.effective_tiers(own, profile_tiers(spark, sf))).select("url", "access")
+
+
+@query(f"""WITH {PTIERS} SELECT profile, CASE WHEN greatest({ORD("profile_tier")}, CASE profile % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END) <= 1 THEN 'p' || profile END AS email,
+CASE WHEN greatest({ORD("profile_tier")}, CASE WHEN profile % 5 = 0 THEN 2 ELSE 0 END) <= 1 THEN ['a', 'b'] ELSE CAST([] AS VARCHAR[]) END AS interests, 'x' AS other FROM pt""")
+def project_sections(spark, sf):
+    k = F.col("profile")
+    contact = F.when(k % 3 == 0, "private").when(k % 3 == 1, "limited").otherwise("public")
+    own = profile_tiers(spark, sf).select("profile", "profile_tier", F.concat(F.lit("p"), k).alias("email"), F.array(F.lit("a"), F.lit("b")).alias("interests"), F.lit("x").alias("other"), F.create_map(F.lit("contact"), contact, F.lit("focus"), F.when(k % 5 == 0, "private").otherwise("public")).alias("section_tiers"))
+    return P.project_sections(own, "limited").select("profile", "email", "interests", "other")
+
+
+@query(f"""WITH RECURSIVE {EFF}, r AS (SELECT profile, url, role FROM ow WHERE length(url) % 2 = 0 UNION ALL SELECT profile, url || '.off', role FROM ow)
+SELECT r.profile, r.url, coalesce(ef.n, greatest(coalesce({ORD("profile_tier")}, 0), {ORD(ROLE_DEFAULT)})) <= 1 AS visible FROM r LEFT JOIN ef ON ef.profile = r.profile AND ef.url = r.url LEFT JOIN pt ON pt.profile = r.profile""")
+def artifact_visible(spark, sf):
+    own = artifacts(spark, sf)
+    refs = own.where(F.length("url") % 2 == 0).select("profile", "url", "role").union(own.select("profile", F.concat("url", F.lit(".off")), "role"))
+    tiers = profile_tiers(spark, sf)
+    return P.artifact_visible(refs, P.effective_tiers(own, tiers), tiers, "limited").select("profile", "url", "visible")
+
+
+@query(f"WITH {PTIERS} SELECT profile, CASE profile_tier WHEN 'public' THEN ['expertise', 'paper_abstract', 'paper_summary', 'soul'] ELSE CAST([] AS VARCHAR[]) END AS types FROM pt")
+def allowed_source_types(spark, sf):
+    return P.allowed_source_types(profile_tiers(spark, sf), "public")
 
 
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'ror:r' || s_nationkey ELSE 'inst:supplier' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') END AS key FROM supplier")

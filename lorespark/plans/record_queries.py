@@ -55,12 +55,12 @@ def interest_bands(spark, sf):
 TSC = f"{INTERESTS}, {EFFECTIVE}, wk AS (SELECT DISTINCT l_orderkey AS work, upper(p_brand) AS code FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 
-@query(f"WITH {TSC} SELECT profile, work, CASE WHEN coalesce(bool_or(method = 'declared' AND weight <= -1), FALSE) THEN NULL ELSE round(sum(CASE WHEN method = 'declared' THEN coalesce(weight, 0.0) ELSE 0.5 * coalesce(share, 0.0) END), 6) + 0.0 END AS topic_score FROM wk JOIN ef ON wk.code = upper(ef.code) GROUP BY 1, 2")
+@query(f"WITH {TSC} SELECT profile, work, CASE WHEN coalesce(bool_or(method = 'declared' AND weight <= -1), FALSE) THEN NULL ELSE round(sum(CASE WHEN method = 'declared' AND weight IS NOT NULL THEN weight ELSE 0.5 * coalesce(share, 0.0) END), 6) + 0.0 END AS topic_score FROM wk JOIN ef ON wk.code = upper(ef.code) GROUP BY 1, 2")
 def topic_score(spark, sf):
     li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
-    works = li.join(p, li["l_partkey"] == p["p_partkey"]).select(F.col("l_orderkey").alias("work"), F.col("p_brand").alias("topic"))
-    own = N.effective(interests(spark, sf)).where("code is not null").select("profile", "code", "weight", "method", "share")
-    return N.topic_score(works, own).withColumn("topic_score", F.round("topic_score", 6) + 0.0)
+    works = li.join(p, li["l_partkey"] == p["p_partkey"]).select(F.col("l_orderkey").alias("work"), F.concat(F.lit("https://x.org/T/"), F.lower("p_brand")).alias("topic"))
+    own = N.effective(interests(spark, sf)).where("code is not null").select("profile", "system", F.upper("code").alias("code"), "weight", "method", "share")
+    return N.topic_score(works, own, "sys").withColumn("topic_score", F.round("topic_score", 6) + 0.0)
 
 
 @query("WITH t AS (SELECT p_size AS profile, p_partkey AS ordinal, trim(p_type) AS label, p_partkey % 3 <> 0 AS positive FROM part) SELECT profile, ordinal, label, CASE WHEN positive THEN 0.5 ELSE -0.5 END::DOUBLE AS weight FROM (SELECT *, row_number() OVER (PARTITION BY profile, lower(label) ORDER BY positive DESC, ordinal) AS r FROM t) WHERE r = 1")
@@ -114,9 +114,9 @@ def batch_read(spark, sf):
     return PG.batch_read(table(spark, sf, "customer").select("c_custkey", "c_name"), " 5,3 ,, 9,5", "c_custkey").select("c_custkey", "c_name")
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), 'an') ORDER BY n_name")
+@query("SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), '1') ORDER BY n_name")
 def inventory_search(spark, sf):
-    return PG.text_search_sort(table(spark, sf, "nation").select("n_nationkey", "n_name"), "AN", ["n_name"], "n_name")
+    return PG.text_search_sort(table(spark, sf, "nation").select("n_nationkey", "n_name"), "1", ["n_name"], "n_name")
 
 
 @query("""WITH p AS (SELECT c_custkey AS profile_id, 'slug' || c_custkey AS slug, 'r' || (c_custkey % 1000) AS rid FROM customer), one AS (SELECT rid, min(profile_id) AS id FROM p GROUP BY 1 HAVING count(*) = 1),

@@ -1,16 +1,18 @@
-"""Spark session with the settings that the engine expects."""
+"""Cutting lineage in loops, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
 
+from pyspark.sql import DataFrame
 
-def get_session(app: str = "lorespark", master: str | None = None, **conf: str) -> SparkSession:
-    """UTC, adaptive execution with skew handling; ``conf`` wins (dots as double underscores)."""
-    b = SparkSession.builder.appName(app)
-    if master:
-        b = b.master(master)
-    base = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"}
-    for k, v in (base | {k.replace("__", "."): v for k, v in conf.items()}).items():
-        b = b.config(k, v)
-    return b.getOrCreate()
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in ``spark.checkpoint.dir``; where that is unset, in local mode only, in a temporary folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lorespark-"))
+    return df.checkpoint()

@@ -81,6 +81,12 @@ def test_cycles_fail_closed(spark):
     pt = spark.createDataFrame([(1, "public")], "profile int, profile_tier string")
     assert rows(privacy.effective_tiers(af, pt)) == [(1, "a", "private", True), (1, "b", "private", True), (1, "c", "limited", False), (1, "d", "limited", False)]
     assert rows(privacy.unresolved(af)) == [(1, "d", "zz")]
+    eff = privacy.effective_tiers(af, pt)
+    chunks = spark.createDataFrame([(1, 1, "soul", "zz")], "profile int, chunk_id int, source_type string, url string")
+    assert rows(privacy.chunk_tiers(chunks, eff, pt).select("tier")) == [("private",)]
+    assert rows(privacy.access_rights(af, eff).select("access").distinct()) == [(None,)]
+    long = spark.createDataFrame([(1, "a0", "cv", "a0", None, [])] + [(1, f"a{i}", "soul", f"a{i}", None, [f"a{i - 1}"]) for i in range(1, 6)], af.schema)
+    assert {r["tier"] for r in privacy.effective_tiers(long, pt).collect()} == {"private"}
 
 
 def test_tokens_are_bound():
@@ -100,6 +106,9 @@ def test_resolve(spark):
     assert got[1] == ("bind", "r1")
     assert got[2] == ("defer", None) and got[3] == ("defer", None) and got[7] == ("defer", None)
     assert got[4] == ("refuse", None)
+    marks = spark.createDataFrame([("r9", "José Núñez", "X", "public")], "rid string, name string, affiliation string, tier string")
+    again = identity.resolve(spark.createDataFrame([(1, None, "Jose Nunez", None), (2, None, "NÚÑEZ, José", None)], "q int, rid string, name string, affiliation string"), marks)
+    assert {(r["q"], r["outcome"], r["resolved"]) for r in again.collect()} == {(1, "bind", "r9"), (2, "bind", "r9")}
     assert got[5][0] == "mint" and got[5][1].startswith("local:ann-roe-")
     assert got[6] == ("exact", "r2")
 
