@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 
 def resolve_names(names: DataFrame) -> DataFrame:
     """``names(key, rid)``: the one rid of a folded name; names that two people share resolve to null."""
@@ -52,41 +54,73 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", *rest).union(edges.select(F.col("dst"), F.col("src"), *rest))
 
 
-def neighbors(edges: DataFrame, origin, max_hops: int = 3) -> DataFrame:
+def neighbors(edges: DataFrame, origin, max_hops: int = 3, types: tuple[str, ...] | None = None, since_year: int | None = None) -> DataFrame:
     """People within ``max_hops`` of ``origin``: least hops, strongest edge; both directions; origin apart.
 
-    Each hop is one join of the frontier, which is kept distinct.
+    ``types``: edges of these ``type`` only; ``since_year``: edges whose ``last_year`` is not before it (unknown
+    counts). Edges are written once, in both directions; each hop is one join of the frontier, which is kept distinct.
     """
-    two = both_ways(edges.select("src", "dst", "paper_count", "last_year"))
+    if types:
+        edges = edges.where(F.col("type").isin(*types))
+    if since_year is not None:
+        edges = edges.where(F.col("last_year").isNull() | (F.col("last_year") >= since_year))
+    two = settled(both_ways(edges.select("src", "dst", "paper_count", "last_year")))
     seen = None
     frontier = edges.sparkSession.createDataFrame([(origin,)], f"node {dict(edges.dtypes)['src']}")
+    visited = frontier
     for hop in range(1, max_hops + 1):
-        step = two.join(frontier.withColumnRenamed("node", "src"), "src").where(F.col("dst") != F.lit(origin)).groupBy("dst").agg(F.max("paper_count").alias("paper_count"), F.max("last_year").alias("last_year")).withColumn("hops", F.lit(hop))
+        step = settled(two.join(frontier.withColumnRenamed("node", "src"), "src").where(F.col("dst") != F.lit(origin)).groupBy("dst").agg(F.max("paper_count").alias("paper_count"), F.max("last_year").alias("last_year")).withColumn("hops", F.lit(hop)))
         seen = step if seen is None else seen.unionByName(step)
-        frontier = step.select(F.col("dst").alias("node")) if hop == 1 else step.select(F.col("dst").alias("node")).join(visited, "node", "left_anti")
-        visited = frontier if hop == 1 else visited.union(frontier)
+        frontier = step.select(F.col("dst").alias("node")).join(visited, "node", "left_anti")
+        visited = visited.union(frontier)
     return seen.groupBy("dst").agg(F.min("hops").alias("hops"), F.max("paper_count").alias("paper_count"), F.max("last_year").alias("last_year"))
 
 
-def conflicts(authors: DataFrame, candidates: DataFrame, coauthors: DataFrame, institutions: DataFrame, as_of_year: int, years: int = 4) -> DataFrame:
-    """Verdict on each (paper, candidate): recent co-authorship (unknown year counts) or any shared institution.
+def _asked_pairs(authors: DataFrame, candidates: DataFrame) -> DataFrame:
+    return authors.select("paper", "person").join(candidates, "paper").where("person <> candidate").select("paper", "person", "candidate", F.least("person", "candidate").alias("src"), F.greatest("person", "candidate").alias("dst")).distinct()
+
+
+def shared_stays(pairs: DataFrame, stays: DataFrame) -> DataFrame:
+    """``pairs(paper, person, candidate)`` that were at one institution, by the stays of those asked alone."""
+    left = stays.select("person", "inst").distinct()
+    right = left.select(F.col("person").alias("candidate"), "inst")
+    return pairs.join(left, "person").join(right, ["candidate", "inst"]).select("paper", "candidate", "person").distinct()
+
+
+def conflicts(authors: DataFrame, candidates: DataFrame, coauthors: DataFrame, stays: DataFrame, as_of_year: int, years: int = 4, advisors: DataFrame | None = None, inline: DataFrame | None = None) -> DataFrame:
+    """Verdict on each (paper, candidate), with its reasons: recent co-authorship (unknown year counts) or any other tie.
 
     ``authors(paper, person)``, ``candidates(paper, candidate)``; authors that are the candidate are skipped.
+    ``stays(person, inst)`` give shared institutions, ``advisors(src, dst)`` advising either way, and
+    ``inline(paper, inst)`` affiliations written on the paper, which count only where no shared institution does.
     """
-    pairs = authors.join(candidates, "paper").where("person <> candidate").select("paper", "candidate", F.least("person", "candidate").alias("src"), F.greatest("person", "candidate").alias("dst")).distinct()
+    pairs = _asked_pairs(authors, candidates)
     recent = F.col("last_year").isNull() | (F.col("last_year") >= as_of_year - years)
     co = pairs.join(coauthors, ["src", "dst"]).select("paper", "candidate", F.lit("coauthor").alias("type"), recent.alias("counts"))
-    inst = pairs.join(institutions, ["src", "dst"]).select("paper", "candidate", F.lit("institution").alias("type"), F.lit(True).alias("counts"))
-    reasons = co.unionByName(inst).groupBy("paper", "candidate").agg(F.bool_or("counts").alias("has_coi"), F.count_if(F.col("type") == "coauthor").alias("coauthors"), F.count_if(F.col("type") == "institution").alias("institutions"))
+    inst = shared_stays(pairs, stays).select("paper", "candidate", F.lit("institution").alias("type"), F.lit(True).alias("counts"))
+    ties = co.unionByName(inst)
+    if advisors is not None:
+        tie = advisors.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+        ties = ties.unionByName(pairs.join(tie, ["src", "dst"]).select("paper", "candidate", F.lit("advisor").alias("type"), F.lit(True).alias("counts")))
+    if inline is not None:
+        own = stays.select(F.col("person").alias("candidate"), "inst").distinct()
+        written = candidates.join(inline, "paper").join(own, ["candidate", "inst"]).select("paper", "candidate").distinct().join(inst, ["paper", "candidate"], "left_anti")
+        ties = ties.unionByName(written.select("paper", "candidate", F.lit("affiliation").alias("type"), F.lit(True).alias("counts")))
+    reasons = ties.groupBy("paper", "candidate").agg(F.bool_or("counts").alias("has_coi"), F.count_if(F.col("type") == "coauthor").alias("coauthors"), F.count_if(F.col("type") == "institution").alias("institutions"), F.array_sort(F.collect_set("type")).alias("reasons"))
     none = F.lit(0).cast("long")
-    return candidates.join(reasons, ["paper", "candidate"], "left").select("paper", "candidate", F.coalesce("has_coi", F.lit(False)).alias("has_coi"), F.coalesce("coauthors", none).alias("coauthors"), F.coalesce("institutions", none).alias("institutions"))
+    return candidates.join(reasons, ["paper", "candidate"], "left").select("paper", "candidate", F.coalesce("has_coi", F.lit(False)).alias("has_coi"), F.coalesce("coauthors", none).alias("coauthors"), F.coalesce("institutions", none).alias("institutions"), F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))
 
 
 def source_hash(rows: DataFrame, *cols: str) -> DataFrame:
-    """One digest of an ordered projection: each row's digest, then one over the sorted digests."""
-    line = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
-    return rows.select(line.alias("line")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n").cast("binary"), 256).alias("hash"))
-
+    """One digest of an ordered projection: rows are sorted by ranges, each range has a digest, and one goes over those.
 
-def last_of_each(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r")
+    Ranges are the first two digits of the rows' own digests, so the result does not depend on the partitions;
+    equal rows count as often as they come.
+    """
+    line = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+    own = rows.select(F.sha2(line.cast("binary"), 256).alias("d"))
+    digest = lambda part: F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(part))).cast("binary"), 256)
+    # four digits bound a group to a 65,536th of the rows, two more passes a digest to 256 values
+    deep = own.groupBy(F.substring("d", 1, 4).alias("p")).agg(digest("d").alias("d"))
+    mid = deep.groupBy(F.substring("p", 1, 2).alias("p")).agg(digest(F.concat("p", "d")).alias("d"))
+    return mid.agg(digest(F.concat("p", "d")).alias("hash"))

@@ -44,7 +44,7 @@ def topic_score(works: DataFrame, interests: DataFrame, system: str | None = Non
     Topics meet codes on the exact id, within the vocabulary ``system`` if one is given. Declared weights
     add up; one of -1 or less makes the score null; an entry without a declared weight adds half its share.
     """
-    own = interests if system is None else interests.where(F.col("system") == system)
+    own = (interests if system is None else interests.where(F.col("system") == system)).withColumn("code", F.upper("code"))
     pairs = works.select("work", topic_code("topic").alias("code")).distinct().join(own, "code")
     declared = (F.col("method") == "declared") & F.col("weight").isNotNull()
     part = F.when(declared, F.col("weight")).otherwise(0.5 * F.coalesce("share", F.lit(0.0)))
@@ -54,7 +54,7 @@ def topic_score(works: DataFrame, interests: DataFrame, system: str | None = Non
 
 def topic_matches(works: DataFrame, interests: DataFrame, system: str | None = None) -> DataFrame:
     """``profile, work, topics``: labels of a work's topics that raise it, in the order of ``works(work, ordinal, topic)``."""
-    own = interests if system is None else interests.where(F.col("system") == system)
+    own = (interests if system is None else interests.where(F.col("system") == system)).withColumn("code", F.upper("code"))
     pairs = works.groupBy("work", topic_code("topic").alias("code")).agg(F.min("ordinal").alias("ordinal")).join(own, "code")
     declared = (F.col("method") == "declared") & F.col("weight").isNotNull()
     raises = F.when(declared, F.col("weight") > 0).otherwise(F.coalesce("share", F.lit(0.0)) != 0)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import settled
 
 # Fixed values of keyword ranking.
 K1, B, RRF_K, MIN_COSINE = 1.2, 0.75, 60, 0.30
@@ -30,12 +31,12 @@ def term_counts(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> Dat
 def bm25(docs: DataFrame, query: str, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, bm25`` of the documents with a positive score.
 
-    Only the query's terms are exploded; lengths and the corpus' size come from a second, term-free pass.
+    Texts are tokenized once: each document's length and its query terms are written, and read for all counts.
     """
-    own = docs.select(F.col(id_).alias("id"), tokens(text).alias("t"))
-    stats = own.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
     wanted = sorted(set(docs.sparkSession.range(1).select(tokens(F.lit(query)).alias("t")).first()["t"]))
-    hit = own.select("id", F.size("t").alias("len"), F.filter("t", lambda w: w.isin(*wanted) if wanted else F.lit(False)).alias("t"))
+    own = docs.select(F.col(id_).alias("id"), tokens(text).alias("t"))
+    hit = settled(own.select("id", F.size("t").alias("len"), F.filter("t", lambda w: w.isin(*wanted) if wanted else F.lit(False)).alias("t")))
+    stats = hit.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
     tf = hit.select("id", "len", F.explode("t").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -54,27 +55,33 @@ def fuse(semantic: DataFrame, keyword: DataFrame) -> DataFrame:
 
 
 def ranked(df: DataFrame, *order, out: str = "rank", top: int | None = None) -> DataFrame:
-    """Positions of a result list. ``top`` cuts it first (a heap a partition), so the window sees a bounded list."""
+    """Positions of a result list. ``top`` cuts it first (a heap a partition), so the window sees a bounded list.
+
+    A whole list is sorted by ranges: each range numbers its own rows after those of the ranges before it.
+    """
     if top:
-        df = df.orderBy(*order).limit(top)
-    return df.withColumn(out, F.row_number().over(Window.orderBy(*order)))
+        return df.orderBy(*order).limit(top).withColumn(out, F.row_number().over(Window.orderBy(*order)))
+    parts = settled(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    # a row a range
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")
+    n = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return parts.join(F.broadcast(before), "__part").withColumn(out, F.col("__before") + n).drop("__part", "__before")
 
 
 def phrases(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """``phrase, papers``: 2- and 3-word phrases between stopwords, numbers and punctuation, once a document."""
-    # a break is a token of its own; phrases with one are dropped below
-    marked = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^a-z0-9\s-]+", " | ")
-    words = F.filter(F.transform(F.split(F.trim(marked), r"\s+"), lambda w: F.regexp_replace(w, r"^-+|-+$", "")), lambda w: w != "")
-    bad = lambda w: (w == "|") | w.isin(*PHRASE_STOPWORDS) | w.rlike(r"^[0-9]+$") | (F.length(w) < 2)
-    words = F.transform(words, lambda w: F.when(bad(w), F.lit("|")).otherwise(w))
-    own = docs.select(F.col(id_).alias("id"), words.alias("w"))
-
-    def grams(n: int):
-        last = F.size("w") - n + 1
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-    each = own.select("id", F.explode(F.array_distinct(F.concat(grams(2), grams(3)))).alias("phrase")).where(~F.col("phrase").contains("|"))
-    return each.groupBy("phrase").agg(F.count(F.lit(1)).alias("papers"))
+    # punctuation, numbers, stopwords and single letters become breaks; grams come from the runs between
+    body = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^a-z0-9\s-]+", " | ")
+    body = F.regexp_replace(body, r"(?<!\S)-+|-+(?!\S)", "")
+    words = F.split(F.trim(F.regexp_replace(body, r"(?<!\S)[0-9]+(?!\S)", "|")), r"\s+")
+    kept = F.transform(words, lambda w: F.when((F.length(w) < 2) | w.isin(*PHRASE_STOPWORDS), F.lit("|")).otherwise(w))
+    runs = F.split(F.array_join(kept, " "), r" ?\| ?")
+    each = docs.select(F.col(id_).alias("id"), F.explode(runs).alias("run")).where(F.instr("run", " ") > 0).select("id", F.split("run", " ").alias("w"))
+    placed = each.select("id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 2)).alias("i"))
+    two = F.concat_ws(" ", F.get("w", F.col("i")), F.get("w", F.col("i") + 1))
+    three = F.when(F.col("i") + 2 < F.size("w"), F.concat_ws(" ", two, F.get("w", F.col("i") + 2)))
+    return placed.select("id", F.explode(F.array(two, three)).alias("phrase")).where("phrase is not null").distinct().groupBy("phrase").agg(F.count(F.lit(1)).alias("papers"))
 
 
 def key_phrases(docs: DataFrame, top_n: int = 8, min_papers: int = 2, id_: str = "doc_id", text: str = "text") -> DataFrame:

@@ -53,7 +53,7 @@ def _verdicts(spark, sf):
     authors = parts.select(F.col("work").alias("paper"), "person")
     last = table(spark, sf, "supplier").agg(F.max("s_suppkey").alias("n")).first()["n"]
     cands = authors.select("paper", (1 + F.col("paper") * 7 % last).alias("candidate")).distinct()
-    return G.conflicts(authors, cands, G.coauthor_edges(parts), G.institution_edges(stays(spark, sf)), YEAR)
+    return G.conflicts(authors, cands, G.coauthor_edges(parts), stays(spark, sf), YEAR).drop("reasons")
 
 
 @query(f"WITH {COI} SELECT * FROM ve")
@@ -61,6 +61,28 @@ def coi_verdict(spark, sf):
     return _verdicts(spark, sf)
 
 
+@query(f"""WITH {COI}, ad AS (SELECT DISTINCT least(s_suppkey, 1 + s_suppkey * 3 % 50) AS src, greatest(s_suppkey, 1 + s_suppkey * 3 % 50) AS dst FROM supplier WHERE s_suppkey <> 1 + s_suppkey * 3 % 50),
+il AS (SELECT DISTINCT paper, CASE WHEN paper % 25 % 2 = 0 THEN 'ror:' ELSE 'inst:' END || paper % 25 AS inst FROM ca), sh AS (SELECT DISTINCT paper, candidate FROM pr JOIN ie USING (src, dst)),
+rs AS (SELECT paper, candidate, 'coauthor' AS t, last_year IS NULL OR last_year >= {YEAR} - 4 AS ok FROM pr JOIN co USING (src, dst) UNION ALL SELECT paper, candidate, 'institution', TRUE FROM sh UNION ALL SELECT paper, candidate, 'advisor', TRUE FROM pr JOIN ad USING (src, dst)
+UNION ALL SELECT DISTINCT ca.paper, ca.candidate, 'affiliation', TRUE FROM ca JOIN il ON il.paper = ca.paper JOIN stays ON stays.person = ca.candidate AND stays.inst = il.inst WHERE NOT EXISTS (SELECT 1 FROM sh WHERE sh.paper = ca.paper AND sh.candidate = ca.candidate))
+SELECT ca.paper, ca.candidate, coalesce(bool_or(ok), FALSE) AS has_coi, coalesce(list_sort(list(DISTINCT t) FILTER (t IS NOT NULL)), CAST([] AS VARCHAR[])) AS reasons FROM ca LEFT JOIN rs ON rs.paper = ca.paper AND rs.candidate = ca.candidate GROUP BY 1, 2""")
+def coi_in_full(spark, sf):
+    parts = people(spark, sf)
+    authors = parts.select(F.col("work").alias("paper"), "person")
+    last = table(spark, sf, "supplier").agg(F.max("s_suppkey").alias("n")).first()["n"]
+    cands = authors.select("paper", (1 + F.col("paper") * 7 % last).alias("candidate")).distinct()
+    k, n = F.col("s_suppkey"), F.col("paper") % 25
+    advisors = table(spark, sf, "supplier").select(k.alias("src"), (1 + k * 3 % 50).alias("dst")).where("src <> dst")
+    inline = cands.select("paper", F.concat(F.when(n % 2 == 0, "ror:").otherwise("inst:"), n).alias("inst")).distinct()
+    return G.conflicts(authors, cands, G.coauthor_edges(parts), stays(spark, sf), YEAR, advisors=advisors, inline=inline).select("paper", "candidate", "has_coi", "reasons")
+
+
+@query(f"""WITH {PARTS}, {CO}, tw AS (SELECT src, dst FROM co WHERE last_year >= 1997 UNION ALL SELECT dst, src FROM co WHERE last_year >= 1997) SELECT DISTINCT dst, CAST(1 AS INTEGER) AS hops FROM tw WHERE src = 1""")
+def neighbors_since(spark, sf):
+    edges = G.coauthor_edges(people(spark, sf)).withColumn("type", F.lit("coauthor"))
+    return G.neighbors(edges, 1, 1, ("coauthor",), 1997).select("dst", "hops")
+
+
 @query(f"WITH {COI} SELECT candidate, count(*) AS papers, CAST(count_if(NOT has_coi) AS BIGINT) AS free FROM ve GROUP BY 1")
 def reviewer_match(spark, sf):
     """How many papers each candidate could review (mode: drop conflicts)."""
@@ -90,7 +112,9 @@ def advised_edges(spark, sf):
     return G.advised_edges(training, index)
 
 
-@query("SELECT sha256(string_agg(line, chr(10) ORDER BY line)) AS hash FROM (SELECT s_suppkey || chr(31) || s_name || chr(31) || s_nationkey AS line FROM supplier)")
+@query("""WITH r AS (SELECT sha256(s_suppkey || chr(31) || s_name || chr(31) || s_nationkey) AS d FROM supplier),
+a AS (SELECT substr(d, 1, 4) AS p, sha256(string_agg(d, chr(10) ORDER BY d)) AS d FROM r GROUP BY 1), b AS (SELECT substr(p, 1, 2) AS p, sha256(string_agg(p || d, chr(10) ORDER BY p || d)) AS d FROM a GROUP BY 1)
+SELECT sha256(string_agg(p || d, chr(10) ORDER BY p || d)) AS hash FROM b""")
 def corpus_source_hash(spark, sf):
     return G.source_hash(table(spark, sf, "supplier"), "s_suppkey", "s_name", "s_nationkey")
 
