@@ -139,7 +139,10 @@ def find_pii(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
 
 
 def pii_digest(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: counts of base spans, ``base_sha256`` and ``spans``; rows with null or repeated ids stay."""
+    """Per row: counts of base spans, ``n_spans`` of all, ``base_sha256`` and ``spans``.
+
+    Rows with null or repeated ids stay; null texts are empty; other columns, whatever their names, are not read; empty in, empty out.
+    """
     found = find_pii(df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("t")), "t")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE_KINDS))
@@ -148,7 +151,7 @@ def pii_digest(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *counts, F.size("pii").cast("long").alias("n_spans"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:

@@ -21,13 +21,16 @@ def token_counts(df: DataFrame, tokenizer: str, text: str = "text", out: str = "
     ``n_bytes`` or ``out`` in ``df`` are replaced; an empty table gives an empty table.
     """
     keep = [c for c in df.columns if c not in (text, out, "n_bytes")]
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text__"))
-    schema = src.drop("__text__").withColumn("n_bytes", F.lit(0).cast("long")).withColumn(out, F.lit(0).cast("long")).schema
+    body = "__text__"
+    while body in df.columns:
+        body += "_"
+    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(body))
+    schema = src.drop(body).withColumn("n_bytes", F.lit(0).cast("long")).withColumn(out, F.lit(0).cast("long")).schema
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
-            at = b.schema.get_field_index("__text__")
+            at = b.schema.get_field_index(body)
             texts = [t or "" for t in b.column(at).to_pylist()]
             cols = [c for i, c in enumerate(b.columns) if i != at]
             names = [n for i, n in enumerate(b.schema.names) if i != at]

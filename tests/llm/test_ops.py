@@ -299,6 +299,25 @@ def test_language_query_against_brute_force(spark):
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1
 
 
+def test_query_columns(spark):
+    """The registered queries themselves: columns in order, a row a document, flags and thresholds."""
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    made = {k: q(spark, sf).collect() for k, q in queries.queries().items() if k.split("_")[0] in ("op1", "op2", "op3", "op4", "op5", "op8", "op9")}
+    want = {
+        "op1_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"], "op2_token_id_store": ["doc_id", "start", "n_tokens", "ids_crc32"], "op3_toxicity": ["doc_id", "held_out", "score", "predicted", "spans"],
+        "op4_simhash_near_dedup": ["doc_id", "fingerprint", "component_id"], "op8_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_spans", "base_sha256", "spans"], "op9_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    }
+    for name, columns in want.items():
+        assert list(made[name][0].asDict()) == columns and len(made[name]) == n, name
+    assert all(r["over_limit"] == (r["n_tokens"] > 1024) for r in made["op1_token_counts"])
+    assert all(r["predicted"] == int(r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in made["op3_toxicity"])
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in made["op3_toxicity"])
+    starts = sorted((r["start"], r["n_tokens"]) for r in made["op2_token_id_store"])
+    assert [s for s, _ in starts] == [sum(k for _, k in starts[:i]) for i in range(len(starts))]
+    assert {r["doc_id"] for r in made["op5_best_fit_packing"]} == {r["doc_id"] for r in made["op1_token_counts"]}
+
+
 def test_letters():
     assert language.letter_runs("² ½ Ⅳ ٣") == [] and language.letter_runs("ab²c Éé") == ["ab", "c", "éé"]
 
@@ -352,6 +371,7 @@ def test_pii_query(spark, docs, empty):
         if r[0] not in (3, 4):
             assert by[r[0]]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
             assert by[r[0]]["n_email"] == sum(s[0] == "email" for s in spans)
+            assert by[r[0]]["n_spans"] == len(list(filter(None, by[r[0]]["spans"].split(","))))
     clean = pii.redact(docs)
     assert clean.columns == docs.columns and "@" not in "".join(r["text"] or "" for r in clean.collect())
     assert pii.pii_digest(empty).collect() == []
