@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions
 
-#: Vectors of a block, blocks of a lane, queries of a group, rows that the rotation is fitted on.
-BLOCK, LANE_BLOCKS, QUERY_GROUP, FIT_ROWS = 1024, 16, 512, 8192
+#: Vectors of a block, queries tried at once, queries of a group, rows that the rotation is fitted on, least rows of a lane.
+BLOCK, QUERIES, QUERY_GROUP, FIT_ROWS, LANE_ROWS = 1024, 512, 1 << 20, 8192, 1024
+#: Most vectors of the head that gives first floors; most bytes of a lane, or of the head, as a matrix.
+HEAD_ROWS, MATRIX_BYTES = 4096, 16 << 20
 _SLACK = 1e-6
 
 
@@ -37,48 +41,68 @@ def fit_rotation(vectors: DataFrame, dim: int, total: int, rows: int = FIT_ROWS)
     return np.ascontiguousarray(basis[:, ::-1])
 
 
+def matrix(lists: pa.Array, dim: int) -> np.ndarray:
+    """Lists of integers as rows, padded with zeros."""
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(lists), dim), np.int64)
+    out[np.arange(dim)[None, :] < size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+class Block:
+    """Candidates of about one norm, with their rotated sums."""
+
+    def __init__(self, ids: np.ndarray, c: np.ndarray, rotation: np.ndarray, head: int):
+        self.ids, self.c = ids, c
+        rotated = c @ rotation
+        self.first = np.ascontiguousarray(rotated[:, :head])
+        self.norm = np.sqrt((rotated**2).sum(1))
+        self.rest = np.sqrt((rotated[:, head:] ** 2).sum(1))
+        self.most = self.norm.max(initial=0.0)
+
+
+def blocks(ids: np.ndarray, c: np.ndarray, rotation: np.ndarray, head: int) -> list[Block]:
+    """Blocks by falling norm."""
+    order = np.argsort(-(c.astype(float) ** 2).sum(1), kind="stable")
+    return [Block(ids[o], c[o], rotation, head) for o in (order[at : at + BLOCK] for at in range(0, len(order), BLOCK))]
+
+
 class TopK:
-    """The best so far of one group of queries: score falling, then id rising."""
-
-    def __init__(self, ids: np.ndarray, q: np.ndarray, rotation: np.ndarray, k: int, head: int):
-        self.ids, self.q, self.k, self.head, self.rotation = ids, q, k, head, rotation
-        self.rotated = q @ rotation
-        self.norm = np.sqrt((self.rotated**2).sum(1))
-        self.rest = np.sqrt((self.rotated[:, head:] ** 2).sum(1))
-        self.floor = np.full(len(ids), -np.inf)
+    """The best so far of some queries, above their floors: score falling, then id rising."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, rotation: np.ndarray, k: int, head: int):
+        self.ids, self.q, self.k = ids, q, k
+        rotated = q @ rotation
+        self.first = np.ascontiguousarray(rotated[:, :head])
+        self.norm = np.sqrt((rotated**2).sum(1))
+        self.rest = np.sqrt((rotated[:, head:] ** 2).sum(1))
+        self.floor = floor.astype(float).copy()
         self.best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    def feed(self, ids: np.ndarray, c: np.ndarray) -> bool:
+    def feed(self, block: Block) -> bool:
         """Take in a block; False once no block of smaller norm can matter."""
-        rotated = c @ self.rotation
-        norm = np.sqrt((rotated**2).sum(1))
-        reach = self.norm * norm.max(initial=0.0)
-        live = np.flatnonzero(reach * (1 + _SLACK) + _SLACK >= self.floor)
+        live = np.flatnonzero(self.norm * block.most * (1 + _SLACK) + _SLACK >= self.floor)
         if not len(live):
             return False
-        rest = np.sqrt((rotated[:, self.head :] ** 2).sum(1))
-        bound = self.rotated[live, : self.head] @ rotated[:, : self.head].T + np.outer(self.rest[live], rest)
-        bound += _SLACK * (1 + np.outer(self.norm[live], norm))
-        if (self.floor[live] == -np.inf).any() and len(ids) > 4 * self.k:
-            # a first floor: the k-th exact score among a few, without the query's own row
-            few = (self.q[live] @ c[: 4 * self.k].T).astype(float)
-            few[self.ids[live][:, None] == ids[None, : 4 * self.k]] = -np.inf
-            self.floor[live] = np.maximum(self.floor[live], np.sort(few, axis=1)[:, -self.k])
-        i, j = np.nonzero((bound >= self.floor[live][:, None]) & (self.ids[live][:, None] != ids[None, :]))
+        bound = self.first[live] @ block.first.T + np.outer(self.rest[live], block.rest)
+        bound += _SLACK * (1 + np.outer(self.norm[live], block.norm))
+        i, j = np.nonzero((bound >= self.floor[live][:, None]) & (self.ids[live][:, None] != block.ids[None, :]))
         i = live[i]
         score = np.empty(len(i), np.int64)
-        for at in range(0, len(i), 1 << 18):
-            s = slice(at, at + (1 << 18))
-            score[s] = np.einsum("ij,ij->i", self.q[i[s]], c[j[s]])
+        for at in range(0, len(i), 1 << 15):
+            s = slice(at, at + (1 << 15))
+            score[s] = np.einsum("ij,ij->i", self.q[i[s]], block.c[j[s]])
         good = score >= self.floor[i]
-        qi, sc, vi = (np.concatenate([a, b]) for a, b in zip(self.best, (i[good], score[good], ids[j[good]]), strict=True))
+        qi, sc, vi = (np.concatenate([a, b]) for a, b in zip(self.best, (i[good], score[good], block.ids[j[good]]), strict=True))
         order = np.lexsort((vi, -sc, qi))
         qi, sc, vi = qi[order], sc[order], vi[order]
-        starts = np.searchsorted(qi, qi)
-        keep = np.arange(len(qi)) - starts < self.k
+        new = np.ones(len(qi), bool)
+        new[1:] = (np.diff(qi) != 0) | (np.diff(sc) != 0) | (np.diff(vi) != 0)
+        qi, sc, vi = qi[new], sc[new], vi[new]
+        place = np.arange(len(qi)) - np.searchsorted(qi, qi)
+        keep, full = place < self.k, place == self.k - 1
+        self.floor[qi[full]] = np.maximum(self.floor[qi[full]], sc[full])
         self.best = qi[keep], sc[keep], vi[keep]
-        full = np.flatnonzero((np.arange(len(qi)) - starts) == self.k - 1)
-        self.floor[qi[full]] = sc[full]
         return True
 
 
@@ -89,41 +113,90 @@ def exact_topk(vectors: DataFrame, queries: F.Column, k: int = 5) -> DataFrame:
     to the smaller vec_id. Shorter vectors count as padded with zeros. Rows repeated whole count once;
     a query's own row is every row of its id. Fewer than ``k`` others: all; empty in, empty out.
 
-    Candidates are dealt by falling norm to lanes of at most LANE_BLOCKS blocks; each task has one
-    lane and one group of queries, so memory and work of a task are bounded at any size.
+    The longest vectors, a head of a bounded number, go to every query first and give its floor. The
+    others lie in lanes by falling norm, shuffled once; a query goes only to lanes whose longest vector
+    times its own length still reaches its floor. A lane is a matrix of bounded bytes and its queries
+    pass by it in batches, so a task holds no more at any size of the table.
     """
     spark = vectors.sparkSession
-    rows = materialize(vectors.distinct().withColumn("n2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), "vectors")
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
+    n2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    rows = materialize(vectors.distinct().withColumn("n2", n2), "vectors")
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"), F.count_if(queries).alias("asked")).first()
     total, dim = size["n"], size["dim"] or 0
     rotation = fit_rotation(rows, dim, total)
-    head = max(1, dim // 4)
-    lanes = max(1, math.ceil(total / (BLOCK * LANE_BLOCKS)))
-    groups = max(1, math.ceil(rows.where(queries).count() / QUERY_GROUP))
-    # every lane gets its share of every norm: dealt by a hash, sorted by falling norm in the task
-    cand = rows.select("vec_id", "v", "n2", F.pmod(F.xxhash64("vec_id", "v"), F.lit(lanes)).cast("int").alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-    asked = rows.where(queries).select("vec_id", "v", F.pmod(F.xxhash64("v", "vec_id"), F.lit(groups)).cast("int").alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
-    parts = shuffle_partitions(spark)
-
-    def dense(s: pd.Series) -> np.ndarray:
-        out = np.zeros((len(s), dim), np.int64)
-        for i, v in enumerate(s):
-            out[i, : len(v)] = v
-        return out
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        left = left.sort_values(["n2", "vec_id"], ascending=[False, True])
-        ids, c = left["vec_id"].to_numpy(np.int64), dense(left["v"])
-        top = TopK(right["vec_id"].to_numpy(np.int64), dense(right["v"]), rotation, k, head)
-        for at in range(0, len(ids), BLOCK):
-            if not top.feed(ids[at : at + BLOCK], c[at : at + BLOCK]):
+    part = max(1, dim // 4)
+    most = max(1, MATRIX_BYTES // (8 * max(1, dim)))
+
+    top = rows.orderBy(F.desc("n2"), "vec_id").limit(min(HEAD_ROWS, most)).select("vec_id", "v").toArrow().combine_chunks()
+    longest = blocks(top["vec_id"].to_numpy(), matrix(top["v"].combine_chunks(), dim), rotation, part)
+
+    # lanes of at most ``most`` rows, as many as there are tasks to run where rows allow
+    lanes = max(1, math.ceil(total / most), min(shuffle_partitions(spark), total // LANE_ROWS))
+    groups = max(1, math.ceil(size["asked"] / QUERY_GROUP))
+    dealt = materialize(rows.repartitionByRange(lanes, F.desc("n2"), "vec_id", F.xxhash64("v")).withColumn("lane", F.spark_partition_id()), "lanes")
+    reach = np.zeros(lanes)
+    for r in dealt.groupBy("lane").agg(F.max("n2").alias("n2")).toLocalIterator():
+        reach[r["lane"]] = math.sqrt(r["n2"])
+    reach = np.maximum.accumulate(reach[::-1])[::-1]
+
+    def tried(ids: np.ndarray, q: np.ndarray, floor: np.ndarray, against: list[Block]) -> TopK:
+        found = TopK(ids, q, floor, rotation, k, part)
+        for block in against:
+            if not found.feed(block):
                 break
-        qi, score, vec = top.best
-        return pd.DataFrame({"query_id": top.ids[qi], "vec_id": vec, "score": score})
-
-    keys = ["lane", "grp"]
-    found = cand.repartition(parts, *keys).groupBy(*keys).cogroup(asked.repartition(parts, *keys).groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score long")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        return found
+
+    def first_floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), QUERIES):
+                b = whole.slice(at, QUERIES)
+                ids = b["vec_id"].to_numpy()
+                found = tried(ids, matrix(b["v"], dim), np.full(len(ids), -np.inf), longest)
+                qi, score, vec = found.best
+                ends = np.searchsorted(qi, np.arange(len(ids) + 1)).astype(np.int32)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    least = (found.floor - _SLACK) / (1 + _SLACK) / found.norm
+                least = np.where(found.norm > 0, least, -np.inf)
+                upto = np.searchsorted(-reach, -least, side="right").astype(np.int32)
+                hits = pa.StructArray.from_arrays([pa.array(score), pa.array(vec)], ["score", "vec_id"])
+                yield pa.RecordBatch.from_arrays([b["vec_id"], b["v"], pa.array(found.floor), pa.array(upto), pa.ListArray.from_arrays(ends, hits)], ["vec_id", "v", "floor", "lanes", "hits"])
+
+    asked = materialize(rows.where(queries).select("vec_id", "v").repartition(shuffle_partitions(spark), "vec_id", "v").mapInArrow(
+        first_floors, "vec_id long, v array<long>, floor double, lanes int, hits array<struct<score:long,vec_id:long>>"), "floors")
+
+    def by_lane(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidates of a lane come first, by falling norm, then its queries."""
+        key, ids, rows_, lane = None, [], [], None
+        for whole in batches:
+            kind = whole["at"].to_numpy() * 2 + whole["asks"].to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(kind)) + 1), len(kind)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                run = whole.slice(lo, hi - lo)
+                at, asks = divmod(int(kind[lo]), 2)
+                if at != key:
+                    key, ids, rows_, lane = at, [], [], None
+                if not asks:
+                    ids.append(run["vec_id"].to_numpy())
+                    rows_.append(matrix(run["v"], dim))
+                    continue
+                if lane is None:
+                    lane = blocks(np.concatenate(ids), np.vstack(rows_), rotation, part) if ids else []
+                    ids, rows_ = [], []
+                for q in range(0, len(run), QUERIES):
+                    b = run.slice(q, QUERIES)
+                    mine = b["vec_id"].to_numpy()
+                    qi, score, vec = tried(mine, matrix(b["v"], dim), b["floor"].to_numpy(zero_copy_only=False), lane).best
+                    yield pa.RecordBatch.from_arrays([pa.array(mine[qi]), pa.array(vec), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    group = F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups)).cast("int")
+    cand = dealt.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    cand = cand.select((F.col("lane") * groups + F.col("group")).alias("at"), F.lit(False).alias("asks"), "vec_id", "v", F.lit(0.0).alias("floor"))
+    sent = asked.where("lanes > 0").withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
+    sent = sent.select((F.col("lane") * groups + group).alias("at"), F.lit(True).alias("asks"), "vec_id", "v", "floor")
+    met = cand.union(sent).repartitionById(lanes * groups, F.col("at")).sortWithinPartitions("at", "asks")
+    found = met.mapInArrow(by_lane, "query_id long, vec_id long, score long")
+    first = asked.select(F.col("vec_id").alias("query_id"), F.inline("hits")).select("query_id", "vec_id", "score")
+    ranked = found.union(first).distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -251,10 +251,14 @@ def test_reduction_loses_no_bin():
         assert sorted(used + rest) == sorted(items)
 
 
-def test_exact_topk(spark):
+@pytest.mark.parametrize(("head", "lane", "group"), [(4096, 1024, 1 << 20), (3, 40, 2)])
+def test_exact_topk(spark, monkeypatch, head, lane, group):
+    # few long vectors first, many lanes, queries in groups; ties run across lanes
+    for name, value in (("HEAD_ROWS", head), ("LANE_ROWS", lane), ("QUERY_GROUP", group)):
+        monkeypatch.setattr(exact_topk, name, value)
     rnd = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rnd.normal(size=6) * rnd.integers(1, 5)]) for i in range(400)]
-    rows += [(400 + i, rows[7][1]) for i in range(30)] + [(500, None), (501, [1.0, None]), (502, [float("nan")] * 6), (550, [1.0, 2.0]), (600, []), (None, [1.0] * 6), rows[0]]
+    rows += [(400 + i, rows[7][1]) for i in range(30)] + [(500, None), (501, [1.0, None]), (502, [float("nan")] * 6), (550, [1.0, 2.0]), (600, []), (650, [-9.0] * 6), (700, [0.0] * 6), (None, [1.0] * 6), rows[0]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit("clash"))
     got = {}
     for r in exact_topk.exact_topk(exact_topk.scaled_vectors(df), F.col("vec_id") % 50 == 0).collect():
