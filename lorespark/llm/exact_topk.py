@@ -89,9 +89,13 @@ class TopK:
         i, j = np.nonzero((bound >= self.floor[live][:, None]) & (self.ids[live][:, None] != block.ids[None, :]))
         i = live[i]
         score = np.empty(len(i), np.int64)
-        for at in range(0, len(i), 1 << 15):
-            s = slice(at, at + (1 << 15))
-            score[s] = np.einsum("ij,ij->i", self.q[i[s]], block.c[j[s]])
+        if 16 * len(i) > len(live) * len(block.ids) and self.norm.max() * block.most < 1 << 52:
+            # many are left: one product of matrices, whose sums of integers doubles hold exactly
+            score[:] = (self.q.astype(float) @ block.c.T.astype(float))[i, j]
+        else:
+            for at in range(0, len(i), 1 << 15):
+                s = slice(at, at + (1 << 15))
+                score[s] = np.einsum("ij,ij->i", self.q[i[s]], block.c[j[s]])
         good = score >= self.floor[i]
         qi, sc, vi = (np.concatenate([a, b]) for a, b in zip(self.best, (i[good], score[good], block.ids[j[good]]), strict=True))
         order = np.lexsort((vi, -sc, qi))
@@ -134,10 +138,10 @@ def exact_topk(vectors: DataFrame, queries: F.Column, k: int = 5) -> DataFrame:
     lanes = max(1, math.ceil(total / most), min(shuffle_partitions(spark), total // LANE_ROWS))
     groups = max(1, math.ceil(size["asked"] / QUERY_GROUP))
     dealt = materialize(rows.repartitionByRange(lanes, F.desc("n2"), "vec_id", F.xxhash64("v")).withColumn("lane", F.spark_partition_id()), "lanes")
-    reach = np.zeros(lanes)
-    for r in dealt.groupBy("lane").agg(F.max("n2").alias("n2")).toLocalIterator():
-        reach[r["lane"]] = math.sqrt(r["n2"])
-    reach = np.maximum.accumulate(reach[::-1])[::-1]
+    # a number a lane; a session may deal more lanes than asked for
+    lengths = {r["lane"]: math.sqrt(r["n2"]) for r in dealt.groupBy("lane").agg(F.max("n2").alias("n2")).collect()}
+    lanes = 1 + max(lengths, default=0)
+    reach = np.maximum.accumulate(np.array([lengths.get(lane, 0.0) for lane in range(lanes)])[::-1])[::-1]
 
     def tried(ids: np.ndarray, q: np.ndarray, floor: np.ndarray, against: list[Block]) -> TopK:
         found = TopK(ids, q, floor, rotation, k, part)
