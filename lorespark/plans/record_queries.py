@@ -243,10 +243,9 @@ def required_topics(spark, sf):
     return topics(spark, sf).where(F.lower(F.trim("topic")).isin("brand#11", "brand#22")).select("profile").distinct()
 
 
-@query(f"WITH {TOPICS} SELECT lower(trim(topic)) AS topic, count(DISTINCT profile) AS profiles, list_sort(list(DISTINCT profile))[1:5] AS first FROM tp GROUP BY 1")
-def topic_index(spark, sf):
-    own = topics(spark, sf).select(F.lower(F.trim("topic")).alias("topic"), "profile").distinct()
-    return own.groupBy("topic").agg(F.count(F.lit(1)).alias("profiles"), F.slice(F.array_sort(F.collect_list("profile")), 1, 5).alias("first"))
+@query(f"WITH {TOPICS} SELECT lower(trim(topic)) AS topic, count(DISTINCT profile) AS profiles FROM tp GROUP BY 1")
+def topic_profiles(spark, sf):
+    return topics(spark, sf).select(F.lower(F.trim("topic")).alias("topic"), "profile").distinct().groupBy("topic").agg(F.count(F.lit(1)).alias("profiles"))
 
 
 @query("WITH c AS (SELECT conv_id, turn, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS behind FROM conversations) SELECT conv_id, turn FROM c WHERE behind <= 2000")
