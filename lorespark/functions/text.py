@@ -122,6 +122,13 @@ def markdown_chunks(text: str) -> list[dict]:
     return out
 
 
+def piece_chunks(text: str) -> list[dict]:
+    """Packed paragraphs without sections; a piece keeps its position, so one of citations alone leaves a gap."""
+    body = text.strip()
+    pieces = [(i, p, re.sub(_CITATION, "", p).strip()) for i, p in enumerate(pack_paragraphs(body) if body else [])]
+    return [{"chunk_index": i, "section": None, "text": p, "embed_text": clean} for i, p, clean in pieces if clean]
+
+
 def passage_windows(text: str) -> list[tuple[int, int]]:
     """Spans of 400 to 1,200 characters from blank-line paragraphs; longer ones are cut at spaces."""
     pieces: list[tuple[int, int]] = []
@@ -178,6 +185,12 @@ def chunk_markdown(s: pd.Series) -> pd.Series:
     return s.map(lambda t: markdown_chunks(t or ""))
 
 
+@F.pandas_udf(CHUNK_TYPE)
+def chunk_source(s: pd.Series, headed: pd.Series) -> pd.Series:
+    """Chunks at headings where ``headed``, else packed pieces."""
+    return pd.Series([markdown_chunks(t or "") if h else piece_chunks(t or "") for t, h in zip(s, headed, strict=True)], index=s.index)
+
+
 @F.pandas_udf(SPAN_TYPE)
 def windows_of(s: pd.Series) -> pd.Series:
     return s.map(lambda t: [{"start": a, "end": b} for a, b in passage_windows(t or "")])

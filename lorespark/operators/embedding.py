@@ -45,16 +45,27 @@ def embed(make: Callable[[], Callable[[list[str]], np.ndarray]], text: str) -> C
     return run(F.col(text))
 
 
+HEADED = ("expertise", "soul", "cv", "web")
+
+
+def titled_text(title, abstract) -> Column:
+    """Text of a grant or seed: title and abstract, blank ones left out; null for neither."""
+    trimmed = lambda c: F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    return F.nullif(F.concat_ws("\n\n", trimmed(title), trimmed(abstract)), F.lit(""))
+
+
 def enumerate_chunks(sources: DataFrame, level: str, contaminated: DataFrame | None = None) -> DataFrame:
     """``sources(profile, source_type, source_id, text)`` of a level to chunks with digests of what is embedded.
 
-    The lite level leaves out contaminated papers. Summaries, abstracts, grants and seeds keep the
-    position of a piece as its index.
+    The lite level leaves out contaminated papers. Documents with headings are cut at them; summaries
+    (without their marker of an abstract alone), abstracts, grants and seeds are packed pieces that keep
+    their position as index.
     """
     own = sources.where(F.col("source_type").isin(*LEVEL_SOURCES[level]))
     if level == "lite" and contaminated is not None:
         own = own.join(contaminated, ["profile", "source_id"], "left_anti")
-    each = own.select("profile", "source_type", "source_id", F.explode(T.chunk_markdown("text")).alias("c"))
+    body = F.when(F.col("source_type") == "paper_summary", F.regexp_replace("text", r"(?i)\[abstract-only\]\s*", "")).otherwise(F.col("text"))
+    each = own.select("profile", "source_type", "source_id", F.explode(T.chunk_source(body, F.col("source_type").isin(*HEADED))).alias("c"))
     return each.select("profile", "source_type", "source_id", "c.chunk_index", "c.section", "c.text", "c.embed_text", F.sha2(F.col("c.embed_text").cast("binary"), 256).alias("text_hash"), F.length("c.text").alias("char_count"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,17 +86,19 @@ def phrases(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFra
 def key_phrases(docs: DataFrame, top_n: int = 8, min_papers: int = 2, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """Most shared phrases, longer first on ties, none inside or around one already kept.
 
-    The pruning is sequential; it reads the ranked list lazily from the top, in bounded chunks.
+    The pruning is sequential. A round reads a bounded head of what does not nest in a phrase kept so far
+    and keeps its first at least, so ``top_n`` rounds end it; no phrase is out of reach.
     """
-    words = F.size(F.split("phrase", " "))
-    top = phrases(docs, id_, text).where(F.col("papers") >= min_papers).orderBy(F.desc("papers"), F.desc(words), "phrase").limit(top_n * 64)
-
-    def prune(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf["n"] = pdf["phrase"].str.count(" ")
-        kept: list[tuple[str, int]] = []
-        for r in pdf.sort_values(["papers", "n", "phrase"], ascending=[False, False, True]).itertuples():
-            if len(kept) < top_n and not any(f" {r.phrase} " in f" {k} " or f" {k} " in f" {r.phrase} " for k, _ in kept):
-                kept.append((r.phrase, r.papers))
-        return pd.DataFrame(kept, columns=["phrase", "papers"]).astype({"papers": "int64"})
-
-    return top.groupBy(F.lit("all")).applyInPandas(prune, "phrase string, papers long")
+    words, spaced = F.size(F.split("phrase", " ")), F.concat(F.lit(" "), "phrase", F.lit(" "))
+    left, kept = settled(phrases(docs, id_, text).where(F.col("papers") >= min_papers)), []
+    while len(kept) < top_n:
+        # the kept phrases are ``top_n`` at most
+        for p, _ in kept:
+            left = left.where(~F.contains(spaced, F.lit(f" {p} ")) & ~F.contains(F.lit(f" {p} "), spaced))
+        head = left.orderBy(F.desc("papers"), F.desc(words), "phrase").limit(top_n * 8).collect()
+        if not head:
+            break
+        for r in head:
+            if len(kept) < top_n and not any(f" {r['phrase']} " in f" {k} " or f" {k} " in f" {r['phrase']} " for k, _ in kept):
+                kept.append((r["phrase"], r["papers"]))
+    return docs.sparkSession.createDataFrame(kept, "phrase string, papers long")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import vectors as V
+from ..session import settled
 
 # Fixed values of ranking.
 AUTHORED_WEIGHT, SEED_SHARE_CAP, TOPK_CHUNKS, CALIBRATION_CHUNKS, EVIDENCE_COSINE = 3, 0.4, 5, 3, 0.5
@@ -142,13 +143,22 @@ def agreement(cos) -> Column:
     return F.when(cos > 0.99, "verified").when(cos > 0.9, "degraded").otherwise("incompatible")
 
 
+#: Longest list that ``lloyd`` clusters in one task.
+LLOYD_ROWS = 5_000
+
+
 def lloyd(df: DataFrame, k: int | None = None, seed: int = 42, rounds: int = 100, key: str = "profile", vec: str = "vec") -> DataFrame:
-    """Clusters of a bounded list of vectors (at most 5,000 profiles), seeded and deterministic: ``cluster, exemplar``."""
+    """Clusters of a bounded list of vectors, seeded and deterministic: ``cluster, exemplar``.
+
+    More than LLOYD_ROWS rows are an error, never a cut: ``kmeans`` is for any size.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key).reset_index(drop=True)
         x = np.array(pdf[vec].tolist(), float).astype(np.float32).astype(float)
         n = len(x)
+        if n > LLOYD_ROWS:
+            raise ValueError(f"more than {LLOYD_ROWS} vectors: use kmeans")
         kk = k or max(2, int(np.floor(np.sqrt(n) + 0.5)))
         if kk >= n:
             return pd.DataFrame({key: pdf[key], "cluster": np.arange(n, dtype="int32"), "exemplar": True})
@@ -177,7 +187,7 @@ def lloyd(df: DataFrame, k: int | None = None, seed: int = 42, rounds: int = 100
         return pd.DataFrame({key: pdf[key], "cluster": own.astype("int32"), "exemplar": [best[c] == i for i, c in enumerate(own)]})
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, vec).limit(5000).groupBy(F.lit("all")).applyInPandas(run, f"{key} {kind}, cluster int, exemplar boolean")
+    return df.select(key, vec).limit(LLOYD_ROWS + 1).groupBy(F.lit("all")).applyInPandas(run, f"{key} {kind}, cluster int, exemplar boolean")
 
 
 def kmeans(df: DataFrame, k: int, seed: int = 0, key: str = "profile", vec: str = "vec") -> DataFrame:
@@ -190,3 +200,40 @@ def kmeans(df: DataFrame, k: int, seed: int = 0, key: str = "profile", vec: str
     centers = df.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "prediction int, center array<double>")
     near = model.transform(rows).join(F.broadcast(centers), "prediction").withColumn("near", V.cosine(vec, V.unit("center")))
     return near.withColumn("named", F.first(key).over(Window.partitionBy("prediction").orderBy(F.desc("near"), key))).select(key, "prediction", "named")
+
+
+def _label(text) -> Column:
+    """A leading heading without its marks, else the first sentence, cut to 80; ``topic`` for no text."""
+    body = F.trim(F.coalesce(text, F.lit("")))
+    line = F.regexp_extract(body, r"^#+[ \t]*([^\r\n]*)", 1)
+    first = F.element_at(F.split(body, r"(?<=[.!?])\s", 2), 1)
+    return F.when(body == "", "topic").otherwise(F.substring(F.when(body.startswith("#"), F.trim(line)).otherwise(first), 1, 80))
+
+
+def topic_clusters(chunks: DataFrame, n: int = 8, rounds: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Topics of every profile, ``profile, cluster, label, weight, papers``, and members, ``profile, cluster, chunk_id``.
+
+    ``chunks(profile, chunk_id, source_type, source_id, text, v)``; seeds are no topics. Lloyd's rounds of
+    all profiles at once: centres are joined by profile and means are partial sums, so a profile's chunks
+    are never gathered. First centres: the ``n`` chunks of least hash, fewer for fewer chunks; ties go to
+    the lower cluster; a cluster that loses all its chunks ends. A topic is named for the member nearest its unit
+    centre; its weight is its share of chunks, to four places; ``papers`` counts the papers whose summaries are in it.
+    """
+    own = settled(chunks.where(F.col("source_type") != SEED_TYPE).select("profile", "chunk_id", "source_type", "source_id", "text", "v"))
+    first = Window.partitionBy("profile").orderBy(F.xxhash64("chunk_id"), "chunk_id")
+    centers = own.withColumn("cluster", F.row_number().over(first)).where(F.col("cluster") <= n).select("profile", "cluster", F.col("v").alias("center"))
+    before = None
+    for _ in range(rounds):
+        away = F.aggregate(F.zip_with("v", "center", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
+        near = own.join(centers, "profile").groupBy("profile", "chunk_id").agg(F.min(F.struct(away.alias("away"), "cluster")).alias("m"))
+        now = settled(near.select("profile", "chunk_id", F.col("m.cluster").alias("cluster")))
+        if before is not None and now.join(before.withColumnRenamed("cluster", "was"), ["profile", "chunk_id"]).where("cluster <> was").isEmpty():
+            break
+        before = now
+        centers = settled(V.mean_vector(own.join(now, ["profile", "chunk_id"]), ["profile", "cluster"], "v", "center"))
+    at = own.join(now, ["profile", "chunk_id"]).join(centers.withColumn("center", V.unit("center")), ["profile", "cluster"])
+    best = F.max_by("text", F.struct(V.dot("v", "center"), -F.col("chunk_id")))
+    topics = at.groupBy("profile", "cluster").agg(best.alias("text"), F.count(F.lit(1)).alias("n"), F.count_distinct(F.when(F.col("source_type") == "paper_summary", F.col("source_id"))).alias("papers"))
+    total = own.groupBy("profile").agg(F.count(F.lit(1)).alias("all"))
+    rows = topics.join(total, "profile").select("profile", "cluster", _label(F.col("text")).alias("label"), F.round(F.col("n") / F.col("all"), 4).alias("weight"), "papers")
+    return rows, now

@@ -163,6 +163,12 @@ def kmeans_profiles(spark, sf):
     return R.kmeans(R.centroids(chunks(spark, sf)), 3)
 
 
+@query()
+def topic_clusters(spark, sf):
+    own = chunks(spark, sf).withColumn("text", F.concat(F.lit("# Part "), F.col("chunk_id").cast("string"), F.lit("\nBody.")))
+    return R.topic_clusters(own, 4)[0]
+
+
 @query()
 def mmr_candidates(spark, sf):
     own = R.centroids(chunks(spark, sf)).withColumn("score", V.hit_score(V.dot("vec", query_vector(spark, sf))))
