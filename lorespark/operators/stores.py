@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ids as I
+from ..session import settled
 from .lexical import ranked
 
-# Fields of a work that its owner may edit.
+# Fields of a work that its owner may edit, and the longest list of interest seeds.
 EDITABLE_WORK_FIELDS = ("title", "year", "journal", "abstract")
+SEEDS = 200
 
 
 def put_outcomes(profiles: DataFrame, slug_aliases: DataFrame, retired: DataFrame, staged: DataFrame, one_record: bool = False) -> DataFrame:
@@ -123,3 +126,41 @@ def topics_index(topics: DataFrame) -> DataFrame:
     """``topic, base``: every profile of every label, folded and trimmed; blank labels go. A row a pair, so no label's list is held whole."""
     rows = topics.select(F.lower(F.trim("topic")).alias("topic"), F.concat(F.lit("profiles/"), F.col("profile").cast("string"), F.lit("/")).alias("base"))
     return rows.where("topic <> ''").distinct()
+
+
+def seed_keys(openalex_id: str, doi: str) -> Column:
+    """Comparable keys of a work: the last part of its OpenAlex id, and its DOI in lower case."""
+    bare = F.upper(F.regexp_extract(F.trim(openalex_id), r"([^/]*)/*$", 1))
+    oa = F.when(bare != "", F.concat(F.lit("oa:"), bare))
+    return F.array_compact(F.array(oa, F.concat(F.lit("doi:"), F.lower(I.normalize_doi(doi)))))
+
+
+def add_seeds(seeds: DataFrame, papers: DataFrame, records: DataFrame, cap: int = SEEDS) -> DataFrame:
+    """``records(profile, ordinal, openalex_id, doi)`` with what becomes of each, in order: ``profile, ordinal, outcome``.
+
+    ``already_authored``: shares a key with one of ``papers(profile, openalex_id, doi)``; ``already_seed``:
+    with one of ``seeds`` (of the same columns) or with a record added before; ``over_cap``: the list is full; else ``added``.
+    An ordinal is a record's own in its profile. A round adds every record that comes first by all its keys, and
+    sets aside those that share one with it; chains of shared keys take a round a link.
+    """
+    keyed = lambda df: df.select("profile", F.explode(seed_keys("openalex_id", "doi")).alias("key")).distinct()
+    own = settled(records.select("profile", "ordinal", seed_keys("openalex_id", "doi").alias("keys")))
+    each = own.select("profile", "ordinal", F.explode("keys").alias("key"))
+    authored = each.join(keyed(papers), ["profile", "key"], "left_semi").select("profile", "ordinal").distinct()
+    held = each.join(keyed(seeds), ["profile", "key"], "left_semi").select("profile", "ordinal").distinct()
+    known = settled(authored.withColumn("outcome", F.lit("already_authored")).unionByName(held.join(authored, ["profile", "ordinal"], "left_anti").withColumn("outcome", F.lit("already_seed"))))
+    free = settled(own.join(known, ["profile", "ordinal"], "left_anti"))
+    added, left = free.where(F.size("keys") == 0).select("profile", "ordinal"), free.select("profile", "ordinal", F.explode("keys").alias("key"))
+    while not left.isEmpty():
+        first = left.withColumn("first", F.min("ordinal").over(Window.partitionBy("profile", "key"))).groupBy("profile", "ordinal").agg(F.bool_and(F.col("first") == F.col("ordinal")).alias("f")).where("f")
+        added = settled(added.unionByName(first.select("profile", "ordinal")))
+        taken = left.join(added, ["profile", "ordinal"], "left_semi").select("profile", "key").distinct()
+        gone = left.join(taken, ["profile", "key"], "left_semi").select("profile", "ordinal").distinct()
+        left = settled(left.join(gone, ["profile", "ordinal"], "left_anti"))
+    have = seeds.groupBy("profile").agg(F.count(F.lit(1)).alias("have"))
+    place = F.row_number().over(Window.partitionBy("profile").orderBy("ordinal"))
+    fits = added.withColumn("place", place).join(have, "profile", "left").where(F.col("place") + F.coalesce("have", F.lit(0)) <= cap).select("profile", "ordinal")
+    by_key = each.join(fits, ["profile", "ordinal"], "left_semi").groupBy("profile", "key").agg(F.min("ordinal").alias("by"))
+    again = each.join(by_key, ["profile", "key"]).where("by < ordinal").select("profile", "ordinal").distinct().withColumn("again", F.lit(True))
+    late = free.join(fits.withColumn("fits", F.lit(True)), ["profile", "ordinal"], "left").join(again, ["profile", "ordinal"], "left")
+    return known.unionByName(late.select("profile", "ordinal", F.when(F.col("fits"), "added").when(F.col("again"), "already_seed").otherwise("over_cap").alias("outcome")))

@@ -136,3 +136,14 @@ def collection_cards(spark, sf):
 @query(f"WITH {TOPICS} SELECT DISTINCT lower(trim(topic)) AS topic, 'profiles/' || profile || '/' AS base FROM tp")
 def topic_index(spark, sf):
     return S_.topics_index(topics(spark, sf))
+
+
+@query("""WITH rec AS (SELECT o_custkey AS profile, o_orderkey AS ordinal, o_orderkey % 5 AS k FROM orders), keyed AS (SELECT *, min(ordinal) OVER (PARTITION BY profile, k) AS first FROM rec),
+fresh AS (SELECT profile, ordinal, row_number() OVER (PARTITION BY profile ORDER BY ordinal) AS place FROM keyed WHERE k > 1 AND ordinal = first)
+SELECT profile, ordinal, CASE WHEN k = 0 THEN 'already_authored' WHEN k = 1 THEN 'already_seed' WHEN place + 1 <= 3 THEN 'added'
+WHEN (SELECT f.place FROM fresh f WHERE f.profile = keyed.profile AND f.ordinal = keyed.first) <= 2 THEN 'already_seed' ELSE 'over_cap' END AS outcome FROM keyed LEFT JOIN fresh USING (profile, ordinal)""")
+def seeds_added(spark, sf):
+    """Orders as records whose DOI is one of five; the first is authored, the second a seed."""
+    own = table(spark, sf, "orders").select(F.col("o_custkey").alias("profile"), F.col("o_orderkey").alias("ordinal"), F.lit(None).cast("string").alias("openalex_id"), F.concat(F.lit("https://doi.org/10.1/K"), F.col("o_orderkey") % 5).alias("doi"))
+    one = lambda doi: table(spark, sf, "customer").select(F.col("c_custkey").alias("profile"), F.lit(None).cast("string").alias("openalex_id"), F.lit(doi).alias("doi"))
+    return S_.add_seeds(one("10.1/k1"), one("10.1/k0"), own, cap=3)

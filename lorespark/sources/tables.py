@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from ..schemas import TABLES
+from ..session import settled
 
 
 def read_profile_folders(spark: SparkSession, root: str) -> DataFrame:
@@ -95,9 +97,27 @@ def merge_identity(aliases: DataFrame, retired: DataFrame) -> DataFrame:
 
 
 def publish(df: DataFrame, path: str, previous: DataFrame | None, key: str) -> DataFrame | None:
-    """Write all or nothing (Spark's committer), and name what the last run wrote and this one did not."""
-    df.write.mode("overwrite").parquet(path)
-    return previous.select(key).distinct().join(df.select(key).distinct(), key, "left_anti") if previous is not None else None
+    """Write all or nothing, and name what the last run wrote and this one did not.
+
+    The table is written beside ``path`` and takes its name only when whole; the one before goes last, so a
+    failed write leaves it as it was. ``previous`` may read ``path`` itself.
+    """
+    gone = settled(previous.select(key).distinct().join(df.select(key).distinct(), key, "left_anti")) if previous is not None else None
+    aside, old = f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}"
+    df.write.parquet(aside)
+    jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    at, new, was = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, aside, old))
+    files = at.getFileSystem(conf)
+    held = files.exists(at)
+    if held and not files.rename(at, was):
+        raise OSError(f"{path} could not be moved")
+    if not files.rename(new, at):
+        if held:
+            files.rename(was, at)
+        raise OSError(f"{aside} could not take the name {path}")
+    if held:
+        files.delete(was, True)
+    return gone
 
 
 def pages(fetch, size: int = 1000) -> Iterator:

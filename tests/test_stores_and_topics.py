@@ -1,10 +1,13 @@
 """Store writes, chunkers, topic clusters, and lists that no bound cuts."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lorespark.operators import diffs, embedding, lexical, ranking, stores
+from lorespark.sources import tables
 
 
 def rows(df):
@@ -88,3 +91,34 @@ def test_nothing_is_cut(spark):
     # a chain longer than any fixed number of rounds
     chain = spark.range(200).select(F.col("id").alias("card"), F.floor(F.col("id") / 2).cast("string").alias("rid"), F.floor((F.col("id") + 1) / 2).cast("string").alias("base"))
     assert {r["person"] for r in diffs.card_groups(chain).collect()} == {0}
+
+
+@pytest.mark.parametrize("cap", [4, 200])
+def test_add_seeds(spark, cap):
+    rnd = random.Random(cap)
+    work = lambda: (rnd.choice([None, f"https://openalex.org/w{rnd.randint(1, 9)}/"]), rnd.choice([None, f"doi:10.1/A{rnd.randint(1, 9)}"]))
+    key = lambda o, d: {k for k in ((o and "oa:" + o.strip("/").split("/")[-1].upper()), (d and d.lower())) if k}
+    lists = {w: [(p, i, *work()) for p in ("p", "q") for i in range(n)] for w, n in (("seeds", 2), ("papers", 2), ("records", 15))}
+    want = []
+    for p in ("p", "q"):
+        held, size = set().union(*(key(o, d) for q, _, o, d in lists["seeds"] if q == p)), 2
+        authored = set().union(*(key(o, d) for q, _, o, d in lists["papers"] if q == p))
+        for q, i, o, d in lists["records"]:
+            if q == p:
+                k = key(o, d)
+                word = "already_authored" if k & authored else "already_seed" if k & held else "over_cap" if size >= cap else "added"
+                if word == "added":
+                    held, size = held | k, size + 1
+                want.append((p, i, word))
+    df = {w: spark.createDataFrame(r, "profile string, ordinal int, openalex_id string, doi string") for w, r in lists.items()}
+    assert rows(stores.add_seeds(df["seeds"], df["papers"], df["records"], cap)) == sorted(want, key=repr)
+
+
+def test_publish_swaps(spark, tmp_path):
+    path = str(tmp_path / "table")
+    assert tables.publish(spark.range(3), path, None, "id") is None
+    gone = tables.publish(spark.range(2, 5), path, spark.read.parquet(path), "id")
+    assert rows(gone) == [(0,), (1,)] and rows(spark.read.parquet(path)) == [(2,), (3,), (4,)]
+    with pytest.raises(Exception):  # noqa: B017
+        tables.publish(spark.range(9).select(F.raise_error(F.lit("no")).alias("id")), path, None, "id")
+    assert rows(spark.read.parquet(path)) == [(2,), (3,), (4,)]
