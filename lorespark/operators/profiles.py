@@ -22,12 +22,22 @@ def paper_stats(papers: DataFrame) -> DataFrame:
 
 
 def coverage(papers: DataFrame, updated: DataFrame, as_of: str) -> DataFrame:
-    """Counts, years and staleness: days since the update or since the newest paper's year began, over 365, at most 1."""
+    """Counts, years, staleness and caveats by profile of ``updated(profile, updated)``.
+
+    Refreshed at the update or when the newest paper's year began, whichever is later. The score is the days since
+    that year began, without a year since the update, over 365, at most 1; a profile of neither counts from 1970.
+    """
     day = F.to_date(F.lit(as_of))
     stats = papers.groupBy("profile").agg(F.count(F.lit(1)).alias("papers"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
-    days = F.greatest(F.coalesce(F.date_diff(day, F.to_date("updated")), F.lit(0)), F.coalesce(F.date_diff(day, F.make_date("last_year", F.lit(1), F.lit(1))), F.lit(0)), F.lit(0))
-    score = F.least(F.lit(1.0), days / 365.0)
-    return updated.join(stats, "profile", "left").withColumn("score", score).withColumn("label", F.when(F.col("score") < 0.25, "fresh").when(F.col("score") < 0.75, "aging").otherwise("stale"))
+    newest = F.make_date("last_year", F.lit(1), F.lit(1))
+    since = F.date_diff(day, F.coalesce(F.greatest(F.to_date("updated"), newest), F.lit("1970-01-01").cast("date")))
+    out = updated.join(stats, "profile", "left").withColumn("days_since_update", since)
+    out = out.withColumn("score", F.least(F.lit(1.0), F.coalesce(F.date_diff(day, newest), F.col("days_since_update")) / 365.0))
+    out = out.withColumn("label", F.when(F.col("score") < 0.25, "fresh").when(F.col("score") < 0.75, "aging").otherwise("stale"))
+    # The sentences of the caveats.
+    covers = F.format_string("Index covers %d papers from %d-%d; preprints since then may be missing.", "papers", "first_year", "last_year")
+    refreshed = F.format_string("Profile last refreshed %d days ago (label: %s).", "days_since_update", "label")
+    return out.withColumn("caveats", F.array_compact(F.array(F.when(F.col("last_year").isNotNull(), covers), refreshed)))
 
 
 def export_scores(papers: DataFrame) -> DataFrame:

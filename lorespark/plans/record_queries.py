@@ -156,14 +156,21 @@ def trial_stats(spark, sf):
     return P.trial_stats(table(spark, sf, "customer").select(F.col("c_nationkey").alias("profile"), F.when(k % 4 == 0, "pi").otherwise("sub").alias("role"), F.when(F.col("c_mktsegment") == "BUILDING", "industry").alias("sponsor"), F.when(k % 3 == 0, "completed").alias("status"), F.when((F.col("c_nationkey") % 3 != 0) | (k % 2 == 0), k).alias("enrollment")))
 
 
-COV = f"{PAPERS}, up AS (SELECT DISTINCT profile, DATE '2024-01-01' + CAST(length(profile) * 50 AS INTEGER) AS updated FROM pp), st AS (SELECT profile, count(*) AS papers, min(year) AS first_year, max(year) AS last_year FROM pp GROUP BY 1), sc AS (SELECT profile, papers, first_year, last_year, least(1.0, greatest(DATE '2024-12-31' - updated, DATE '2024-12-31' - make_date(CAST(last_year AS BIGINT), 1, 1), 0) / 365.0) AS score FROM up JOIN st USING (profile))"
+COV = f"""{PAPERS}, up AS (SELECT DISTINCT profile, DATE '2006-01-01' + CAST(length(profile) * 1500 AS INTEGER) AS updated FROM pp),
+st AS (SELECT profile, count(*) AS papers, min(year) AS first_year, max(year) AS last_year FROM pp GROUP BY 1),
+sd AS (SELECT *, DATE '2024-12-31' - greatest(updated, make_date(CAST(last_year AS BIGINT), 1, 1)) AS d FROM up JOIN st USING (profile)),
+sc AS (SELECT *, least(1.0, coalesce(DATE '2024-12-31' - make_date(CAST(last_year AS BIGINT), 1, 1), d) / 365.0) AS score FROM sd),
+sl AS (SELECT *, CASE WHEN score < 0.25 THEN 'fresh' WHEN score < 0.75 THEN 'aging' ELSE 'stale' END AS label FROM sc)"""
 
 
-@query(f"WITH {COV} SELECT profile, papers, first_year, last_year, round(CAST(score AS DOUBLE), 6) AS score, CASE WHEN score < 0.25 THEN 'fresh' WHEN score < 0.75 THEN 'aging' ELSE 'stale' END AS label FROM sc")
+@query(f"""WITH {COV} SELECT profile, papers, first_year, last_year, CAST(d AS INTEGER) AS days, round(CAST(score AS DOUBLE), 6) AS score, label,
+CASE WHEN last_year IS NULL THEN '' ELSE 'Index covers ' || papers || ' papers from ' || first_year || '-' || last_year || '; preprints since then may be missing. ' END
+|| 'Profile last refreshed ' || d || ' days ago (label: ' || label || ').' AS caveats FROM sl""")
 def profile_coverage(spark, sf):
     own = papers(spark, sf)
-    updated = own.select("profile").distinct().withColumn("updated", F.date_add(F.lit("2024-01-01").cast("date"), F.length("profile") * 50))
-    return P.coverage(own, updated, "2024-12-31").select("profile", "papers", "first_year", "last_year", F.round("score", 6).alias("score"), "label")
+    updated = own.select("profile").distinct().withColumn("updated", F.date_add(F.lit("2006-01-01").cast("date"), F.length("profile") * 1500))
+    got = P.coverage(own, updated, "2024-12-31")
+    return got.select("profile", "papers", "first_year", "last_year", F.col("days_since_update").alias("days"), F.round("score", 6).alias("score"), "label", F.array_join("caveats", " ").alias("caveats"))
 
 
 @query(f"WITH {PAPERS}, y AS (SELECT *, min(year) OVER (PARTITION BY profile) AS lo, max(year) OVER (PARTITION BY profile) AS hi FROM pp), r AS (SELECT profile, paper, 1.5 * CASE WHEN position IN ('first', 'last') OR corresponding THEN 2 ELSE 1 END + ln(1 + cites) + coalesce((year - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END, 0) AS raw FROM y) SELECT profile, paper, round((raw - min(raw) OVER (PARTITION BY profile)) / (max(raw) OVER (PARTITION BY profile) - min(raw) OVER (PARTITION BY profile)), 6) AS score FROM r")
