@@ -20,12 +20,12 @@ HEAD_ROWS, MATRIX_BYTES = 4096, 16 << 20
 _SLACK = 1e-6
 
 
-def scaled_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
+def scaled_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = 256, keep: tuple[str, ...] = ()) -> DataFrame:
     """``vec_id, v`` with v = floor(scale * x) of each component as double; vectors that are null or
-    have null or non-finite components, and rows with a null id, go."""
+    have null or non-finite components, and rows with a null id, go. Columns in ``keep`` stay."""
     x = F.col(f"`{vector}`").cast("array<double>")
     good = F.coalesce(F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))), F.lit(False))
-    return df.where(good & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * scale).cast("long")).alias("v"))
+    return df.where(good & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * scale).cast("long")).alias("v"), *[F.col(f"`{c}`") for c in keep])
 
 
 def fit_rotation(vectors: DataFrame, dim: int, total: int, rows: int = FIT_ROWS) -> np.ndarray:

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod3, read_table
-from . import decontamination
+from . import decontamination, filter_audit, hard_negatives
 from .exact_topk import exact_topk, scaled_vectors
 from .id_store import read_digests, write_ids
 from .language import learn_profiles, predict_languages
 from .packing import pack_documents
 from .pii import pii_digest
+from .quality import judge_quality
 from .simhash import simhash_components
 from .token_counts import token_counts
 from .suffix_dedup import cut_repeats
@@ -80,6 +81,20 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = read_table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+    return judge_quality(read_table(spark, sf_dir, "documents"), trusted)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.mask_counts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = hard_negatives.labelled_vectors(read_table(spark, sf_dir, "embeddings"), noisy=F.col("vec_id") % 7 == 0)
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
 OP6_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -90,8 +105,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_id_store, op3_toxicity, op4_simhash_near_dedup, op5_best_fit_packing, op6_exact_topk, op7_language_id, op8_pii, op9_suffix_dedup, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_id_store, op3_toxicity, op4_simhash_near_dedup, op5_best_fit_packing, op6_exact_topk, op7_language_id, op8_pii, op9_suffix_dedup, op10_benchmark_decontamination, op11_quality_rules, op12_filter_audit, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_topk": OP6_SQL, "op10_benchmark_decontamination": decontamination.oracle()}
+    return {"op6_exact_topk": OP6_SQL, "op10_benchmark_decontamination": decontamination.oracle(), "op12_filter_audit": filter_audit.oracle(), "op13_hard_negatives": hard_negatives.oracle()}
