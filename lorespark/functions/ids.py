@@ -149,12 +149,53 @@ def slug(c) -> Column:
     return F.when(x == "", F.lit("person")).otherwise(x)
 
 
-def minted_rid(key, name) -> Column:
-    """Deterministic local id: slug of at most 48 characters and six hex digits of the key's digest."""
-    stem = F.regexp_replace(F.substring(slug(name), 1, 48), r"-+$", "")
+def minted_rid(key) -> Column:
+    """Local id that a mint key always gives: its words, hyphenated, up to 48 characters, and six hex digits of its digest."""
+    stem = F.regexp_replace(F.substring(F.regexp_replace(col(key), " ", "-"), 1, 48), r"-+$", "")
     return F.concat(F.lit("local:"), stem, F.lit("-"), F.substring(F.sha2(col(key).cast("binary"), 256), 1, 6))
 
 
+def _given_names(tokens: list[str]) -> list[str]:
+    """Folded given names; runs of initials ("J.A.", "W.-K.") are taken apart, suffixes go."""
+    out: list[str] = []
+    for t in tokens:
+        whole = _fold(t)
+        initials = [f for f in map(_fold, re.split(r"[.\-]", t)) if f]
+        if whole in NAME_SUFFIXES or not whole:
+            continue
+        out += initials if len(initials) > 1 and max(map(len, initials)) == 1 else [whole]
+    return out
+
+
+def _identity(name: str | None) -> dict | None:
+    """What a name is matched and minted by; null for a name that folds to nothing."""
+    raw = (name or "").strip()
+    if "," in raw:
+        before, _, after = raw.partition(",")
+        surname, rest = _fold(before), after.split()
+    else:
+        parts = raw.split()
+        while len(parts) > 1 and _fold(parts[-1]) in NAME_SUFFIXES:
+            parts.pop()
+        surname, rest = _fold(parts[-1]) if parts else "", parts[:-1]
+    given = _given_names(rest)
+    if not surname:
+        surname, given = _fold("".join(rest)), []
+    if not surname:
+        return None
+    return {"key": _name_key(raw), "mint_key": " ".join([surname, *given]), "given": given[0] if given else "", "tokens": [surname, *given]}
+
+
+IDENTITY_TYPE = ST.StructType([*[ST.StructField(n, ST.StringType()) for n in ("key", "mint_key", "given")], ST.StructField("tokens", ST.ArrayType(ST.StringType()))])
+
+
+@F.pandas_udf(IDENTITY_TYPE)
+def name_identity(s: pd.Series) -> pd.DataFrame:
+    """``key`` (surname and initial), ``mint_key`` (surname and all given names), first ``given`` name, ``tokens``, folded; nulls for no name."""
+    none = dict.fromkeys(("key", "mint_key", "given", "tokens"))
+    return pd.DataFrame([_identity(x) or none for x in s], columns=list(none))
+
+
 def slugify_backend(c) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(col(c)), r"[:/\\ ]", "-"), r"-{2,}", "-")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settled
@@ -13,19 +13,59 @@ def resolve_names(names: DataFrame) -> DataFrame:
     return names.groupBy("key").agg(F.when(F.count_distinct("rid") == 1, F.min("rid")).alias("rid"))
 
 
-def coauthor_edges(parts: DataFrame) -> DataFrame:
-    """``parts(work, person, year, profiled, owns)``, one row a person and work.
+#: Members of a side: a task of ``tiled_pairs`` meets two sides at most.
+SIDE = 256
+
+
+def tiled_pairs(rows: DataFrame, key: str, member: str, side: int | None = None) -> DataFrame:
+    """Pairs of rows that share ``key``, once each: ``key, a, b`` with a's member before b's; rows of one member are no pair.
 
-    Pairs of a work with a profiled endpoint: count, first and last year, best confidence, works. The
-    pair condition is in the join; a work's list is never gathered; adaptive execution splits skewed works.
+    A key with many rows is dealt into sides by hash, and every two sides meet under a key of their own:
+    a row is copied once a side, so a group of n rows costs n * n / ``side`` copies for its n * n / 2 pairs, and no
+    key holds more than two sides, however hot the group. Groups up to ``side`` rows are one side.
     """
-    a = parts.select("work", "year", F.col("person").alias("src"), F.col("profiled").alias("pa"), F.col("owns").alias("oa"))
-    b = parts.select("work", F.col("person").alias("dst"), F.col("profiled").alias("pb"), F.col("owns").alias("ob"))
-    pairs = a.join(b, (a["work"] == b["work"]) & (a["src"] < b["dst"]) & (a["pa"] | b["pb"])).drop(b["work"])
+    side = side or SIDE
+    many = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / side).cast("int").alias("__s")).where("__s > 1")
+    own = rows.select(key, F.struct("*").alias("__r")).join(many, key, "left").withColumn("__s", F.coalesce("__s", F.lit(1)))
+    own = own.withColumn("__k", F.pmod(F.xxhash64(F.col("__r")[member]), F.col("__s")).cast("int"))
+    left = own.select(key, F.col("__k").alias("__i"), F.explode(F.sequence("__k", F.col("__s") - 1)).alias("__j"), F.col("__r").alias("a"))
+    right = own.select(key, F.explode(F.sequence(F.lit(0), "__k")).alias("__i"), F.col("__k").alias("__j"), F.col("__r").alias("b"))
+    x, y = F.col("a")[member], F.col("b")[member]
+    met = left.join(right, [key, "__i", "__j"]).where((x < y) | ((F.col("__i") < F.col("__j")) & (x > y)))
+    turned = x > y
+    return met.select(key, F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
+
+
+def _merged(pairs: DataFrame) -> DataFrame:
+    """Edges of ``pairs(src, dst, year, oa, ob, pa, pb)``, one row a pair and work."""
     conf = F.when(F.col("oa") & F.col("ob"), 2).when(F.col("pa") & F.col("pb"), 1).otherwise(0)
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("paper_count"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.max(conf).alias("confidence"))
 
 
+def coauthor_edges(parts: DataFrame, evidence: int = 0) -> DataFrame:
+    """``parts(work, person, year, profiled, owns)``, one row a person and work.
+
+    Pairs of a work with a profiled endpoint: count, first and last year, best confidence. Pairs are tiled, so a
+    work of thousands is many bounded tasks. ``evidence``: also the first so many works of each pair, in order; of
+    a pair with more only those are kept from the first task on, and ``paper_count`` still counts all.
+    """
+    pairs = tiled_pairs(parts, "work", "person").where(F.col("a.profiled") | F.col("b.profiled"))
+    pairs = pairs.select("work", F.col("a.person").alias("src"), F.col("b.person").alias("dst"), F.col("a.year").alias("year"), F.col("a.owns").alias("oa"), F.col("b.owns").alias("ob"), F.col("a.profiled").alias("pa"), F.col("b.profiled").alias("pb"))
+    edges = _merged(pairs)
+    if not evidence:
+        return edges
+    first = pairs.select("src", "dst", "work").withColumn("__n", F.row_number().over(Window.partitionBy("src", "dst").orderBy("work"))).where(F.col("__n") <= evidence)
+    return edges.join(first.groupBy("src", "dst").agg(F.array_sort(F.collect_list("work")).alias("evidence")), ["src", "dst"])
+
+
+def coauthors_of(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """``coauthor_edges`` of the asked ``pairs(src, dst)`` alone: works of one endpoint, then those the other is on too."""
+    asked = pairs.select("src", "dst").distinct()
+    a = parts.select(F.col("person").alias("src"), "work", "year", F.col("profiled").alias("pa"), F.col("owns").alias("oa"))
+    b = parts.select(F.col("person").alias("dst"), "work", F.col("profiled").alias("pb"), F.col("owns").alias("ob"))
+    return _merged(asked.join(a, "src").join(b, ["dst", "work"]).where(F.col("pa") | F.col("pb")))
+
+
 def spans_overlap(lo_a, hi_a, lo_b, hi_b):
     """Closed spans with open ends; null if either side has no year at all."""
     big = 10**9
@@ -34,10 +74,9 @@ def spans_overlap(lo_a, hi_a, lo_b, hi_b):
 
 
 def institution_edges(stays: DataFrame) -> DataFrame:
-    """``stays(person, inst, lo, hi, ordinal)``: profiled pairs that share an institution; the last one by ordinal names the edge."""
-    a, b = stays.alias("a"), stays.alias("b")
-    pairs = a.join(b, (F.col("a.inst") == F.col("b.inst")) & (F.col("a.person") < F.col("b.person")))
-    each = pairs.select(F.col("a.person").alias("src"), F.col("b.person").alias("dst"), F.col("a.inst").alias("inst"), F.greatest("a.ordinal", "b.ordinal").alias("o"), spans_overlap(F.col("a.lo"), F.col("a.hi"), F.col("b.lo"), F.col("b.hi")).alias("ov"))
+    """``stays(person, inst, lo, hi, ordinal)``: profiled pairs that share an institution, tiled; the last one by ordinal names the edge."""
+    pairs = tiled_pairs(stays.select("person", "inst", "lo", "hi", "ordinal"), "inst", "person")
+    each = pairs.select(F.col("a.person").alias("src"), F.col("b.person").alias("dst"), "inst", F.greatest("a.ordinal", "b.ordinal").alias("o"), spans_overlap(F.col("a.lo"), F.col("a.hi"), F.col("b.lo"), F.col("b.hi")).alias("ov"))
     by_inst = each.groupBy("src", "dst", "inst").agg(F.max("o").alias("o"), F.bool_or("ov").alias("ov"))
     return by_inst.groupBy("src", "dst").agg(F.max_by(F.struct("inst", "ov"), F.struct("o", "inst")).alias("x")).select("src", "dst", F.col("x.inst").alias("institution"), F.col("x.ov").alias("overlap"), F.when(F.startswith("x.inst", F.lit("ror:")), "high").otherwise("medium").alias("confidence"))
 
@@ -87,14 +126,17 @@ def shared_stays(pairs: DataFrame, stays: DataFrame) -> DataFrame:
     return pairs.join(left, "person").join(right, ["candidate", "inst"]).select("paper", "candidate", "person").distinct()
 
 
-def conflicts(authors: DataFrame, candidates: DataFrame, coauthors: DataFrame, stays: DataFrame, as_of_year: int, years: int = 4, advisors: DataFrame | None = None, inline: DataFrame | None = None) -> DataFrame:
+def conflicts(authors: DataFrame, candidates: DataFrame, coauthors: DataFrame | None, stays: DataFrame, as_of_year: int, years: int = 4, advisors: DataFrame | None = None, inline: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
     """Verdict on each (paper, candidate), with its reasons: recent co-authorship (unknown year counts) or any other tie.
 
     ``authors(paper, person)``, ``candidates(paper, candidate)``; authors that are the candidate are skipped.
     ``stays(person, inst)`` give shared institutions, ``advisors(src, dst)`` advising either way, and
     ``inline(paper, inst)`` affiliations written on the paper, which count only where no shared institution does.
+    ``coauthors`` are stored edges; without them those of the asked pairs alone are made from ``parts``. The asked pairs are written once.
     """
-    pairs = _asked_pairs(authors, candidates)
+    pairs = settled(_asked_pairs(authors, candidates))
+    if coauthors is None:
+        coauthors = coauthors_of(pairs, parts)
     recent = F.col("last_year").isNull() | (F.col("last_year") >= as_of_year - years)
     co = pairs.join(coauthors, ["src", "dst"]).select("paper", "candidate", F.lit("coauthor").alias("type"), recent.alias("counts"))
     inst = shared_stays(pairs, stays).select("paper", "candidate", F.lit("institution").alias("type"), F.lit(True).alias("counts"))

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Fixed value: the vocabulary of topics.
+TOPICS = "https://openalex.org/topics"
+
+
 def topic_prevalence(topics: DataFrame, top_n: int = 15, min_share: float = 0.05) -> DataFrame:
     """``topics(profile, paper, topic)``: share of papers with any topic; the first ``top_n``, then the share's cut."""
     total = topics.groupBy("profile").agg(F.count_distinct("paper").alias("papers"))
@@ -38,13 +42,21 @@ def topic_code(topic) -> F.Column:
     return F.upper(F.element_at(F.split(F.col(topic) if isinstance(topic, str) else topic, "/"), -1))
 
 
-def topic_score(works: DataFrame, interests: DataFrame, system: str | None = None) -> DataFrame:
-    """``works(work, topic)`` against effective ``interests(profile, system, code, weight, method, share)``.
+def _mapped(interests: DataFrame, system: str) -> DataFrame:
+    """Entries that a topic's id can meet: of the vocabulary, with a code, and not marked ``unmapped`` where that column is there."""
+    own = interests.where((F.col("system") == system) & F.col("code").isNotNull())
+    if "unmapped" in interests.columns:
+        own = own.where(~F.coalesce("unmapped", F.lit(False)))
+    return own.withColumn("code", F.upper("code"))
+
+
+def topic_score(works: DataFrame, interests: DataFrame, system: str = TOPICS) -> DataFrame:
+    """``works(work, topic)`` against effective ``interests(profile, system, code, weight, method, share[, unmapped])``.
 
-    Topics meet codes on the exact id, within the vocabulary ``system`` if one is given. Declared weights
+    Topics meet codes on the exact id, within the vocabulary ``system``; unmapped concepts have no say. Declared weights
     add up; one of -1 or less makes the score null; an entry without a declared weight adds half its share.
     """
-    own = (interests if system is None else interests.where(F.col("system") == system)).withColumn("code", F.upper("code"))
+    own = _mapped(interests, system)
     pairs = works.select("work", topic_code("topic").alias("code")).distinct().join(own, "code")
     declared = (F.col("method") == "declared") & F.col("weight").isNotNull()
     part = F.when(declared, F.col("weight")).otherwise(0.5 * F.coalesce("share", F.lit(0.0)))
@@ -52,9 +64,9 @@ def topic_score(works: DataFrame, interests: DataFrame, system: str | None = Non
     return pairs.groupBy("profile", "work").agg(F.when(~out, F.sum(part)).alias("topic_score"))
 
 
-def topic_matches(works: DataFrame, interests: DataFrame, system: str | None = None) -> DataFrame:
+def topic_matches(works: DataFrame, interests: DataFrame, system: str = TOPICS) -> DataFrame:
     """``profile, work, topics``: labels of a work's topics that raise it, in the order of ``works(work, ordinal, topic)``."""
-    own = (interests if system is None else interests.where(F.col("system") == system)).withColumn("code", F.upper("code"))
+    own = _mapped(interests, system)
     pairs = works.groupBy("work", topic_code("topic").alias("code")).agg(F.min("ordinal").alias("ordinal")).join(own, "code")
     declared = (F.col("method") == "declared") & F.col("weight").isNotNull()
     raises = F.when(declared, F.col("weight") > 0).otherwise(F.coalesce("share", F.lit(0.0)) != 0)

@@ -28,39 +28,44 @@ def unresolved(artifacts: DataFrame) -> DataFrame:
     return refs.join(known, ["profile", "ref"], "left_anti").select("profile", "url", "ref")
 
 
+def doubled(edges: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The largest ``n`` of all that each node reaches, ``profile, url, n``; nodes that reach a cycle; rounds taken.
+
+    ``edges(profile, url, source)``, ``values(profile, url, n)``. By path doubling: after k rounds a node has the
+    largest value of up to 2^k - 1 steps, and its edges lead 2^k steps away, so that a chain of any
+    length takes the logarithm of it. Edges that are left once their length passes the nodes of the largest
+    profile can only be walks that go round: who has one reaches a cycle. One table is written a round; it has at
+    most one row for each node and each node that far away from it.
+    """
+    node, walk = F.lit(None).cast(edges.schema["source"].dataType), F.lit(None).cast("int")
+    now = settled(values.select("profile", "url", node.alias("source"), "n").unionByName(edges.select("profile", "url", "source", walk.alias("n")).distinct()))
+    most = edges.groupBy("profile").agg(F.count_distinct("url").alias("n")).agg(F.max("n")).first()[0] or 0
+    rounds, length = 0, 1
+    while True:
+        held, paths = now.where("source IS NULL").select("profile", "url", "n"), now.where("source IS NOT NULL").select("profile", "url", "source")
+        if length > most or paths.isEmpty():
+            return held, paths.select("profile", "url").distinct(), rounds
+        far = held.select("profile", F.col("url").alias("source"), F.col("n").alias("up"))
+        up = paths.join(far, ["profile", "source"]).groupBy("profile", "url").agg(F.max("up").alias("up"))
+        raised = held.join(up, ["profile", "url"], "left").select("profile", "url", node.alias("source"), F.greatest("n", "up").alias("n"))
+        on = paths.select("profile", F.col("url").alias("source"), F.col("source").alias("next"))
+        longer = paths.join(on, ["profile", "source"]).select("profile", "url", F.col("next").alias("source"), walk.alias("n")).distinct()
+        now, rounds, length = settled(raised.unionByName(longer)), rounds + 1, 2 * length
+
+
 def effective_tiers(artifacts: DataFrame, profile_tiers: DataFrame) -> DataFrame:
     """Tier of each artifact: the most restrictive of profile, own and all sources' tiers, and whether a cycle is behind it.
 
-    An artifact without a declared tier has its role's default. Ordinals only rise, so passes stop when none
-    rises; each pass is checkpointed, and no chain is too long. A cycle fails closed: what derives from itself is private.
+    An artifact without a declared tier has its role's default. Sources are followed by path doubling, so
+    no chain is too long. A cycle fails closed: what derives from itself is private.
     """
-    edges = settled(derivations(artifacts))
     own = F.coalesce(T.ordinal("tier"), T.ordinal(T.role_tier("role")))
-    now = artifacts.join(profile_tiers, "profile", "left").select("profile", "url", F.greatest(F.coalesce(T.ordinal("profile_tier"), F.lit(0)), own).alias("n"))
-    rose = not edges.isEmpty()
-    while rose:
-        from_sources = edges.join(now.select("profile", F.col("url").alias("source"), "n"), ["profile", "source"]).groupBy("profile", "url").agg(F.max("n").alias("up"))
-        new = settled(now.join(from_sources, ["profile", "url"], "left").select("profile", "url", F.greatest("n", F.coalesce("up", F.lit(0))).alias("n"), (F.coalesce("up", F.lit(0)) > F.col("n")).alias("rose")))
-        rose = not new.where("rose").isEmpty()
-        now = new.drop("rose")
-    cyclic = _on_cycle(edges)
-    out = now.join(cyclic.withColumn("cyclic", F.lit(True)), ["profile", "url"], "left")
+    values = artifacts.join(profile_tiers, "profile", "left").select("profile", "url", F.greatest(F.coalesce(T.ordinal("profile_tier"), F.lit(0)), own).alias("n"))
+    held, cyclic, _ = doubled(settled(derivations(artifacts)), values)
+    out = held.join(cyclic.withColumn("cyclic", F.lit(True)), ["profile", "url"], "left")
     return out.select("profile", "url", F.when(F.col("cyclic"), F.lit("private")).otherwise(T.tier_name("n")).alias("tier"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
-def _on_cycle(edges: DataFrame) -> DataFrame:
-    """Artifacts that a cycle feeds: what is left when artifacts without sources are taken away again and again."""
-    left, n = edges, edges.count()
-    while n:
-        has = left.select("profile", F.col("url").alias("source")).distinct()
-        left = settled(left.join(has, ["profile", "source"], "left_semi").select("profile", "url", "source"))
-        m = left.count()
-        if m == n:
-            break
-        n = m
-    return left.select("profile", "url").distinct()
-
-
 def cyclic_profiles(effective: DataFrame) -> DataFrame:
     """Profiles with a derivation cycle, which fail closed as a whole."""
     return effective.where("cyclic").select("profile", F.lit(True).alias("broken")).distinct()

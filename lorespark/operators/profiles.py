@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids as I
 from ..functions.text import artifact_problems, tokens
+from ..session import settled
+from .greedy import choose, overlap_likeness
 
 
 def trial_stats(trials: DataFrame) -> DataFrame:
@@ -52,28 +52,19 @@ def export_scores(papers: DataFrame) -> DataFrame:
 
 
 def select_export(papers: DataFrame, n: int = 40, diversity: float = 0.7, common: float = 0.6) -> DataFrame:
-    """Greedy choice a profile: score less the largest token overlap with what is chosen; then newest first."""
-    own = export_scores(papers).withColumn("tokens", F.array_distinct(tokens("title")))
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        df: dict[str, int] = {}
-        for t in pdf["tokens"]:
-            for w in t:
-                df[w] = df.get(w, 0) + 1
-        sets = [{w for w in t if df[w] <= common * len(pdf)} for t in pdf["tokens"]]
-        score, left, chosen = pdf["score"].to_numpy(), list(range(len(pdf))), []
-        near = np.zeros(len(pdf))
-        while left and len(chosen) < n:
-            best = min(left, key=lambda i: (-(score[i] - diversity * near[i]), -score[i], pdf["paper"].iat[i], pdf["title"].iat[i]))
-            left.remove(best)
-            chosen.append(best)
-            for i in left:
-                small = min(len(sets[i]), len(sets[best]))
-                near[i] = max(near[i], len(sets[i] & sets[best]) / small if small else 0.0)
-        return pdf.iloc[chosen][["profile", "paper", "title", "year", "score"]]
-
-    schema = own.select("profile", "paper", "title", "year", "score").schema
-    return own.groupBy("profile").applyInPandas(choose, schema).orderBy("profile", F.col("year").desc_nulls_last(), "title")
+    """Greedy choice a profile: score less the largest token overlap with what is chosen; then newest first.
+
+    Tokens that more than ``common`` of a profile's papers have say nothing and are left out. Profiles of any length:
+    papers are looked at where they lie, and only heads are gathered (``greedy.choose``).
+    """
+    scored = export_scores(papers).withColumn("tokens", F.array_distinct(tokens("title")))
+    scored = settled(scored.select("profile", "paper", F.coalesce("title", F.lit("")).alias("__title"), "title", "year", "score", "tokens"))
+    size = scored.groupBy("profile").agg(F.count(F.lit(1)).alias("n"))
+    often = scored.select("profile", F.explode("tokens").alias("t")).groupBy("profile", "t").agg(F.count(F.lit(1)).alias("df")).join(size, "profile")
+    usual = often.where(F.col("df") > common * F.col("n")).groupBy("profile").agg(F.collect_list("t").alias("usual"))  # under 1 / common of a paper's tokens each
+    own = scored.join(usual, "profile", "left").withColumn("__own", F.array_except("tokens", F.coalesce("usual", F.array().cast("array<string>"))))
+    chosen = choose(own.select("profile", "paper", "__title", "title", "year", "score", "__own"), ["profile"], n, "__own", ["paper", "__title"], overlap_likeness, 0.0, 1.0, diversity, False)
+    return chosen.select("profile", "paper", "title", "year", "score").orderBy("profile", F.col("year").desc_nulls_last(), "title")
 
 
 def summary_rows(profiles: DataFrame, papers: DataFrame) -> DataFrame:
@@ -105,8 +96,8 @@ def violations(artifacts: DataFrame, bodies: DataFrame | None = None) -> DataFra
     return out
 
 
-def parse_works(raw: DataFrame, json: str = "json") -> DataFrame:
-    """Flat works of raw JSON records: a work needs title and year; topics primary first, without repeats."""
+def parse_works(raw: DataFrame, json: str = "json", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Flat works of raw JSON records: a work needs title and year; topics primary first, without repeats. Columns in ``keep`` stay."""
     v = F.try_parse_json(json)
     get = lambda path, kind="string": F.try_variant_get(F.col("v"), path, kind)
     own = raw.withColumn("v", v).where("v is not null")
@@ -118,15 +109,22 @@ def parse_works(raw: DataFrame, json: str = "json") -> DataFrame:
     return own.select(
         tail(get("$.id")).alias("openalex_id"), get("$.title").alias("title"), get("$.publication_year", "int").alias("year"), I.normalize_doi(get("$.doi"), True).alias("doi"),
         get("$.type").alias("type"), get("$.cited_by_count", "int").alias("cited_by_count"), decode_inverted_index(index).alias("abstract"),
-        F.array_distinct(F.transform(F.array_compact(topics), tail)).alias("topic_ids"),
+        F.array_distinct(F.transform(F.array_compact(topics), tail)).alias("topic_ids"), *keep,
     ).where("title is not null and trim(title) <> '' and year is not null")
 
 
 def bibtex(papers: DataFrame) -> DataFrame:
-    """BibTeX text of each ``(paper, title, year, authors, doi)``; missing fields are left out."""
-    field = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"  {name} = {{"), F.col(c).cast("string"), F.lit("}")))
-    body = F.array_join(F.array_compact(F.array(field("title", "title"), F.when(F.size("authors") > 0, F.concat(F.lit("  author = {"), F.array_join("authors", " and "), F.lit("}"))), field("year", "year"), field("doi", "doi"))), ",\n")
-    return papers.select("paper", F.concat(F.lit("@article{"), F.col("paper").cast("string"), F.lit(",\n"), body, F.lit("\n}")).alias("bibtex"))
+    """BibTeX text of each ``(paper, title, year, authors, venue, doi, url)``; missing and empty fields are left out.
+
+    The address is that of the DOI where there is one. A paper without an id is called ``ref``.
+    """
+    field = lambda name, c: F.when(c.isNotNull() & (c.cast("string") != ""), F.concat(F.lit(f"  {name}={{"), c.cast("string"), F.lit("}")))
+    doi = F.nullif(F.col("doi"), F.lit(""))
+    authors = F.when(F.size("authors") > 0, F.array_join("authors", " and "))
+    url = F.coalesce(F.concat(F.lit("https://doi.org/"), doi), F.col("url"))
+    fields = F.array(field("title", F.col("title")), field("author", authors), field("year", F.col("year")), field("journal", F.col("venue")), field("doi", doi), field("url", url))
+    key = F.coalesce(F.nullif(F.col("paper").cast("string"), F.lit("")), F.lit("ref"))
+    return papers.select("paper", F.concat(F.lit("@article{"), key, F.lit(",\n"), F.array_join(F.array_compact(fields), ",\n"), F.lit("\n}")).alias("bibtex"))
 
 
 def vocabulary_search(terms: DataFrame, query: str, limit: int = 20) -> DataFrame:

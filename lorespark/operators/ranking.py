@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import vectors as V
 from ..session import settled
+from .greedy import choose, cosine_likeness
 
 # Fixed values of ranking.
 AUTHORED_WEIGHT, SEED_SHARE_CAP, TOPK_CHUNKS, CALIBRATION_CHUNKS, EVIDENCE_COSINE = 3, 0.4, 5, 3, 0.5
@@ -60,51 +58,23 @@ def raw_scores(cents: DataFrame, chunks: DataFrame, query: Column, k: int = TOPK
 
 
 def calibration(cents: DataFrame, chunks: DataFrame, background: DataFrame, k: int = CALIBRATION_CHUNKS) -> DataFrame:
-    """Population mean and deviation of each profile's raw score over background queries ``(query, q)``, few and broadcast."""
-    q = F.broadcast(background)
-    scored = chunks.where(F.col("source_type") != SEED_TYPE).join(q).withColumn("cos", V.cosine("v", F.col("q")))
-    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("profile", "query").orderBy(F.desc("cos"), "chunk_id"))).where(F.col("rank") <= k)
-    mean = best.groupBy("profile", "query").agg(F.avg(V.hit_score("cos")).alias("c"))
-    sims = cents.join(q).select("profile", "query", V.dot("vec", F.col("q")).alias("sim"))
-    raw = sims.join(mean, ["profile", "query"], "left").select("profile", (0.5 * F.col("sim") + 0.5 * F.coalesce("c", F.lit(0.0))).alias("raw"))
-    return raw.groupBy("profile").agg(F.avg("raw").alias("mean"), F.stddev_pop("raw").alias("std"))
+    """Population mean and deviation of each profile's raw score over background queries ``(query, q)``, few and constant."""
+    from .match import background_scores, calibration_of
 
+    return calibration_of(background_scores(chunks, background, k, cents)).select("profile", "mean", "std")
 
-#: Longest list that is diversified.
-MMR_ROWS = 10_000
 
+def mmr(df: DataFrame, k: int, lambda_: float = 0.5, score: str = "score", vec: str = "vec", order: str = "profile", by: tuple[str, ...] = ()) -> DataFrame:
+    """Greedy diversification of one list, or of one each of ``by``: ``df`` and ``pick``; ``k`` rows or fewer stay in order of score.
 
-def mmr(df: DataFrame, k: int, lambda_: float = 0.5, score: str = "score", vec: str = "vec", order: str = "profile") -> DataFrame:
-    """Greedy diversification of one candidate list; ``k`` rows or fewer stay in order of score.
-
-    The list is a ranking's head: its length is an argument of the caller's cut, and over MMR_ROWS is an error.
+    The first choice is the best score, each next one the best of ``lambda_ * score - (1 - lambda_) * cosine``, of the largest
+    cosine to what is chosen (0 where a vector is missing). Lists of any length (``greedy.choose``).
     """
-    top = df.orderBy(F.desc(score), order).limit(MMR_ROWS + 1)
-    schema = StructType([*df.schema.fields, StructField("pick", IntegerType())])
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, order], ascending=[False, True], kind="stable").reset_index(drop=True)
-        s = pdf[score].to_numpy(float)
-        m = np.array([v if v is not None else np.zeros(1) for v in pdf[vec]], dtype=object)
-        dim = max((len(v) for v in m), default=1)
-        x = np.array([np.resize(np.asarray(v, float), dim) if len(v) == dim else np.zeros(dim) for v in m])
-        if len(s) > MMR_ROWS:
-            raise ValueError(f"more than {MMR_ROWS} candidates: cut the list first")
-        if len(s) <= k:
-            return pdf.assign(pick=np.arange(1, len(s) + 1, dtype="int32"))
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-        near, chosen, left = np.full(len(s), -np.inf), [], list(range(len(s)))
-        while left and len(chosen) < k:
-            value = s[left] if not chosen else lambda_ * s[left] - (1 - lambda_) * near[left]
-            best = left.pop(int(np.argmax(value)))
-            chosen.append(best)
-            near = np.maximum(near, x @ x[best])
-        out = pdf.iloc[chosen].copy()
-        out["pick"] = np.arange(1, len(chosen) + 1, dtype="int32")
-        return out
-
-    return top.groupBy(F.lit("all")).applyInPandas(pick, schema)
+    own = df.withColumn("__list", F.to_json(F.struct(*by)) if by else F.lit("")).withColumn("__unit", F.when(V.norm(vec) > 0, V.unit(F.col(vec))))
+    own = own.join(own.groupBy("__list").agg(F.count(F.lit(1)).alias("__n")), "__list")
+    few = own.where(F.col("__n") <= k).withColumn("pick", F.row_number().over(Window.partitionBy("__list").orderBy(F.desc(score), order)).cast("int"))
+    long = choose(own.where(F.col("__n") > k).drop("__n"), ["__list"], k, "__unit", [order], cosine_likeness, -1.0, lambda_, 1 - lambda_, True, score)
+    return few.select(*df.columns, "pick").unionByName(long.select(*df.columns, "pick"))
 
 
 def match(cents: DataFrame, chunks: DataFrame, query: Column, calib: DataFrame | None = None, interests: DataFrame | None = None, k: int = 5, prefilter: int = 10, diversify: bool = True, lambda_: float = 0.5, topic_alpha: float = 0.2, allowed: DataFrame | None = None) -> DataFrame:
@@ -143,53 +113,6 @@ def agreement(cos) -> Column:
     return F.when(cos > 0.99, "verified").when(cos > 0.9, "degraded").otherwise("incompatible")
 
 
-#: Longest list that ``lloyd`` clusters in one task.
-LLOYD_ROWS = 5_000
-
-
-def lloyd(df: DataFrame, k: int | None = None, seed: int = 42, rounds: int = 100, key: str = "profile", vec: str = "vec") -> DataFrame:
-    """Clusters of a bounded list of vectors, seeded and deterministic: ``cluster, exemplar``.
-
-    More than LLOYD_ROWS rows are an error, never a cut: ``kmeans`` is for any size.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        x = np.array(pdf[vec].tolist(), float).astype(np.float32).astype(float)
-        n = len(x)
-        if n > LLOYD_ROWS:
-            raise ValueError(f"more than {LLOYD_ROWS} vectors: use kmeans")
-        kk = k or max(2, int(np.floor(np.sqrt(n) + 0.5)))
-        if kk >= n:
-            return pd.DataFrame({key: pdf[key], "cluster": np.arange(n, dtype="int32"), "exemplar": True})
-        state = seed
-
-        def draw() -> float:
-            nonlocal state
-            state = (state * 1664525 + 1013904223) & 0x7FFFFFFF
-            return state / 0x7FFFFFFF
-
-        centers = x[[int(draw() * n)]]
-        while len(centers) < kk:
-            away = ((x[:, None] - centers[None]) ** 2).sum(2).min(1)
-            hit = np.flatnonzero(np.cumsum(away) >= draw() * away.sum())
-            centers = np.vstack([centers, x[hit[0] if len(hit) else 0]])
-        own = np.zeros(n, int)
-        for _ in range(rounds):
-            new = ((x[:, None] - centers[None]) ** 2).sum(2).argmin(1)
-            if (new == own).all():
-                break
-            own = new
-            # an empty cluster's centre falls to the origin
-            centers = np.array([x[own == c].mean(0) if (own == c).any() else np.zeros(x.shape[1]) for c in range(kk)])
-        away = ((x - centers[own]) ** 2).sum(1)
-        best = {c: int(np.flatnonzero(own == c)[away[own == c].argmin()]) for c in np.unique(own)}
-        return pd.DataFrame({key: pdf[key], "cluster": own.astype("int32"), "exemplar": [best[c] == i for i, c in enumerate(own)]})
-
-    kind = dict(df.dtypes)[key]
-    return df.select(key, vec).limit(LLOYD_ROWS + 1).groupBy(F.lit("all")).applyInPandas(run, f"{key} {kind}, cluster int, exemplar boolean")
-
-
 def kmeans(df: DataFrame, k: int, seed: int = 0, key: str = "profile", vec: str = "vec") -> DataFrame:
     """Clusters at any size by MLlib; the cluster is named for the member nearest its unit centre."""
     from pyspark.ml.clustering import KMeans

@@ -112,7 +112,7 @@ def work_lite(works: DataFrame) -> DataFrame:
 def authorship_evidence(works: DataFrame, orcid: Column) -> DataFrame:
     """What a work's authorships say of the author with ``orcid`` (bare or IRI).
 
-    ``works(work, authorships array<struct<id, orcid, name, affiliations, institution_ids>>)``. The last matching
+    ``works(work, authorships array<struct<id, orcid, name, affiliations, institution_ids, institution_names>>)``. The last matching
     authorship counts; the ids of the others are co-authors.
     """
     bare = F.element_at(F.split(F.regexp_replace(orcid, "/+$", ""), "/"), -1)
@@ -121,7 +121,7 @@ def authorship_evidence(works: DataFrame, orcid: Column) -> DataFrame:
     own = F.try_element_at(F.filter(every, is_own), F.lit(-1))
     others = F.transform(F.filter(every, lambda a: ~is_own(a) & a["id"].isNotNull()), lambda a: a["id"])
     none = F.array().cast("array<string>")
-    return works.select("work", own.isNotNull().alias("orcid_present"), F.coalesce(own["name"], F.lit("")).alias("display_name"), F.coalesce(F.filter(own["affiliations"], lambda s: s != ""), none).alias("raw_affiliations"), F.coalesce(own["institution_ids"], none).alias("institution_ids"), others.alias("coauthor_ids"))
+    return works.select("work", own.isNotNull().alias("orcid_present"), F.coalesce(own["name"], F.lit("")).alias("display_name"), F.coalesce(F.filter(own["affiliations"], lambda s: s != ""), none).alias("raw_affiliations"), F.coalesce(own["institution_ids"], none).alias("institution_ids"), F.coalesce(F.filter(own["institution_names"], lambda s: s.isNotNull() & (s != "")), none).alias("institution_names"), others.alias("coauthor_ids"))
 
 
 def query_terms(sources: DataFrame, cap: int = 10) -> DataFrame:

@@ -9,8 +9,13 @@ from ..functions import ids as I
 from ..session import settled
 from .lexical import ranked
 
-# Fields of a work that its owner may edit, and the longest list of interest seeds.
-EDITABLE_WORK_FIELDS = ("title", "year", "journal", "abstract")
+# Fields of a work that its owner may edit, fields of a profile that no owner may, and the longest list of interest seeds.
+EDITABLE_WORK_FIELDS = ("doi", "openalex_id", "name", "datePublished", "type", "citation", "full_text_link", "access", "summary", "first_author", "author_position", "is_corresponding")
+LOCKED_METADATA_FIELDS = (
+    "rid", "id_", "provenance", "provenance_note", "proof", "verified_at", "identifier",
+    "paper_stats", "anchor", "level", "has_citation_graph", "has_embedding_index", "expertise_cites_paper_ids", "synthesis_inputs_digest",
+    "has_part", "subject_of", "context", "type_", "conforms_to", "url", "date_modified", "visibility", "section_visibility",
+)
 SEEDS = 200
 
 
@@ -95,24 +100,36 @@ def artifact_lookup(asked: DataFrame, artifacts: DataFrame) -> DataFrame:
     return asked.join(have, ["profile", "url"], "left").select("profile", "url", F.when(bad, "refused").when(F.col("have"), "found").otherwise("missing").alias("status"))
 
 
-def patch_refusals(patches: DataFrame, papers: DataFrame, allowed: tuple[str, ...] = EDITABLE_WORK_FIELDS) -> DataFrame:
-    """``patches(paper, field, value)`` that must not be applied: a field that is not editable, or an unknown paper."""
-    known = papers.select("paper").distinct().withColumn("known", F.lit(True))
-    why = F.when(~F.col("field").isin(*allowed), "field").when(F.col("known").isNull(), "paper")
-    return patches.join(known, "paper", "left").withColumn("refusal", why).where("refusal is not null").select("paper", "field", "refusal")
+def editable_metadata(profiles: DataFrame) -> tuple[str, ...]:
+    """Columns of a profile that its owner may edit: all but the locked ones and its id."""
+    return tuple(c for c in profiles.columns if c not in LOCKED_METADATA_FIELDS and c != "profile_id")
 
 
-def apply_patches(papers: DataFrame, patches: DataFrame, allowed: tuple[str, ...] = EDITABLE_WORK_FIELDS) -> DataFrame:
-    """``papers`` with each patched field set, to null too; one value a paper and field; refused fields leave the row alone.
+def patch_refusals(patches: DataFrame, rows: DataFrame, allowed: tuple[str, ...] = EDITABLE_WORK_FIELDS, key: str = "paper", version: Column | None = None) -> DataFrame:
+    """``patches(key, field, value[, version])`` that must not be applied, with a reason each: ``key, field, refusal``.
 
-    A paper with any refused field is left as it was: an edit is whole or not at all.
+    ``field``: not editable, or not of these rows; ``paper`` (or what ``key`` is called): unknown; ``version``: the patch names a version
+    of the row that is not the row's now, by the expression ``version`` over ``rows``.
     """
+    now = rows.select(key, F.lit(True).alias("known"), (F.lit(None).cast("string") if version is None else version).alias("now")).dropDuplicates([key])
+    own = patches if "version" in patches.columns else patches.withColumn("version", F.lit(None).cast("string"))
+    fields = [f for f in allowed if f in rows.columns]
+    why = F.when(~F.col("field").isin(*fields), "field").when(F.col("known").isNull(), key).when(F.col("version").isNotNull() & F.col("now").isNotNull() & (F.col("version") != F.col("now")), "version")
+    return own.join(now, key, "left").withColumn("refusal", why).where("refusal is not null").select(key, "field", "refusal")
+
+
+def apply_patches(rows: DataFrame, patches: DataFrame, allowed: tuple[str, ...] = EDITABLE_WORK_FIELDS, key: str = "paper", version: Column | None = None) -> DataFrame:
+    """``rows`` with each patched field set, to null too; one value a key and field; refused fields leave the row alone.
+
+    A row with any refused field is left as it was: an edit is whole or not at all. For metadata ``allowed`` is ``editable_metadata``.
+    """
+    bad = patch_refusals(patches, rows, allowed, key, version).select(key).distinct()
     entry = F.map_from_entries(F.collect_list(F.struct("field", "value")))
-    by = patches.groupBy("paper").agg(F.bool_and(F.col("field").isin(*allowed)).alias("good"), entry.alias("patch")).where("good").select("paper", "patch")
-    out, kinds = papers.join(by, "paper", "left"), dict(papers.dtypes)
+    by = patches.join(bad, key, "left_anti").groupBy(key).agg(entry.alias("patch"))
+    out, kinds = rows.join(by, key, "left"), dict(rows.dtypes)
     for f in (f for f in allowed if f in kinds):
         out = out.withColumn(f, F.when(F.coalesce(F.map_contains_key("patch", F.lit(f)), F.lit(False)), F.col("patch")[f].cast(kinds[f])).otherwise(F.col(f)))
-    return out.select(*papers.columns)
+    return out.select(*rows.columns)
 
 
 def collection_cards(profiles: DataFrame, papers: DataFrame) -> DataFrame:

@@ -29,6 +29,11 @@ def coauthor_edges(spark, sf):
     return G.coauthor_edges(people(spark, sf))
 
 
+@query(f"WITH {PARTS}, {CO} SELECT co.src, co.dst, paper_count, list_slice(list_sort(list(a.work)), 1, 3) AS evidence FROM co JOIN parts a ON a.person = co.src JOIN parts b ON b.person = co.dst AND b.work = a.work GROUP BY ALL")
+def coauthor_evidence(spark, sf):
+    return G.coauthor_edges(people(spark, sf), evidence=3).select("src", "dst", "paper_count", "evidence")
+
+
 @query(f"WITH {PARTS}, {STAYS}, {INST} SELECT src, dst, institution, overlap, confidence FROM ie")
 def shared_institution_overlap(spark, sf):
     return G.institution_edges(stays(spark, sf))
@@ -53,7 +58,7 @@ def _verdicts(spark, sf):
     authors = parts.select(F.col("work").alias("paper"), "person")
     last = table(spark, sf, "supplier").agg(F.max("s_suppkey").alias("n")).first()["n"]
     cands = authors.select("paper", (1 + F.col("paper") * 7 % last).alias("candidate")).distinct()
-    return G.conflicts(authors, cands, G.coauthor_edges(parts), stays(spark, sf), YEAR).drop("reasons")
+    return G.conflicts(authors, cands, None, stays(spark, sf), YEAR, parts=parts).drop("reasons")
 
 
 @query(f"WITH {COI} SELECT * FROM ve")
@@ -74,7 +79,7 @@ def coi_in_full(spark, sf):
     k, n = F.col("s_suppkey"), F.col("paper") % 25
     advisors = table(spark, sf, "supplier").select(k.alias("src"), (1 + k * 3 % 50).alias("dst")).where("src <> dst")
     inline = cands.select("paper", F.concat(F.when(n % 2 == 0, "ror:").otherwise("inst:"), n).alias("inst")).distinct()
-    return G.conflicts(authors, cands, G.coauthor_edges(parts), stays(spark, sf), YEAR, advisors=advisors, inline=inline).select("paper", "candidate", "has_coi", "reasons")
+    return G.conflicts(authors, cands, None, stays(spark, sf), YEAR, advisors=advisors, inline=inline, parts=parts).select("paper", "candidate", "has_coi", "reasons")
 
 
 @query(f"""WITH {PARTS}, {CO}, tw AS (SELECT src, dst FROM co WHERE last_year >= 1997 UNION ALL SELECT dst, src FROM co WHERE last_year >= 1997) SELECT DISTINCT dst, CAST(1 AS INTEGER) AS hops FROM tw WHERE src = 1""")

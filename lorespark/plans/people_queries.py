@@ -107,10 +107,10 @@ def work_lite(spark, sf):
 
 
 @query("""WITH a AS (SELECT l_orderkey AS work, bool_or(l_suppkey % 7 = 3) AS has, list('A' || l_suppkey ORDER BY l_linenumber, 'A' || l_suppkey) FILTER (l_suppkey % 7 <> 3) AS others, (list('N' || l_suppkey ORDER BY l_linenumber, 'A' || l_suppkey) FILTER (l_suppkey % 7 = 3))[-1] AS name FROM lineitem GROUP BY 1)
-SELECT work, has AS orcid_present, coalesce(name, '') AS display_name, CASE WHEN has THEN ['aff'] ELSE CAST([] AS VARCHAR[]) END AS raw_affiliations, CASE WHEN has THEN ['I1'] ELSE CAST([] AS VARCHAR[]) END AS institution_ids, coalesce(others, CAST([] AS VARCHAR[])) AS coauthor_ids FROM a""")
+SELECT work, has AS orcid_present, coalesce(name, '') AS display_name, CASE WHEN has THEN ['aff'] ELSE CAST([] AS VARCHAR[]) END AS raw_affiliations, CASE WHEN has THEN ['I1'] ELSE CAST([] AS VARCHAR[]) END AS institution_ids, CASE WHEN has THEN ['Inst ' || substr(name, 2)] ELSE CAST([] AS VARCHAR[]) END AS institution_names, coalesce(others, CAST([] AS VARCHAR[])) AS coauthor_ids FROM a""")
 def authorship_evidence(spark, sf):
     k = F.col("l_suppkey")
-    one = F.struct(F.col("l_linenumber").alias("n"), F.concat(F.lit("A"), k).alias("id"), F.concat(F.lit("https://orcid.org/"), k % 7).alias("orcid"), F.concat(F.lit("N"), k).alias("name"), F.array(F.lit("aff"), F.lit("")).alias("affiliations"), F.array(F.lit("I1")).alias("institution_ids"))
+    one = F.struct(F.col("l_linenumber").alias("n"), F.concat(F.lit("A"), k).alias("id"), F.concat(F.lit("https://orcid.org/"), k % 7).alias("orcid"), F.concat(F.lit("N"), k).alias("name"), F.array(F.lit("aff"), F.lit("")).alias("affiliations"), F.array(F.lit("I1")).alias("institution_ids"), F.array(F.concat(F.lit("Inst "), k), F.lit("")).alias("institution_names"))
     works = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("work")).agg(F.array_sort(F.collect_list(one)).alias("authorships"))
     return R.authorship_evidence(works, F.lit("https://orcid.org/3"))
 
@@ -118,11 +118,11 @@ def authorship_evidence(spark, sf):
 TM = f"{INTERESTS}, {EFFECTIVE}, wk AS (SELECT l_orderkey AS work, upper(p_brand) AS code, min(l_linenumber) AS ordinal FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
 
 
-@query(f"WITH {TM} SELECT profile, work, list(coalesce(label, ef.code) ORDER BY wk.ordinal, coalesce(label, ef.code)) AS topics FROM wk JOIN ef ON wk.code = upper(ef.code) WHERE CASE WHEN method = 'declared' AND weight IS NOT NULL THEN weight > 0 ELSE coalesce(share, 0) <> 0 END GROUP BY 1, 2")
+@query(f"WITH {TM} SELECT profile, work, list(coalesce(label, ef.code) ORDER BY wk.ordinal, coalesce(label, ef.code)) AS topics FROM wk JOIN ef ON wk.code = upper(ef.code) WHERE ef.ordinal % 8 <> 0 AND CASE WHEN method = 'declared' AND weight IS NOT NULL THEN weight > 0 ELSE coalesce(share, 0) <> 0 END GROUP BY 1, 2")
 def topic_matches(spark, sf):
     li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
     works = li.join(p, li["l_partkey"] == p["p_partkey"]).select(F.col("l_orderkey").alias("work"), F.col("l_linenumber").alias("ordinal"), F.col("p_brand").alias("topic"))
-    own = N.effective(interests(spark, sf)).where("code is not null").select("profile", "system", F.upper("code").alias("code"), "label", "weight", "method", "share")
+    own = N.effective(interests(spark, sf)).where("code is not null").select("profile", "system", F.upper("code").alias("code"), "label", "weight", "method", "share", (F.col("ordinal") % 8 == 0).alias("unmapped"))
     return N.topic_matches(works, own, "sys")
 
 

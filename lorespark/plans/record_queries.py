@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import diffs as D
+from ..operators import matching as M
 from ..operators import identity as ID
 from ..operators import interests as N
 from ..operators import paging as PG
@@ -55,11 +56,11 @@ def interest_bands(spark, sf):
 TSC = f"{INTERESTS}, {EFFECTIVE}, wk AS (SELECT DISTINCT l_orderkey AS work, upper(p_brand) AS code FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 
-@query(f"WITH {TSC} SELECT profile, work, CASE WHEN coalesce(bool_or(method = 'declared' AND weight <= -1), FALSE) THEN NULL ELSE round(sum(CASE WHEN method = 'declared' AND weight IS NOT NULL THEN weight ELSE 0.5 * coalesce(share, 0.0) END), 6) + 0.0 END AS topic_score FROM wk JOIN ef ON wk.code = upper(ef.code) GROUP BY 1, 2")
+@query(f"WITH {TSC} SELECT profile, work, CASE WHEN coalesce(bool_or(method = 'declared' AND weight <= -1), FALSE) THEN NULL ELSE round(sum(CASE WHEN method = 'declared' AND weight IS NOT NULL THEN weight ELSE 0.5 * coalesce(share, 0.0) END), 6) + 0.0 END AS topic_score FROM wk JOIN ef ON wk.code = upper(ef.code) AND ef.ordinal % 8 <> 0 GROUP BY 1, 2")
 def topic_score(spark, sf):
     li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
     works = li.join(p, li["l_partkey"] == p["p_partkey"]).select(F.col("l_orderkey").alias("work"), F.concat(F.lit("https://x.org/T/"), F.lower("p_brand")).alias("topic"))
-    own = N.effective(interests(spark, sf)).where("code is not null").select("profile", "system", F.upper("code").alias("code"), "weight", "method", "share")
+    own = N.effective(interests(spark, sf)).where("code is not null").select("profile", "system", F.upper("code").alias("code"), "weight", "method", "share", (F.col("ordinal") % 8 == 0).alias("unmapped"))
     return N.topic_score(works, own, "sys").withColumn("topic_score", F.round("topic_score", 6) + 0.0)
 
 
@@ -236,7 +237,7 @@ def paper_matching(spark, sf):
     title = F.concat_ws(" ", "p_name", "p_type", "p_brand")
     p = d.select(k.alias("ordinal"), k.alias("paper"), title.alias("title"), F.col("p_size").alias("year"))
     w = d.select(k.alias("work_ordinal"), (-k).alias("work"), F.when(k % 2 == 0, F.upper(title)).otherwise(F.concat(title, F.lit("s"))).alias("work_title"), F.col("p_size").alias("work_year"))
-    return D.match_papers(p, w)
+    return M.match_papers(p, w)
 
 
 @query("SELECT item_id, item_id IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) AS cited FROM benchmark")

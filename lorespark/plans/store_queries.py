@@ -106,24 +106,35 @@ def artifact_lookup(spark, sf):
     return S_.artifact_lookup(pages.select(own, url.alias("url")), pages.select(own, F.concat(F.lit("f"), k).alias("url")))
 
 
-PT = "pa AS (SELECT doc_id AS paper, source AS title, CAST(doc_id % 25 AS INTEGER) AS year FROM documents), ch AS (SELECT doc_id * 2 AS paper, CASE doc_id % 3 WHEN 0 THEN 'title' WHEN 1 THEN 'year' ELSE 'doi' END AS field, CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id AS VARCHAR) END AS value FROM documents)"
+PT = "pa AS (SELECT doc_id AS paper, source AS name, CAST(2000 + doc_id % 25 AS VARCHAR) AS datePublished, CAST(NULL AS VARCHAR) AS doi FROM documents), ch AS (SELECT doc_id * 2 AS paper, CASE doc_id % 4 WHEN 0 THEN 'name' WHEN 1 THEN 'datePublished' WHEN 2 THEN 'doi' ELSE 'cited_by_count' END AS field, CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id AS VARCHAR) END AS value, CASE WHEN doc_id % 7 = 0 THEN 'src1' END AS version FROM documents)"
 
 
 def papers_and_patches(spark, sf):
+    """Works and edits of every second one; some edits name the version that they were made for."""
     k, docs = F.col("doc_id"), table(spark, sf, "documents")
-    patches = docs.select((k * 2).alias("paper"), F.when(k % 3 == 0, "title").when(k % 3 == 1, "year").otherwise("doi").alias("field"), F.when(k % 5 != 0, k.cast("string")).alias("value"))
-    return docs.select(k.alias("paper"), F.col("source").alias("title"), (k % 25).cast("int").alias("year")), patches
+    field = F.when(k % 4 == 0, "name").when(k % 4 == 1, "datePublished").when(k % 4 == 2, "doi").otherwise("cited_by_count")
+    patches = docs.select((k * 2).alias("paper"), field.alias("field"), F.when(k % 5 != 0, k.cast("string")).alias("value"), F.when(k % 7 == 0, "src1").alias("version"))
+    return docs.select(k.alias("paper"), F.col("source").alias("name"), (2000 + k % 25).cast("string").alias("datePublished"), F.lit(None).cast("string").alias("doi")), patches
 
 
-@query(f"WITH {PT} SELECT paper, field, CASE WHEN field = 'doi' THEN 'field' ELSE 'paper' END AS refusal FROM ch WHERE field = 'doi' OR paper NOT IN (SELECT paper FROM pa)")
+@query(f"WITH {PT} SELECT ch.paper, field, CASE WHEN field = 'cited_by_count' THEN 'field' WHEN pa.paper IS NULL THEN 'paper' ELSE 'version' END AS refusal FROM ch LEFT JOIN pa USING (paper) WHERE field = 'cited_by_count' OR pa.paper IS NULL OR version <> name")
 def patch_refusals(spark, sf):
     papers, patches = papers_and_patches(spark, sf)
-    return S_.patch_refusals(patches, papers)
+    return S_.patch_refusals(patches, papers, version=F.col("name"))
 
 
-@query(f"WITH {PT} SELECT paper, CASE WHEN field = 'title' THEN value ELSE title END AS title, CASE WHEN field = 'year' THEN CAST(value AS INTEGER) ELSE year END AS year FROM pa LEFT JOIN ch USING (paper)")
+@query(f"WITH {PT}, ok AS (SELECT ch.* FROM ch JOIN pa USING (paper) WHERE field <> 'cited_by_count' AND coalesce(version = name, TRUE)) SELECT paper, CASE WHEN field = 'name' THEN value ELSE name END AS name, CASE WHEN field = 'datePublished' THEN value ELSE datePublished END AS datePublished, CASE WHEN field = 'doi' THEN value ELSE doi END AS doi FROM pa LEFT JOIN ok USING (paper)")
 def patched_works(spark, sf):
-    return S_.apply_patches(*papers_and_patches(spark, sf))
+    return S_.apply_patches(*papers_and_patches(spark, sf), version=F.col("name"))
+
+
+@query("""WITH ch AS (SELECT c_custkey AS profile_id, CASE c_custkey % 3 WHEN 0 THEN 'bio' WHEN 1 THEN 'rid' ELSE 'lab' END AS field, 'v' || c_custkey AS value FROM customer WHERE c_custkey % 2 = 0)
+SELECT c_custkey AS profile_id, 'r' || c_custkey AS rid, CASE WHEN field = 'bio' THEN value ELSE c_name END AS bio, CASE WHEN field = 'lab' THEN value END AS lab FROM customer LEFT JOIN ch ON profile_id = c_custkey""")
+def patched_metadata(spark, sf):
+    k, c = F.col("c_custkey"), table(spark, sf, "customer")
+    rows = c.select(k.alias("profile_id"), F.concat(F.lit("r"), k).alias("rid"), F.col("c_name").alias("bio"), F.lit(None).cast("string").alias("lab"))
+    patches = c.where("c_custkey % 2 = 0").select(k.alias("profile_id"), F.when(k % 3 == 0, "bio").when(k % 3 == 1, "rid").otherwise("lab").alias("field"), F.concat(F.lit("v"), k).alias("value"))
+    return S_.apply_patches(rows, patches, S_.editable_metadata(rows), "profile_id")
 
 
 @query("""WITH c AS (SELECT o_custkey AS profile, count(*) AS paper_count, count(*) FILTER (o_orderkey % 3 = 0) AS summary_count FROM orders GROUP BY 1)

@@ -134,9 +134,9 @@ def work_keys(spark, sf):
     return table(spark, sf, "part").select("p_partkey", I.work_key(F.when(k % 3 == 0, F.concat(F.lit("https://doi.org/10.1/X"), k)), F.when(k % 3 == 1, F.concat(F.lit("https://openalex.org/W"), k)), F.concat(F.lit(" P"), k, F.lit(" "))).alias("key"))
 
 
-@query("SELECT c_custkey, 'local:customer-' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') || '-' || substr(sha256('k' || c_custkey), 1, 6) AS rid FROM customer")
+@query("SELECT c_custkey, 'local:' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') || '-customer-' || substr(sha256(lpad(CAST(c_custkey AS VARCHAR), 9, '0') || ' customer'), 1, 6) AS rid FROM customer")
 def minted_rids(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", I.minted_rid(F.concat(F.lit("k"), F.col("c_custkey")), F.concat(F.lit("Customer #"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))).alias("rid"))
+    return table(spark, sf, "customer").select("c_custkey", I.minted_rid(I.name_identity(F.concat(F.lit("Customer #"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")))["mint_key"]).alias("rid"))
 
 
 @query("""WITH w AS (SELECT doc_id, string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS w FROM documents)
@@ -176,10 +176,10 @@ def backend_specs(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", I.slugify_backend(F.concat(F.col("c_mktsegment"), F.lit(":/a"))).alias("slug"), I.same_space(F.lit("st:mini"), spec).alias("same"))
 
 
-@query("SELECT p_partkey AS paper, '@article{' || p_partkey || E',\\n  title = {' || p_name || E'},\\n  author = {' || p_brand || ' and ' || p_type || E'},\\n  year = {' || (2000 + p_size) || '}' || CASE WHEN p_partkey % 2 = 0 THEN E',\\n  doi = {10.1/' || p_partkey || '}' ELSE '' END || E'\\n}' AS bibtex FROM part")
+@query("SELECT p_partkey AS paper, '@article{' || p_partkey || E',\\n  title={' || p_name || E'},\\n  author={' || p_brand || ' and ' || p_type || E'},\\n  year={' || (2000 + p_size) || '}' || CASE WHEN p_partkey % 3 = 0 THEN E',\\n  journal={' || p_type || '}' ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN E',\\n  doi={10.1/' || p_partkey || E'},\\n  url={https://doi.org/10.1/' || p_partkey || '}' WHEN p_partkey % 5 = 0 THEN E',\\n  url={https://x.org/' || p_partkey || '}' ELSE '' END || E'\\n}' AS bibtex FROM part")
 def bibtex(spark, sf):
     k = F.col("p_partkey")
-    return P.bibtex(table(spark, sf, "part").select(k.alias("paper"), F.col("p_name").alias("title"), (2000 + F.col("p_size")).alias("year"), F.array("p_brand", "p_type").alias("authors"), F.when(k % 2 == 0, F.concat(F.lit("10.1/"), k)).alias("doi")))
+    return P.bibtex(table(spark, sf, "part").select(k.alias("paper"), F.col("p_name").alias("title"), (2000 + F.col("p_size")).alias("year"), F.array("p_brand", "p_type").alias("authors"), F.when(k % 3 == 0, F.col("p_type")).alias("venue"), F.when(k % 2 == 0, F.concat(F.lit("10.1/"), k)).alias("doi"), F.when(k % 5 == 0, F.concat(F.lit("https://x.org/"), k)).alias("url")))
 
 
 @query("""WITH r AS (SELECT p_partkey AS code, p_type AS label, CASE WHEN lower(p_type) = 'promo' THEN 0 WHEN starts_with(lower(p_type), 'promo') THEN 1 WHEN list_contains(string_split(lower(p_type), ' '), 'promo') THEN 2 WHEN lower(p_brand) = 'promo' THEN 3 WHEN contains(lower(p_type), 'promo') OR contains(lower(p_brand), 'promo') THEN 4 END AS rank FROM part)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import clusters
 from ..operators import ranking as R
 from .standins import CENT, CH, Q0, chunks, mean_sql, query_vector, table, unit_sql
 
@@ -101,13 +102,6 @@ def match_visible(spark, sf):
     return R.match(cents, own, query_vector(spark, sf), k=5, prefilter=1000, diversify=False, allowed=seen).select("profile", F.round("score", 6).alias("score"))
 
 
-@query()
-def match_rank(spark, sf):
-    own = chunks(spark, sf)
-    cents = R.centroids(own)
-    return R.match(cents, own, query_vector(spark, sf), R.calibration(cents, own, background(spark, sf)), k=5)
-
-
 @query(f"WITH {CH}, {CENT} SELECT chunk_id AS work, round(list_cosine_similarity(v, c.vec), 6) AS score FROM ch, (SELECT vec FROM cent WHERE profile = (SELECT min(profile) FROM cent)) c WHERE list_cosine_similarity(v, c.vec) >= 0.1 ORDER BY list_cosine_similarity(v, c.vec) DESC, chunk_id LIMIT 10")
 def rank_works(spark, sf):
     own = chunks(spark, sf)
@@ -123,14 +117,6 @@ def rank_works_diverse(spark, sf):
     return R.rank_works(works, query_vector(spark, sf), 10, diversify=True).select("work", "score", "pick")
 
 
-@query(f"WITH {CH}, {CENT} SELECT profile, chunk_id AS topic, round(list_cosine_similarity(vec, v), 6) AS cos FROM cent JOIN ch USING (profile) WHERE source_type = 'seed_abstract' AND list_cosine_similarity(vec, v) >= 0.2")
-def overlapping_topics(spark, sf):
-    """A profile's own labels (its seed chunks here) near its centroid."""
-    own = chunks(spark, sf)
-    near = own.where("source_type = 'seed_abstract'").join(R.centroids(own), "profile").withColumn("c", V.cosine("vec", "v"))
-    return near.where("c >= 0.2").select("profile", F.col("chunk_id").alias("topic"), F.round("c", 6).alias("cos"))
-
-
 @query(f"WITH {CH}, {Q0} SELECT chunk_id, CASE WHEN list_cosine_similarity(v, q.q) > 0.99 THEN 'verified' WHEN list_cosine_similarity(v, q.q) > 0.9 THEN 'degraded' ELSE 'incompatible' END AS verdict FROM ch, q")
 def probe_verdict(spark, sf):
     return chunks(spark, sf).select("chunk_id", R.agreement(V.cosine("v", query_vector(spark, sf))).alias("verdict"))
@@ -155,7 +141,7 @@ def majority_backend(spark, sf):
 
 @query()
 def kmeans_seeded(spark, sf):
-    return R.lloyd(R.centroids(chunks(spark, sf)))
+    return clusters.lloyd(R.centroids(chunks(spark, sf)))
 
 
 @query()

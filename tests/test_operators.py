@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lorespark.operators import diffs, graph, identity, interests, lexical, paging, privacy, profiles, ranking
+from lorespark.operators import clusters, diffs, graph, identity, interests, lexical, matching, paging, privacy, profiles, ranking
 from lorespark.sources import tables
 
 
@@ -31,10 +31,10 @@ def test_mmr(spark):
 
 def test_lloyd(spark):
     df = spark.createDataFrame([(i, [float(i // 5 * 10), float(i % 5)]) for i in range(10)], "profile int, vec array<double>")
-    got = ranking.lloyd(df, 2).collect()
+    got = clusters.lloyd(df, 2).collect()
     assert len({(r["profile"] // 5, r["cluster"]) for r in got}) == 2
     assert sum(r["exemplar"] for r in got) == 2
-    assert {r["cluster"] for r in ranking.lloyd(df, 10).collect()} == set(range(10))
+    assert {r["cluster"] for r in clusters.lloyd(df, 10).collect()} == set(range(10))
 
 
 def test_bm25_ties_and_misses(spark):
@@ -59,8 +59,10 @@ def test_effective_interests(spark):
 
 def test_topic_score_excludes(spark):
     works = spark.createDataFrame([("w", "t1"), ("w", "T1"), ("v", "t2")], "work string, topic string")
-    own = spark.createDataFrame([(1, "T1", -1.0, "declared", None), (1, "t2", None, "inferred", 0.4)], "profile int, code string, weight double, method string, share double")
+    own = spark.createDataFrame([(1, "T1", -1.0, "declared", None, None), (1, "t2", None, "inferred", 0.4, False), (1, "T2", 1.0, "declared", None, True)], "profile int, code string, weight double, method string, share double, unmapped boolean").withColumn("system", F.lit(interests.TOPICS))
     assert {r["work"]: r["topic_score"] for r in interests.topic_score(works, own).collect()} == {"w": None, "v": 0.2}
+    other = own.withColumn("system", F.lit("another"))
+    assert interests.topic_score(works, other).count() == 0 and interests.topic_matches(works.withColumn("ordinal", F.lit(1)), other.withColumn("label", F.lit("x"))).count() == 0
 
 
 def test_graph_trio(spark):
@@ -109,7 +111,7 @@ def test_resolve(spark):
     marks = spark.createDataFrame([("r9", "José Núñez", "X", "public")], "rid string, name string, affiliation string, tier string")
     again = identity.resolve(spark.createDataFrame([(1, None, "Jose Nunez", None), (2, None, "NÚÑEZ, José", None)], "q int, rid string, name string, affiliation string"), marks)
     assert {(r["q"], r["outcome"], r["resolved"]) for r in again.collect()} == {(1, "bind", "r9"), (2, "bind", "r9")}
-    assert got[5][0] == "mint" and got[5][1].startswith("local:ann-roe-")
+    assert got[5][0] == "mint" and got[5][1].startswith("local:roe-ann-")
     assert got[6] == ("exact", "r2")
 
 
@@ -124,7 +126,7 @@ def test_push_modes(spark):
 def test_paper_matching_is_one_to_one(spark):
     p = spark.createDataFrame([(0, "p0", "A study of cells", 2000), (1, "p1", "A study of cell", 2000), (2, "p2", "漢字", 2000)], "ordinal int, paper string, title string, year int")
     w = spark.createDataFrame([(0, "w0", "A Study of Cells!", 2000), (1, "w1", "A study of cells.", 2000), (2, "w2", "漢字", 2000)], "work_ordinal int, work string, work_title string, work_year int")
-    assert [tuple(r)[1:] for r in diffs.match_papers(p, w).orderBy("ordinal").collect()] == [("p0", "w0", "exact"), ("p1", "w1", "fuzzy")]
+    assert [tuple(r)[1:] for r in matching.match_papers(p, w).orderBy("ordinal").collect()] == [("p0", "w0", "exact"), ("p1", "w1", "fuzzy")]
 
 
 def test_cards_chain(spark):

@@ -43,10 +43,11 @@ def test_artifacts_and_edits(spark):
     asked = spark.createDataFrame([(1, "a/b.md"), (1, "a/../b.md"), (1, "/etc"), (1, "c:\\x"), (1, "a..b"), (1, None)], "profile int, url string")
     have = spark.createDataFrame([(1, "a/b.md"), (1, "/etc")], "profile int, url string")
     assert [r[2] for r in sorted(stores.artifact_lookup(asked, have).collect(), key=lambda r: r[1] or "")] == ["refused", "refused", "missing", "refused", "found", "refused"]
-    papers = spark.createDataFrame([(1, "t", 2000), (2, "u", 2001)], "paper int, title string, year int")
-    patches = spark.createDataFrame([(1, "year", None), (1, "title", "n"), (2, "title", "x"), (2, "doi", "y")], "paper int, field string, value string")
-    assert rows(stores.apply_patches(papers, patches)) == [(1, "n", None), (2, "u", 2001)]
-    assert rows(stores.patch_refusals(patches, papers)) == [(2, "doi", "field")]
+    papers = spark.createDataFrame([(1, "t", "2000"), (2, "u", "2001"), (3, "v", "2002")], "paper int, name string, datePublished string")
+    patches = spark.createDataFrame([(1, "datePublished", None, None), (1, "name", "n", "t"), (2, "name", "x", None), (2, "paper", "y", None), (3, "name", "w", "old")], "paper int, field string, value string, version string")
+    assert rows(stores.apply_patches(papers, patches, version=F.col("name"))) == [(1, "n", None), (2, "u", "2001"), (3, "v", "2002")]
+    assert rows(stores.patch_refusals(patches, papers, version=F.col("name"))) == [(2, "paper", "field"), (3, "name", "version")]
+    assert "doi" in stores.EDITABLE_WORK_FIELDS and "rid" not in stores.editable_metadata(spark.range(1).select(F.lit(1).alias("rid"), F.lit(1).alias("bio")))
 
 
 def test_chunkers(spark):
@@ -86,8 +87,6 @@ def test_nothing_is_cut(spark):
     assert ("gamma delta", 2) in [tuple(r) for r in lexical.key_phrases(docs, 400).collect()]
     nested = spark.createDataFrame([(i, "alpha beta. alpha beta. " + ". ".join(f"alpha beta w{j}x" for j in range(300))) for i in (1, 2)] + [(3, "alpha beta. gamma delta"), (4, "gamma delta"), (5, "alpha beta")], "doc_id int, text string")
     assert [tuple(r) for r in lexical.key_phrases(nested, 2).collect()] == [("alpha beta", 4), ("beta w0x", 2)]
-    with pytest.raises(Exception, match="use kmeans"):
-        ranking.lloyd(spark.range(ranking.LLOYD_ROWS + 1).select(F.col("id").alias("profile"), F.array(F.col("id").cast("double")).alias("vec"))).collect()
     # a chain longer than any fixed number of rounds
     chain = spark.range(200).select(F.col("id").alias("card"), F.floor(F.col("id") / 2).cast("string").alias("rid"), F.floor((F.col("id") + 1) / 2).cast("string").alias("base"))
     assert {r["person"] for r in diffs.card_groups(chain).collect()} == {0}
