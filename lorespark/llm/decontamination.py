@@ -41,10 +41,6 @@ def _places(tokens: F.Column, mask: str) -> F.Column:
     return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
-def _checked_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    return F.broadcast(df) if rows <= limit else df
-
-
 def overlaps(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", window: int = 13, least_window: float = 0.8, least_item: float = 0.7, seeds: tuple[tuple[str, int, int | None], ...] = SEEDS) -> DataFrame:
     """Pairs of a training text and a test item that overlap, whatever else either holds.
 
@@ -56,8 +52,9 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_ke
     not read; empty tables give an empty result. The masks miss no placing that qualifies at these
     thresholds or higher ones; those for short items cost nothing where there are none.
 
-    The item side is broadcast only up to BROADCAST_SEEDS seeds, counted first; beyond that both
-    sides are shuffled by seed. Hits are reduced by (text, item, placing) before any shuffle.
+    The item side is broadcast only up to BROADCAST_SEEDS seeds, counted first, and hits are reduced by (text,
+    item, placing) before any shuffle. Beyond that both sides are shuffled by seed, a place being four numbers; hits are
+    reduced to placings, and only then meet the tokens of their text.
     """
     found = placings(docs, items, doc_key, item_key, text, window, least_window, least_item, seeds)
     return found.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_match").alias("n_match"), F.max("best_window").alias("best_window"), F.count(F.lit(1)).alias("n_places"))
@@ -70,12 +67,19 @@ def placings(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_ke
     sizes = tests.select(F.size("item").alias("n")).distinct()
     used = sizes.agg(*[F.max((F.col("n") >= least) & (F.lit(True) if most is None else F.col("n") <= most)) for _, least, most in seeds]).first()
     masks = [(m, mask) for m, (mask, _, _) in enumerate(seeds) if used[m]] or [(0, seeds[0][0])]
-    item_seeds = _checked_broadcast(item_seeds, item_seeds.count(), BROADCAST_SEEDS)
+    few = item_seeds.count() <= BROADCAST_SEEDS
     tokens = docs.select(F.col(f"`{doc_key}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("th"), token_hashes(F.col(f"`{text}`")).alias("tokens"))
     # places are exploded before they are hashed, so that hashing and looking up run in generated code
     placed = tokens.where(F.size("tokens") > 0).select("doc_id", "th", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)).alias("at"))
     placed = placed.select("doc_id", "th", "tokens", "at", F.explode(F.array(*[_seed(F.col("tokens"), F.col("at"), mask, m) for m, mask in masks])).alias("seed"))
-    hits = placed.join(item_seeds, "seed").withColumn("diag", F.col("at") - F.col("item_at"))
+    diag = F.col("at") - F.col("item_at")
+    if few:
+        hits = placed.join(F.broadcast(item_seeds), "seed").withColumn("diag", diag)
+    else:
+        # places meet seeds by key alone; the tokens of texts that were hit follow once for each placing
+        keys = placed.select("doc_id", "th", "at", "seed").join(item_seeds, "seed").select("doc_id", "th", "ih", "n_item", diag.alias("diag")).distinct()
+        own = tokens.dropDuplicates(["doc_id", "th"])
+        hits = keys.join(own, (keys["th"] == own["th"]) & keys["doc_id"].eqNullSafe(own["doc_id"])).select(keys["doc_id"], keys["th"], "ih", "n_item", "diag", "tokens")
     skip = F.greatest(-F.col("diag"), F.lit(0))
     laid = hits.select("doc_id", "th", "ih", "diag", F.slice("tokens", F.greatest("diag", F.lit(0)) + 1, F.col("n_item") - skip).alias("own"))
     laid = laid.groupBy("doc_id", "th", "ih", "diag").agg(F.first("own").alias("own")).join(tests, "ih")

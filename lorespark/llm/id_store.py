@@ -13,7 +13,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -218,30 +217,44 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     return docs.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def lookup(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id", max_shards: int = 200_000) -> DataFrame:
+def lookup(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
     """``keys`` with ``ids`` (array of long, null where no document has the key; of repeated ones the first).
 
-    Shard ranges are read by the driver, one small row a shard, and only up to ``max_shards`` of
-    them; a larger store is joined on its key ranges instead.
+    A key finds its shard by bisection of the shards' first and last keys, which lie in order: two numbers a shard, some
+    millionth of its payload, are what every task gets. Only shards that are asked are joined with their
+    requests, and a key's place in one comes from its hash and fingerprint. No keys, or only null ones: no ids.
     """
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
-    ranges = shards.where("first_key is not null").select("part", "seq", "first_key", "last_key")
+    ranges = shards.where("first_key is not null").select("part", "seq", "first_key", "last_key").orderBy("first_key", "last_key", "part", "seq").toArrow()
+    part, seq, first, last = (ranges[c].to_numpy() for c in ("part", "seq", "first_key", "last_key"))
+    # equal keys may lie in several shards, and then their ends do not fall
+    upto = np.maximum.accumulate(last) if len(last) else last
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = b.column(0).to_numpy()
+            lo, hi = np.searchsorted(upto, k, side="left"), np.searchsorted(first, k, side="right")
+            n = np.maximum(hi - lo, 0)
+            each = np.repeat(np.arange(len(k)), n)
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[each]
+            holds = last[at] >= k[each]
+            yield pa.RecordBatch.from_arrays([pa.array(part[at[holds]], pa.int32()), pa.array(seq[at[holds]], pa.int32()), pa.array(k[each[holds]], pa.int64())], names=["part", "seq", "k"])
+
     wanted = keys.select(F.col(f"`{key}`").cast("long").alias("k")).where("k is not null").distinct()
-    if ranges.count() <= max_shards:
-        ranges = F.broadcast(ranges)
-    routed = wanted.join(ranges, F.col("k").between(F.col("first_key"), F.col("last_key"))).select("part", "seq", "k")
-
-    def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in right.to_dict("records"):
-            shard = Shard(row)
-            own = left["k"].to_numpy()
-            slots, ok = shard.find(own, np.zeros(len(own), np.int64))
-            ok &= shard.keys[slots["order"]] == own
-            out += [(int(k), row["part"], row["seq"], np.frombuffer(shard.ids(s), "<u4").astype("i8").tolist()) for k, s, good in zip(own, slots, ok, strict=True) if good]
-        return pd.DataFrame(out, columns=["k", "part", "seq", "ids"])
-
-    bodies = spark.read.schema(SHARD_SCHEMA).parquet(path)
-    found = routed.groupBy("part", "seq").cogroup(bodies.groupBy("part", "seq")).applyInPandas(probe, "k long, part int, seq int, ids array<long>")
-    first = found.groupBy("k").agg(F.min_by("ids", F.struct("part", "seq")).alias("ids"))
-    return keys.join(first, keys[f"`{key}`"].cast("long") == first["k"], "left").drop("k")
+    requests = wanted.mapInArrow(route, "part int, seq int, k long").groupBy("part", "seq").agg(F.collect_list("k").alias("asked"))  # no more than a shard has keys, or was asked for
+    asked = shards.join(requests, ["part", "seq"]).select(*shards.columns, "asked")
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                shard, own = Shard(row), np.array(row["asked"], np.int64)
+                slots, ok = shard.find(own, np.zeros(len(own), np.int64))
+                ok &= shard.keys[slots["order"]] == own
+                ids = [np.frombuffer(shard.ids(s), "<u4").astype("i8").tolist() for s in slots[ok]]
+                n = int(ok.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(own[ok]), pa.array([row["part"]] * n, pa.int32()), pa.array([row["seq"]] * n, pa.int32()), pa.array(ids, pa.list_(pa.int64()))], names=["k", "part", "seq", "ids"])
+
+    found = asked.mapInArrow(probe, "k long, part int, seq int, ids array<long>")
+    first_ids = found.groupBy("k").agg(F.min_by("ids", F.struct("part", "seq")).alias("ids"))
+    return keys.join(first_ids, keys[f"`{key}`"].cast("long") == first_ids["k"], "left").drop("k")

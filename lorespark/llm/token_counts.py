@@ -14,8 +14,8 @@ from .tokenizing import encoder
 def token_counts(df: DataFrame, tokenizer: str, text: str = "text", out: str = "n_tokens", batch_bytes: int = 1 << 20) -> DataFrame:
     """``df`` without ``text`` and with ``n_bytes`` (UTF-8) and ``out`` (ids of the whole text).
 
-    ``tokenizer``: file of the tokenizers library. Texts go to the library in batches of about
-    ``batch_bytes``; each is cut where no token can span, so a very long text is many short
+    ``tokenizer``: file of the tokenizers library. Texts go to the library in batches of at most
+    ``batch_bytes`` of UTF-8, or of one longer text; each is cut where no token can span, so a very long text is many short
     segments, and the lengths of its segments add up. No begin, end or added special ids.
     Null and empty texts: 0 bytes, 0 tokens. Repeated rows stay repeated; columns named
     ``n_bytes`` or ``out`` in ``df`` are replaced; an empty table gives an empty table.
@@ -34,7 +34,7 @@ def token_counts(df: DataFrame, tokenizer: str, text: str = "text", out: str = "
             texts = [t or "" for t in b.column(at).to_pylist()]
             cols = [c for i, c in enumerate(b.columns) if i != at]
             names = [n for i, n in enumerate(b.schema.names) if i != at]
-            sizes = pa.array([len(t.encode()) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*cols, sizes, pa.array(enc.count_many(texts, batch_bytes), pa.int64())], names=[*names, "n_bytes", out])
+            sizes = [len(t.encode()) for t in texts]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sizes, pa.int64()), pa.array(enc.count_many(texts, sizes, batch_bytes), pa.int64())], names=[*names, "n_bytes", out])
 
     return src.mapInArrow(count, schema)

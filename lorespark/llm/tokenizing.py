@@ -122,19 +122,19 @@ class SegmentEncoder:
         if self.heads is not None and sys.byteorder == "little":
             look = self.words.__getitem__
             return [b"".join(map(look, self.segments(t))) for t in texts]
-        return self._batches(texts, batch_bytes, self.memo, self._encode, b"".join)
+        return self._batches(texts, list(map(len, texts)), batch_bytes, self.memo, self._encode, b"".join)
 
-    def count_many(self, texts: list[str], batch_bytes: int = 1 << 20) -> list[int]:
-        """Numbers of ids only."""
-        return self._batches(texts, batch_bytes, self.lengths, self._count, sum)
+    def count_many(self, texts: list[str], sizes: list[int], batch_bytes: int = 1 << 20) -> list[int]:
+        """Numbers of ids only; ``sizes``: UTF-8 bytes of the texts, which balance the batches."""
+        return self._batches(texts, sizes, batch_bytes, self.lengths, self._count, sum)
 
-    def _batches(self, texts, batch_bytes, memo, make, join) -> list:
+    def _batches(self, texts, sizes, batch_bytes, memo, make, join) -> list:
         out: list = []
         at = 0
         while at < len(texts):
             size, end = 0, at
-            while end < len(texts) and (end == at or size + len(texts[end]) <= batch_bytes):
-                size += len(texts[end])
+            while end < len(texts) and (end == at or size + sizes[end] <= batch_bytes):
+                size += sizes[end]
                 end += 1
             out += self._batch([self.segments(t) for t in texts[at:end]], memo, make, join)
             at = end

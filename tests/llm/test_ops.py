@@ -60,7 +60,7 @@ def test_segments_encode_as_the_library(path):
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(3000)]
     want = [t.encode(x, add_special_tokens=False).ids for x in texts]
     assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_many(texts)] == want
-    assert enc.count_many(texts) == [len(w) for w in want]
+    assert enc.count_many(texts, [len(t.encode()) for t in texts], 200) == [len(w) for w in want]
 
 
 def test_id_store_round_trip(spark, docs, empty):
@@ -80,7 +80,21 @@ def test_id_store_round_trip(spark, docs, empty):
     keys = spark.createDataFrame([(5,), (9999,), (None,)], "doc_id long")
     looked = {r["doc_id"]: r["ids"] for r in id_store.lookup(spark, path, keys).collect()}
     assert looked == {5: [*t.encode(corpus()[5][1], add_special_tokens=False).ids, 1], 9999: None, None: None}
-    assert id_store.read_digests(spark, id_store.write_ids(empty, WORD)).collect() == []
+    nothing = id_store.write_ids(empty, WORD)
+    assert id_store.read_digests(spark, nothing).collect() == []
+    assert [r["ids"] for r in id_store.lookup(spark, nothing, keys).collect()] == [None] * 3
+
+
+def test_every_key_finds_its_ids(spark, docs):
+    path = id_store.write_ids(docs, WORD, end_id=1, shard_ids=500)
+    t, first = library(WORD), {}
+    for r in corpus():
+        first.setdefault(r[0], []).append([*t.encode(r[1] or "", add_special_tokens=False).ids, 1])
+    keys = docs.select("doc_id").where("doc_id IS NOT NULL").union(spark.createDataFrame([(-5,), (10**9,)], "doc_id long")).distinct()
+    found = id_store.lookup(spark, path, keys)
+    assert all(r["ids"] in first.get(r["doc_id"], [None]) for r in found.collect()) and found.where("ids IS NULL").count() == 2
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "CoGroup" not in plan
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 500])
@@ -455,7 +469,9 @@ def test_merge_groups_common_prefixes():
         assert sorted(zip(s.tolist(), at.tolist(), strict=True)) == want
 
 
-def test_decontamination(spark, empty):
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_decontamination(spark, empty, monkeypatch, limit):
+    monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", limit)
     rnd = random.Random(11)
     vocab = [f"w{i}" for i in range(400)]
     words = lambda n: [rnd.choice(vocab) for _ in range(n)]
