@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ids as I
 from ..session import settled
 from .lexical import ranked
+from .pointers import ends
 
 # Fields of a work that its owner may edit, fields of a profile that no owner may, and the longest list of interest seeds.
 EDITABLE_WORK_FIELDS = ("doi", "openalex_id", "name", "datePublished", "type", "citation", "full_text_link", "access", "summary", "first_author", "author_position", "is_corresponding")
@@ -56,25 +57,42 @@ def delete_cascade(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, D
 
 
 def merge_refusals(profiles: DataFrame, merges: DataFrame) -> DataFrame:
-    """``merges(retired_id, survivor_id)`` with a ``refusal``: ``same``, ``no_retired``, ``no_survivor``, or null where it may go on."""
+    """``merges(retired_id, survivor_id)`` with a ``refusal``, null where it may go on.
+
+    ``no_retired``, ``no_survivor``, ``same``; ``twice``: one record into several survivors; ``cycle``: following the batch's merges from here
+    comes back to a record that it retires.
+    """
     have = profiles.select("profile_id").distinct()
     a = have.select(F.col("profile_id").alias("retired_id"), F.lit(True).alias("r"))
     b = have.select(F.col("profile_id").alias("survivor_id"), F.lit(True).alias("s"))
     out = merges.join(a, "retired_id", "left").join(b, "survivor_id", "left")
-    why = F.when(F.col("r").isNull(), "no_retired").when(F.col("s").isNull(), "no_survivor").when(F.col("retired_id") == F.col("survivor_id"), "same")
+    twice = merges.groupBy("retired_id").agg((F.count_distinct("survivor_id") > 1).alias("twice"))
+    round_ = merge_ends(merges).where("cyclic").select("retired_id", "cyclic")
+    out = out.join(twice, "retired_id", "left").join(round_, "retired_id", "left")
+    why = F.when(F.col("r").isNull(), "no_retired").when(F.col("s").isNull(), "no_survivor").when(F.col("retired_id") == F.col("survivor_id"), "same").when(F.col("twice"), "twice").when(F.col("cyclic"), "cycle")
     return out.select("retired_id", "survivor_id", why.alias("refusal"))
 
 
+def merge_ends(merges: DataFrame) -> DataFrame:
+    """``retired_id, survivor_id, cyclic``: the record that a chain of merges in one batch ends in, null where it goes round.
+
+    A record that is merged into several goes with the smallest.
+    """
+    links = merges.groupBy(F.col("retired_id").alias("node")).agg(F.min("survivor_id").alias("next"))
+    return ends(links).select(F.col("node").alias("retired_id"), F.col("end").alias("survivor_id"), "cyclic")
+
+
 def merge_profiles(profiles: DataFrame, slug_aliases: DataFrame, rid_aliases: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Profiles, slug aliases and rid aliases after ``merges(retired_id, survivor_id)``, each survivor kept by the batch.
+    """Profiles, slug aliases and rid aliases after ``merges(retired_id, survivor_id)``; merges into a record that the batch retires too end where that one does.
 
     The survivor keeps its id and slug. Every handle of a retired record, its live slug included, leads to
     the survivor in one hop; a live slug is no alias. Other records about a retired rid follow to the
     survivor's; rid aliases (``old_rid, rid``) end in one hop.
     """
-    ends = profiles.select(F.col("profile_id").alias("retired_id"), F.col("rid").alias("old_rid"), F.col("slug").alias("old_slug"))
+    merges = merge_ends(merges).where("NOT cyclic").select("retired_id", "survivor_id")
+    own = profiles.select(F.col("profile_id").alias("retired_id"), F.col("rid").alias("old_rid"), F.col("slug").alias("old_slug"))
     to = profiles.select(F.col("profile_id").alias("survivor_id"), F.col("rid").alias("new_rid"))
-    moved = merges.join(ends, "retired_id").join(to, "survivor_id")
+    moved = merges.join(own, "retired_id").join(to, "survivor_id")
     rids = moved.where("old_rid <> new_rid").select("old_rid", "new_rid").distinct()
     kept = profiles.join(moved.select(F.col("retired_id").alias("profile_id")), "profile_id", "left_anti")
     kept = kept.join(rids, kept["rid"] == rids["old_rid"], "left").withColumn("rid", F.coalesce("new_rid", "rid")).drop("old_rid", "new_rid")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("vector_queries", "text_queries", "graph_queries", "record_queries", "search_queries", "people_queries", "store_queries", "export_queries", "works_queries", "match_queries")
+MODULES = ("vector_queries", "text_queries", "graph_queries", "record_queries", "search_queries", "people_queries", "store_queries", "export_queries", "works_queries", "match_queries", "fleet_queries")
 
 
 def _collect(which: str) -> dict:
