@@ -76,11 +76,15 @@ def phrases(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFra
     words = F.split(F.trim(F.regexp_replace(body, r"(?<!\S)[0-9]+(?!\S)", "|")), r"\s+")
     kept = F.transform(words, lambda w: F.when((F.length(w) < 2) | w.isin(*PHRASE_STOPWORDS), F.lit("|")).otherwise(w))
     runs = F.split(F.array_join(kept, " "), r" ?\| ?")
-    each = docs.select(F.col(id_).alias("id"), F.explode(runs).alias("run")).where(F.instr("run", " ") > 0).select("id", F.split("run", " ").alias("w"))
-    placed = each.select("id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 2)).alias("i"))
-    two = F.concat_ws(" ", F.get("w", F.col("i")), F.get("w", F.col("i") + 1))
-    three = F.when(F.col("i") + 2 < F.size("w"), F.concat_ws(" ", two, F.get("w", F.col("i") + 2)))
-    return placed.select("id", F.explode(F.array(two, three)).alias("phrase")).where("phrase is not null").distinct().groupBy("phrase").agg(F.count(F.lit(1)).alias("papers"))
+    def grams(run: F.Column) -> F.Column:
+        """Two and three words from every place of a run; the words are bound once."""
+        two = lambda w, i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))
+        three = lambda w, i: F.when(i + 2 < F.size(w), F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        return F.flatten(F.transform(F.array(F.split(run, " ")), lambda w: F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.array(two(w, i), three(w, i))))))
+
+    # once a document by its own row, so that one shuffle of counts is all there is
+    own = F.array_distinct(F.array_compact(F.flatten(F.transform(F.filter(runs, lambda r: F.instr(r, " ") > 0), grams))))
+    return docs.select(F.explode(own).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("papers"))
 
 
 def key_phrases(docs: DataFrame, top_n: int = 8, min_papers: int = 2, id_: str = "doc_id", text: str = "text") -> DataFrame:

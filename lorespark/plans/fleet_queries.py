@@ -7,10 +7,13 @@ import hashlib
 from pyspark.sql import functions as F
 
 from ..operators import diffs as D
-from ..operators import fleet, stores, validation
+from ..operators import caches, export_text, exports, fleet, stores, validation
+from ..operators import graph as G
+from ..operators import ranking as R
+from ..session import settled, shared_folder
 from ..operators.embedding import hash_encoder
 from ..sources import bucketed
-from .standins import table
+from .standins import CENT, CH, CO, INTERESTS, EFFECTIVE, PARTS, chunks, interests, people, table
 
 Q, S = {}, {}
 
@@ -134,3 +137,55 @@ SELECT profile, keyword, pointer, count(*) AS n FROM v GROUP BY ALL""")
 def validated_folders(spark, sf):
     got = validation.validate(folders(spark, sf))
     return got.groupBy("profile", "keyword", F.col("json_pointer").alias("pointer")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH h AS (SELECT DISTINCT source AS profile, '# Person ' || source || E'\n\n' || CASE WHEN substr(source, 4)::INT % 2 = 0 THEN E'Lab\n' ELSE '' END || E'ORCID: 0000-0002-1825-0097\n\n## Overview\n\nAbout it.' || CASE WHEN substr(source, 4)::INT % 3 = 0 THEN E'\n\n## Expertise\n\n- maps\n- genes' ELSE '' END || E'\n\n## Interests\n\n- cells (+0.5)\n\nNot interested in: mice (-1)' AS head FROM documents),
+b AS (SELECT source AS profile, doc_id, '### Paper ' || doc_id || E'\n\n' || (2000 + doc_id % 25) || CASE WHEN doc_id % 2 = 0 THEN ' · doi:10.1000/' || doc_id ELSE '' END || E'\n\n' || regexp_replace(regexp_replace(text, E'\n{3,}', E'\n\n', 'g'), '^\\s+|\\s+$', '', 'g') AS block FROM documents),
+t AS (SELECT b.*, head, length(head) + 2 + 16 + 1 + sum(length(block) + 2) OVER (PARTITION BY profile ORDER BY doc_id) AS total FROM b JOIN h USING (profile)),
+k AS (SELECT profile, count(*) AS n, string_agg(block, E'\n\n' ORDER BY doc_id) AS body FROM t WHERE total <= 20000 GROUP BY 1)
+SELECT profile, CAST(coalesce(n, 0) AS INTEGER) AS papers, md5(head || coalesce(E'\n\n## Selected work\n\n' || body, '') || E'\n') AS digest FROM h LEFT JOIN k USING (profile)""")
+def export_texts(spark, sf):
+    """The text of each source as a profile, as many whole documents as 20,000 characters hold."""
+    k, docs = F.substring("profile", 4, 9).cast("int"), table(spark, sf, "documents")
+    none, words = F.lit(None).cast("string"), lambda *xs: F.array(*[F.lit(x) for x in xs])
+    people_ = docs.select(F.col("source").alias("profile")).distinct().select(
+        "profile", F.concat(F.lit("Person "), "profile").alias("name"), F.lit("0000-0002-1825-0097").alias("rid"), F.when(k % 2 == 0, "Lab").alias("affiliation"), none.alias("job_title"), none.alias("url"), F.lit(" About it. ").alias("summary"), none.alias("field"),
+        words("").alias("subfields"), F.when(k % 3 == 0, words("maps", " ", "genes ")).alias("expertise"), words("cells (+0.5)").alias("interests"), words("mice (-1)").alias("not_interests"), words().cast("array<string>").alias("commitments"),
+        F.lit(None).cast("array<struct<role:string,institution:string,start_year:int,end_year:int>>").alias("career"), F.lit(None).cast("array<struct<degree:string,field:string,institution:string,year_end:int>>").alias("training"), none.alias("expertise_doc"), F.lit("  ").alias("soul"))
+    d = F.col("doc_id")
+    papers = docs.select(F.col("source").alias("profile"), d.alias("place"), F.concat(F.lit(" Paper "), d).alias("title"), (2000 + d % 25).alias("year"), F.lit("").alias("journal"), F.when(d % 2 == 0, F.concat(F.lit("https://doi.org/10.1000/"), d)).alias("doi"), none.alias("summary"), F.col("text").alias("abstract"))
+    got = export_text.render(people_, export_text.paper_bodies(papers), 20_000)
+    return got.select("profile", "papers", F.md5("text").alias("digest"))
+
+
+@query(f"""WITH {INTERESTS}, {EFFECTIVE}, n AS (SELECT profile, position, CASE WHEN code IS NULL THEN '{{"skos:prefLabel":"' || label || '"}}' ELSE '{{"skos:inScheme":{{"@id":"sys"}},"skos:notation":"' || code || '","skos:prefLabel":"' || label || '"}}' END AS node FROM ef WHERE weight > 0),
+g AS (SELECT profile, string_agg(node, ',' ORDER BY position) AS t FROM n GROUP BY 1)
+SELECT s_suppkey AS profile, '{{"@context":{{"foaf":"http://xmlns.com/foaf/0.1/","skos":"http://www.w3.org/2004/02/skos/core#"}},"@id":' || CASE WHEN s_suppkey % 2 = 0 THEN '"#p' || s_suppkey || '"' ELSE 'null' END || ',"@type":"foaf:Person","foaf:name":"' || s_name || '","foaf:topic_interest":[' || coalesce(t, '') || ']}}' AS node FROM supplier LEFT JOIN g ON g.profile = s_suppkey""")
+def foaf_nodes(spark, sf):
+    k = F.col("s_suppkey")
+    who = table(spark, sf, "supplier").select(k.alias("profile"), F.when(k % 2 == 0, F.concat(F.lit("#p"), k)).alias("iri"), F.col("s_name").alias("name"))
+    nodes = exports.interest_nodes(interests(spark, sf).withColumn("iri", F.lit(None).cast("string")))
+    return export_text.foaf(who, nodes)
+
+
+@query(f"WITH {PARTS}, {CO} SELECT src, dst, paper_count FROM co")
+def kept_graph(spark, sf):
+    """The graph of people, built once for these sources and read again."""
+    path = f"{shared_folder(spark)}/lorespark/{prefix(spark, sf, 'graph')}"
+    parts = people(spark, sf)
+    digest = G.source_hash(table(spark, sf, "orders"), "o_orderkey", "o_orderdate").first()["hash"]
+    nodes, edges = caches.graph(spark, path, digest, lambda: (parts.select("person", "profiled").distinct(), G.coauthor_edges(parts)))
+    return edges.join(nodes.select(F.col("person").alias("src")), "src", "left_semi").select("src", "dst", "paper_count")
+
+
+@query(f"WITH {CH}, {CENT}, q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0) SELECT profile, round(list_inner_product(vec, q.q), 6) AS sim FROM cent, q")
+def refreshed_centroids(spark, sf):
+    """Centroids of an older state, new ones only where the chunks of a profile have changed."""
+    now = chunks(spark, sf)
+    old = now.where("profile <> 3").withColumn("v", F.when(F.col("profile") == 4, F.transform("v", lambda x: -x)).otherwise(F.col("v")))
+    kept = settled(R.centroids(old).join(caches.chunk_digests(old), "profile"))
+    got = caches.with_centroids(now.select("profile").distinct(), caches.refresh_centroids(kept, now))
+    from ..functions import vectors as V
+    from .standins import query_vector
+
+    return got.select("profile", F.round(V.dot("vec", query_vector(spark, sf)), 6).alias("sim"))

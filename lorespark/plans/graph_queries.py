@@ -8,6 +8,7 @@ from ..functions import ids as I
 from ..functions import tiers as T
 from ..operators import graph as G
 from ..operators import privacy as P
+from ..operators.listings import edges_between as edges_among
 from .standins import ARTIFACTS, CO, INST, NAME, ORD, PARTS, PTIERS, STAYS, artifacts, people, profile_tiers, stays, table
 
 Q, S = {}, {}
@@ -96,8 +97,8 @@ def reviewer_match(spark, sf):
 
 @query(f"WITH {PARTS}, {CO} SELECT src, dst, paper_count FROM co WHERE (src = 7 AND dst BETWEEN 1 AND 40) OR (dst = 7 AND src BETWEEN 1 AND 40)")
 def edges_between(spark, sf):
-    asked = spark.range(1, 41).where("id <> 7").select(F.least("id", F.lit(7)).alias("src"), F.greatest("id", F.lit(7)).alias("dst"))
-    return G.coauthor_edges(people(spark, sf)).join(F.broadcast(asked), ["src", "dst"]).select("src", "dst", "paper_count")
+    person = lambda lo, hi: spark.range(lo, hi).select(F.col("id").alias("person"))
+    return edges_among(G.coauthor_edges(people(spark, sf)), person(7, 8), person(1, 41)).select("src", "dst", "paper_count")
 
 
 @query("WITH n AS (SELECT 'name' || (c_custkey % 400) AS key, CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 400 ELSE c_custkey END AS rid FROM customer) SELECT key, CASE WHEN count(DISTINCT rid) = 1 THEN min(rid) END AS rid FROM n GROUP BY 1")

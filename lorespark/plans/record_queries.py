@@ -9,6 +9,7 @@ from ..operators import diffs as D
 from ..operators import matching as M
 from ..operators import identity as ID
 from ..operators import interests as N
+from ..operators import listings as LS
 from ..operators import paging as PG
 from ..operators import profiles as P
 from .standins import ARTIFACTS, EFFECTIVE, INTERESTS, PAPERS, TOPICS, artifacts, interests, papers, table, topics
@@ -101,13 +102,13 @@ def page_totals(spark, sf):
 
 @query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE lower(trim(c_mktsegment)) = 'building' AND c_nationkey IN (1, 2, 3) AND c_acctbal > 0")
 def list_filter(spark, sf):
-    own = table(spark, sf, "customer")
-    return own.where((F.lower(F.trim("c_mktsegment")) == "building") & F.col("c_nationkey").isin(1, 2, 3) & (F.col("c_acctbal") > 0)).select("c_custkey", "c_name", "c_mktsegment")
+    own = LS.filter_profiles(table(spark, sf, "customer"), {"c_mktsegment": " Building"}, {"c_nationkey": [1, 2, 3]}, [F.col("c_acctbal") > 0])
+    return own.select("c_custkey", "c_name", "c_mktsegment")
 
 
 @query(f"WITH {PAPERS} SELECT paper, year, has_text FROM pp WHERE year >= 2015 AND has_text AND NOT contaminated")
 def papers_filter(spark, sf):
-    return papers(spark, sf).where("year >= 2015 AND has_text AND NOT contaminated").select("paper", "year", "has_text")
+    return LS.filter_papers(papers(spark, sf), since=2015, has_text=True)[0].select("paper", "year", "has_text")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (5, 3, 9)")
@@ -227,8 +228,8 @@ def card_dedup(spark, sf):
 
 @query("SELECT label AS spec, min(vec_id) AS first FROM embeddings GROUP BY 1")
 def centroid_set_merge(spark, sf):
-    own = table(spark, sf, "embeddings").select(F.col("label").alias("spec"), "vec_id")
-    return D.dedup_first(own, ["spec"], ["vec_id"]).select("spec", F.col("vec_id").alias("first"))
+    own = table(spark, sf, "embeddings").select(F.col("label").alias("spec"), "vec_id", "embedding")
+    return LS.merge_sets(own, "spec", "vec_id", F.size("embedding")).select("spec", F.col("vec_id").alias("first"))
 
 
 @query()
@@ -242,27 +243,24 @@ def paper_matching(spark, sf):
 
 @query("SELECT item_id, item_id IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) AS cited FROM benchmark")
 def verify_citations(spark, sf):
-    known = table(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("item_id"), F.lit(True).alias("hit"))
-    return table(spark, sf, "benchmark").select("item_id").join(known, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("cited"))
+    known = table(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("item_id"))
+    return LS.verify_citations(table(spark, sf, "benchmark").select("item_id"), known, "item_id")
 
 
 @query(f"WITH {TOPICS} SELECT DISTINCT profile FROM tp WHERE lower(trim(topic)) IN ('brand#11', 'brand#22')")
 def required_topics(spark, sf):
-    return topics(spark, sf).where(F.lower(F.trim("topic")).isin("brand#11", "brand#22")).select("profile").distinct()
+    return LS.claim_topics(topics(spark, sf), ["Brand#11 ", "BRAND#22"])
 
 
 @query(f"WITH {TOPICS} SELECT lower(trim(topic)) AS topic, count(DISTINCT profile) AS profiles FROM tp GROUP BY 1")
 def topic_profiles(spark, sf):
-    return topics(spark, sf).select(F.lower(F.trim("topic")).alias("topic"), "profile").distinct().groupBy("topic").agg(F.count(F.lit(1)).alias("profiles"))
+    return LS.topic_profiles(topics(spark, sf))
 
 
 @query("WITH c AS (SELECT conv_id, turn, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS behind FROM conversations) SELECT conv_id, turn FROM c WHERE behind <= 2000")
 def history_trim(spark, sf):
     """Newest turns of a conversation whose texts fit the budget."""
-    from pyspark.sql import Window
-
-    behind = F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    return table(spark, sf, "conversations").withColumn("behind", behind).where("behind <= 2000").select("conv_id", "turn")
+    return LS.trim_history(table(spark, sf, "conversations"), 2000).select("conv_id", "turn")
 
 
 @query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'topic' WHEN event_id % 3 = 1 THEN 'text' ELSE 'cites' END AS kind, 'w' || (event_id % 700) AS work FROM events) SELECT work, list_sort(list(DISTINCT kind)) AS found_by, min(event_id) AS first FROM e GROUP BY 1""")
@@ -270,7 +268,7 @@ def works_by_query(spark, sf):
     """Union of query streams with provenance: one row a work."""
     k = F.col("event_id")
     own = table(spark, sf, "events").select(k, F.when(k % 3 == 0, "topic").when(k % 3 == 1, "text").otherwise("cites").alias("kind"), F.concat(F.lit("w"), k % 700).alias("work"))
-    return own.groupBy("work").agg(F.array_sort(F.collect_set("kind")).alias("found_by"), F.min("event_id").alias("first"))
+    return LS.union_streams(own, "work", "kind", "event_id")
 
 
 @query(f"WITH {ARTIFACTS}, a AS (SELECT profile, CASE WHEN page_id % 9 = 0 THEN 'http://x/' || af.url ELSE af.url END AS url, role, paper_id, CASE WHEN page_id % 11 = 0 THEN 'secret' ELSE tier END AS tier, derived_from FROM af JOIN pages ON 'f' || page_id = af.url), r AS (SELECT profile, url, unnest(derived_from) AS ref FROM a) SELECT profile, url AS pointer, 'relative_url' AS keyword FROM a WHERE url LIKE 'http://%' UNION ALL SELECT profile, url, 'enum' FROM a WHERE tier = 'secret' UNION ALL SELECT profile, url, 'derived_from' FROM r WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.profile = r.profile AND (a.paper_id = r.ref OR a.role = r.ref))")

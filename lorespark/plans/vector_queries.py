@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import clusters
+from ..operators import clusters, listings
 from ..operators import ranking as R
 from .standins import CENT, CH, Q0, chunks, mean_sql, query_vector, table, unit_sql
 
@@ -130,13 +130,13 @@ def index_counts(spark, sf):
 
 @query(f"WITH {CH} SELECT profile, count(*) AS chunks, CAST(count_if(source_type = 'seed_abstract') AS BIGINT) AS seeds, count(*) > 45 AS indexed FROM ch GROUP BY 1")
 def fleet_coverage(spark, sf):
-    return chunks(spark, sf).groupBy("profile").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("source_type") == "seed_abstract").alias("seeds"), (F.count(F.lit(1)) > 45).alias("indexed"))
+    return listings.coverage(chunks(spark, sf), 45)
 
 
 @query("WITH s AS (SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN 'hash:8' ELSE 'hash:16' END AS spec FROM customer) SELECT spec, count(*) AS n FROM s GROUP BY 1 ORDER BY n DESC, min(c_custkey) LIMIT 1")
 def majority_backend(spark, sf):
     own = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_nationkey") % 3 == 0, "hash:8").otherwise("hash:16").alias("spec"))
-    return own.groupBy("spec").agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("first")).orderBy(F.desc("n"), "first").limit(1).select("spec", "n")
+    return listings.majority(own, "spec", "c_custkey")
 
 
 @query()
