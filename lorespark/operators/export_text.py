@@ -38,7 +38,7 @@ def _bullets(heading: str, items: Column, trailer: Column | None = None) -> Colu
 
 def signed_labels(interests: DataFrame) -> DataFrame:
     """``profile, wanted, unwanted`` of effective ``interests(profile, position, label, weight)``: labels with their weights, as ``ATAC (+0.5)``."""
-    number = F.regexp_replace(F.format_number(F.abs("weight"), "0.######"), r"\.$", "")
+    number = F.regexp_replace(F.call_function("format_number", F.abs("weight"), F.lit("0.######")), r"\.$", "")
     text = F.concat(F.trim("label"), F.lit(" ("), F.when(F.col("weight") > 0, "+").otherwise("-"), number, F.lit(")"))
     each = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("position", text.alias("t"))))), lambda x: x["t"])
     return interests.groupBy("profile").agg(each(F.col("weight") > 0).alias("wanted"), each(F.col("weight") < 0).alias("unwanted"))
@@ -57,9 +57,9 @@ def head(profiles: DataFrame) -> DataFrame:
     orcid = F.concat(F.lit("ORCID: "), I.orcid_of("rid"))
     title = F.concat(F.lit("# "), c("name"), F.lit("\n\n"), F.concat_ws(LINE, role, orcid, F.concat(F.lit("Profile: "), F.nullif(c("url"), F.lit("")))))
     sub = some(c("subfields"))
-    subfields = F.when(F.size(sub) > 0, F.concat(F.lit("Subfields: "), F.array_join(F.transform(sub, F.trim), ", ")))
+    subfields = F.when(F.size(sub) > 0, F.concat(F.lit("Subfields: "), F.array_join(F.transform(sub, lambda x: F.trim(x)), ", ")))
     no = some(c("not_interests"))
-    trailer = F.when(F.size(no) > 0, F.concat(F.lit("Not interested in: "), F.array_join(F.transform(no, F.trim), ", ")))
+    trailer = F.when(F.size(no) > 0, F.concat(F.lit("Not interested in: "), F.array_join(F.transform(no, lambda x: F.trim(x)), ", ")))
     year = lambda y: F.coalesce(y.cast("string"), F.lit(""))
     span = lambda e: F.when(e["start_year"].isNotNull() | e["end_year"].isNotNull(), F.concat(F.lit(" ("), year(e["start_year"]), F.lit("-"), F.coalesce(e["end_year"].cast("string"), F.lit("present")), F.lit(")"))).otherwise("")
     career = F.transform("career", lambda e: F.concat(e["role"], F.lit(", "), e["institution"], span(e)))

@@ -59,11 +59,12 @@ def coauthor_edges(parts: DataFrame, evidence: int = 0) -> DataFrame:
 
 
 def coauthors_of(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """``coauthor_edges`` of the asked ``pairs(src, dst)`` alone: works of one endpoint, then those the other is on too."""
+    """``coauthor_edges`` of the asked ``pairs(src, dst)`` alone: works are thinned to the people asked, and pairs to those asked before they are added up."""
     asked = pairs.select("src", "dst").distinct()
-    a = parts.select(F.col("person").alias("src"), "work", "year", F.col("profiled").alias("pa"), F.col("owns").alias("oa"))
-    b = parts.select(F.col("person").alias("dst"), "work", F.col("profiled").alias("pb"), F.col("owns").alias("ob"))
-    return _merged(asked.join(a, "src").join(b, ["dst", "work"]).where(F.col("pa") | F.col("pb")))
+    who = asked.select(F.col("src").alias("person")).union(asked.select("dst")).distinct()
+    made = tiled_pairs(parts.join(who, "person", "left_semi"), "work", "person").where(F.col("a.profiled") | F.col("b.profiled"))
+    made = made.select(F.col("a.person").alias("src"), F.col("b.person").alias("dst"), F.col("a.year").alias("year"), F.col("a.owns").alias("oa"), F.col("b.owns").alias("ob"), F.col("a.profiled").alias("pa"), F.col("b.profiled").alias("pb"))
+    return _merged(made.join(asked, ["src", "dst"], "left_semi"))
 
 
 def spans_overlap(lo_a, hi_a, lo_b, hi_b):
@@ -132,10 +133,12 @@ def conflicts(authors: DataFrame, candidates: DataFrame, coauthors: DataFrame |
     ``authors(paper, person)``, ``candidates(paper, candidate)``; authors that are the candidate are skipped.
     ``stays(person, inst)`` give shared institutions, ``advisors(src, dst)`` advising either way, and
     ``inline(paper, inst)`` affiliations written on the paper, which count only where no shared institution does.
-    ``coauthors`` are stored edges; without them those of the asked pairs alone are made from ``parts``. The asked pairs are written once.
+    ``coauthors`` are all edges, where most are asked for or they are stored; without them those of the asked pairs alone are
+    made from ``parts`` (``coauthors_of``), and the pairs are written once.
     """
-    pairs = settled(_asked_pairs(authors, candidates))
+    pairs = _asked_pairs(authors, candidates)
     if coauthors is None:
+        pairs = settled(pairs)
         coauthors = coauthors_of(pairs, parts)
     recent = F.col("last_year").isNull() | (F.col("last_year") >= as_of_year - years)
     co = pairs.join(coauthors, ["src", "dst"]).select("paper", "candidate", F.lit("coauthor").alias("type"), recent.alias("counts"))

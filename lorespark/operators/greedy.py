@@ -42,22 +42,11 @@ def choose(df: DataFrame, keys: list[str], k: int, item: str, order: list[str],
 
     def pick(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__r").reset_index(drop=True)
-        s, near, items = pdf[score].to_numpy(float), pdf["__near"].to_numpy(float), list(pdf["__item"])
         names, done = list(pdf[order].itertuples(index=False, name=None)), int(pdf["__done"].iloc[0])
-        place = lambda i, by_score=False: (-(s[i] if by_score else keep * s[i] - penalty * np.nan_to_num(near[i])), -s[i], *names[i])
-        outside = place(HEAD) if len(pdf) > HEAD else None
-        left, out = list(range(min(HEAD, len(pdf)))), []
-        while left and done + len(out) < k:
-            best = min(left, key=lambda i: place(i, first_by_score and done + len(out) == 0))
-            # after the first choice rows outside may have come first, or may yet turn out to be unlike it
-            if out and outside is not None and (pdf["__open"].iloc[0] or not place(best) < outside):
-                break
-            left.remove(best)
-            out.append(best)
-            near[: len(left) + len(out)] = np.fmax(near[: len(left) + len(out)], likeness(items[: len(left) + len(out)], items[best]))
+        out, outside = _pick(pdf[score].to_numpy(float), pdf["__near"].to_numpy(float), list(pdf["__item"]), names, done, k, bool(pdf["__open"].iloc[0]), likeness, keep, penalty, first_by_score, HEAD)
         made = pdf.iloc[out][[*dict.fromkeys([*keys, *order]), "__item"]].copy()
         made["pick"] = np.arange(done + 1, done + 1 + len(out), dtype="int32")
-        return made.assign(__more=outside is not None and done + len(out) < k)
+        return made.assign(__more=outside and done + len(out) < k)
 
     def look(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -94,6 +83,37 @@ def choose(df: DataFrame, keys: list[str], k: int, item: str, order: list[str],
     return rows.join(chosen.drop("__item", "__more"), [*dict.fromkeys([*keys, *order])]).select(*df.columns, "pick")
 
 
+def _pick(s: np.ndarray, near: np.ndarray, items: list, names: list[tuple], done: int, k: int, open_: bool, likeness: Likeness, keep: float, penalty: float, first_by_score: bool, head: int) -> tuple[list[int], bool]:
+    """Choices among the first ``head`` rows, as places, and whether there is a row outside; ``open_``: one outside may yet turn out to be unlike."""
+    near, n = near.copy(), min(head, len(s))
+    place = lambda i, by_score=False: (-(s[i] if by_score else keep * s[i] - penalty * np.nan_to_num(near[i])), -s[i], *names[i])
+    outside = place(head) if len(s) > head else None
+    left, out = list(range(n)), []
+    while left and done + len(out) < k:
+        best = min(left, key=lambda i: place(i, first_by_score and done + len(out) == 0))
+        # after the first choice rows outside may have come first
+        if out and outside is not None and (open_ or not place(best) < outside):
+            break
+        left.remove(best)
+        out.append(best)
+        near[:n] = np.fmax(near[:n], likeness(items[:n], items[best]))
+    return out, outside is not None
+
+
+def choose_short(df: DataFrame, keys: list[str], k: int, item: str, order: list[str], likeness: Likeness, keep: float, penalty: float, first_by_score: bool, score: str = "score") -> DataFrame:
+    """``choose`` for lists that the caller has cut to HEAD rows or fewer: one pass; a longer list is an error."""
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > HEAD:
+            raise ValueError(f"a list of more than {HEAD} rows: use choose")
+        names = list(pdf[order].itertuples(index=False, name=None))
+        out, _ = _pick(pdf[score].to_numpy(float), np.full(len(pdf), np.nan), list(pdf[item]), names, 0, k, False, likeness, keep, penalty, first_by_score, HEAD)
+        return pdf.iloc[out].assign(pick=np.arange(1, len(out) + 1, dtype="int32"))
+
+    schema = ST.StructType([*df.schema.fields, ST.StructField("pick", ST.IntegerType())])
+    return df.groupBy(*keys).applyInPandas(pick, schema)
+
+
 def cosine_likeness(items: list, other: object) -> np.ndarray:
     """Dot products of unit vectors with one; none where either is missing or lengths differ."""
     out = np.full(len(items), np.nan)

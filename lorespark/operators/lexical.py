@@ -72,19 +72,19 @@ def phrases(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFra
     """``phrase, papers``: 2- and 3-word phrases between stopwords, numbers and punctuation, once a document."""
     # punctuation, numbers, stopwords and single letters become breaks; grams come from the runs between
     body = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^a-z0-9\s-]+", " | ")
-    body = F.regexp_replace(body, r"(?<!\S)-+|-+(?!\S)", "")
-    words = F.split(F.trim(F.regexp_replace(body, r"(?<!\S)[0-9]+(?!\S)", "|")), r"\s+")
-    kept = F.transform(words, lambda w: F.when((F.length(w) < 2) | w.isin(*PHRASE_STOPWORDS), F.lit("|")).otherwise(w))
-    runs = F.split(F.array_join(kept, " "), r" ?\| ?")
-    def grams(run: F.Column) -> F.Column:
-        """Two and three words from every place of a run; the words are bound once."""
-        two = lambda w, i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))
-        three = lambda w, i: F.when(i + 2 < F.size(w), F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-        return F.flatten(F.transform(F.array(F.split(run, " ")), lambda w: F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.array(two(w, i), three(w, i))))))
-
+    own = docs.select(body.alias("b"))
+    # most texts have no hyphen, or no digit, to look around for
+    own = own.select(F.when(F.contains("b", F.lit("-")), F.regexp_replace("b", r"(?<!\S)-+|-+(?!\S)", "")).otherwise(F.col("b")).alias("b"))
+    own = own.select(F.when(F.col("b").rlike("[0-9]"), F.regexp_replace("b", r"(?<!\S)[0-9]+(?!\S)", "|")).otherwise(F.col("b")).alias("b"))
+    kept = F.transform(F.split(F.trim("b"), r"\s+"), lambda w: F.when((F.length(w) < 2) | w.isin(*PHRASE_STOPWORDS), F.lit("|")).otherwise(w))
+    runs = F.filter(F.split(F.array_join(kept, " "), r" ?\| ?"), lambda r: F.contains(r, F.lit(" ")))
+    bound = lambda c, f: F.flatten(F.transform(F.array(c), f))
+    after = lambda w, n: F.slice(w, n, F.greatest(F.size(w) - (n - 1), F.lit(0)))
+    add = lambda a, b: F.concat(a, F.lit(" "), b)
+    grams = lambda w: bound(F.zip_with(w, after(w, 2), add), lambda two: F.concat(two, F.zip_with(two, after(w, 3), add)))
     # once a document by its own row, so that one shuffle of counts is all there is
-    own = F.array_distinct(F.array_compact(F.flatten(F.transform(F.filter(runs, lambda r: F.instr(r, " ") > 0), grams))))
-    return docs.select(F.explode(own).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("papers"))
+    once = F.array_distinct(F.array_compact(F.flatten(F.transform(runs, lambda r: bound(F.split(r, " "), grams)))))
+    return own.select(F.explode(once).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("papers"))
 
 
 def key_phrases(docs: DataFrame, top_n: int = 8, min_papers: int = 2, id_: str = "doc_id", text: str = "text") -> DataFrame:

@@ -141,6 +141,6 @@ def match_in_full(cents: DataFrame, chunks: DataFrame, query: Column, k: int = 5
         found = found.withColumn(name, F.coalesce(name, F.array().cast(found.schema[name].dataType)))
     columns = ["profile", "score", "centroid_score", "chunk_score", "top_chunks", "top_papers", "overlapping_topics", "matched_topics"]
     if diversify:
-        return mmr(found.select(*columns, "vec"), k, lambda_).select(*columns, "pick")
+        return mmr(found.select(*columns, "vec"), k, lambda_, at_most=max(prefilter, k)).select(*columns, "pick")
     top = found.select(*columns).orderBy(F.desc("score"), "profile").limit(k)
     return top.withColumn("pick", F.row_number().over(Window.orderBy(F.desc("score"), "profile")).cast("int"))  # k rows

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..session import settled
-from .greedy import choose, cosine_likeness
+from .greedy import HEAD, choose, choose_short, cosine_likeness
 
 # Fixed values of ranking.
 AUTHORED_WEIGHT, SEED_SHARE_CAP, TOPK_CHUNKS, CALIBRATION_CHUNKS, EVIDENCE_COSINE = 3, 0.4, 5, 3, 0.5
@@ -64,13 +64,21 @@ def calibration(cents: DataFrame, chunks: DataFrame, background: DataFrame, k: i
     return calibration_of(background_scores(chunks, background, k, cents)).select("profile", "mean", "std")
 
 
-def mmr(df: DataFrame, k: int, lambda_: float = 0.5, score: str = "score", vec: str = "vec", order: str = "profile", by: tuple[str, ...] = ()) -> DataFrame:
+def mmr(df: DataFrame, k: int, lambda_: float = 0.5, score: str = "score", vec: str = "vec", order: str = "profile", by: tuple[str, ...] = (), at_most: int | None = None) -> DataFrame:
     """Greedy diversification of one list, or of one each of ``by``: ``df`` and ``pick``; ``k`` rows or fewer stay in order of score.
 
     The first choice is the best score, each next one the best of ``lambda_ * score - (1 - lambda_) * cosine``, of the largest
-    cosine to what is chosen (0 where a vector is missing). Lists of any length (``greedy.choose``).
+    cosine to what is chosen (0 where a vector is missing). Lists of any length (``greedy.choose``); ``at_most``: the caller has cut them to
+    so many rows, and where that is a head or less one pass does.
     """
     own = df.withColumn("__list", F.to_json(F.struct(*by)) if by else F.lit("")).withColumn("__unit", F.when(V.norm(vec) > 0, V.unit(F.col(vec))))
+    if at_most is not None and at_most <= HEAD:
+        # the choices of a short list come first in any case: what is left of ``k`` rows or fewer is put in order of score after them
+        made = choose_short(own, ["__list"], at_most, "__unit", [order], cosine_likeness, lambda_, 1 - lambda_, True, score)
+        w = Window.partitionBy("__list")
+        few = F.count(F.lit(1)).over(w) <= k
+        by_score = F.row_number().over(w.orderBy(F.desc(score), order)).cast("int")
+        return made.withColumn("pick", F.when(few, by_score).otherwise(F.col("pick"))).where(F.col("pick") <= k).select(*df.columns, "pick")
     own = own.join(own.groupBy("__list").agg(F.count(F.lit(1)).alias("__n")), "__list")
     few = own.where(F.col("__n") <= k).withColumn("pick", F.row_number().over(Window.partitionBy("__list").orderBy(F.desc(score), order)).cast("int"))
     long = choose(own.where(F.col("__n") > k).drop("__n"), ["__list"], k, "__unit", [order], cosine_likeness, -1.0, lambda_, 1 - lambda_, True, score)
@@ -96,7 +104,7 @@ def match(cents: DataFrame, chunks: DataFrame, query: Column, calib: DataFrame |
     scored = scored.select("profile", "sim", "chunk_score", "raw", "score", "vec")
     if not diversify:
         return scored.orderBy(F.desc("score"), "profile").limit(k).drop("vec")
-    return mmr(scored, k, lambda_).drop("vec")
+    return mmr(scored, k, lambda_, at_most=max(prefilter, k)).drop("vec")
 
 
 def rank_works(works: DataFrame, vector: Column, k: int = 10, threshold: float | None = None, diversify: bool = False, pool: int = 200) -> DataFrame:
@@ -105,7 +113,7 @@ def rank_works(works: DataFrame, vector: Column, k: int = 10, threshold: float |
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
     # diversified among the best ``pool``
-    return mmr(scored.orderBy(F.desc("score"), "work").limit(max(pool, k)), k, vec="v", order="work") if diversify else scored.orderBy(F.desc("score"), "work").limit(k)
+    return mmr(scored.orderBy(F.desc("score"), "work").limit(max(pool, k)), k, vec="v", order="work", at_most=max(pool, k)) if diversify else scored.orderBy(F.desc("score"), "work").limit(k)
 
 
 def agreement(cos) -> Column:

@@ -160,6 +160,9 @@ def test_diversified_lists(spark, monkeypatch, head):
     df = spark.createDataFrame(made, "lst int, name int, score double, vec array<double>").repartition(5)
     got = ranking.mmr(df, 10, 0.6, order="name", by=("lst",)).collect()
     assert {lst: [r["name"] for r in sorted(got, key=lambda r: r["pick"]) if r["lst"] == lst] for lst in want} == want
+    if head == 512:
+        got = ranking.mmr(df, 10, 0.6, order="name", by=("lst",), at_most=60).collect()
+        assert {lst: [r["name"] for r in sorted(got, key=lambda r: r["pick"]) if r["lst"] == lst] for lst in want} == want
 
 
 @pytest.mark.parametrize("head", [3, 512])
