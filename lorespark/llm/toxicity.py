@@ -210,7 +210,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     Learns from about ``train_rows`` rows of either label (all, if fewer), drawn by a hash of the key:
     that many keys are broadcast to the texts, so texts are not shuffled, and the sample is written
     once. The driver gets at most MODEL_UNITS units, WINDOWS windows of 2 * SIDE + 1 words and two
-    numbers a sampled row.
+    numbers a sampled row. A key with both labels is learned from twice, once as each; null texts count as empty;
+    without rows of either label the model gives every text the share of label 1.
     """
     rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("__key__"), F.col(label).cast("int").alias("toxic")).distinct()
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
@@ -238,11 +239,10 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     return model
 
 
-def _summaries(df: DataFrame, model: Crf, least: float = 0.5) -> DataFrame:
-    """``df`` (its text in ``__text__``) with the marginals' ``total`` and ``most``, and the words over ``least``."""
-    at = df.columns.index(_TEXT)
-    rest = [c for c in df.columns if c != _TEXT]
-    schema = df.select(*rest).withColumns({"total": F.lit(0.0), "most": F.lit(0.0), "spans": F.lit(None).cast("array<struct<start:int,end:int>>")}).schema
+def _summaries(df: DataFrame, model: Crf, body: str = _TEXT, least: float = 0.5) -> DataFrame:
+    """``df`` (its text in ``body``) with the marginals' ``total`` and ``most``, and the words over ``least``."""
+    at = df.columns.index(body)
+    schema = df.drop(body).withColumns({"total": F.lit(0.0), "most": F.lit(0.0), "spans": F.lit(None).cast("array<struct<start:int,end:int>>")}).schema
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +296,10 @@ def score_toxicity(df: DataFrame, model: Crf, text: str = "text", threshold: flo
     do in ``df``; columns of these names are replaced; an empty table stays empty.
     """
     keep = [c for c in df.columns if c not in (text, "score", "predicted", "spans", "total", "most")]
-    found = _summaries(df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(_TEXT)), model)
+    body = _TEXT
+    while body in keep:
+        body += "_"
+    found = _summaries(df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(body)), model, body)
     a, b, c = model.scale
     score = 1 / (1 + F.exp(-(F.lit(a) + b * F.log1p("total") + c * F.col("most"))))
     return found.withColumn("score", score).withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("total", "most")

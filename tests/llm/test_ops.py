@@ -123,6 +123,18 @@ def test_toxicity_learns_and_tags(spark, empty):
     got = toxicity.score_toxicity(df.where("doc_id % 2 = 1").union(extra).withColumn("spans", F.lit("clash")), model).collect()
     assert all(0 <= r["score"] <= 1 for r in got) and len(got) == 204
     assert sum(r["predicted"] == r["toxic"] for r in got) >= 200
+    # every score by all paths of tags, however a text came to its row; a clashing name and a null id do no harm
+    odd = spark.createDataFrame([(None, "you GRUMPHIX vlotz"), (7, "a vlotz b"), (8, None)], "doc_id long, text string").withColumn("__text__", F.lit("grumphix")).withColumn("total", F.lit(1))
+    a, b, c = model.scale
+    for r in [*toxicity.score_toxicity(odd.withColumn("own", F.col("text")), model).collect()]:
+        words, weight, mass = toxicity.WORDS.findall((r["own"] or "").lower()), 0.0, np.zeros(0)
+        if words:
+            e, mass = model.emissions(words), np.zeros(len(words))
+            for tags in np.ndindex(*[2] * len(words)):
+                w = np.exp(model.start[tags[0]] + sum(model.transitions[x, y] for x, y in zip(tags, tags[1:])) + sum(e[i] for i, y in enumerate(tags) if y))
+                weight, mass = weight + w, mass + w * np.array(tags)
+            mass = mass / weight
+        assert r["__text__"] == "grumphix" and abs(r["score"] - 1 / (1 + np.exp(-(a + b * np.log1p(mass.sum()) + c * mass.max(initial=0.0))))) < 1e-9
     hit = next(r for r in got if r["doc_id"] == 1002)
     assert hit["spans"] and hit["spans"][0]["start"] == 4
     assert toxicity.score_toxicity(empty, model).collect() == []
