@@ -2,6 +2,7 @@
 
 import json
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from lorespark.operators.embedding import hash_encoder
 from lorespark.sources import bucketed
 
 
+NEST = f"nest_{uuid.uuid4().hex[:10]}"
+
+
 def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
@@ -121,28 +125,28 @@ def test_profiles_of_tables(spark, tmp_path):
     root = spark.createDataFrame([(i, f"s{i}", f"r{i}") for i in range(20)], "profile_id long, slug string, rid string")
     works = spark.createDataFrame([(i % 20, -i, f"t{i}") for i in range(100) if i % 20 != 7] + [(99, 0, "nobody")], "profile_id long, place int, title string")
     al = spark.createDataFrame([("old3", 3), ("s4", 9)], "old_slug string, profile_id long")
-    bucketed.store({"profiles": root, "works": works, "aliases": al}, "nest_test", 4)
+    bucketed.store({"profiles": root, "works": works, "aliases": al}, NEST, 4)
     try:
-        doc = bucketed.nested(spark, "nest_test", {"works": ("place",), "aliases": ("old_slug",)})
+        doc = bucketed.nested(spark, NEST, {"works": ("place",), "aliases": ("old_slug",)})
         got = {r["profile_id"]: r for r in doc.collect()}
         assert len(got) == 20 and got[7]["works"] == [] and [w["title"] for w in got[2]["works"]] == ["t82", "t62", "t42", "t22", "t2"] and got[3]["aliases"][0]["old_slug"] == "old3"
         assert "hashpartitioning" not in doc._jdf.queryExecution().executedPlan().toString()
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        plan = bucketed.nested(spark, "nest_test", {"works": ("place",), "aliases": ("old_slug",)})._jdf.queryExecution().executedPlan().toString()
+        plan = bucketed.nested(spark, NEST, {"works": ("place",), "aliases": ("old_slug",)})._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Exchange" not in plan, plan
         back = bucketed.shredded(doc, ("works", "aliases"))
         assert rows(back["profiles"]) == rows(root) and rows(back["works"]) == rows(works.where("profile_id <> 99"))
-        one = bucketed.load(spark, "nest_test", "old3", aliases="aliases")
+        one = bucketed.load(spark, NEST, "old3", aliases="aliases")
         assert one.root["slug"] == "s3" and [r["title"] for r in one.child("works", "place").collect()] == ["t83", "t63", "t43", "t23", "t3"]
-        assert bucketed.load(spark, "nest_test", "s4", aliases="aliases").root["profile_id"] == 4 and bucketed.load(spark, "nest_test", "r5").root["slug"] == "s5" and bucketed.load(spark, "nest_test", "6").root["slug"] == "s6"
+        assert bucketed.load(spark, NEST, "s4", aliases="aliases").root["profile_id"] == 4 and bucketed.load(spark, NEST, "r5").root["slug"] == "s5" and bucketed.load(spark, NEST, "6").root["slug"] == "s6"
         with pytest.raises(LookupError):
-            bucketed.load(spark, "nest_test", "nobody", aliases="aliases")
+            bucketed.load(spark, NEST, "nobody", aliases="aliases")
         read = one.child("works")._jdf.queryExecution().executedPlan().toString()
         assert "EqualTo(profile_id,3)" in read and "Exchange" not in read
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for name in ("profiles", "works", "aliases"):
-            spark.sql(f"DROP TABLE IF EXISTS nest_test_{name}")
+            spark.sql(f"DROP TABLE IF EXISTS {NEST}_{name}")
 
 
 IRI = "https://example.org/context/v1.jsonld"
