@@ -101,7 +101,8 @@ def normalize_title(c) -> Column:
 def work_key(doi, openalex_id, paper_id, lowercase_doi: bool = False) -> Column:
     """Identity of a work: DOI, else OpenAlex tail in lower case, else paper id in lower case."""
     tail = F.lower(F.element_at(F.split(F.trim(col(openalex_id)), "/"), -1))
-    return F.coalesce(F.concat(F.lit("doi:"), normalize_doi(doi, lowercase_doi)), F.concat(F.lit("openalex:"), F.nullif(tail, F.lit(""))), F.concat(F.lit("paperid:"), F.nullif(F.lower(F.trim(col(paper_id))), F.lit(""))))
+    return F.coalesce(F.concat(F.lit("doi:"), normalize_doi(doi, lowercase_doi)), F.concat(F.lit("openalex:"), F.nullif(tail, F.lit(""))),
+        F.concat(F.lit("paperid:"), F.nullif(F.lower(F.trim(col(paper_id))), F.lit(""))))
 
 
 def institution_key(affiliation_id, name) -> Column:

@@ -9,9 +9,13 @@ from ._names import col
 
 # The tiers in order, the default tiers of roles, and the role that governs a chunk's source type.
 TIERS = ("public", "limited", "private")
-ROLE_TIERS = {"paper_fulltext": "private", "cv": "private", "web": "private", "interview": "private", "grant": "private", "embedding_index_sqlite": "private", "trials": "limited", "seed_papers": "private"}
-CHUNK_ROLES = {"soul": "soul", "expertise": "expertise", "paper_summary": "paper_summary", "paper_abstract": "paper_abstract", "cv": "cv", "web": "web", "grant": "grant", "seed_abstract": "seed_papers"}
-SECTIONS = {"summary": ("summary",), "expertise": ("expertise",), "focus": ("subfields", "interests", "not_interests", "research_interests"), "methods": ("methodological_commitments",), "soul": (), "clinical": ("therapeutic_areas",), "site_capabilities": ("site_capabilities",), "regulatory_experience": ("regulatory_experience",), "contact": ("email",), "background": ("training", "career", "job_title", "affiliation")}
+ROLE_TIERS = {"paper_fulltext": "private", "cv": "private", "web": "private", "interview": "private", "grant": "private",
+    "embedding_index_sqlite": "private", "trials": "limited", "seed_papers": "private"}
+CHUNK_ROLES = {"soul": "soul", "expertise": "expertise", "paper_summary": "paper_summary", "paper_abstract": "paper_abstract", "cv": "cv",
+    "web": "web", "grant": "grant", "seed_abstract": "seed_papers"}
+SECTIONS = {"summary": ("summary",), "expertise": ("expertise",), "focus": ("subfields", "interests", "not_interests", "research_interests"),
+    "methods": ("methodological_commitments",), "soul": (), "clinical": ("therapeutic_areas",), "site_capabilities": ("site_capabilities",),
+        "regulatory_experience": ("regulatory_experience",), "contact": ("email",), "background": ("training", "career", "job_title", "affiliation")}
 
 
 def _map(m: dict) -> Column:

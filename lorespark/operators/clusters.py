@@ -127,6 +127,8 @@ def _settle(rows: DataFrame, centers: np.ndarray, rounds: int, key: str) -> Data
                 own = _away(x, used).argmin(1)
                 yield pd.DataFrame({key: pdf[key], "i": pdf["i"], "cluster": own.astype("int32"), "off": ((x - centers[own]) ** 2).sum(1)})
 
-    at = settled(rows.select(key, "i", "x").mapInPandas(ends, ST.StructType([ST.StructField(key, rows.schema[key].dataType), ST.StructField("i", ST.LongType()), ST.StructField("cluster", ST.IntegerType()), ST.StructField("off", ST.DoubleType())])))
+    at = settled(rows.select(key, "i", "x").mapInPandas(ends,
+        ST.StructType([ST.StructField(key, rows.schema[key].dataType), ST.StructField("i", ST.LongType()),
+            ST.StructField("cluster", ST.IntegerType()), ST.StructField("off", ST.DoubleType())])))
     best = at.groupBy("cluster").agg(F.min(F.struct("off", "i")).alias("b"))
     return at.join(best, "cluster").select(key, "cluster", (F.col("i") == F.col("b.i")).alias("exemplar"))

@@ -15,7 +15,8 @@ from ..functions import text as T
 from .diffs import diff
 
 # Source types that each level of a profile embeds.
-LEVEL_SOURCES = {"lite": ("paper_abstract", "soul", "seed_abstract"), "full": ("expertise", "soul", "paper_summary", "seed_abstract"), "deep": ("expertise", "soul", "paper_summary", "grant", "cv", "web", "seed_abstract")}
+LEVEL_SOURCES = {"lite": ("paper_abstract", "soul", "seed_abstract"), "full": ("expertise", "soul", "paper_summary", "seed_abstract"),
+    "deep": ("expertise", "soul", "paper_summary", "grant", "cv", "web", "seed_abstract")}
 
 
 def hash_encoder(dim: int = 16) -> Callable[[list[str]], np.ndarray]:
@@ -66,7 +67,8 @@ def enumerate_chunks(sources: DataFrame, level: str, contaminated: DataFrame | N
         own = own.join(contaminated, ["profile", "source_id"], "left_anti")
     body = F.when(F.col("source_type") == "paper_summary", F.regexp_replace("text", r"(?i)\[abstract-only\]\s*", "")).otherwise(F.col("text"))
     each = own.select("profile", "source_type", "source_id", F.explode(T.chunk_source(body, F.col("source_type").isin(*HEADED))).alias("c"))
-    return each.select("profile", "source_type", "source_id", "c.chunk_index", "c.section", "c.text", "c.embed_text", F.sha2(F.col("c.embed_text").cast("binary"), 256).alias("text_hash"), F.length("c.text").alias("char_count"))
+    return each.select("profile", "source_type", "source_id", "c.chunk_index", "c.section", "c.text", "c.embed_text",
+        F.sha2(F.col("c.embed_text").cast("binary"), 256).alias("text_hash"), F.length("c.text").alias("char_count"))
 
 
 CHUNK_KEY = ["profile", "source_type", "source_id", "chunk_index"]
@@ -104,5 +106,7 @@ def flat_export(index: DataFrame, chunk_tiers: DataFrame, viewer: str) -> DataFr
     from .privacy import secure_view
 
     seen = secure_view(chunk_tiers, viewer).select(*CHUNK_KEY)
-    rows = index.join(seen, CHUNK_KEY, "left_semi").groupBy("profile", "backend_spec").agg(F.array_sort(F.collect_list(F.struct("source_type", "source_id", "chunk_index", "vector"))).alias("r"))
-    return rows.select("profile", "backend_spec", encode_vectors(F.transform("r", lambda x: x["vector"])).alias("blob"), F.to_json(F.transform("r", lambda x: F.struct(x["source_type"], x["source_id"], x["chunk_index"]))).alias("chunks"))
+    rows = index.join(seen, CHUNK_KEY, "left_semi").groupBy("profile",
+        "backend_spec").agg(F.array_sort(F.collect_list(F.struct("source_type", "source_id", "chunk_index", "vector"))).alias("r"))
+    return rows.select("profile", "backend_spec", encode_vectors(F.transform("r", lambda x: x["vector"])).alias("blob"),
+        F.to_json(F.transform("r", lambda x: F.struct(x["source_type"], x["source_id"], x["chunk_index"]))).alias("chunks"))

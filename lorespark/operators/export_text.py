@@ -61,7 +61,8 @@ def head(profiles: DataFrame) -> DataFrame:
     no = some(c("not_interests"))
     trailer = F.when(F.size(no) > 0, F.concat(F.lit("Not interested in: "), F.array_join(F.transform(no, lambda x: F.trim(x)), ", ")))
     year = lambda y: F.coalesce(y.cast("string"), F.lit(""))
-    span = lambda e: F.when(e["start_year"].isNotNull() | e["end_year"].isNotNull(), F.concat(F.lit(" ("), year(e["start_year"]), F.lit("-"), F.coalesce(e["end_year"].cast("string"), F.lit("present")), F.lit(")"))).otherwise("")
+    span = lambda e: F.when(e["start_year"].isNotNull() | e["end_year"].isNotNull(),
+        F.concat(F.lit(" ("), year(e["start_year"]), F.lit("-"), F.coalesce(e["end_year"].cast("string"), F.lit("present")), F.lit(")"))).otherwise("")
     career = F.transform("career", lambda e: F.concat(e["role"], F.lit(", "), e["institution"], span(e)))
     studied = lambda e: F.coalesce(F.concat(F.lit(", "), _filled(e["field"])), F.lit(""))
     ended = lambda e: F.when(e["year_end"].isNotNull(), F.concat(F.lit(" ("), e["year_end"].cast("string"), F.lit(")"))).otherwise("")
@@ -106,7 +107,8 @@ def render(profiles: DataFrame, papers: DataFrame, budget: int | None = CHAR_BUD
     fit = sized.withColumn("total", total)
     fit = fit if budget is None else fit.where(F.col("total") <= budget)
     body = fit.groupBy("profile").agg(F.array_sort(F.collect_list(F.struct("place", "block"))).alias("b"))
-    text = F.concat(F.concat_ws("\n\n", F.nullif(F.col("head"), F.lit("")), F.when(F.size("b") > 0, F.concat(selected, F.lit("\n\n"), F.array_join(F.transform("b", lambda x: x["block"]), "\n\n")))), F.lit(LINE))
+    text = F.concat(F.concat_ws("\n\n", F.nullif(F.col("head"), F.lit("")),
+        F.when(F.size("b") > 0, F.concat(selected, F.lit("\n\n"), F.array_join(F.transform("b", lambda x: x["block"]), "\n\n")))), F.lit(LINE))
     return heads.join(body, "profile", "left").select("profile", text.alias("text"), F.coalesce(F.size("b"), F.lit(0)).alias("papers"))
 
 
@@ -125,5 +127,6 @@ def foaf(profiles: DataFrame, nodes: DataFrame) -> DataFrame:
     topics = nodes.groupBy("profile").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "node"))), lambda x: x["node"]).alias("t"))
     quoted = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(c).alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1), F.lit("null"))
     text = lambda c: F.when(F.col(c).isNull(), "null").otherwise(quoted(c))
-    node = F.concat(F.lit("{" + context + ',"@id":'), text("iri"), F.lit(',"@type":"foaf:Person","foaf:name":'), text("name"), F.lit(',"foaf:topic_interest":['), F.array_join(F.coalesce("t", F.array().cast("array<string>")), ","), F.lit("]}"))
+    node = F.concat(F.lit("{" + context + ',"@id":'), text("iri"), F.lit(',"@type":"foaf:Person","foaf:name":'), text("name"),
+        F.lit(',"foaf:topic_interest":['), F.array_join(F.coalesce("t", F.array().cast("array<string>")), ","), F.lit("]}"))
     return profiles.join(topics, "profile", "left").select("profile", node.alias("node"))

@@ -92,7 +92,8 @@ def profile_vectors(chunks: DataFrame, texts: DataFrame, make: Callable) -> Data
 def reports(profiles: DataFrame, violations: DataFrame) -> DataFrame:
     """``profile, ok, violations`` of every profile: ``violations(profile, pointer, keyword)`` as ``profiles.violations`` gives them."""
     bad = violations.groupBy("profile").agg(F.count(F.lit(1)).alias("violations"))
-    return profiles.select("profile").distinct().join(bad, "profile", "left").select("profile", F.col("violations").isNull().alias("ok"), F.coalesce("violations", F.lit(0)).alias("violations"))
+    return profiles.select("profile").distinct().join(bad, "profile", "left").select("profile", F.col("violations").isNull().alias("ok"),
+        F.coalesce("violations", F.lit(0)).alias("violations"))
 
 
 def report_lines(profiles: DataFrame, violations: DataFrame, as_json: bool = False) -> DataFrame:
@@ -125,7 +126,8 @@ def paper_groups(papers: DataFrame) -> DataFrame:
     ``paper_group_rows``, so a work that very many list is never gathered. A year of 0 is no year.
     """
     rows = paper_group_rows(papers)
-    return rows.groupBy("work_key").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("evidence").alias("evidence"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+    return rows.groupBy("work_key").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("evidence").alias("evidence"),
+        F.min("year").alias("first_year"), F.max("year").alias("last_year"))
 
 
 def paper_group_rows(papers: DataFrame) -> DataFrame:

@@ -26,7 +26,8 @@ def dealt_by_bytes(chunks: DataFrame, text: str = "embed_text", task_bytes: int
     """
     task_bytes = task_bytes or TASK_BYTES
     order = F.xxhash64(*CHUNK_KEY)
-    own = settled(chunks.withColumn("__b", F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).withColumn("__o", order).repartitionByRange("__o", *CHUNK_KEY).withColumn("__part", F.spark_partition_id()))
+    own = settled(chunks.withColumn("__b", F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).withColumn("__o", order).repartitionByRange("__o",
+        *CHUNK_KEY).withColumn("__part", F.spark_partition_id()))
     sizes = own.groupBy("__part").agg(F.sum("__b").alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row a range
     total = sizes.agg(F.sum("__n")).first()[0] or 0
@@ -81,7 +82,8 @@ def rebuild(chunks: DataFrame, index: DataFrame, make: Callable, backend_spec: s
     kept = have.join(state.where("status = 'kept'").select(*CHUNK_KEY), CHUNK_KEY, "left_semi").join(bad, "profile", "left_anti")
     columns = index.columns
     after = fresh.select(*columns).unionByName(kept.select(*columns)).unionByName(index.join(bad, "profile", "left_semi").select(*columns))
-    n = state.groupBy("profile").agg(F.count_if(F.col("status").isin("added", "changed")).alias("embedded"), F.count_if(F.col("status") == "kept").alias("kept"), F.count_if(F.col("status") == "removed").alias("removed"))
+    n = state.groupBy("profile").agg(F.count_if(F.col("status").isin("added", "changed")).alias("embedded"),
+        F.count_if(F.col("status") == "kept").alias("kept"), F.count_if(F.col("status") == "removed").alias("removed"))
     status = F.when(F.col("error").isNotNull(), "failed").when((F.col("embedded") > 0) | (F.col("removed") > 0), "rebuilt").otherwise("current")
     none = lambda c: F.when(F.col("error").isNull(), F.col(c)).otherwise(F.lit(0).cast("long")).alias(c)
     return after, n.join(errors, "profile", "left").select("profile", status.alias("status"), none("embedded"), none("kept"), none("removed"), "error")

@@ -39,7 +39,8 @@ def tiled_pairs(rows: DataFrame, key: str, member: str, side: int | None = None)
 def _merged(pairs: DataFrame) -> DataFrame:
     """Edges of ``pairs(src, dst, year, oa, ob, pa, pb)``, one row a pair and work."""
     conf = F.when(F.col("oa") & F.col("ob"), 2).when(F.col("pa") & F.col("pb"), 1).otherwise(0)
-    return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("paper_count"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.max(conf).alias("confidence"))
+    return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("paper_count"), F.min("year").alias("first_year"),
+        F.max("year").alias("last_year"), F.max(conf).alias("confidence"))
 
 
 def coauthor_edges(parts: DataFrame, evidence: int = 0) -> DataFrame:
@@ -50,7 +51,8 @@ def coauthor_edges(parts: DataFrame, evidence: int = 0) -> DataFrame:
     a pair with more only those are kept from the first task on, and ``paper_count`` still counts all.
     """
     pairs = tiled_pairs(parts, "work", "person").where(F.col("a.profiled") | F.col("b.profiled"))
-    pairs = pairs.select("work", F.col("a.person").alias("src"), F.col("b.person").alias("dst"), F.col("a.year").alias("year"), F.col("a.owns").alias("oa"), F.col("b.owns").alias("ob"), F.col("a.profiled").alias("pa"), F.col("b.profiled").alias("pb"))
+    pairs = pairs.select("work", F.col("a.person").alias("src"), F.col("b.person").alias("dst"), F.col("a.year").alias("year"),
+        F.col("a.owns").alias("oa"), F.col("b.owns").alias("ob"), F.col("a.profiled").alias("pa"), F.col("b.profiled").alias("pb"))
     edges = _merged(pairs)
     if not evidence:
         return edges
@@ -63,7 +65,8 @@ def coauthors_of(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     asked = pairs.select("src", "dst").distinct()
     who = asked.select(F.col("src").alias("person")).union(asked.select("dst")).distinct()
     made = tiled_pairs(parts.join(who, "person", "left_semi"), "work", "person").where(F.col("a.profiled") | F.col("b.profiled"))
-    made = made.select(F.col("a.person").alias("src"), F.col("b.person").alias("dst"), F.col("a.year").alias("year"), F.col("a.owns").alias("oa"), F.col("b.owns").alias("ob"), F.col("a.profiled").alias("pa"), F.col("b.profiled").alias("pb"))
+    made = made.select(F.col("a.person").alias("src"), F.col("b.person").alias("dst"), F.col("a.year").alias("year"), F.col("a.owns").alias("oa"),
+        F.col("b.owns").alias("ob"), F.col("a.profiled").alias("pa"), F.col("b.profiled").alias("pb"))
     return _merged(made.join(asked, ["src", "dst"], "left_semi"))
 
 
@@ -77,16 +80,19 @@ def spans_overlap(lo_a, hi_a, lo_b, hi_b):
 def institution_edges(stays: DataFrame) -> DataFrame:
     """``stays(person, inst, lo, hi, ordinal)``: profiled pairs that share an institution, tiled; the last one by ordinal names the edge."""
     pairs = tiled_pairs(stays.select("person", "inst", "lo", "hi", "ordinal"), "inst", "person")
-    each = pairs.select(F.col("a.person").alias("src"), F.col("b.person").alias("dst"), "inst", F.greatest("a.ordinal", "b.ordinal").alias("o"), spans_overlap(F.col("a.lo"), F.col("a.hi"), F.col("b.lo"), F.col("b.hi")).alias("ov"))
+    each = pairs.select(F.col("a.person").alias("src"), F.col("b.person").alias("dst"), "inst", F.greatest("a.ordinal", "b.ordinal").alias("o"),
+        spans_overlap(F.col("a.lo"), F.col("a.hi"), F.col("b.lo"), F.col("b.hi")).alias("ov"))
     by_inst = each.groupBy("src", "dst", "inst").agg(F.max("o").alias("o"), F.bool_or("ov").alias("ov"))
-    return by_inst.groupBy("src", "dst").agg(F.max_by(F.struct("inst", "ov"), F.struct("o", "inst")).alias("x")).select("src", "dst", F.col("x.inst").alias("institution"), F.col("x.ov").alias("overlap"), F.when(F.startswith("x.inst", F.lit("ror:")), "high").otherwise("medium").alias("confidence"))
+    return by_inst.groupBy("src", "dst").agg(F.max_by(F.struct("inst", "ov"), F.struct("o", "inst")).alias("x")).select("src", "dst",
+        F.col("x.inst").alias("institution"), F.col("x.ov").alias("overlap"), F.when(F.startswith("x.inst", F.lit("ror:")), "high").otherwise("medium").alias("confidence"))
 
 
 def advised_edges(training: DataFrame, index: DataFrame) -> DataFrame:
     """``training(person, ordinal, advisor_key, year_end)``: advisor to student; unknown advisors are external."""
     own = training.join(index.withColumnRenamed("key", "advisor_key"), "advisor_key", "left")
     src = F.coalesce("rid", F.concat(F.lit("ext:"), F.col("advisor_key")))
-    return own.select(src.alias("src"), F.col("person").alias("dst"), "ordinal", "year_end").where("src <> dst").groupBy("src", "dst").agg(F.min_by("year_end", F.when(F.col("year_end").isNotNull(), F.col("ordinal"))).alias("last_year"))
+    return own.select(src.alias("src"), F.col("person").alias("dst"), "ordinal", "year_end").where("src <> dst").groupBy("src",
+        "dst").agg(F.min_by("year_end", F.when(F.col("year_end").isNotNull(), F.col("ordinal"))).alias("last_year"))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -109,7 +115,9 @@ def neighbors(edges: DataFrame, origin, max_hops: int = 3, types: tuple[str, ...
     frontier = edges.sparkSession.createDataFrame([(origin,)], f"node {dict(edges.dtypes)['src']}")
     visited = frontier
     for hop in range(1, max_hops + 1):
-        step = settled(two.join(frontier.withColumnRenamed("node", "src"), "src").where(F.col("dst") != F.lit(origin)).groupBy("dst").agg(F.max("paper_count").alias("paper_count"), F.max("last_year").alias("last_year")).withColumn("hops", F.lit(hop)))
+        step = settled(two.join(frontier.withColumnRenamed("node", "src"),
+            "src").where(F.col("dst") != F.lit(origin)).groupBy("dst").agg(F.max("paper_count").alias("paper_count"),
+                F.max("last_year").alias("last_year")).withColumn("hops", F.lit(hop)))
         seen = step if seen is None else seen.unionByName(step)
         frontier = step.select(F.col("dst").alias("node")).join(visited, "node", "left_anti")
         visited = visited.union(frontier)
@@ -117,7 +125,8 @@ def neighbors(edges: DataFrame, origin, max_hops: int = 3, types: tuple[str, ...
 
 
 def _asked_pairs(authors: DataFrame, candidates: DataFrame) -> DataFrame:
-    return authors.select("paper", "person").join(candidates, "paper").where("person <> candidate").select("paper", "person", "candidate", F.least("person", "candidate").alias("src"), F.greatest("person", "candidate").alias("dst")).distinct()
+    return authors.select("paper", "person").join(candidates, "paper").where("person <> candidate").select("paper", "person", "candidate",
+        F.least("person", "candidate").alias("src"), F.greatest("person", "candidate").alias("dst")).distinct()
 
 
 def shared_stays(pairs: DataFrame, stays: DataFrame) -> DataFrame:
@@ -127,7 +136,8 @@ def shared_stays(pairs: DataFrame, stays: DataFrame) -> DataFrame:
     return pairs.join(left, "person").join(right, ["candidate", "inst"]).select("paper", "candidate", "person").distinct()
 
 
-def conflicts(authors: DataFrame, candidates: DataFrame, coauthors: DataFrame | None, stays: DataFrame, as_of_year: int, years: int = 4, advisors: DataFrame | None = None, inline: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
+def conflicts(authors: DataFrame, candidates: DataFrame, coauthors: DataFrame | None, stays: DataFrame, as_of_year: int, years: int = 4,
+    advisors: DataFrame | None = None, inline: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
     """Verdict on each (paper, candidate), with its reasons: recent co-authorship (unknown year counts) or any other tie.
 
     ``authors(paper, person)``, ``candidates(paper, candidate)``; authors that are the candidate are skipped.
@@ -151,9 +161,12 @@ def conflicts(authors: DataFrame, candidates: DataFrame, coauthors: DataFrame |
         own = stays.select(F.col("person").alias("candidate"), "inst").distinct()
         written = candidates.join(inline, "paper").join(own, ["candidate", "inst"]).select("paper", "candidate").distinct().join(inst, ["paper", "candidate"], "left_anti")
         ties = ties.unionByName(written.select("paper", "candidate", F.lit("affiliation").alias("type"), F.lit(True).alias("counts")))
-    reasons = ties.groupBy("paper", "candidate").agg(F.bool_or("counts").alias("has_coi"), F.count_if(F.col("type") == "coauthor").alias("coauthors"), F.count_if(F.col("type") == "institution").alias("institutions"), F.array_sort(F.collect_set("type")).alias("reasons"))
+    reasons = ties.groupBy("paper", "candidate").agg(F.bool_or("counts").alias("has_coi"), F.count_if(F.col("type") == "coauthor").alias("coauthors"),
+        F.count_if(F.col("type") == "institution").alias("institutions"), F.array_sort(F.collect_set("type")).alias("reasons"))
     none = F.lit(0).cast("long")
-    return candidates.join(reasons, ["paper", "candidate"], "left").select("paper", "candidate", F.coalesce("has_coi", F.lit(False)).alias("has_coi"), F.coalesce("coauthors", none).alias("coauthors"), F.coalesce("institutions", none).alias("institutions"), F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))
+    return candidates.join(reasons, ["paper", "candidate"], "left").select("paper", "candidate", F.coalesce("has_coi", F.lit(False)).alias("has_coi"),
+        F.coalesce("coauthors", none).alias("coauthors"), F.coalesce("institutions", none).alias("institutions"),
+            F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))
 
 
 def source_hash(rows: DataFrame, *cols: str) -> DataFrame:

@@ -27,7 +27,8 @@ HEAD = 512
 Likeness = Callable[[list, object], np.ndarray]
 
 
-def choose(df: DataFrame, keys: list[str], k: int, item: str, order: list[str], likeness: Likeness, least: float, keep: float, penalty: float, first_by_score: bool, score: str = "score") -> DataFrame:
+def choose(df: DataFrame, keys: list[str], k: int, item: str, order: list[str], likeness: Likeness, least: float, keep: float, penalty: float,
+    first_by_score: bool, score: str = "score") -> DataFrame:
     """The first ``k`` choices of every list (``keys``): columns of ``df`` and ``pick`` from 1.
 
     A row's value is ``keep * score - penalty * likeness``, of the largest likeness to any chosen row by the column ``item``, or of 0
@@ -38,12 +39,14 @@ def choose(df: DataFrame, keys: list[str], k: int, item: str, order: list[str],
     kinds = {f.name: f.dataType for f in df.schema.fields}
     narrow = [*dict.fromkeys([*keys, *order, score, item])]
     state_schema = ST.StructType([*[ST.StructField(c, kinds[c]) for c in narrow], ST.StructField("__near", ST.DoubleType())])
-    made_schema = ST.StructType([*[ST.StructField(c, kinds[c]) for c in dict.fromkeys([*keys, *order])], ST.StructField("__item", kinds[item]), ST.StructField("pick", ST.IntegerType()), ST.StructField("__more", ST.BooleanType())])
+    made_schema = ST.StructType([*[ST.StructField(c, kinds[c]) for c in dict.fromkeys([*keys, *order])], ST.StructField("__item", kinds[item]),
+        ST.StructField("pick", ST.IntegerType()), ST.StructField("__more", ST.BooleanType())])
 
     def pick(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__r").reset_index(drop=True)
         names, done = list(pdf[order].itertuples(index=False, name=None)), int(pdf["__done"].iloc[0])
-        out, outside = _pick(pdf[score].to_numpy(float), pdf["__near"].to_numpy(float), list(pdf["__item"]), names, done, k, bool(pdf["__open"].iloc[0]), likeness, keep, penalty, first_by_score, HEAD)
+        out, outside = _pick(pdf[score].to_numpy(float), pdf["__near"].to_numpy(float), list(pdf["__item"]), names, done, k,
+            bool(pdf["__open"].iloc[0]), likeness, keep, penalty, first_by_score, HEAD)
         made = pdf.iloc[out][[*dict.fromkeys([*keys, *order]), "__item"]].copy()
         made["pick"] = np.arange(done + 1, done + 1 + len(out), dtype="int32")
         return made.assign(__more=outside and done + len(out) < k)
@@ -83,7 +86,8 @@ def choose(df: DataFrame, keys: list[str], k: int, item: str, order: list[str],
     return rows.join(chosen.drop("__item", "__more"), [*dict.fromkeys([*keys, *order])]).select(*df.columns, "pick")
 
 
-def _pick(s: np.ndarray, near: np.ndarray, items: list, names: list[tuple], done: int, k: int, open_: bool, likeness: Likeness, keep: float, penalty: float, first_by_score: bool, head: int) -> tuple[list[int], bool]:
+def _pick(s: np.ndarray, near: np.ndarray, items: list, names: list[tuple], done: int, k: int, open_: bool, likeness: Likeness, keep: float,
+    penalty: float, first_by_score: bool, head: int) -> tuple[list[int], bool]:
     """Choices among the first ``head`` rows, as places, and whether there is a row outside; ``open_``: one outside may yet turn out to be unlike."""
     near, n = near.copy(), min(head, len(s))
     place = lambda i, by_score=False: (-(s[i] if by_score else keep * s[i] - penalty * np.nan_to_num(near[i])), -s[i], *names[i])
@@ -100,7 +104,8 @@ def _pick(s: np.ndarray, near: np.ndarray, items: list, names: list[tuple], done
     return out, outside is not None
 
 
-def choose_short(df: DataFrame, keys: list[str], k: int, item: str, order: list[str], likeness: Likeness, keep: float, penalty: float, first_by_score: bool, score: str = "score") -> DataFrame:
+def choose_short(df: DataFrame, keys: list[str], k: int, item: str, order: list[str], likeness: Likeness, keep: float, penalty: float,
+    first_by_score: bool, score: str = "score") -> DataFrame:
     """``choose`` for lists that the caller has cut to HEAD rows or fewer: one pass; a longer list is an error."""
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:

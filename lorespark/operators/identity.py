@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import ids as I
 
 # Folded tokens that are placeholders, not names.
-PLACEHOLDERS = ("al", "anon", "anonymous", "author", "authors", "corresponding", "dr", "et", "etal", "na", "none", "null", "staff", "tbd", "test", "the", "unknown", "unnamed", "various")
+PLACEHOLDERS = ("al", "anon", "anonymous", "author", "authors", "corresponding", "dr", "et", "etal", "na", "none", "null", "staff", "tbd", "test",
+    "the", "unknown", "unnamed", "various")
 
 
 def strength(a, b) -> Column:
     """strong: full given names agree, or neither has one; weak: one side has none, or an initial that fits; null: they differ."""
     full = (F.length(a) > 1) & (F.length(b) > 1)
-    return F.when((a == "") & (b == ""), "strong").when((a == "") | (b == ""), "weak").when(full & (a == b), "strong").when(~full & (F.substring(a, 1, 1) == F.substring(b, 1, 1)), "weak")
+    return F.when((a == "") & (b == ""), "strong").when((a == "") | (b == ""), "weak").when(full & (a == b),
+        "strong").when(~full & (F.substring(a, 1, 1) == F.substring(b, 1, 1)), "weak")
 
 
 def successors(aliases: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -45,10 +47,12 @@ def resolve(asked: DataFrame, profiles: DataFrame, aliases: DataFrame | None = N
     first, so that a common key costs its distinct forms, not its rows.
     """
     mine = asked if "create_new" in asked.columns else asked.withColumn("create_new", F.lit(False))
-    mine = mine.select("q", _blank("rid").alias("rid"), _blank("name").alias("name"), F.coalesce(I.folded("affiliation"), F.lit("")).alias("a"), F.coalesce("create_new", F.lit(False)).alias("fresh"))
+    mine = mine.select("q", _blank("rid").alias("rid"), _blank("name").alias("name"), F.coalesce(I.folded("affiliation"), F.lit("")).alias("a"),
+        F.coalesce("create_new", F.lit(False)).alias("fresh"))
     mine = mine.withColumn("who", I.name_identity("name")).select("q", "rid", "name", "a", "fresh", "who.*")
     mine = mine.withColumn("mint_rid", I.minted_rid("mint_key")).withColumn("junk", F.coalesce(F.forall("tokens", lambda t: t.isin(*PLACEHOLDERS)), F.lit(False)))
-    known = profiles.where("rid IS NOT NULL").select("rid", F.coalesce("tier", F.lit("public")).alias("tier"), F.coalesce(I.folded("affiliation"), F.lit("")).alias("ca"), I.name_identity("name").alias("who"))
+    known = profiles.where("rid IS NOT NULL").select("rid", F.coalesce("tier", F.lit("public")).alias("tier"),
+        F.coalesce(I.folded("affiliation"), F.lit("")).alias("ca"), I.name_identity("name").alias("who"))
     known = known.select("rid", "tier", "ca", F.col("who.key").alias("key"), F.col("who.given").alias("cg"), F.col("who.mint_key").alias("c_mint"))
     every = successors(aliases, profiles) if aliases is not None else profiles.where("rid IS NOT NULL").select("rid", F.col("rid").alias("live")).distinct()
 
@@ -66,19 +70,24 @@ def resolve(asked: DataFrame, profiles: DataFrame, aliases: DataFrame | None = N
     )
     n = F.coalesce("candidates", F.lit(0).cast("long"))
     named = ~rid & ~F.col("fresh")
-    outcome = F.when(reason.isNotNull(), "refuse").when(F.col("exact").isNotNull(), "exact").when(named & F.col("bound").isNotNull(), "bind").when(named & (n > 0), "defer").otherwise("mint")
+    outcome = F.when(reason.isNotNull(), "refuse").when(F.col("exact").isNotNull(), "exact").when(named & F.col("bound").isNotNull(),
+        "bind").when(named & (n > 0), "defer").otherwise("mint")
     person = F.col("seen") & (F.col("h_mint") == F.col("mint_key")) & ((F.col("a") == "") | (F.col("h_a") == "") | (F.col("a") == F.col("h_a")))
     taken = F.col("seen").isNotNull()
     anew = I.minted_rid("mint_key")
-    anew = F.concat(F.regexp_replace(anew, "[0-9a-f]{6}$", ""), F.substring(F.sha2(F.concat_ws("\x1f", "mint_key", F.col("q").cast("string"), F.lit(salt)).cast("binary"), 256), 1, 6))
+    anew = F.concat(F.regexp_replace(anew, "[0-9a-f]{6}$", ""),
+        F.substring(F.sha2(F.concat_ws("\x1f", "mint_key", F.col("q").cast("string"), F.lit(salt)).cast("binary"), 256), 1, 6))
     minted = F.when(rid, F.col("rid")).when(F.col("fresh"), anew).when(taken & ~F.coalesce(person, F.lit(False)), anew).otherwise(F.col("mint_rid"))
     out = own.withColumn("outcome", outcome).withColumn("reason", reason)
     resolved = F.when(F.col("outcome") == "exact", F.col("exact")).when(F.col("outcome") == "bind", F.col("bound")).when(F.col("outcome") == "mint", minted)
-    confidence = F.when((F.col("outcome") == "exact") | ((F.col("outcome") == "mint") & rid), "exact").when(F.col("outcome").isin("bind", "mint"), "high").when(F.col("outcome") == "defer", "low")
+    confidence = F.when((F.col("outcome") == "exact") | ((F.col("outcome") == "mint") & rid), "exact").when(F.col("outcome").isin("bind", "mint"),
+        "high").when(F.col("outcome") == "defer", "low")
     had = taken & F.coalesce(person, F.lit(False)) & ~rid & ~F.col("fresh")
-    out = out.select("q", "outcome", resolved.alias("resolved"), confidence.alias("confidence"), n.alias("candidates"), ((F.col("outcome") == "mint") & ~had).alias("new"), "reason")
+    out = out.select("q", "outcome", resolved.alias("resolved"), confidence.alias("confidence"), n.alias("candidates"),
+        ((F.col("outcome") == "mint") & ~had).alias("new"), "reason")
     first = out.where("new").groupBy("resolved").agg(F.min("q").alias("first"))
-    return out.join(first, "resolved", "left").select("q", "outcome", "resolved", "confidence", "candidates", F.coalesce(F.col("new") & (F.col("q") == F.col("first")), F.lit(False)).alias("created"), "reason")
+    return out.join(first, "resolved", "left").select("q", "outcome", "resolved", "confidence", "candidates",
+        F.coalesce(F.col("new") & (F.col("q") == F.col("first")), F.lit(False)).alias("created"), "reason")
 
 
 def _bound(asked: DataFrame, known: DataFrame) -> DataFrame:
@@ -95,10 +104,12 @@ def _bound(asked: DataFrame, known: DataFrame) -> DataFrame:
     agree, conflict, strong, n = both & (F.col("a") == F.col("ca")), both & (F.col("a") != F.col("ca")), F.col("s") == "strong", F.col("n")
     count = lambda c, what=n: F.sum(F.when(c, what).otherwise(F.lit(0)))
     told = pairs.groupBy("key", "given", "a").agg(
-        F.sum("n").alias("candidates"), count(strong).alias("n_strong"), count(strong & conflict).alias("n_conflict"), count(strong & agree).alias("n_agree"), count(~strong & agree).alias("w_agree"),
+        F.sum("n").alias("candidates"), count(strong).alias("n_strong"), count(strong & conflict).alias("n_conflict"),
+            count(strong & agree).alias("n_agree"), count(~strong & agree).alias("w_agree"),
         F.sum("better").alias("better"), F.min(F.when(strong, F.col("one"))).alias("one_strong"), F.min(F.when(strong & agree, F.col("one"))).alias("one_agree"), F.min("one").alias("any"))
     # the holder of the rid that the name gives, if its own name gives it too
-    self = known.select(F.col("rid").alias("mint_rid"), F.col("c_mint").alias("mint_key"), F.col("key").alias("self_key"), "ca").groupBy("mint_rid", "mint_key", "self_key").agg(F.count(F.lit(1)).alias("own"), F.min("ca").alias("own_a"))
+    self = known.select(F.col("rid").alias("mint_rid"), F.col("c_mint").alias("mint_key"), F.col("key").alias("self_key"), "ca").groupBy("mint_rid",
+        "mint_key", "self_key").agg(F.count(F.lit(1)).alias("own"), F.min("ca").alias("own_a"))
     out = asked.join(told, ["key", "given", "a"]).join(self, ["mint_rid", "mint_key"], "left")
     own_fits = (F.col("own") == 1) & (F.col("self_key") == F.col("key")) & (F.col("better") == 0) & ((F.col("a") == "") | (F.col("own_a") == "") | (F.col("a") == F.col("own_a")))
     bound = (
@@ -113,4 +124,5 @@ def _bound(asked: DataFrame, known: DataFrame) -> DataFrame:
 def stubs(resolved: DataFrame, asked: DataFrame) -> DataFrame:
     """Profiles to create for what ``resolve`` minted: ``rid, name, affiliation, provenance, level, visibility``, one a rid."""
     new = resolved.where("created").select("q", F.col("resolved").alias("rid"))
-    return new.join(asked.select("q", F.trim("name").alias("name"), _blank("affiliation").alias("affiliation")), "q").select("rid", "name", "affiliation", F.lit("third_party").alias("provenance"), F.lit("lite").alias("level"), F.lit("limited").alias("visibility"))
+    return new.join(asked.select("q", F.trim("name").alias("name"), _blank("affiliation").alias("affiliation")), "q").select("rid", "name",
+        "affiliation", F.lit("third_party").alias("provenance"), F.lit("lite").alias("level"), F.lit("limited").alias("visibility"))

@@ -95,7 +95,8 @@ def from_text(texts: DataFrame) -> DataFrame:
     """``texts(profile, ordinal, label, positive)``: text entries of weight 0.5 or -0.5, first of each folded label."""
     key = F.lower(F.trim("label"))
     first = F.row_number().over(Window.partitionBy("profile", key).orderBy(F.desc("positive"), "ordinal"))
-    return texts.where(key != "").withColumn("r", first).where("r = 1").select("profile", "ordinal", F.trim("label").alias("label"), F.when(F.col("positive"), 0.5).otherwise(-0.5).alias("weight"))
+    return texts.where(key != "").withColumn("r", first).where("r = 1").select("profile", "ordinal", F.trim("label").alias("label"),
+        F.when(F.col("positive"), 0.5).otherwise(-0.5).alias("weight"))
 
 
 def replace_generated(existing: DataFrame, generated: DataFrame, prefix: str) -> DataFrame:

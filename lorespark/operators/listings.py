@@ -21,7 +21,8 @@ def filter_profiles(profiles: DataFrame, text: dict[str, str] | None = None, amo
     return profiles
 
 
-def filter_papers(papers: DataFrame, since: int | None = None, until: int | None = None, has_text: bool | None = None, contaminated: bool | None = False, ids: list | None = None) -> tuple[DataFrame, DataFrame]:
+def filter_papers(papers: DataFrame, since: int | None = None, until: int | None = None, has_text: bool | None = None,
+    contaminated: bool | None = False, ids: list | None = None) -> tuple[DataFrame, DataFrame]:
     """Papers that fit, and ``missing(paper)``: asked ids that no paper has. An unknown year fits no bound; ``None`` asks for nothing."""
     out = papers
     for bound, c in ((since, F.col("year") >= F.lit(since)), (until, F.col("year") <= F.lit(until))):

@@ -37,7 +37,8 @@ def background_scores(chunks: DataFrame, background: DataFrame, k: int = CALIBRA
     scored = own.select("profile", "chunk_id", F.inline(F.transform(queries, lambda b: F.struct(b["query"].alias("query"), V.cosine("v", b["q"]).alias("cos")))))
     best = scored.withColumn("r", F.row_number().over(Window.partitionBy("profile", "query").orderBy(F.desc("cos"), "chunk_id"))).where(F.col("r") <= k)
     mean = best.groupBy("profile", "query").agg(F.avg(V.hit_score("cos")).alias("c"))
-    sims = (centroids(chunks) if cents is None else cents).select("profile", F.inline(F.transform(queries, lambda b: F.struct(b["query"].alias("query"), V.dot("vec", b["q"]).alias("sim")))))
+    sims = (centroids(chunks) if cents is None else cents).select("profile",
+        F.inline(F.transform(queries, lambda b: F.struct(b["query"].alias("query"), V.dot("vec", b["q"]).alias("sim")))))
     return sims.join(mean, ["profile", "query"], "left").select("profile", "query", (0.5 * F.col("sim") + 0.5 * F.coalesce("c", F.lit(0.0))).alias("raw"))
 
 
@@ -101,14 +102,17 @@ def evidence(chunks: DataFrame, query: Column, k: int = TOPK_CHUNKS, viewers: Da
     own = chunks.where(F.col("source_type") != SEED_TYPE)
     if viewers is not None:
         own = own.join(viewers, "profile", "left").where(T.allows(F.coalesce("viewer", F.lit("public")), F.coalesce("tier", F.lit("private"))))
-    scored = own.withColumn("c", V.cosine("v", query)).withColumn("rank", F.row_number().over(Window.partitionBy("profile").orderBy(F.desc("c"), "chunk_id"))).where(F.col("rank") <= k)
+    scored = own.withColumn("c", V.cosine("v", query)).withColumn("rank",
+        F.row_number().over(Window.partitionBy("profile").orderBy(F.desc("c"), "chunk_id"))).where(F.col("rank") <= k)
     hit = F.struct("rank", "chunk_id", "source_type", "source_id", F.round("c", 4).alias("cosine"), V.hit_score("c").alias("score"))
     each = scored.groupBy("profile").agg(F.avg(V.hit_score("c")).alias("chunk_score"), F.array_sort(F.collect_list(hit)).alias("top_chunks"))
     papers = F.transform(F.filter("top_chunks", lambda h: h["source_type"].isin(*PAPER_TYPES)), lambda h: h["source_id"])
     return each.withColumn("top_papers", F.array_distinct(papers))
 
 
-def match_in_full(cents: DataFrame, chunks: DataFrame, query: Column, k: int = 5, prefilter: int = 10, calibration: DataFrame | None = None, allowed: DataFrame | None = None, viewers: DataFrame | None = None, labels: DataFrame | None = None, topics: DataFrame | None = None, topic_alpha: float = 0.2, diversify: bool = True, lambda_: float = 0.5, topk_chunks: int = TOPK_CHUNKS) -> DataFrame:
+def match_in_full(cents: DataFrame, chunks: DataFrame, query: Column, k: int = 5, prefilter: int = 10, calibration: DataFrame | None = None,
+    allowed: DataFrame | None = None, viewers: DataFrame | None = None, labels: DataFrame | None = None, topics: DataFrame | None = None,
+        topic_alpha: float = 0.2, diversify: bool = True, lambda_: float = 0.5, topk_chunks: int = TOPK_CHUNKS) -> DataFrame:
     """Profiles ranked for a query, with the evidence behind each score.
 
     ``profile, score, centroid_score, chunk_score, top_chunks, top_papers, overlapping_topics, matched_topics, pick``. The
@@ -123,7 +127,8 @@ def match_in_full(cents: DataFrame, chunks: DataFrame, query: Column, k: int = 5
     found = kept.join(evidence(chunks.join(few, "profile", "left_semi"), query, topk_chunks, viewers), "profile", "left")
     found = found.withColumn("chunk_score", F.coalesce("chunk_score", F.lit(0.0))).withColumn("score", 0.5 * F.col("centroid_score") + 0.5 * F.col("chunk_score"))
     if calibration is not None:
-        found = found.join(calibration.select("profile", "mean", "std"), "profile", "left").withColumn("score", F.coalesce(V.calibrated("score", "mean", "std"), F.col("score"))).drop("mean", "std")
+        found = found.join(calibration.select("profile", "mean", "std"), "profile", "left").withColumn("score",
+            F.coalesce(V.calibrated("score", "mean", "std"), F.col("score"))).drop("mean", "std")
     none = F.array().cast("array<string>")
     if topics is not None:
         told = topics.select("profile", F.lit(True).alias("shares"), "topic_score", "matched_topics")

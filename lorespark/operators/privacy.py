@@ -10,7 +10,8 @@ from ..session import settled
 
 # Prefixes of files that are always private, and the access-right terms of the tiers.
 PRIVATE_PREFIXES = (".cache/", ".keys/")
-ACCESS_RIGHTS = {tier: f"http://publications.europa.eu/resource/authority/access-right/{term}" for tier, term in (("public", "PUBLIC"), ("limited", "RESTRICTED"), ("private", "NON_PUBLIC"))}
+ACCESS_RIGHTS = {tier: f"http://publications.europa.eu/resource/authority/access-right/{term}" for tier,
+    term in (("public", "PUBLIC"), ("limited", "RESTRICTED"), ("private", "NON_PUBLIC"))}
 
 
 def derivations(artifacts: DataFrame) -> DataFrame:

@@ -13,12 +13,16 @@ from .greedy import choose, overlap_likeness
 
 def trial_stats(trials: DataFrame) -> DataFrame:
     """By profile: totals; enrollment is null if any trial's is."""
-    return trials.groupBy("profile").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("role") == "pi").alias("as_pi"), F.count_if(F.col("sponsor") == "industry").alias("industry"), F.count_if(F.col("status") == "completed").alias("completed"), F.when(F.count(F.lit(1)) == F.count("enrollment"), F.sum("enrollment")).alias("enrollment"))
+    return trials.groupBy("profile").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("role") == "pi").alias("as_pi"),
+        F.count_if(F.col("sponsor") == "industry").alias("industry"), F.count_if(F.col("status") == "completed").alias("completed"),
+            F.when(F.count(F.lit(1)) == F.count("enrollment"), F.sum("enrollment")).alias("enrollment"))
 
 
 def paper_stats(papers: DataFrame) -> DataFrame:
     own = lambda p: F.count_if(F.col("position") == p)
-    return papers.groupBy("profile").agg(F.count(F.lit(1)).alias("total"), own("first").alias("as_first"), own("last").alias("as_last"), own("middle").alias("as_middle"), F.count_if(F.col("position").isNull()).alias("unknown"), F.count_if("corresponding").alias("corresponding"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+    return papers.groupBy("profile").agg(F.count(F.lit(1)).alias("total"), own("first").alias("as_first"), own("last").alias("as_last"),
+        own("middle").alias("as_middle"), F.count_if(F.col("position").isNull()).alias("unknown"), F.count_if("corresponding").alias("corresponding"),
+            F.min("year").alias("first_year"), F.max("year").alias("last_year"))
 
 
 def coverage(papers: DataFrame, updated: DataFrame, as_of: str) -> DataFrame:
@@ -63,13 +67,15 @@ def select_export(papers: DataFrame, n: int = 40, diversity: float = 0.7, common
     often = scored.select("profile", F.explode("tokens").alias("t")).groupBy("profile", "t").agg(F.count(F.lit(1)).alias("df")).join(size, "profile")
     usual = often.where(F.col("df") > common * F.col("n")).groupBy("profile").agg(F.collect_list("t").alias("usual"))  # under 1 / common of a paper's tokens each
     own = scored.join(usual, "profile", "left").withColumn("__own", F.array_except("tokens", F.coalesce("usual", F.array().cast("array<string>"))))
-    chosen = choose(own.select("profile", "paper", "__title", "title", "year", "score", "__own"), ["profile"], n, "__own", ["paper", "__title"], overlap_likeness, 0.0, 1.0, diversity, False)
+    chosen = choose(own.select("profile", "paper", "__title", "title", "year", "score", "__own"), ["profile"], n, "__own", ["paper", "__title"],
+        overlap_likeness, 0.0, 1.0, diversity, False)
     return chosen.select("profile", "paper", "title", "year", "score").orderBy("profile", F.col("year").desc_nulls_last(), "title")
 
 
 def summary_rows(profiles: DataFrame, papers: DataFrame) -> DataFrame:
     """Listing rows: papers, share with full text, contaminated papers, clinical flag."""
-    agg = papers.groupBy("profile").agg(F.count(F.lit(1)).alias("papers"), F.round(100 * F.avg(F.col("has_text").cast("int")), 1).alias("fulltext_pct"), F.count_if("contaminated").alias("contaminated"))
+    agg = papers.groupBy("profile").agg(F.count(F.lit(1)).alias("papers"),
+        F.round(100 * F.avg(F.col("has_text").cast("int")), 1).alias("fulltext_pct"), F.count_if("contaminated").alias("contaminated"))
     none = F.lit(0).cast("long")
     return profiles.join(agg, "profile", "left").withColumns({"papers": F.coalesce("papers", none), "contaminated": F.coalesce("contaminated", none)})
 
@@ -78,7 +84,8 @@ def top_interests(interests: DataFrame, n: int = 8) -> DataFrame:
     """Heaviest ``n`` labels a profile, a null weight as 0, with the number of all."""
     order = F.row_number().over(Window.partitionBy("profile").orderBy(F.desc(F.coalesce("weight", F.lit(0.0))), "ordinal"))
     own = interests.withColumn("r", order)
-    return own.groupBy("profile").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= n, F.struct("r", "label")))), lambda s: s["label"]).alias("labels"), F.count(F.lit(1)).alias("total"))
+    return own.groupBy("profile").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= n, F.struct("r", "label")))),
+        lambda s: s["label"]).alias("labels"), F.count(F.lit(1)).alias("total"))
 
 
 def violations(artifacts: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
@@ -90,7 +97,8 @@ def violations(artifacts: DataFrame, bodies: DataFrame | None = None) -> DataFra
     out = rule(F.col("url").rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), "relative_url").unionByName(rule(F.col("tier").isNotNull() & ~F.col("tier").isin(*TIERS), "enum"))
     out = out.unionByName(unresolved(artifacts).select("profile", F.col("url").alias("pointer"), F.lit("derived_from").alias("keyword")))
     if bodies is not None:
-        out = out.unionByName(artifacts.select("profile", "url").join(bodies, "url", "left_anti").select("profile", F.col("url").alias("pointer"), F.lit("content_url_missing").alias("keyword")))
+        out = out.unionByName(artifacts.select("profile", "url").join(bodies, "url", "left_anti").select("profile", F.col("url").alias("pointer"),
+            F.lit("content_url_missing").alias("keyword")))
         bad = artifacts.select("profile", "url").join(bodies.withColumn("problem", F.explode(artifact_problems("text"))), "url")
         out = out.unionByName(bad.select("profile", F.col("url").alias("pointer"), F.col("problem").alias("keyword")))
     return out
@@ -134,5 +142,6 @@ def vocabulary_search(terms: DataFrame, query: str, limit: int = 20) -> DataFram
     words = F.array(*[F.lit(w) for w in q.replace(",", " ").split()])
     have = F.split(F.regexp_replace(label, ",", " "), r"\s+")
     low = F.transform("synonyms", F.lower)
-    rank = F.when(label == q, 0).when(F.startswith(label, F.lit(q)), 1).when(F.size(F.array_except(words, have)) == 0, 2).when(F.array_contains(low, q), 3).when(F.contains(label, F.lit(q)) | F.exists(low, lambda s: F.contains(s, F.lit(q))), 4)
+    rank = F.when(label == q, 0).when(F.startswith(label, F.lit(q)), 1).when(F.size(F.array_except(words, have)) == 0,
+        2).when(F.array_contains(low, q), 3).when(F.contains(label, F.lit(q)) | F.exists(low, lambda s: F.contains(s, F.lit(q))), 4)
     return terms.withColumn("rank", rank).where("rank is not null").orderBy("rank", "label", "code").limit(limit).select("code", "label", "rank")

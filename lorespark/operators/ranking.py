@@ -33,13 +33,15 @@ def centroids(chunks: DataFrame, key: str = "profile") -> DataFrame:
 def blended_centroids(chunks: DataFrame, key: str = "profile") -> DataFrame:
     """``chunks(profile, source_type, source_id, v)``: unit blend of authored mean and mean of seed means."""
     is_seed = F.col("source_type") == SEED_TYPE
-    counts = chunks.groupBy(key).agg(F.count_distinct(F.when(is_seed, F.col("source_id"))).alias("n_seed"), F.count_distinct(F.when(F.col("source_type").isin(*PAPER_TYPES), F.col("source_id"))).alias("n_auth"))
+    counts = chunks.groupBy(key).agg(F.count_distinct(F.when(is_seed, F.col("source_id"))).alias("n_seed"),
+        F.count_distinct(F.when(F.col("source_type").isin(*PAPER_TYPES), F.col("source_id"))).alias("n_auth"))
     authored = V.mean_vector(chunks.where(~is_seed), [key], "v", "a")
     seeds = V.mean_vector(V.mean_vector(chunks.where(is_seed), [key, "source_id"], "v", "s"), [key], "s", "s")
     w = seed_share(F.col("n_seed"), F.col("n_auth"))
     mixed = V.unit(F.zip_with(V.unit("a"), V.unit("s"), lambda x, y: x * (1 - F.col("w")) + y * F.col("w")))
     vec = F.when(F.col("s").isNull(), V.unit("a")).when(F.col("a").isNull(), V.unit("s")).otherwise(mixed)
-    return counts.withColumn("w", F.when(F.col("n_seed") > 0, w).otherwise(0.0)).join(authored, key, "left").join(seeds, key, "left").select(key, "n_seed", "n_auth", "w", vec.alias("vec"))
+    return counts.withColumn("w", F.when(F.col("n_seed") > 0, w).otherwise(0.0)).join(authored, key, "left").join(seeds, key, "left").select(key,
+        "n_seed", "n_auth", "w", vec.alias("vec"))
 
 
 def top_chunks(chunks: DataFrame, query: Column, k: int = TOPK_CHUNKS, keys: tuple[str, ...] = ("profile",), seeds: bool = False) -> DataFrame:
@@ -64,7 +66,8 @@ def calibration(cents: DataFrame, chunks: DataFrame, background: DataFrame, k: i
     return calibration_of(background_scores(chunks, background, k, cents)).select("profile", "mean", "std")
 
 
-def mmr(df: DataFrame, k: int, lambda_: float = 0.5, score: str = "score", vec: str = "vec", order: str = "profile", by: tuple[str, ...] = (), at_most: int | None = None) -> DataFrame:
+def mmr(df: DataFrame, k: int, lambda_: float = 0.5, score: str = "score", vec: str = "vec", order: str = "profile", by: tuple[str, ...] = (),
+    at_most: int | None = None) -> DataFrame:
     """Greedy diversification of one list, or of one each of ``by``: ``df`` and ``pick``; ``k`` rows or fewer stay in order of score.
 
     The first choice is the best score, each next one the best of ``lambda_ * score - (1 - lambda_) * cosine``, of the largest
@@ -85,7 +88,8 @@ def mmr(df: DataFrame, k: int, lambda_: float = 0.5, score: str = "score", vec:
     return few.select(*df.columns, "pick").unionByName(long.select(*df.columns, "pick"))
 
 
-def match(cents: DataFrame, chunks: DataFrame, query: Column, calib: DataFrame | None = None, interests: DataFrame | None = None, k: int = 5, prefilter: int = 10, diversify: bool = True, lambda_: float = 0.5, topic_alpha: float = 0.2, allowed: DataFrame | None = None) -> DataFrame:
+def match(cents: DataFrame, chunks: DataFrame, query: Column, calib: DataFrame | None = None, interests: DataFrame | None = None, k: int = 5,
+    prefilter: int = 10, diversify: bool = True, lambda_: float = 0.5, topic_alpha: float = 0.2, allowed: DataFrame | None = None) -> DataFrame:
     """Rank profiles: prefilter by centroid, re-rank by visible chunks, calibrate, boost by topics, diversify, cut.
 
     ``allowed(profile)``: visible profiles, applied before any cut. ``interests(profile, topic_score)``: a
@@ -113,7 +117,8 @@ def rank_works(works: DataFrame, vector: Column, k: int = 10, threshold: float |
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
     # diversified among the best ``pool``
-    return mmr(scored.orderBy(F.desc("score"), "work").limit(max(pool, k)), k, vec="v", order="work", at_most=max(pool, k)) if diversify else scored.orderBy(F.desc("score"), "work").limit(k)
+    return mmr(scored.orderBy(F.desc("score"), "work").limit(max(pool, k)), k, vec="v", order="work",
+        at_most=max(pool, k)) if diversify else scored.orderBy(F.desc("score"), "work").limit(k)
 
 
 def agreement(cos) -> Column:
@@ -164,7 +169,8 @@ def topic_clusters(chunks: DataFrame, n: int = 8, rounds: int = 50) -> tuple[Dat
         centers = settled(V.mean_vector(own.join(now, ["profile", "chunk_id"]), ["profile", "cluster"], "v", "center"))
     at = own.join(now, ["profile", "chunk_id"]).join(centers.withColumn("center", V.unit("center")), ["profile", "cluster"])
     best = F.max_by("text", F.struct(V.dot("v", "center"), -F.col("chunk_id")))
-    topics = at.groupBy("profile", "cluster").agg(best.alias("text"), F.count(F.lit(1)).alias("n"), F.count_distinct(F.when(F.col("source_type") == "paper_summary", F.col("source_id"))).alias("papers"))
+    topics = at.groupBy("profile", "cluster").agg(best.alias("text"), F.count(F.lit(1)).alias("n"),
+        F.count_distinct(F.when(F.col("source_type") == "paper_summary", F.col("source_id"))).alias("papers"))
     total = own.groupBy("profile").agg(F.count(F.lit(1)).alias("all"))
     rows = topics.join(total, "profile").select("profile", "cluster", _label(F.col("text")).alias("label"), F.round(F.col("n") / F.col("all"), 4).alias("weight"), "papers")
     return rows, now

@@ -65,7 +65,8 @@ def probe_agreement(probes: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     first = probes.where("text is not null and text <> '' and size(vector) > 0").agg(F.min_by("vector", "ordinal").alias("ref"))
     near = F.forall(F.zip_with("ref", "vector", lambda a, b: F.abs(a - b) <= tolerance + 1e-5 * F.abs(b)), lambda ok: F.coalesce(ok, F.lit(False)))
     # one row
-    return probes.join(F.broadcast(first)).select("profile", F.when(F.coalesce(F.size(F.col("vector")) > 0, F.lit(False)), (F.size("ref") == F.size("vector")) & near).alias("agrees"))
+    return probes.join(F.broadcast(first)).select("profile",
+        F.when(F.coalesce(F.size(F.col("vector")) > 0, F.lit(False)), (F.size("ref") == F.size("vector")) & near).alias("agrees"))
 
 
 def merged_topics(topics: DataFrame) -> DataFrame:
@@ -82,7 +83,8 @@ def with_ordinals(new: DataFrame, existing: DataFrame, key: str, order: list[str
 
 def sections_at(sections: DataFrame, asked: DataFrame) -> DataFrame:
     """``asked(doc, at)`` with the ``section`` that starts last at or before it, of ``sections(doc, name, offset)``: one sort a document."""
-    both = sections.select("doc", F.col("offset").alias("at"), "name", F.lit(0).alias("asked")).unionByName(asked.select("doc", "at", F.lit(None).cast("string").alias("name"), F.lit(1).alias("asked")))
+    both = sections.select("doc", F.col("offset").alias("at"), "name",
+        F.lit(0).alias("asked")).unionByName(asked.select("doc", "at", F.lit(None).cast("string").alias("name"), F.lit(1).alias("asked")))
     last = F.last("name", ignorenulls=True).over(Window.partitionBy("doc").orderBy("at", "asked").rowsBetween(Window.unboundedPreceding, 0))
     return both.withColumn("section", last).where("asked = 1").select("doc", "at", "section").distinct()
 
@@ -101,12 +103,14 @@ def resolve_descriptor(asked: DataFrame, index: DataFrame) -> DataFrame:
     known = index.select("key", F.col("rid").alias("found"))
     own = asked.withColumn("key", I.any_name_key("name")).join(known, "key", "left")
     node = F.coalesce(F.when(I.is_rid("rid"), F.col("rid")), F.when(I.is_rid("orcid"), F.col("orcid")), F.col("found"))
-    return own.select("q", F.coalesce(node, F.col("key")).alias("node"), F.when(node.isNotNull(), "profiled").when(F.col("key").isNotNull(), "external").otherwise("error").alias("kind"))
+    return own.select("q", F.coalesce(node, F.col("key")).alias("node"),
+        F.when(node.isNotNull(), "profiled").when(F.col("key").isNotNull(), "external").otherwise("error").alias("kind"))
 
 
 def work_lite(works: DataFrame) -> DataFrame:
     """Flat rows of works: ``openalex_id, doi, title, year, venue, cited_by``."""
-    return works.select(F.element_at(F.split("id", "/"), -1).alias("openalex_id"), I.normalize_doi("doi").alias("doi"), "title", "year", "venue", F.coalesce("cited_by", F.lit(0)).alias("cited_by"))
+    return works.select(F.element_at(F.split("id", "/"), -1).alias("openalex_id"), I.normalize_doi("doi").alias("doi"), "title", "year", "venue",
+        F.coalesce("cited_by", F.lit(0)).alias("cited_by"))
 
 
 def authorship_evidence(works: DataFrame, orcid: Column) -> DataFrame:
@@ -121,7 +125,10 @@ def authorship_evidence(works: DataFrame, orcid: Column) -> DataFrame:
     own = F.try_element_at(F.filter(every, is_own), F.lit(-1))
     others = F.transform(F.filter(every, lambda a: ~is_own(a) & a["id"].isNotNull()), lambda a: a["id"])
     none = F.array().cast("array<string>")
-    return works.select("work", own.isNotNull().alias("orcid_present"), F.coalesce(own["name"], F.lit("")).alias("display_name"), F.coalesce(F.filter(own["affiliations"], lambda s: s != ""), none).alias("raw_affiliations"), F.coalesce(own["institution_ids"], none).alias("institution_ids"), F.coalesce(F.filter(own["institution_names"], lambda s: s.isNotNull() & (s != "")), none).alias("institution_names"), others.alias("coauthor_ids"))
+    return works.select("work", own.isNotNull().alias("orcid_present"), F.coalesce(own["name"], F.lit("")).alias("display_name"),
+        F.coalesce(F.filter(own["affiliations"], lambda s: s != ""), none).alias("raw_affiliations"),
+            F.coalesce(own["institution_ids"], none).alias("institution_ids"),
+                F.coalesce(F.filter(own["institution_names"], lambda s: s.isNotNull() & (s != "")), none).alias("institution_names"), others.alias("coauthor_ids"))
 
 
 def query_terms(sources: DataFrame, cap: int = 10) -> DataFrame:
@@ -130,7 +137,8 @@ def query_terms(sources: DataFrame, cap: int = 10) -> DataFrame:
     Terms once, in order; topic ids are all kept, free text up to ``cap``.
     """
     terms = sources.where(F.trim(F.coalesce("term", F.lit(""))) != "")
-    first = terms.groupBy("profile").agg(F.min(F.struct("priority", "source")).alias("f")).select("profile", F.col("f.priority").alias("priority"), F.col("f.source").alias("source"))
+    first = terms.groupBy("profile").agg(F.min(F.struct("priority", "source")).alias("f")).select("profile", F.col("f.priority").alias("priority"),
+        F.col("f.source").alias("source"))
     own = terms.join(first, ["profile", "priority", "source"]).groupBy("profile", "source", F.trim("term").alias("term")).agg(F.min("ordinal").alias("ordinal"))
     own = own.withColumn("id", F.col("term").rlike(TOPIC_ID))
     n = F.row_number().over(Window.partitionBy("profile", "id").orderBy("ordinal", "term"))
@@ -149,7 +157,8 @@ def topic_filters(c) -> Column:
     ids = F.transform(F.filter(every, lambda t: t.rlike(TOPIC_ID)), lambda t: F.upper(F.regexp_extract(t, TOPIC_ID, 1)))
     labels = F.filter(F.transform(F.filter(every, lambda t: ~t.rlike(TOPIC_ID)), filter_text), lambda t: t != "")
     clause = lambda key, xs: F.when(F.size(xs) > 0, F.concat(F.lit(key), F.array_join(xs, "|")))
-    return F.array_compact(F.array(clause("topics.id:", F.filter(ids, lambda t: t.startswith("T"))), clause("concepts.id:", F.filter(ids, lambda t: t.startswith("C"))), clause("title_and_abstract.search:", labels)))
+    return F.array_compact(F.array(clause("topics.id:", F.filter(ids, lambda t: t.startswith("T"))),
+        clause("concepts.id:", F.filter(ids, lambda t: t.startswith("C"))), clause("title_and_abstract.search:", labels)))
 
 
 # How entries of a bibliography and their DOIs are written.
@@ -166,7 +175,8 @@ def bibliography_dois(texts: DataFrame) -> DataFrame:
     body = F.substring_index("e", "\u0003", -1)
     found = lambda p: F.nullif(F.regexp_extract(body, p, 1), F.lit(""))
     doi = I.normalize_doi(F.coalesce(found(BIB_DOI), found(BIB_URL)))
-    return each.where(~kind.isin("comment", "preamble", "string")).select("file", "n", F.coalesce(F.nullif(key, F.lit("")), F.concat(F.lit("entry-"), F.col("n"))).alias("key"), F.when(doi.rlike(r"^10\.\d{4,9}/"), doi).alias("doi"))
+    return each.where(~kind.isin("comment", "preamble", "string")).select("file", "n",
+        F.coalesce(F.nullif(key, F.lit("")), F.concat(F.lit("entry-"), F.col("n"))).alias("key"), F.when(doi.rlike(r"^10\.\d{4,9}/"), doi).alias("doi"))
 
 
 def looks_like_pdf(url) -> Column:
@@ -186,11 +196,14 @@ def citations(papers: DataFrame) -> DataFrame:
     year = F.col("year").cast("string")
     names = F.coalesce("authors", F.array().cast("array<string>"))
     authors = F.nullif(F.array_join(F.transform(names, lambda a: F.concat(F.lit("AU  - "), a)), "\n"), F.lit(""))
-    ris = F.concat_ws("\n", F.lit("TY  - JOUR"), line("TI", F.col("title")), authors, line("PY", year), line("JO", F.col("venue")), line("DO", doi), line("UR", url), F.lit("ER  - "))
+    ris = F.concat_ws("\n", F.lit("TY  - JOUR"), line("TI", F.col("title")), authors, line("PY", year), line("JO", F.col("venue")), line("DO", doi),
+        line("UR", url), F.lit("ER  - "))
     people = F.when(F.size(names) > 0, F.transform(names, lambda a: F.struct(a.alias("family"))))
     issued = F.when(F.col("year").isNotNull(), F.struct(F.array(F.array(F.col("year"))).alias("date-parts")))
-    csl = F.to_json(F.struct(F.col("paper").cast("string").alias("id"), F.lit("article-journal").alias("type"), F.col("title"), people.alias("author"), issued.alias("issued"), F.col("venue").alias("container-title"), doi.alias("DOI"), url.alias("URL")))
-    plain = F.concat(F.coalesce(F.try_element_at(names, F.lit(1)), F.lit("Unknown")), F.lit(" et al., "), F.coalesce("venue", F.lit("n.d.")), F.lit(" ("), F.coalesce(year, F.lit("n.d.")), F.lit(")"))
+    csl = F.to_json(F.struct(F.col("paper").cast("string").alias("id"), F.lit("article-journal").alias("type"), F.col("title"),
+        people.alias("author"), issued.alias("issued"), F.col("venue").alias("container-title"), doi.alias("DOI"), url.alias("URL")))
+    plain = F.concat(F.coalesce(F.try_element_at(names, F.lit(1)), F.lit("Unknown")), F.lit(" et al., "), F.coalesce("venue", F.lit("n.d.")),
+        F.lit(" ("), F.coalesce(year, F.lit("n.d.")), F.lit(")"))
     return papers.select("paper", ris.alias("ris"), csl.alias("csl"), plain.alias("plain"))
 
 
@@ -214,7 +227,8 @@ def career(stages: DataFrame) -> DataFrame:
     rank = F.when(F.coalesce(known, F.lit(False)), F.col("current_rank")).otherwise("unknown")
     own = F.coalesce((F.col("source") == "self_reported") & F.col("current_rank").isNotNull(), F.lit(False))
     implied = F.when(own & rank.isin(*TRAINEE_RANKS), "trainee").when(own & rank.isin(*FACULTY_RANKS), "independent")
-    return stages.select("person", rank.alias("rank"), rank.isin(*TRAINEE_RANKS).alias("trainee"), own.alias("self_reported"), F.coalesce(implied, "independence", F.lit("unknown")).alias("independence"))
+    return stages.select("person", rank.alias("rank"), rank.isin(*TRAINEE_RANKS).alias("trainee"), own.alias("self_reported"),
+        F.coalesce(implied, "independence", F.lit("unknown")).alias("independence"))
 
 
 def paper_version(record) -> Column:

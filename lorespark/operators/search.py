@@ -81,7 +81,8 @@ def passages(candidates: DataFrame, text: str, query: Column | None, k: int = 8,
     own = candidates.where(F.length(F.trim("body")) >= T.MIN_BODY)
     by_words = ranked(bm25(own, text, "id", "body").withColumn("b", F.round("bm25", 9)), F.desc("b"), "id").select("id", "rank")
     if query is None or "v" not in candidates.columns:
-        fused = by_words.select("id", F.round(1.0 / (60 + F.col("rank")), 6).alias("score"), F.lit("keyword").alias("matched_by"), F.lit(None).cast("long").alias("s"), F.col("rank").alias("k"))
+        fused = by_words.select("id", F.round(1.0 / (60 + F.col("rank")), 6).alias("score"), F.lit("keyword").alias("matched_by"),
+            F.lit(None).cast("long").alias("s"), F.col("rank").alias("k"))
     else:
         near = own.where("v is not null").select("id", F.round(V.cosine("v", query), 6).alias("cosine")).where(F.col("cosine") >= least)
         fused = fuse(ranked(near, F.desc("cosine"), "id").select("id", "rank"), by_words)
@@ -91,7 +92,9 @@ def passages(candidates: DataFrame, text: str, query: Column | None, k: int = 8,
 
 def paper_passages(papers: DataFrame, text: str, k: int = 8) -> DataFrame:
     """Passages of full texts ``papers(paper, text)``: windows of 400 to 1,200 characters, verbatim: ``rank, paper, start, body, score``."""
-    win = papers.select("paper", "text", F.explode(T.windows_of("text")).alias("w")).select(F.struct("paper", F.col("w.start").alias("start")).alias("id"), F.expr("substring(text, w.start + 1, w.end - w.start)").alias("body"))
+    win = papers.select("paper", "text",
+        F.explode(T.windows_of("text")).alias("w")).select(F.struct("paper", F.col("w.start").alias("start")).alias("id"),
+            F.expr("substring(text, w.start + 1, w.end - w.start)").alias("body"))
     best = passages(win, text, None, k)
     return best.join(win, "id").select("rank", "id.paper", "id.start", "body", "score")
 

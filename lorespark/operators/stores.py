@@ -11,7 +11,8 @@ from .lexical import ranked
 from .pointers import ends
 
 # Fields of a work that its owner may edit, fields of a profile that no owner may, and the longest list of interest seeds.
-EDITABLE_WORK_FIELDS = ("doi", "openalex_id", "name", "datePublished", "type", "citation", "full_text_link", "access", "summary", "first_author", "author_position", "is_corresponding")
+EDITABLE_WORK_FIELDS = ("doi", "openalex_id", "name", "datePublished", "type", "citation", "full_text_link", "access", "summary", "first_author",
+    "author_position", "is_corresponding")
 LOCKED_METADATA_FIELDS = (
     "rid", "id_", "provenance", "provenance_note", "proof", "verified_at", "identifier",
     "paper_stats", "anchor", "level", "has_citation_graph", "has_embedding_index", "expertise_cites_paper_ids", "synthesis_inputs_digest",
@@ -69,7 +70,8 @@ def merge_refusals(profiles: DataFrame, merges: DataFrame) -> DataFrame:
     twice = merges.groupBy("retired_id").agg((F.count_distinct("survivor_id") > 1).alias("twice"))
     round_ = merge_ends(merges).where("cyclic").select("retired_id", "cyclic")
     out = out.join(twice, "retired_id", "left").join(round_, "retired_id", "left")
-    why = F.when(F.col("r").isNull(), "no_retired").when(F.col("s").isNull(), "no_survivor").when(F.col("retired_id") == F.col("survivor_id"), "same").when(F.col("twice"), "twice").when(F.col("cyclic"), "cycle")
+    why = F.when(F.col("r").isNull(), "no_retired").when(F.col("s").isNull(), "no_survivor").when(F.col("retired_id") == F.col("survivor_id"),
+        "same").when(F.col("twice"), "twice").when(F.col("cyclic"), "cycle")
     return out.select("retired_id", "survivor_id", why.alias("refusal"))
 
 
@@ -132,7 +134,8 @@ def patch_refusals(patches: DataFrame, rows: DataFrame, allowed: tuple[str, ...]
     now = rows.select(key, F.lit(True).alias("known"), (F.lit(None).cast("string") if version is None else version).alias("now")).dropDuplicates([key])
     own = patches if "version" in patches.columns else patches.withColumn("version", F.lit(None).cast("string"))
     fields = [f for f in allowed if f in rows.columns]
-    why = F.when(~F.col("field").isin(*fields), "field").when(F.col("known").isNull(), key).when(F.col("version").isNotNull() & F.col("now").isNotNull() & (F.col("version") != F.col("now")), "version")
+    why = F.when(~F.col("field").isin(*fields), "field").when(F.col("known").isNull(),
+        key).when(F.col("version").isNotNull() & F.col("now").isNotNull() & (F.col("version") != F.col("now")), "version")
     return own.join(now, key, "left").withColumn("refusal", why).where("refusal is not null").select(key, "field", "refusal")
 
 
@@ -154,7 +157,8 @@ def collection_cards(profiles: DataFrame, papers: DataFrame) -> DataFrame:
     """A card a profile: ``slug, name, base, paper_count, summary_count``."""
     counts = papers.groupBy("profile").agg(F.count(F.lit(1)).alias("paper_count"), F.count_if("has_summary").alias("summary_count"))
     n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return profiles.join(counts, profiles["slug"] == counts["profile"], "left").select("slug", "name", F.concat(F.lit("profiles/"), "slug", F.lit("/")).alias("base"), n("paper_count"), n("summary_count"))
+    return profiles.join(counts, profiles["slug"] == counts["profile"], "left").select("slug", "name",
+        F.concat(F.lit("profiles/"), "slug", F.lit("/")).alias("base"), n("paper_count"), n("summary_count"))
 
 
 def topics_index(topics: DataFrame) -> DataFrame:
@@ -183,11 +187,13 @@ def add_seeds(seeds: DataFrame, papers: DataFrame, records: DataFrame, cap: int
     each = own.select("profile", "ordinal", F.explode("keys").alias("key"))
     authored = each.join(keyed(papers), ["profile", "key"], "left_semi").select("profile", "ordinal").distinct()
     held = each.join(keyed(seeds), ["profile", "key"], "left_semi").select("profile", "ordinal").distinct()
-    known = settled(authored.withColumn("outcome", F.lit("already_authored")).unionByName(held.join(authored, ["profile", "ordinal"], "left_anti").withColumn("outcome", F.lit("already_seed"))))
+    known = settled(authored.withColumn("outcome",
+        F.lit("already_authored")).unionByName(held.join(authored, ["profile", "ordinal"], "left_anti").withColumn("outcome", F.lit("already_seed"))))
     free = settled(own.join(known, ["profile", "ordinal"], "left_anti"))
     added, left = free.where(F.size("keys") == 0).select("profile", "ordinal"), free.select("profile", "ordinal", F.explode("keys").alias("key"))
     while not left.isEmpty():
-        first = left.withColumn("first", F.min("ordinal").over(Window.partitionBy("profile", "key"))).groupBy("profile", "ordinal").agg(F.bool_and(F.col("first") == F.col("ordinal")).alias("f")).where("f")
+        first = left.withColumn("first", F.min("ordinal").over(Window.partitionBy("profile", "key"))).groupBy("profile",
+            "ordinal").agg(F.bool_and(F.col("first") == F.col("ordinal")).alias("f")).where("f")
         added = settled(added.unionByName(first.select("profile", "ordinal")))
         taken = left.join(added, ["profile", "ordinal"], "left_semi").select("profile", "key").distinct()
         gone = left.join(taken, ["profile", "key"], "left_semi").select("profile", "ordinal").distinct()

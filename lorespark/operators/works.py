@@ -37,7 +37,8 @@ def _author_orcids() -> F.Column:
 def record(raw: DataFrame, path: str, page_size: int = 100) -> None:
     """Record raw JSON works, ``raw(json)``, as pages of a works source; rows that are no JSON, or have no id, are left out."""
     words = F.concat(F.lit(" "), I.normalize_title(F.coalesce(_get("$.title"), F.lit(""))), F.lit(" "))
-    own = _parsed(raw).select(_tail(_get("$.id")).alias("id"), _get("$.publication_date").alias("published"), F.concat(F.lit("|"), F.array_join(_author_orcids(), "|"), F.lit("|")).alias("authors"), words.alias("words"), "json")
+    own = _parsed(raw).select(_tail(_get("$.id")).alias("id"), _get("$.publication_date").alias("published"),
+        F.concat(F.lit("|"), F.array_join(_author_orcids(), "|"), F.lit("|")).alias("authors"), words.alias("words"), "json")
     record_works(own.where("id IS NOT NULL AND id <> ''"), path, page_size)
 
 
@@ -67,7 +68,8 @@ def single_work(spark: SparkSession, path: str, ref: str) -> DataFrame:
     return parse_works(read_works(spark, path, id=wid).where(F.col("id") == wid))
 
 
-def new_works(spark: SparkSession, path: str, since: str, topics: tuple[str, ...] = (), seeds: tuple[str, ...] = (), orcids: tuple[str, ...] = (), exclude_types: tuple[str, ...] = DEFAULT_EXCLUDE_TYPES) -> DataFrame:
+def new_works(spark: SparkSession, path: str, since: str, topics: tuple[str, ...] = (), seeds: tuple[str, ...] = (), orcids: tuple[str, ...] = (),
+    exclude_types: tuple[str, ...] = DEFAULT_EXCLUDE_TYPES) -> DataFrame:
     """Works since a date that any query finds: the columns of ``parse_works``, ``found_by``, ``cites_works``, ``author_orcids``.
 
     Queries in order: topic (ids of topics or concepts), text (labels, all words of one in title or abstract), cites
@@ -90,8 +92,11 @@ def new_works(spark: SparkSession, path: str, since: str, topics: tuple[str, ...
     has = F.lit(False)
     for words in labels:
         has = has | (F.size(F.array_except(strings(words), F.col("body"))) == 0)
-    own = raw.select("*", body.alias("body"), F.concat(listed("$.topics"), listed("$.concepts"), F.array(F.upper(_tail(F.coalesce(_get("$.primary_topic.id"), F.lit("")))))).alias("codes"), F.array_sort(F.array_intersect(refs, strings(seeds))).alias("cites_works"), _author_orcids().alias("author_orcids"))
-    kinds = {"topic": F.arrays_overlap("codes", strings(ids)) if ids else F.lit(False), "text": has, "cites": F.size("cites_works") > 0, "followed": F.arrays_overlap("author_orcids", strings(orcids)) if orcids else F.lit(False)}
+    own = raw.select("*", body.alias("body"),
+        F.concat(listed("$.topics"), listed("$.concepts"), F.array(F.upper(_tail(F.coalesce(_get("$.primary_topic.id"), F.lit("")))))).alias("codes"),
+            F.array_sort(F.array_intersect(refs, strings(seeds))).alias("cites_works"), _author_orcids().alias("author_orcids"))
+    kinds = {"topic": F.arrays_overlap("codes", strings(ids)) if ids else F.lit(False), "text": has, "cites": F.size("cites_works") > 0,
+        "followed": F.arrays_overlap("author_orcids", strings(orcids)) if orcids else F.lit(False)}
     own = own.withColumn("found_by", F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()]))).where(F.size("found_by") > 0)
     works = parse_works(own, keep=("found_by", "cites_works", "author_orcids")).where(~F.coalesce(F.col("type"), F.lit("")).isin([t.strip().lower() for t in exclude_types]))
     key = F.coalesce(F.when(F.col("openalex_id") != "", F.col("openalex_id")), F.concat(F.lit("title:"), F.lower("title")))
@@ -99,5 +104,6 @@ def new_works(spark: SparkSession, path: str, since: str, topics: tuple[str, ...
     every = Window.partitionBy("key")
     union = lambda c: F.array_distinct(F.flatten(F.collect_list(c).over(every)))
     order = F.array(*[F.lit(k) for k in kinds])
-    one = works.withColumn("key", key).withColumns({"n": F.row_number().over(first), "all": union("found_by"), "cites_works": F.array_sort(union("cites_works")), "author_orcids": F.array_sort(union("author_orcids"))})
+    one = works.withColumn("key", key).withColumns({"n": F.row_number().over(first), "all": union("found_by"),
+        "cites_works": F.array_sort(union("cites_works")), "author_orcids": F.array_sort(union("author_orcids"))})
     return one.where("n = 1").withColumn("found_by", F.filter(order, lambda k: F.array_contains("all", k))).drop("key", "n", "all")

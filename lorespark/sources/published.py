@@ -79,7 +79,8 @@ def read_flat_embeddings(spark: SparkSession, *folders: str) -> DataFrame:
                     part, said = x[at : at + 4096], [json.dumps(c, ensure_ascii=False) for c in told[at : at + 4096]]
                     yield pd.DataFrame({"path": r.path, "row": np.arange(at, at + len(part)), "backend_spec": r.backend_spec, "chunk": said, "vec": list(part)})
 
-    return both.select("path", "file", "dim", "count", "sha256", "backend_spec", "blob", "chunks").mapInPandas(decode, "path string, row long, backend_spec string, chunk string, vec array<double>")
+    return both.select("path", "file", "dim", "count", "sha256", "backend_spec", "blob", "chunks").mapInPandas(decode,
+        "path string, row long, backend_spec string, chunk string, vec array<double>")
 
 
 def unit_rows(df: DataFrame, vec: str = "vec") -> DataFrame:

@@ -218,7 +218,8 @@ class WorksWriter(DataSourceWriter):
                 data = (json.dumps({"results": page, "meta": {"cursor": len(heads)}}, ensure_ascii=False) + "\n").encode()
                 terms = {w for r in page for w in (r["words"] or "").split()} | {f"|{a}" for r in page for a in (r["authors"] or "").split("|") if a}
                 ids = [r["id"] or "" for r in page]
-                heads.append({"at": at, "bytes": len(data), "least": min(ids), "most": max(ids), "last": max(r["published"] or "" for r in page), "terms": base64.b64encode(Terms.of(terms).bits).decode()})
+                heads.append({"at": at, "bytes": len(data), "least": min(ids), "most": max(ids), "last": max(r["published"] or "" for r in page),
+                    "terms": base64.b64encode(Terms.of(terms).bits).decode()})
                 out.write(data)
                 page, at = [], at + len(data)
 
@@ -267,4 +268,5 @@ def record_works(works: DataFrame, path: str, page_size: int = 100) -> None:
     """Record ``works`` (columns of WORKS_SCHEMA) as pages, sorted by id so that a page holds a range of them."""
     register(works.sparkSession)
     columns = [c.split()[0] for c in WORKS_SCHEMA.split(", ")]
-    works.select(*columns).repartitionByRange("id").sortWithinPartitions("id").write.format("works").option("path", path).option("page_size", str(page_size)).mode("overwrite").save()
+    works.select(*columns).repartitionByRange("id").sortWithinPartitions("id").write.format("works").option("path", path).option("page_size",
+        str(page_size)).mode("overwrite").save()
