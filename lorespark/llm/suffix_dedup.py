@@ -9,8 +9,9 @@ grams with one minimizer are windows. Minimizers only route text to the transfor
    sees a minimizer in two documents keeps its windows without asking, so a common one costs a batch one entry.
 3. Bytes of the other windows are read. Equal ones are settled by comparing bytes, in the batch first: all but the
    smallest document's go. The others are dealt to tasks by minimizer; in a task, document shards get transforms, which are
-   merged by interleave refinement, one symbol a round; after ``span`` rounds, places with a common prefix of
-   ``span`` bytes lie together (repeated intervals), and all but the smallest document's go.
+   merged by interleave refinement, a few symbols a round; after ``span`` symbols, places with a common prefix of
+   ``span`` bytes lie together (repeated intervals), and all but the smallest document's go. A block that lies in
+   one shard leaves the merge: its shard's transform holds the intervals.
 4. A minimizer with many windows is dealt by 44 bytes of context. Where still more than KEY_ROWS different windows
    share those, their grams are grouped themselves.
 5. Removed runs of each document are united.
@@ -32,6 +33,8 @@ from .common import Scratch, materialize, shuffle_partitions
 SPAN, K = 50, 24
 #: Context bytes that two windows must share for their grams to be compared; offsets of a minimizer in a gram that are dealt together.
 CONTEXT, OFFSETS = 13, 7
+#: Bytes that a round of a merge adds, as long as their numbers have 16 bits.
+STEP = 3
 BROADCAST_ROWS = 1_000_000
 NO_ID = (1 << 63) - 1
 _U = np.uint64
@@ -150,6 +153,9 @@ def spots(docs: DataFrame, buckets: int, span: int = SPAN, sizes: Sizes = SIZES)
                     own.append(texts[at + len(own)].as_py())
                     size += len(own[-1])
                 found = made.of(own)
+                # minimizers are least hashes and so crowd at 0; an odd factor keeps them apart and spreads them over buckets
+                with np.errstate(over="ignore"):
+                    found["h"] *= _U(0xD6E8FEB86659FD93)
                 order = np.argsort(found["h"], kind="stable")
                 e = np.zeros(len(order), SPOT)
                 text = found["text"][order]
@@ -164,7 +170,8 @@ def spots(docs: DataFrame, buckets: int, span: int = SPAN, sizes: Sizes = SIZES)
                 rows = []
                 if several.any():
                     known = e[several]
-                    rows.append((int(bucket[several][0]), True, _packed(known)))
+                    # these are only passed on, so any bucket will do; their hashes would deal those of all batches to the first
+                    rows.append(((int(known["doc"][0]) + int(known["th"][0])) % buckets, True, _packed(known)))
                     # one entry tells other batches that the minimizer is common
                     teller = cuts[several[cuts]]
                     e["run"][teller] = 0
@@ -293,99 +300,142 @@ def read_windows(texts: DataFrame, asked: DataFrame, span: int = SPAN, sizes: Si
 # --- Burrows-Wheeler transforms of shards, and their merge ---------------------------------------------
 
 
-def shard_transform(strings: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of all suffixes of the strings by their first ``span`` bytes, and the byte before each (0: an end mark).
+def _raised(strings: list[bytes]) -> np.ndarray:
+    """The strings one after the other, bytes raised by one, so that 0 marks the end of each."""
+    raised = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8) + np.uint8(1)  # UTF-8 has no byte 255, so nothing wraps
+    raised[np.cumsum([len(s) + 1 for s in strings]) - 1] = 0
+    return raised
+
+
+def shard_transform(raised: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of all suffixes of a shard's strings by their first ``span`` bytes, and where it starts groups with all of these in common.
 
-    Bytes are raised by one, so that 0 marks ends; end marks come first, in the strings' order. Ranks of
-    eight bytes are doubled up to ``span``; nothing behind an end mark counts.
+    Ranks of eight bytes are doubled up to ``span``; nothing behind an end mark counts.
     """
-    raised = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8) + np.uint8(1)  # UTF-8 has no byte 255, so nothing wraps
-    sizes = np.array([len(s) for s in strings])
-    marks = np.cumsum(sizes + 1) - 1
-    raised[marks] = 0
     n = len(raised)
-    left = np.repeat(marks, sizes + 1) - np.arange(n)
+    marks = np.flatnonzero(raised == 0)
+    left = np.repeat(marks, np.diff(np.r_[-1, marks])) - np.arange(n)
     width = min(8, span)
     padded = np.concatenate([raised, np.zeros(width, np.uint8)]).astype(_U)
     key = np.zeros(n, _U)
     for j in range(width):
         key = (key << _U(8)) | np.where(left >= j, padded[j : j + n], _U(0))
-    rank = _ranks(key)
+    rank, order, new = _ranks(key)
     while width < span:
         step = min(width, span - width)
         behind = np.zeros(n, np.int64)
         far = np.flatnonzero(left >= step)
         behind[far] = rank[far + step] + 1
         # the first ``step`` bytes agree whenever the first ``width`` do, so the two ranks overlap or meet
-        rank = _ranks((rank.astype(_U) * _U(n + 1)) + behind.astype(_U))
+        rank, order, new = _ranks((rank.astype(_U) * _U(n + 1)) + behind.astype(_U))
         width += step
-    order = np.argsort(rank * n + np.arange(n))
-    before = np.concatenate([raised[-1:], raised[:-1]])
-    before[0] = 0
-    return order, before[order]
+    return order, np.flatnonzero(new)
 
 
-def _ranks(key: np.ndarray) -> np.ndarray:
+def _ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(key)
     sorted_ = key[order]
+    new = np.r_[True, sorted_[1:] != sorted_[:-1]]
     rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(np.r_[False, sorted_[1:] != sorted_[:-1]]) if len(key) else 0
-    return rank
-
-
-def merge_transforms(shards: list[tuple[np.ndarray, np.ndarray]], strings: list[int], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' sorted suffixes, and groups of those with ``rounds`` bytes in common.
-
-    Starts with one shard after the other. A round sends every place to that of the suffix one byte
-    longer: a stable sort by the byte before it. After r rounds the interleave is right for the first
-    r bytes; no suffix is compared. ``strings``: end marks of each shard, which lead in shard order and
-    are each a group of their own.
+    rank[order] = np.cumsum(new) - 1
+    return rank, order, new
+
+
+def _before(raised: np.ndarray, step: int) -> np.ndarray | None:
+    """Number of the ``step`` bytes before each suffix, in their order; 0 where an end mark is among them. None: over 16 bits."""
+    letters = np.flatnonzero(np.bincount(raised[raised > 0], minlength=256))
+    base = len(letters) + 1
+    if base**step > 1 << 23 and step > 2:
+        return None
+    small = np.zeros(256, np.int32)
+    small[letters] = np.arange(1, base)
+    text = np.concatenate([np.zeros(step, np.int32), small[raised]])
+    n = len(raised)
+    code, ok = np.zeros(n, np.int32), np.ones(n, bool)
+    for j in range(step):
+        c = text[j : j + n]
+        code = code * base + c
+        ok &= c > 0
+    code[~ok] = 0
+    if base**step > 1 << 16:
+        present = np.zeros(base**step, bool)
+        present[code] = True
+        present[0] = True
+        if np.count_nonzero(present) > 1 << 16:
+            return None
+        code = (np.cumsum(present, dtype=np.int32) - 1).astype(np.uint16)[code]
+    return code.astype(np.uint16)
+
+
+def merge_transforms(raised: np.ndarray, orders: list[np.ndarray], span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes (their places in the text) whose first ``span`` bytes occur in several shards, interleaved, and where
+    their groups start.
+
+    ``orders``: each shard's sorted suffixes, which lie in the text one shard after the other. The interleave starts with one
+    shard after the other. A round sends every suffix to that of the suffix ``step`` bytes longer: a stable sort
+    by the bytes before it, after which the interleave is right for as many bytes more; no suffix is compared.
+    Blocks with suffixes of one shard only leave the interleave: what lies in them is decided by that
+    shard's transform, and so is every longer suffix. The same goes for end marks, which nothing may cross.
     """
-    z = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(o) for o, _ in shards])
-    marks = np.repeat(np.arange(len(shards), dtype=np.uint8), strings)
-    m = len(marks)
-    group = np.zeros(len(z), np.int64)
-    c = np.empty(len(z), np.uint8)
-    for _ in range(rounds):
-        # the places of a shard take its bytes in its own order
-        for k, (_, b) in enumerate(shards):
-            c[z == k] = b
-        body = np.flatnonzero(c)
-        order = body[np.argsort(c[body], kind="stable")]
-        z_new = np.concatenate([marks, z[order]])
-        cc, gg = c[order], group[order]
-        new = np.r_[True, (cc[1:] != cc[:-1]) | (gg[1:] != gg[:-1])]
-        group = np.concatenate([np.arange(m), m + np.cumsum(new) - 1]) if len(order) else np.arange(m)
-        if group[-1] + 1 == len(group) and np.array_equal(z_new, z):
-            break
-        z = z_new
-    return z, group
+    shard = np.repeat(np.arange(len(orders), dtype=np.uint8), [len(o) for o in orders])
+    step = STEP
+    while (before := _before(raised, step)) is None:
+        step -= 1
+    steps = [step] * (span // step)
+    now = np.concatenate(orders)
+    group = np.zeros(len(now), np.int32)
+    cuts = np.zeros(1, np.int64)
+    for width in ([span % step] if span % step else []) + steps:
+        key = (before if width == step else _before(raised, width))[now]
+        if width != step or not key.all():
+            inside = np.flatnonzero(key)
+            key, now, group = key[inside], now[inside], group[inside]
+        order = np.argsort(key, kind="stable")
+        key, now, group = key[order], now[order] - width, group[order]
+        if not len(now):
+            return now, now
+        cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])])
+        sizes = np.diff(np.r_[cuts, len(now)])
+        # a block's suffixes lie in the order of their shards
+        own = shard[now]
+        mixed = own[cuts] != own[cuts + sizes - 1]
+        if not mixed.all():
+            now = now[np.repeat(mixed, sizes)]
+            sizes = sizes[mixed]
+            cuts = np.cumsum(sizes) - sizes
+        group = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    return now, cuts
 
 
 def repeated_grams(strings: list[bytes], docs: np.ndarray, span: int = SPAN, shards: int = SIZES.shards) -> tuple[np.ndarray, np.ndarray]:
     """(string, start) of every gram that also starts in a string of a smaller document."""
     own = [part for part in np.array_split(np.argsort(docs, kind="stable"), shards) if len(part)]  # documents in order
-    made = [shard_transform([strings[i] for i in ix], span) for ix in own]
-    z, group = merge_transforms(made, [len(ix) for ix in own], span)
-    # each merged place's string and start
-    where_s, where_at = [], []
-    for ix, (order, _) in zip(own, made, strict=True):
-        sizes = np.array([len(strings[i]) + 1 for i in ix])
-        s = np.repeat(np.arange(len(ix)), sizes)
-        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        where_s.append(ix[s[order]])
-        where_at.append(at[order])
-    by_shard = np.argsort(z, kind="stable")
-    s, at = np.empty(len(z), np.int64), np.empty(len(z), np.int64)
-    s[by_shard], at[by_shard] = np.concatenate(where_s), np.concatenate(where_at)
-    whole = at + span <= np.array([len(x) for x in strings])[s]
-    s, at, group = s[whole], at[whole], group[whole]
-    if not len(s):
-        return s, at
-    cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    least = np.repeat(np.minimum.reduceat(docs[s], cuts), np.diff(np.r_[cuts, len(s)]))
-    goes = docs[s] > least
-    return s[goes], at[goes]
+    which = np.concatenate(own)
+    sizes = np.array([len(strings[i]) + 1 for i in which])
+    starts = np.cumsum(sizes) - sizes
+    raised = _raised([strings[i] for i in which])
+    of = np.repeat(np.arange(len(which), dtype=np.int32), sizes)
+    doc = docs[which][of]
+    gone = np.zeros(len(raised), bool)
+
+    def settle(places: np.ndarray, cuts: np.ndarray) -> None:
+        if len(places):
+            d = doc[places]
+            least = np.repeat(np.minimum.reduceat(d, cuts), np.diff(np.r_[cuts, len(d)]))
+            gone[places[d > least]] = True
+
+    orders, at = [], 0
+    for part in own:
+        n = sum(len(strings[i]) + 1 for i in part)
+        order, cuts = shard_transform(raised[at : at + n], span)
+        orders.append(order + at)
+        settle(orders[-1], cuts)
+        at += n
+    settle(*merge_transforms(raised, orders, span))
+    s = np.flatnonzero(gone)
+    start = s - starts[of[s]]
+    whole = start + span < sizes[of[s]]
+    return which[of[s[whole]]], start[whole]
 
 
 def shared_context(strings: list[bytes], places: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:

@@ -481,6 +481,66 @@ def test_merge_groups_common_prefixes():
         assert sorted(zip(s.tolist(), at.tolist(), strict=True)) == want
 
 
+@pytest.mark.parametrize("letters", [b"ab", bytes(range(1, 255))])
+def test_merges_sort_each_suffix_a_third_as_often_as_it_has_bytes(monkeypatch, letters):
+    rnd, sorted_ = random.Random(12), [0]
+    pool = [bytes(rnd.choice(letters) for _ in range(90)) for _ in range(40)]
+    strings = [pool[rnd.randrange(40)][rnd.randint(0, 30) :] for _ in range(120)] + [b"", b"a"]
+    docs = np.array([rnd.randint(0, 50) for _ in strings])
+    argsort = np.argsort
+
+    def counted(a, *args, **kw):
+        sorted_[0] += len(a)
+        return argsort(a, *args, **kw)
+
+    monkeypatch.setattr(suffix_dedup.np, "argsort", counted)
+    s, at = suffix_dedup.repeated_grams(strings, docs)
+    monkeypatch.undo()
+    first = {}
+    for t, d in zip(strings, docs.tolist(), strict=True):
+        for i in range(len(t) - 49):
+            first[t[i : i + 50]] = min(first.get(t[i : i + 50], d), d)
+    assert sorted(zip(s.tolist(), at.tolist(), strict=True)) == sorted((k, i) for k, t in enumerate(strings) for i in range(len(t) - 49) if first[t[i : i + 50]] < docs[k])
+    # four ranks of a shard's transform, and rounds of two bytes or more over blocks that several shards share
+    assert sorted_[0] <= 30 * sum(len(t) + 1 for t in strings)
+
+
+def test_known_windows_are_dealt_over_all_buckets(spark):
+    rnd = random.Random(15)
+    line = bytes(rnd.choice(b"abcdefgh ") for _ in range(400))
+    rows = [(2 * i + j, 0, bytes(rnd.choice(b"abcdefgh ") for _ in range(60)) + line) for i in range(60) for j in range(2)]
+    df = spark.createDataFrame(rows, "doc long, th long, b binary").repartition(2, "doc")
+    known = suffix_dedup.spots(df, 16, sizes=suffix_dedup.Sizes(flush=900)).where("known").groupBy("bucket").count().collect()
+    assert len(known) >= 8 and max(r["count"] for r in known) <= sum(r["count"] for r in known) / 2
+
+
+def test_windows_are_dealt_evenly_over_buckets(spark):
+    rnd = random.Random(16)
+    rows = [(i, 0, bytes(rnd.choice(b"abcdefgh ") for _ in range(20000))) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc long, th long, b binary")
+    sizes = {r["bucket"]: r["n"] for r in suffix_dedup.spots(df, 20).groupBy("bucket").agg(F.sum(F.octet_length("blob")).alias("n")).collect()}
+    assert len(sizes) == 20 and max(sizes.values()) <= 2 * min(sizes.values())
+
+
+def test_blocks_of_one_shard_leave_a_merge():
+    rnd = random.Random(13)
+    for _ in range(30):
+        shards = [[bytes(rnd.choice(b"abc") for _ in range(rnd.randint(0, 25))) for _ in range(rnd.randint(1, 5))] for _ in range(3)]
+        raised = [suffix_dedup._raised(x) for x in shards]
+        starts = np.cumsum([0] + [len(r) for r in raised])
+        orders = [suffix_dedup.shard_transform(r, 5)[0] + a for r, a in zip(raised, starts, strict=False)]
+        places, cuts = suffix_dedup.merge_transforms(np.concatenate(raised), orders, 5)
+        text, of = np.concatenate(raised).tobytes(), lambda p: int(np.searchsorted(starts, p, side="right"))
+        want = {}
+        for p in range(len(text) - 4):
+            if 0 not in text[p : p + 5]:
+                want.setdefault(text[p : p + 5], []).append(p)
+        want = sorted((g, sorted(ps)) for g, ps in want.items() if len({of(p) for p in ps}) > 1)
+        blocks = [b.tolist() for b in np.split(places, cuts[1:])] if len(places) else []
+        assert [(text[b[0] : b[0] + 5], sorted(b)) for b in blocks] == want
+        assert all([of(p) for p in b] == sorted(of(p) for p in b) for b in blocks)
+
+
 @pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_decontamination(spark, empty, monkeypatch, limit):
     monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", limit)
