@@ -162,21 +162,13 @@ def write_ids(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "t
         enc, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
         keys, ids, size = [], [], 0
         for b in batches:
-            ks, ts = b.column(0).to_pylist(), b.column(1)
-            at = 0
-            while at < len(ks):
-                texts, chars = [], 0
-                while at + len(texts) < len(ks) and chars < 1 << 20:
-                    texts.append(ts[at + len(texts)].as_py() or "")
-                    chars += len(texts[-1])
-                for k, got in zip(ks[at : at + len(texts)], enc.encode_many(texts), strict=True):
-                    if size and size + len(got) > 4 * shard_ids:
-                        yield _batch([pack_shard(part, seq, keys, ids)])
-                        keys, ids, size, seq = [], [], 0, seq + 1
-                    keys.append(k)
-                    ids.append(got + end)
-                    size += len(got) + 4
-                at += len(texts)
+            for k, got in zip(b.column(0).to_pylist(), enc.encode_column(b.column(1)), strict=True):
+                if size and size + len(got) > 4 * shard_ids:
+                    yield _batch([pack_shard(part, seq, keys, ids)])
+                    keys, ids, size, seq = [], [], 0, seq + 1
+                keys.append(k)
+                ids.append(got + end)
+                size += len(got) + 4
         if keys:
             yield _batch([pack_shard(part, seq, keys, ids)])
 

@@ -30,7 +30,7 @@ def cut_pieces(df: DataFrame, tokenizer: str, capacity: int, key: str = "doc_id"
         for b in batches:
             keys = b.column(0).to_pylist()
             rows = []
-            for k, ids in zip(keys, enc.encode_many([t or "" for t in b.column(1).to_pylist()]), strict=True):
+            for k, ids in zip(keys, enc.encode_column(b.column(1)), strict=True):
                 ids += end
                 rows += [(k, i // width, i // 4, len(p) // 4, zlib.crc32(p)) for i in range(0, len(ids), width) for p in [ids[i : i + width]]]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5

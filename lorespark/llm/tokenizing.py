@@ -4,39 +4,32 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A segment may start before a single space or line break between two non-space characters, or
 #: after such a line break: no token of a byte-level pre-tokenizer spans these places.
 _SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
 _ODD = re.compile(r"\s\s|[^\S \n]|\s\Z|\x02")
 LITERAL = "\x02"
-#: A word's letters (Latin-1: stable under NFC, one lower-case letter each), and what may follow them.
-_HEAD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,40})([!-/:-@\[-`{-~].*)?", re.DOTALL)
 MEMO_ENTRIES = 400_000
 MEMO_CHARS = 48
-
-
-class Memo(dict):
-    """What ``make`` returned, in two generations: the older goes when the younger is full."""
-
-    def __init__(self, make, entries: int):
-        super().__init__()
-        self.make, self.half, self.old = make, entries // 2, {}
-
-    def __missing__(self, key: str):
-        found = self.old.get(key)
-        if found is None:
-            found = self.make(key)
-        if len(key) <= MEMO_CHARS:
-            if len(self) >= self.half:
-                self.old = dict(self)
-                self.clear()
-            self[key] = found
-        return found
+#: Texts of so many bytes are split into words at once.
+COLUMN_BYTES = 8 << 20
+#: Words that the library gets in one string.
+JOINED_WORDS = 200
+#: Kinds of bytes: letters (ASCII, and Latin-1 as 0xC3 and one more byte: stable under NFC, one lower-case letter each),
+#: separators, ASCII punctuation, all others.
+_SEP, _PUNCT, _OTHER = 1, 2, 3
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), 0xC3]] = 0
+_KIND[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = _PUNCT
+_KIND[[0x20, 0x0A]] = _SEP
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
 
 
 class SegmentEncoder:
@@ -66,16 +59,21 @@ class SegmentEncoder:
             self.kind = "word"
         else:
             self.kind = "whole"
-        # a word's letters may be looked up apart from what follows, if no added token starts with a letter
-        self.heads: Memo | None = None
+        # a word's letters may be encoded apart from what follows, if no added token starts with a letter
+        self.letters = None
         if self.kind == "word" and [n["type"] for n in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and not any(t["content"][:1].isalpha() for t in spec["added_tokens"]):
-            from tokenizers.pre_tokenizers import ByteLevel
-
-            level = ByteLevel(add_prefix_space=False, use_regex=False)
-            self.heads = Memo(self._letters, memo_entries * 3 // 4)
-            self.rests = Memo(lambda rest: self._library([rest])[0], memo_entries // 10)
-            self.words = Memo(self._word, memo_entries)
-            self.table = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if chr(c).isalpha()}
+            from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit, Sequence
+
+            # the library's own model for lower-case words of letters alone, which need no normalizer
+            self.letters = Tokenizer.from_file(path)
+            self.letters.no_truncation()
+            self.letters.no_padding()
+            self.letters.normalizer = None
+            self.letters.pre_tokenizer = Sequence([CharDelimiterSplit(" "), ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocab = self.tokenizer.get_vocab()
+            self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends_word[[i for t, i in vocab.items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
+            self.known, self.known_ids = pa.array([], pa.binary()), pa.array([], pa.large_binary())
         self.entries = memo_entries
         self.memo: dict[str, bytes] = {}
         self.lengths: dict[str, int] = {}
@@ -101,16 +99,6 @@ class SegmentEncoder:
     def _encode(self, keys: list[str]) -> list[bytes]:
         return self._library(keys)
 
-    def _word(self, key: str) -> bytes:
-        """A word's ids: those of its letters, then of what follows; other words go to the library whole."""
-        m = _HEAD.fullmatch(key)
-        if not m or (m[2] and len(m[2]) > 40):
-            return self._library([key])[0]
-        return self.heads[m[1].lower()] + self.rests[m[2]] if m[2] else self.heads[m[1].lower()]
-
-    def _letters(self, low: str) -> bytes:
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(low.translate(self.table))]).tobytes()
-
     def _library(self, keys: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch([self._literal(k) for k in keys], add_special_tokens=False)]
 
@@ -119,11 +107,88 @@ class SegmentEncoder:
 
     def encode_many(self, texts: list[str], batch_bytes: int = 1 << 20) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; batches hold about ``batch_bytes``."""
-        if self.heads is not None and sys.byteorder == "little":
-            look = self.words.__getitem__
-            return [b"".join(map(look, self.segments(t))) for t in texts]
+        if self.letters is not None:
+            return list(self.encode_column(pa.array(texts, pa.string())))
         return self._batches(texts, list(map(len, texts)), batch_bytes, self.memo, self._encode, b"".join)
 
+    def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
+        """``encode_many`` for a column of strings, where null is empty.
+
+        Texts are split into words in numpy, some megabytes at once, and only their distinct words go to the library.
+        """
+        if self.letters is None:
+            yield from self.encode_many(texts.fill_null("").to_pylist())
+            return
+        texts = texts.fill_null("")
+        sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
+        upto, at = np.cumsum(sizes), 0
+        while at < len(sizes):
+            end = max(at + 1, int(np.searchsorted(upto, upto[at] - sizes[at] + COLUMN_BYTES, side="right")))
+            yield from self._encode_words(texts.slice(at, end - at).cast(pa.string()), sizes[at:end])
+            at = end
+
+    def _encode_words(self, texts: pa.Array, sizes: np.ndarray) -> Iterator[bytes]:
+        """Pieces are words between separators; a word that starts with letters is cut before the punctuation that follows them."""
+        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "\n")
+        raw = np.frombuffer(whole[0].as_buffer(), np.uint8)
+        kind = _KIND[raw]
+        lead = np.flatnonzero(raw[:-1] == 0xC3)
+        kind[lead[np.isin(raw[lead + 1], (0x97, 0xB7))]] = _OTHER  # the signs for times and divided by
+        # where letters end, and what by
+        at = np.append(np.flatnonzero(kind), len(raw))
+        what = np.append(kind[at[:-1]], _SEP)
+        head = np.append(True, what[:-1] == _SEP) & (at > np.append(0, at[:-1] + 1)) & (what != _OTHER)
+        stop = (what == _SEP) | head
+        ends, head = at[stop], head[stop]
+        lengths = ends - np.append(0, ends[:-1] + (what[stop][:-1] == _SEP))
+        some = lengths > 0
+        ends, head, lengths = ends[some], head[some], lengths[some]
+        data, low = raw[kind != _SEP], np.repeat(head, lengths)
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        lead = lead[low[lead] & (data[lead + 1] < 0x9F)]
+        data = np.where(low, _LOWER[data], data)
+        data[lead + 1] += 0x20
+        pieces = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        codes = pieces.indices.to_numpy()
+        letters = np.zeros(len(pieces.dictionary), bool)
+        letters[codes] = head
+        ids = self._ids(pieces.dictionary, letters).take(pieces.indices)
+        offsets = np.frombuffer(ids.buffers()[1], np.int64)
+        payload = memoryview(ids.buffers()[2] or b"")
+        bounds = offsets[np.append(0, np.searchsorted(ends, np.cumsum(sizes + 1) - 1, side="right"))].tolist()
+        for a, b in zip(bounds, bounds[1:]):
+            yield bytes(payload[a:b])
+
+    def _ids(self, words: pa.Array, letters: np.ndarray) -> pa.Array:
+        """Ids of distinct words, from the memo or the library; ``letters``: lower-case letters alone."""
+        place = pc.index_in(words, value_set=self.known)
+        new = place.is_null().to_numpy(zero_copy_only=False)
+        place = place.fill_null(0).to_numpy().copy()
+        plain, rest = np.flatnonzero(new & letters), np.flatnonzero(new & ~letters)
+        names, made = self.known, self.known_ids
+        for own, make in ((plain, self._letters), (rest, lambda keys: pa.array(self._library(keys.to_pylist()), pa.large_binary()))):
+            if len(own):
+                place[own] = len(names) + np.arange(len(own))
+                more = words.take(pa.array(own))
+                names, made = pa.concat_arrays([names, more]), pa.concat_arrays([made, make(more.cast(pa.string()))])
+        found = made.take(pa.array(place))
+        # the memo starts again, from these words, when it is full
+        if len(names) > self.entries:
+            names, made = words.slice(0, self.entries), found.slice(0, self.entries)
+        short = pc.less_equal(pc.binary_length(names), MEMO_CHARS)
+        self.known, self.known_ids = names.filter(short), made.filter(short)
+        return found
+
+    def _letters(self, words: pa.Array) -> pa.Array:
+        """Ids of lower-case words, many in one string: each ends at its one token with the suffix of ends."""
+        n = len(words)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([*range(0, n, JOINED_WORDS), n], pa.int32()), words), " ")
+        ids = np.concatenate([np.asarray(self.letters.encode_batch_fast([s.as_py()], add_special_tokens=False)[0].ids, "<u4") for s in joined])
+        ends = 4 * (np.flatnonzero(self.ends_word[ids]) + 1)
+        if len(ends) != n:  # a byte that the vocabulary lacks
+            return pa.array(self._library(words.to_pylist()), pa.large_binary())
+        return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(ids)])
+
     def count_many(self, texts: list[str], sizes: list[int], batch_bytes: int = 1 << 20) -> list[int]:
         """Numbers of ids only; ``sizes``: UTF-8 bytes of the texts, which balance the batches."""
         return self._batches(texts, sizes, batch_bytes, self.lengths, self._count, sum)

@@ -7,11 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lorespark.llm import decontamination, exact_topk, id_store, language, packing, pii, queries, simhash, suffix_dedup, toxicity
+from lorespark.llm import decontamination, exact_topk, id_store, language, packing, pii, queries, simhash, suffix_dedup, tokenizing, toxicity
 from lorespark.llm.common import connected_components, crc_mod3
 from lorespark.llm.token_counts import token_counts
 from lorespark.llm.tokenizing import SegmentEncoder, tokenizer_path
@@ -63,6 +64,41 @@ def test_segments_encode_as_the_library(path):
     assert enc.count_many(texts, [len(t.encode()) for t in texts], 200) == [len(w) for w in want]
 
 
+@pytest.mark.parametrize("at_once", [1, 100, 8 << 20])
+def test_columns_encode_as_the_library(monkeypatch, at_once):
+    monkeypatch.setattr(tokenizing, "COLUMN_BYTES", at_once)
+    t, rnd = library(WORD), random.Random(5)
+    parts = [" ", " ", "\n", "a", "B", "'s", "1", ".", ",", "<", "|", "\t", "é", "É", "Ñ", "Þ", "ÿ", "×", "÷", "µ", "<|endoftext|>", "<|ENDOFTEXT|>", "\u0301", "\u0338", "\xa0", "ß", "\0", "İ", "Ω", "Ж", "中", "😀", "K"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(1000)] + [None, "", " ", "a" * 5000, "Éa" * 400 + ".", None]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    for kind, entries in ((pa.string(), 5), (pa.large_string(), 400_000)):
+        enc, column = SegmentEncoder(WORD, memo_entries=entries), pa.array(texts, kind)
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_column(column)] == want
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_column(column.slice(700, 290))] == want[700:990]
+        assert [list(enc.encode_column(pa.array(x, kind))) for x in ([], [None], ["", "\n"])] == [[], [b""], [b"", b""]]
+
+
+def test_distinct_words_share_library_calls():
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.calls = inner, 0
+
+        def __getattr__(self, name):
+            self.calls += 1
+            return getattr(self.inner, name)
+
+    enc, t, rnd = SegmentEncoder(WORD), library(WORD), random.Random(6)
+    used = [enc.tokenizer]
+    enc.tokenizer = used[0] = Counted(enc.tokenizer)
+    if getattr(enc, "letters", None) is not None:
+        enc.letters = Counted(enc.letters)
+        used.append(enc.letters)
+    words = ["".join(rnd.choice("abcdeé") for _ in range(9)) + rnd.choice(["", ",", "."]) for _ in range(5000)]
+    texts = [" ".join(words[i : i + 100]) for i in range(0, 5000, 100)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_many(texts * 2)] == [t.encode(x, add_special_tokens=False).ids for x in texts * 2]
+    assert sum(u.calls for u in used) <= 50  # 5000 when each word is looked up alone
+
+
 def test_id_store_round_trip(spark, docs, empty):
     t = library(WORD)
     path = id_store.write_ids(docs, WORD, end_id=1, shard_ids=4000)
