@@ -126,6 +126,7 @@ class SegmentEncoder:
             end = max(at + 1, int(np.searchsorted(upto, upto[at] - sizes[at] + COLUMN_BYTES, side="right")))
             yield from self._encode_words(texts.slice(at, end - at).cast(pa.string()), sizes[at:end])
             at = end
+        pa.default_memory_pool().release_unused()  # workers live on, and the allocator would keep it
 
     def _encode_words(self, texts: pa.Array, sizes: np.ndarray) -> Iterator[bytes]:
         """Pieces are words between separators; a word that starts with letters is cut before the punctuation that follows them."""
