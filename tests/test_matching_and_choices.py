@@ -87,6 +87,23 @@ def test_no_group_is_gathered_to_match(spark):
     assert "FlatMapGroups" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("most", [0, matching.MOST])
+def test_copies_that_take_turns_need_few_tables(spark, monkeypatch, most):
+    written, settled = [], matching.settled
+    monkeypatch.setattr(matching, "settled", lambda df: written.append(1) or settled(df))
+    monkeypatch.setattr(matching, "MOST", most)
+    base = ["red bolt of steel number", "blue gear of iron number"]
+    kinds = [f"{b} {a}" for b in base for a in ("one", "ona", "on")]
+    n = 4 if most == 0 else 30
+    papers = [(i, f"p{i}", kinds[i % 6], 2000 + i % 5 // 4) for i in range(6 * n)]
+    works_ = [(i, f"w{i}", kinds[i * 5 % 6] + "s", 2000 + i % 7 // 6) for i in range(4 * n)]
+    p = spark.createDataFrame(papers, "ordinal int, paper string, title string, year int").repartition(3)
+    w = spark.createDataFrame(works_, "work_ordinal int, work string, work_title string, work_year int").repartition(3)
+    want = matched_in_order(papers, works_)
+    assert len(want) > 3 * n and rows(matching.match_papers(p, w)) == want
+    assert most == 0 or len(written) <= 10
+
+
 def test_long_chains_take_few_rounds(spark):
     n = 1000
     made = [(1, f"a{i}", "soul", f"a{i}", "private" if i == 0 else None, [f"a{i - 1}"] if i else []) for i in range(n)]
