@@ -242,11 +242,27 @@ def concepts(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return asked.withColumn("k", norm).join(vocabulary.select("system", norm.alias("k"), "label"), ["system", "k"], "left").drop("k")
 
 
+#: Records that an asked rid meets under one key.
+BLOCK = 4096
+
+
 def records_about(profiles: DataFrame, aliases: DataFrame, asked: DataFrame) -> DataFrame:
-    """``rid, n, profile_id``: all records about each asked rid, after its alias, oldest first."""
+    """``rid, n, profile_id``: all records about each asked rid, after its alias, oldest first.
+
+    Records of a rid are numbered once, before those who ask meet them, so what is found is neither shuffled nor sorted.
+    They are dealt into blocks of ``BLOCK`` by number, and one who asks is copied once a block, so no key is hot. Only a
+    rid that comes several times in ``asked``, or has several aliases, is numbered after the join.
+    """
     own = asked.join(aliases.select(F.col("old").alias("rid"), F.col("new").alias("now")), "rid", "left").select("rid", F.coalesce("now", "rid").alias("now"))
-    found = own.join(profiles.select(F.col("rid").alias("now"), "profile_id"), "now")
-    return found.select("rid", F.row_number().over(Window.partitionBy("rid").orderBy("profile_id")).alias("n"), "profile_id")
+    known = profiles.select(F.col("rid").alias("now"), "profile_id").where("now IS NOT NULL")
+    several = own.groupBy("rid").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("rid")
+    block = lambda n: F.floor((F.col(n) - 1) / BLOCK).cast("int")
+    numbered = known.withColumn("n", F.row_number().over(Window.partitionBy("now").orderBy("profile_id"))).withColumn("block", block("n"))
+    blocks = known.groupBy("now").agg(F.count(F.lit(1)).alias("many"))
+    dealt = own.join(several, "rid", "left_anti").join(blocks, "now").select("rid", "now", F.explode(F.sequence(F.lit(0), block("many"))).alias("block"))
+    found = dealt.join(numbered, ["now", "block"]).select("rid", "n", "profile_id")
+    mixed = own.join(several, "rid", "left_semi").join(known, "now")
+    return found.unionAll(mixed.select("rid", F.row_number().over(Window.partitionBy("rid").orderBy("profile_id")).alias("n"), "profile_id"))
 
 
 def rids_with_email(profiles: DataFrame, emails: DataFrame) -> DataFrame:

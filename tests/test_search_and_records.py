@@ -67,3 +67,19 @@ def test_bibliography_without_a_doi(spark):
 def test_first_sentence_and_career(spark):
     df = spark.createDataFrame([("One. Two",), ("v1.2 is it? Yes",), ("no end",), (" ",), (None,)], "t string")
     assert [r[0] for r in df.select(records.first_sentence("t")).collect()] == ["One.", "v1.2 is it?", "no end", None, None]
+
+
+def test_records_are_numbered_before_they_are_found(spark, monkeypatch):
+    monkeypatch.setattr(records, "BLOCK", 3)
+    own = [(i, "r" + "abbccccc"[i % 8]) for i in range(40)] + [(99, None), (7, "ra")]
+    aliases = [("x", "rc"), ("y", "rb"), ("y", "ra"), ("z", "nobody")]
+    asked = ["ra", "x", "y", "rb", "rb", "z", "w", None]
+    want = []
+    for rid in set(asked):
+        at = [now for a in asked if a == rid and rid for now in ([n for o, n in aliases if o == rid] or [rid])]
+        want += [(rid, n, p) for n, p in enumerate(sorted(p for now in at for p, r in own if r == now), 1)]
+    p = spark.createDataFrame(own, "profile_id int, rid string").repartition(3)
+    df = records.records_about(p, spark.createDataFrame(aliases, "old string, new string"), spark.createDataFrame([(a,) for a in asked], "rid string"))
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")
