@@ -54,14 +54,18 @@ def topic_score(works: DataFrame, interests: DataFrame, system: str = TOPICS) ->
     """``works(work, topic)`` against effective ``interests(profile, system, code, weight, method, share[, unmapped])``.
 
     Topics meet codes on the exact id, within the vocabulary ``system``; unmapped concepts have no say. Declared weights
-    add up; one of -1 or less makes the score null; an entry without a declared weight adds half its share.
+    add up; one of -1 or less makes the score null; an entry without a declared weight adds half its share. Works with the same
+    topics score alike: each set of topics is scored once, and its scores go to its works.
     """
     own = _mapped(interests, system)
-    pairs = works.select("work", topic_code("topic").alias("code")).distinct().join(own, "code")
+    # a code has no slash
+    codes = works.select("work", topic_code("topic").alias("code")).where("code IS NOT NULL").groupBy("work").agg(F.array_join(F.array_sort(F.collect_set("code")), "/").alias("codes"))
+    pairs = codes.select("codes").distinct().select("codes", F.explode(F.split("codes", "/")).alias("code")).join(own, "code")
     declared = (F.col("method") == "declared") & F.col("weight").isNotNull()
     part = F.when(declared, F.col("weight")).otherwise(0.5 * F.coalesce("share", F.lit(0.0)))
     out = F.coalesce(F.bool_or(declared & (F.col("weight") <= -1)), F.lit(False))
-    return pairs.groupBy("profile", "work").agg(F.when(~out, F.sum(part)).alias("topic_score"))
+    scored = pairs.groupBy("profile", "codes").agg(F.when(~out, F.sum(part)).alias("topic_score"))
+    return codes.join(scored, "codes").select("profile", "work", "topic_score")
 
 
 def topic_matches(works: DataFrame, interests: DataFrame, system: str = TOPICS) -> DataFrame:

@@ -65,6 +65,27 @@ def test_topic_score_excludes(spark):
     assert interests.topic_score(works, other).count() == 0 and interests.topic_matches(works.withColumn("ordinal", F.lit(1)), other.withColumn("label", F.lit("x"))).count() == 0
 
 
+def test_a_set_of_topics_is_scored_once(spark):
+    works = spark.createDataFrame([(w, f"https://x.org/{t}") for w in range(60) for t in ("t1", "T2", "t2", "t3")[w % 3 :]] + [(None, "t3"), (60, None), (61, "x/"), (62, "t9")], "work int, topic string").repartition(3)
+    own = spark.createDataFrame(
+        [(1, "s", "T1", 1.0, "declared", None), (1, "s", "t2", None, "declared", 0.4), (2, "s", "T3", -1.0, "declared", None), (2, "s", "T2", 0.5, "declared", None), (3, "s", "T3", -1.0, "inferred", 0.2), (3, "s", "T3", 0.25, "declared", None), (4, "s", "", 0.5, "declared", None), (5, "t", "T1", 1.0, "declared", None)],
+        "profile int, system string, code string, weight double, method string, share double",
+    )
+    df = interests.topic_score(works, own, "s")
+    want, entries = {}, own.collect()
+    for w in [*range(60), None, 60, 61, 62]:
+        has = {None: {"T3"}, 60: set(), 61: {""}, 62: {"T9"}}.get(w, {0: {"T1", "T2", "T3"}, 1: {"T2", "T3"}, 2: {"T2", "T3"}}.get((w or 0) % 3))
+        for p in range(1, 5):
+            met = [r for r in entries if r["profile"] == p and r["code"].upper() in has]
+            if met:
+                never = any(r["method"] == "declared" and r["weight"] is not None and r["weight"] <= -1 for r in met)
+                want[p, w] = None if never else sum(r["weight"] if r["method"] == "declared" and r["weight"] is not None else 0.5 * (r["share"] or 0) for r in met)
+    got = {(r["profile"], r["work"]): r["topic_score"] for r in df.collect()}
+    assert len(got) == df.count() and got.keys() == want.keys() and all(got[k] is None if v is None else abs(got[k] - v) < 1e-9 for k, v in want.items())
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
+
+
 def test_graph_trio(spark):
     parts = spark.createDataFrame([("doi:1", "alice", 2020, True, True), ("doi:1", "bob", 2020, True, True), ("doi:1", "x", 2020, False, False), ("doi:2", "carol", 2021, True, True)], "work string, person string, year int, profiled boolean, owns boolean")
     edges = graph.coauthor_edges(parts)
