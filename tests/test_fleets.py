@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorespark.operators import diffs, fleet, pointers, stores, validation
 from lorespark.operators.embedding import hash_encoder
+from lorespark.plans import fleet_queries
 from lorespark.sources import bucketed
 
 
@@ -121,6 +122,24 @@ def test_work_is_dealt_by_bytes(spark):
     assert fleet.dealt_by_bytes(df.where("false")).count() == 0
 
 
+def test_contacts_of_a_nation_are_stored_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fleet_queries, "BUCKET_ROWS", 20, raising=False)
+    sup = [(i, f"s{i}", None if i == 7 else 50 + i % 3) for i in range(30)]
+    cus = [(i, f"c{i}", 50 + i % 2) for i in range(400)]
+    lines = [(i % 40, i % 29, 1 + i % 4) for i in range(200)]
+    spark.createDataFrame(sup, "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame(cus, "c_custkey long, c_name string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    try:
+        got = {r["profile_id"]: (r["name"], r["works"], r["contacts"]) for r in fleet_queries.nested_profiles(spark, str(tmp_path)).collect()}
+        assert got == {i: (name, sorted({o for o, p, _ in lines if p == i}), sum(c % 20 == 0 and n == nation for c, _, n in cus)) for i, name, nation in sup}
+        assert sum(spark.table(t.name).count() for t in spark.catalog.listTables() if t.name.endswith("_contacts") and t.name.startswith("lore_")) == 20
+    finally:
+        for t in spark.catalog.listTables():
+            if t.name.startswith("lore_nest") or t.name.startswith("lore_nations"):
+                spark.sql(f"DROP TABLE {t.name}")
+
+
 def test_profiles_of_tables(spark, tmp_path):
     root = spark.createDataFrame([(i, f"s{i}", f"r{i}") for i in range(20)], "profile_id long, slug string, rid string")
     works = spark.createDataFrame([(i % 20, -i, f"t{i}") for i in range(100) if i % 20 != 7] + [(99, 0, "nobody")], "profile_id long, place int, title string")
