@@ -78,13 +78,29 @@ def spans_overlap(lo_a, hi_a, lo_b, hi_b):
 
 
 def institution_edges(stays: DataFrame) -> DataFrame:
-    """``stays(person, inst, lo, hi, ordinal)``: profiled pairs that share an institution, tiled; the last one by ordinal names the edge."""
-    pairs = tiled_pairs(stays.select("person", "inst", "lo", "hi", "ordinal"), "inst", "person")
-    each = pairs.select(F.col("a.person").alias("src"), F.col("b.person").alias("dst"), "inst", F.greatest("a.ordinal", "b.ordinal").alias("o"),
-        spans_overlap(F.col("a.lo"), F.col("a.hi"), F.col("b.lo"), F.col("b.hi")).alias("ov"))
-    by_inst = each.groupBy("src", "dst", "inst").agg(F.max("o").alias("o"), F.bool_or("ov").alias("ov"))
-    return by_inst.groupBy("src", "dst").agg(F.max_by(F.struct("inst", "ov"), F.struct("o", "inst")).alias("x")).select("src", "dst",
-        F.col("x.inst").alias("institution"), F.col("x.ov").alias("overlap"), F.when(F.startswith("x.inst", F.lit("ror:")), "high").otherwise("medium").alias("confidence"))
+    """``stays(person, inst, lo, hi, ordinal)``: profiled pairs that share an institution, tiled; the last one by ordinal names the edge.
+
+    A row a person and institution carries what decides a pair: the person's spans there and, if there are several, all the person's
+    institutions. So a pair that meets in several of them is told in one alone, and pairs are never shuffled.
+    """
+    here = stays.where("person IS NOT NULL AND inst IS NOT NULL").groupBy("person", "inst").agg(F.max("ordinal").alias("o"),
+        F.collect_set(F.when(F.col("lo").isNotNull() | F.col("hi").isNotNull(), F.struct("lo", "hi"))).alias("spans"))
+    at = F.collect_list(F.struct("o", "inst")).over(Window.partitionBy("person"))
+    one = F.size("spans") <= 1
+    rows = settled(here.withColumn("at", at).select("person", "inst", "o", F.get("spans", F.lit(0)).getField("lo").alias("lo"), F.get("spans", F.lit(0)).getField("hi").alias("hi"),
+        F.when(~one, F.col("spans")).alias("spans"), F.when(F.size("at") > 1, F.col("at")).alias("at")))
+    pairs = tiled_pairs(rows, "inst", "person")
+    meet = spans_overlap(F.col("a.lo"), F.col("a.hi"), F.col("b.lo"), F.col("b.hi"))
+    if not rows.where("spans IS NOT NULL OR at IS NOT NULL").isEmpty():
+        of = lambda x: F.coalesce(F.col(f"{x}.spans"), F.filter(F.array(F.struct(F.col(f"{x}.lo").alias("lo"), F.col(f"{x}.hi").alias("hi"))), lambda s: s["lo"].isNotNull() | s["hi"].isNotNull()))
+        some = F.exists(of("a"), lambda s: F.exists(of("b"), lambda t: spans_overlap(s["lo"], s["hi"], t["lo"], t["hi"])))
+        many = F.when((F.size(of("a")) > 0) & (F.size(of("b")) > 0), some)
+        meet = F.when(F.col("a.spans").isNull() & F.col("b.spans").isNull(), meet).otherwise(many)
+        both = F.filter("a.at", lambda s: F.exists("b.at", lambda t: t["inst"] == s["inst"]))
+        last = F.array_max(F.transform(both, lambda s: F.struct(F.greatest(s["o"], F.array_max(F.transform(F.filter("b.at", lambda t: t["inst"] == s["inst"]), lambda t: t["o"]))).alias("o"), s["inst"].alias("inst"))))
+        pairs = pairs.where(F.when(F.col("a.at").isNull() | F.col("b.at").isNull(), F.lit(True)).otherwise(last["inst"] == F.col("inst")))
+    return pairs.select(F.col("a.person").alias("src"), F.col("b.person").alias("dst"), F.col("inst").alias("institution"), meet.alias("overlap"),
+        F.when(F.startswith("inst", F.lit("ror:")), "high").otherwise("medium").alias("confidence"))
 
 
 def advised_edges(training: DataFrame, index: DataFrame) -> DataFrame:

@@ -137,6 +137,35 @@ def test_tiled_pairs(spark, monkeypatch, side):
     assert {(r["src"], r["dst"]): r["paper_count"] for r in graph.coauthors_of(some, df).collect()} == {k: len(want[k]) for k in ((0, 1), (1, 2)) if k in want}
 
 
+@pytest.mark.parametrize("several", [False, True])
+def test_pairs_of_institutions_are_told_once(spark, monkeypatch, several):
+    monkeypatch.setattr(graph, "SIDE", 4)
+    rnd = random.Random(3)
+    year = lambda: rnd.choice([None, None, None, 2000, 2003, 2006, 2009])
+    made = []
+    for p in range(40):
+        for i in rnd.choices(["ror:a", "ror:b", "inst:c", None], k=rnd.randint(1, 5) if several else 1):
+            lo, hi = year(), year()
+            lo, hi = (hi, lo) if lo and hi and lo > hi else (lo, hi)
+            made.append((p, i, lo, hi, rnd.choice([None, 0, 1, 2])))
+    far, want = 10**9, {}
+    for p, i, lo, hi, o in made:
+        for q, j, l2, h2, o2 in made:
+            if p < q and i is not None and i == j:
+                none = (lo is None and hi is None) or (l2 is None and h2 is None)
+                met = None if none else (-far if lo is None else lo) <= (far if h2 is None else h2) and (-far if l2 is None else l2) <= (far if hi is None else hi)
+                want.setdefault((p, q), {}).setdefault(i, []).append((max(-1 if o is None else o, -1 if o2 is None else o2), met))
+    for k, v in want.items():
+        i = max(v, key=lambda i: (max(o for o, _ in v[i]), i))
+        met = [m for _, m in v[i] if m is not None]
+        want[k] = (i, any(met) if met else None, "high" if i[0] == "r" else "medium")
+    df = graph.institution_edges(spark.createDataFrame(made, "person int, inst string, lo int, hi int, ordinal int").repartition(3))
+    got = {(r["src"], r["dst"]): tuple(r)[2:] for r in df.collect()}
+    assert got == want and df.count() == len(want) and {v[1] for v in want.values()} == {None, True, False}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")] and "Window" not in plan
+
+
 def test_a_work_of_thousands_is_many_bounded_cells(spark):
     df = spark.range(3000).select(F.lit(1).alias("work"), F.col("id").alias("person"))
     n = -(-3000 // graph.SIDE)
